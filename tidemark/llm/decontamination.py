@@ -73,7 +73,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, i
     sent = F.broadcast(lookup) if lookup.count() <= broadcast_hashes else lookup
 
     keyed = docs.select(F.col(id_col).alias("__tm_id"), F.col(text_col).alias("__tm_text"), row_key(id_col, text_col).alias("__tm_key"))
-    split = keyed.select("__tm_key", "__tm_id", words(F.col("__tm_text"), ALNUM).alias("ws"))
+    split = keyed.select("__tm_key", word_hashes(words(F.col("__tm_text"), ALNUM)).alias("ws"))
     # explode() would have the optimiser push a filter on the array's size, and with it a second
     # computation of words for each shingle, below the projection; explode_outer() doesn't.
     hashed = split.select("__tm_key", shingle_hashes(F.col("ws")).alias("hs")).select("__tm_key", F.size("hs").alias("n_doc"), F.explode_outer("hs").alias("h"))
