@@ -1,9 +1,10 @@
 """Mixing sources to target weights by systematic sampling.
 
 Every document of a source expects the same number of copies, the source's target over its size.
-Documents of a source are put in order of size class and seeded hash; the prefix sums of the
+Documents of a source are put in order of size class, then (in large tables) of leading digits of a
+seeded hash, then of size and hash; the prefix sums of the
 expected copies, shifted by one random offset, cross integers, and a document is emitted once for
-each integer that it crosses. The order by size class keeps the words taken near the target.
+each integer that it crosses. The order by size keeps the words taken near the target.
 
 Targets: sources in code-point order, null last, weigh 5, 2, 1, 5, ...; they share the sum of all
 sizes by weight, but none takes over ``most`` times its own size, and what is cut off goes to the
@@ -67,7 +68,8 @@ def mix(docs: DataFrame, size: Column, identity: list[Column], source_col: str =
     """docs with size, source_size, target, copies (how often the mix has the row) and taken (copies * size)."""
     docs = docs.withColumn("__tm_size", size.cast("long"))
     kept = [c for c in docs.columns if c.lower() not in OUT and c != "__tm_size"]
-    digits = hex_digits(docs.count(), bucket_rows)
+    n = docs.count()
+    digits = hex_digits(n, bucket_rows) if n > 3 * bucket_rows else 0
     keyed = docs.withColumns({"__tm_g": group_key(F.col(source_col)), "__tm_h": shuffle_key(seed, *identity)}).withColumn("__tm_b", F.concat(size_class(F.col("__tm_size")), F.substring("__tm_h", 1, digits)))
     counts = keyed.groupBy("__tm_g", "__tm_b").agg(F.first(source_col).alias("source"), F.count(F.lit(1)).alias("__tm_n"), F.sum("__tm_size").alias("__tm_words"))
     sources = targets(counts.groupBy("__tm_g").agg(F.first("source").alias("source"), F.sum("__tm_words").alias("source_size")))
@@ -75,7 +77,7 @@ def mix(docs: DataFrame, size: Column, identity: list[Column], source_col: str =
         "__tm_g", "__tm_b", "source_size", "target",
         F.coalesce(F.sum("__tm_n").over(Window.partitionBy("__tm_g").orderBy("__tm_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__tm_before"),
     )
-    rank = F.col("__tm_before") + F.row_number().over(Window.partitionBy("__tm_g", "__tm_b").orderBy("__tm_h"))
+    rank = F.col("__tm_before") + F.row_number().over(Window.partitionBy("__tm_g", "__tm_b").orderBy("__tm_size", "__tm_h"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     u = offset(seed)
     return (

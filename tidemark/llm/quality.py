@@ -2,7 +2,7 @@
 
 Features are hashed n-grams of a text's words, taken twice: of the lower-cased words (one and two)
 and of their shapes (one, two and three: capitals, title case, lower case, digits, or the
-punctuation itself), with a pair of equal neighbours counted as a repetition. A document is a
+punctuation itself), with a pair of equal neighbours counted as a repetition, and pairs of such pairs counted too. A document is a
 sparse vector of log counts of unit length; its score is the logistic of the dot product with the
 weights.
 
@@ -32,9 +32,9 @@ from tidemark.llm.common import map_texts
 
 BITS = 18
 MOST_TRAINING = 8000
-EPOCHS = 4
+EPOCHS = 6
 FOLDS = 5
-ALPHA, BETA, L1, L2 = 0.6, 1.0, 0.02, 0.5
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.2
 THRESHOLD = 0.3
 _find = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+").findall
 _LETTERS = np.uint64(1)
@@ -80,8 +80,7 @@ class Features:
         if len(w) > 1:
             same = (w[1:] == w[:-1]) & ((w[1:] & _LETTERS) == 1)
             grams += [np.where(same, np.uint64(11), w[:-1] * np.uint64(7) + w[1:] * np.uint64(13)), s[:-1] * np.uint64(17) + s[1:] * np.uint64(19)]
-        if len(w) > 2:
-            grams.append(s[:-2] * np.uint64(23) + s[1:-1] * np.uint64(29) + s[2:] * np.uint64(31))
+    XXs[:-2] * np.uint64(23) + s[1:-1] * np.uint64(29) + s[2:] * np.uint64(31))
         at, n = np.unique((_mix(np.concatenate(grams)) & self.mask).astype(np.int32), return_counts=True)
         x = np.log1p(n).astype(np.float32)
         return at, x / np.float32(np.sqrt((x * x).sum()))
