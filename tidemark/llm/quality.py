@@ -80,7 +80,9 @@ class Features:
         if len(w) > 1:
             same = (w[1:] == w[:-1]) & ((w[1:] & _LETTERS) == 1)
             grams += [np.where(same, np.uint64(11), w[:-1] * np.uint64(7) + w[1:] * np.uint64(13)), s[:-1] * np.uint64(17) + s[1:] * np.uint64(19)]
-    XXs[:-2] * np.uint64(23) + s[1:-1] * np.uint64(29) + s[2:] * np.uint64(31))
+        if len(w) > 2:
+            grams.append(np.uint64(37) + same[1:].astype(np.uint64) + np.uint64(2) * same[:-1].astype(np.uint64))
+            grams.append(s[:-2] * np.uint64(23) + s[1:-1] * np.uint64(29) + s[2:] * np.uint64(31))
         at, n = np.unique((_mix(np.concatenate(grams)) & self.mask).astype(np.int32), return_counts=True)
         x = np.log1p(n).astype(np.float32)
         return at, x / np.float32(np.sqrt((x * x).sum()))
