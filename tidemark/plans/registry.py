@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.plans import queries as deterministic
-from tidemark.plans import sql
+from tidemark.plans import sampled, sql
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(deterministic.QUERIES)
+    return {**deterministic.QUERIES, **sampled.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
