@@ -40,18 +40,20 @@ from tidemark.llm.common import SPACED, durable, py_lower, sliced
 #: Positions of a signature.
 POSITIONS = 64
 #: Trees of each round.
-ROUNDS = (4, 12)
+ROUNDS = (3, 9)
 #: Documents that a node compares exhaustively in one task.
 LEAF = 600
 DEPTH = 5
+#: Rows that a task should get, many leaves together; shingle sets that it keeps at once.
+TASK_ROWS, KEPT_SETS = 4000, 500
 SEED = np.uint64(0x9E3779B97F4A7C15)
 #: Estimated similarities this far under the threshold are not confirmed (over 5 standard errors).
 MARGIN = 0.28
 
 _find = re.compile(SPACED).findall
 _rng = np.random.Generator(np.random.PCG64(20240101))
-_MUL = (_rng.integers(1, 2**63, POSITIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_ADD = _rng.integers(0, 2**63, POSITIONS, dtype=np.uint64)
+_MUL = _rng.integers(0, 2**32, POSITIONS, dtype=np.uint32) | np.uint32(1)
+_ADD = _rng.integers(0, 2**32, POSITIONS, dtype=np.uint32)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -84,11 +86,14 @@ def hashed_set(cache: dict[str, int], text: str, n: int) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """The minwise value at each position, cut to 32 bits."""
-    low = np.full(POSITIONS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 2048):
-        low = np.minimum(low, (hashes[i : i + 2048, None] * _MUL + _ADD).min(axis=0))
-    return (low >> np.uint64(32)).astype(np.uint32)
+    """The minwise value at each position, of 32 bits of the hashes."""
+    low, h = np.full(POSITIONS, np.iinfo(np.uint32).max, np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(h), 4096):
+        x = h[i : i + 4096, None] * _MUL + _ADD
+        x ^= x >> np.uint32(16)
+        x *= np.uint32(0x85EBCA6B)
+        low = np.minimum(low, x.min(axis=0))
+    return low
 
 
 def _signed(docs: DataFrame, text_col: str, n: int) -> DataFrame:
@@ -173,47 +178,75 @@ def _sized(paths: DataFrame, classes: DataFrame | None) -> DataFrame:
 def _near(sigs: np.ndarray, i: int, size: np.ndarray, similarity: float) -> np.ndarray:
     """Documents whose sizes and signatures allow a link with i."""
     fits = np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]) - 1e-9
-    return fits & ((sigs == sigs[i]).mean(axis=1) >= similarity - MARGIN)
+    return fits & ((sigs == sigs[i]).sum(axis=1) >= (similarity - MARGIN) * POSITIONS)
+
+
+def _by_leaf(pdf: pd.DataFrame, one) -> pd.DataFrame:
+    """Applies one (rows of a leaf -> values by column) to each leaf of a task's many leaves."""
+    pdf = pdf.sort_values(["leaf", "uid"], ignore_index=True)
+    leaf = pdf["leaf"].to_numpy()
+    cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+    cols["sig"] = np.frombuffer(b"".join(cols["sig"]), np.uint32).reshape(-1, POSITIONS)
+    cuts = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1], True])
+    return [one({c: v[i:j] for c, v in cols.items()}) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _promising(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """Of one node: the documents that have a possible partner, of another class, there."""
-    sigs = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, POSITIONS)
-    size, c = pdf["size"].to_numpy(), pdf["c"].to_numpy()
-    keep = [bool((_near(sigs, i, size, similarity) & (c != c[i])).any()) for i in range(len(pdf))]
-    return pdf.loc[keep, ["leaf", "uid"]]
+    """Of each leaf: the documents that have a possible partner, of another class, there."""
+
+    def one(x: dict[str, np.ndarray]) -> np.ndarray:
+        c, keep = x["c"], np.zeros(len(x["uid"]), bool)
+        for i in range(len(keep)):
+            if not keep[i]:
+                partners = _near(x["sig"], i, x["size"], similarity) & (c != c[i])
+                if partners.any():
+                    keep |= partners
+                    keep[i] = True
+        return np.flatnonzero(keep)
+
+    found = [(k, u) for k, u in _by_leaf(pdf.reset_index(drop=True), lambda x: (x["leaf"][:1], x["uid"][one(x)])) if len(u) > 1]
+    if not found:
+        return pd.DataFrame({"leaf": np.empty(0, np.int64), "uid": np.empty(0, np.int64), "head": np.empty(0, np.int64)})
+    # Leaves of several trees that hold the same documents mostly agree in their second smallest one
+    # (blocks of one node all hold its smallest): tasks by that one test a pair once.
+    return pd.DataFrame({"leaf": np.concatenate([np.repeat(k, len(u)) for k, u in found]), "uid": np.concatenate([u for _, u in found]), "head": np.concatenate([np.repeat(u[1], len(u)) for _, u in found])})
 
 
 def _links(pdf: pd.DataFrame, n: int, percent: int) -> pd.DataFrame:
-    """Of one node: a spanning forest of the links that full sets confirm."""
-    pdf = pdf.drop_duplicates("uid").sort_values("uid", ignore_index=True)
-    uid, c = pdf["uid"].to_numpy(), pdf["c"].to_numpy()
-    sigs = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, POSITIONS)
-    size, similarity = pdf["size"].to_numpy(), percent / 100
-    _, own = np.unique(c, return_inverse=True)
-    texts, sets, cache = pdf["text"], {}, {}
-
-    def full(i: int) -> np.ndarray:
-        if i not in sets:
-            sets[i] = hashed_set(cache, texts[i] or "", n)
-        return sets[i]
-
-    a, b = [], []
-    for i in range(len(pdf)):
-        if (own == own[0]).all():
-            break
-        possible = _near(sigs, i, size, similarity)
-        possible[: i + 1] = False
-        for j in np.flatnonzero(possible & (own != own[i])):
-            if own[i] == own[j]:
-                continue
-            x, y = full(i), full(j)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= percent * (len(x) + len(y) - both):
-                a.append(uid[i])
-                b.append(uid[j])
-                own[own == own[j]] = own[i]
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+    """Of each leaf: a spanning forest of the links that full sets confirm."""
+    similarity, cache = percent / 100, {}
+    sets: dict[int, np.ndarray] = {}
+    apart: set[tuple[int, int]] = set()
+
+    def full(x: dict[str, np.ndarray], i: int) -> np.ndarray:
+        u = x["uid"][i]
+        if u not in sets:
+            if len(sets) > KEPT_SETS:
+                sets.clear()
+            sets[u] = hashed_set(cache, x["text"][i] or "", n)
+        return sets[u]
+
+    def one(x: dict[str, np.ndarray]) -> tuple[list[int], list[int]]:
+        uid, size, a, b = x["uid"], x["size"], [], []
+        _, own = np.unique(x["c"], return_inverse=True)
+        for i in range(len(uid)):
+            if (own == own[0]).all():
+                break
+            possible = _near(x["sig"], i, size, similarity)
+            possible[: i + 1] = False
+            for j in np.flatnonzero(possible & (own != own[i])):
+                if own[i] != own[j] and uid[i] != uid[j] and (uid[i], uid[j]) not in apart:
+                    both = len(np.intersect1d(full(x, i), full(x, j), assume_unique=True))
+                    if 100 * both >= percent * (size[i] + size[j] - both):
+                        a.append(uid[i])
+                        b.append(uid[j])
+                        own[own == own[j]] = own[i]
+                    else:
+                        apart.add((uid[i], uid[j]))
+        return a, b
+
+    found = _by_leaf(pdf.reset_index(drop=True), one)
+    return pd.DataFrame({"a": np.array([u for a, _ in found for u in a], np.int64), "b": np.array([u for _, b in found for u in b], np.int64)})
 
 
 def _leaves(sized: DataFrame, first_round: bool, leaf: int) -> DataFrame:
@@ -249,9 +282,15 @@ def _round(reps: DataFrame, trees: range, classes: DataFrame | None, n: int, per
         reps = reps.join(classes, "uid", "left").withColumn("c", F.coalesce("c", "uid"))
     else:
         reps = reps.withColumn("c", F.col("uid"))
-    promising = durable(leaves.distinct().join(reps.select("uid", "size", "sig", "c"), "uid").groupBy("leaf").applyInPandas(lambda p: _promising(p, similarity), "leaf long, uid long"), "leaves")
-    whole = promising.join(reps.select("uid", "size", "sig", "c", "text"), "uid")
-    return whole.groupBy("leaf").applyInPandas(lambda p: _links(p, n, percent), "a long, b long").distinct()
+    leaves = durable(leaves.distinct(), "leaves")
+    promising = durable(_dealt(leaves, reps.select("uid", "size", "sig", "c"), "leaf", lambda p: _promising(p, similarity), "leaf long, uid long, head long"), "promising")
+    return _dealt(promising, reps.select("uid", "size", "sig", "c", "text"), "head", lambda p: _links(p, n, percent), "a long, b long").distinct()
+
+
+def _dealt(leaves: DataFrame, about: DataFrame, key: str, fn, schema: str) -> DataFrame:
+    """Applies fn to leaves, many at a time, so that a task has about TASK_ROWS rows and no leaf is cut."""
+    tasks = max(1, leaves.count() // TASK_ROWS)
+    return leaves.join(about, "uid").groupBy(F.pmod(F.xxhash64(key), F.lit(tasks))).applyInPandas(fn, schema)
 
 
 def classes_of(links: DataFrame) -> DataFrame:
@@ -261,18 +300,18 @@ def classes_of(links: DataFrame) -> DataFrame:
     beyond): neighbours are pointed to the smallest one, until nothing changes. Only minima are
     grouped; no neighbour list is built."""
     edges = durable(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u < v").distinct(), "edges")
+    known = None
     while True:
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
         large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
-        down = durable(large, "edges")
-        low = down.groupBy("v").agg(F.min("u").alias("m"))
-        small = down.join(low, "v").select(F.explode(F.array_distinct(F.array(F.struct(F.col("v"), F.col("m")), F.struct(F.col("u").alias("v"), F.col("m"))))).alias("e")).select("e.v", F.col("e.m").alias("u")).where("u < v").distinct()
-        new = durable(small, "edges")
-        same = new.count() == edges.count() and new.join(edges, ["v", "u"], "left_anti").isEmpty()
-        edges = new
-        if same:
+        low = large.groupBy("v").agg(F.min("u").alias("m"))
+        ends = F.array(F.struct(F.col("v").alias("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))
+        edges = durable(large.join(low, "v").select(F.explode(ends).alias("e")).select("e.v", "e.u").where("u < v").distinct(), "edges")
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
+        if now == known:
             return edges.select(F.col("v").alias("uid"), F.col("u").alias("c"))
+        known = now
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: tuple[int, ...] = ROUNDS, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
