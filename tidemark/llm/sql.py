@@ -1,3 +1,40 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express, on tables of the sizes that need no hash digits
+in the mix's buckets (the order of its documents is then size class, size, hash)."""
 
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from tidemark.llm import mixing, sharding
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SPACED = r"[^\x20\x09-\x0D]+"
+
+# CRC-32 of the UTF-8 bytes: the table follows from the reversed polynomial, then one step for each byte.
+_STEP = "lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+CRC = f"""crc_table AS (SELECT list(list_reduce(list_concat([n::UBIGINT], list_transform(range(8), lambda _: 0::UBIGINT)), {_STEP}) ORDER BY n) AS v FROM range(256) r(n)),
+ sized AS (SELECT doc_id, source, coalesce(text, '') AS text, octet_length(encode(coalesce(text, '')))::BIGINT AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ crced AS (SELECT doc_id, source, n, xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(n), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::UBIGINT)),
+   lambda c, b: xor(c >> 8, v[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS crc FROM sized, crc_table)"""
+
+OP3 = f"""WITH {CRC},
+ ranked AS (SELECT *, coalesce('=' || source, '') AS g, md5('{sharding.SEED}' || ':' || coalesce(doc_id::VARCHAR, '') || ':' || crc) AS k FROM crced),
+ placed AS (SELECT *, (row_number() OVER (PARTITION BY g ORDER BY k) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY g) AS f FROM ranked),
+ cut AS (SELECT *, row_number() OVER (ORDER BY f, g, k) - 1 AS p, count(*) OVER () AS total FROM placed)
+ SELECT doc_id, n + 8 AS size, crc AS text_crc32, 'rows' AS law, (p * 24 // total)::INT AS shard, (p - ((p * 24 // total) * total + 23) // 24)::BIGINT AS slot, NULL::INT AS grown_shard FROM cut"""
+
+OP5 = f"""WITH dw AS (SELECT doc_id, regexp_extract_all({LOWER}, '{ALNUM}') AS w FROM documents), iw AS (SELECT item_id, regexp_extract_all({LOWER}, '{ALNUM}') AS w FROM benchmark),
+ ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw)),
+ its AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM iw)),
+ n AS (SELECT item_id, count(*) AS n_item FROM its GROUP BY item_id)
+ SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item::DOUBLE AS containment FROM ds JOIN its USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*) >= ceil(0.8 * n_item - 1e-6)"""
+
+OP9 = f"""WITH d AS (SELECT doc_id, source, coalesce('=' || source, '') AS g, len(regexp_extract_all(coalesce(text, ''), '{SPACED}'))::BIGINT AS size, md5('{mixing.SEED}' || ':' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS k FROM documents),
+ s AS (SELECT g, any_value(source) AS source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY g),
+ w AS (SELECT *, ([5.0, 2.0, 1.0])[((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM s),
+ r AS (SELECT *, 3.0 * source_size / w AS ratio FROM w),
+ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3.0 * source_size) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS lvl FROM r WINDOW b AS (ORDER BY ratio, g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ t AS (SELECT g, source_size, least(3.0 * source_size, (SELECT arg_min(lvl, (ratio, g)) FROM l WHERE lvl <= ratio) * w)::DOUBLE AS target FROM l),
+ o AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, row_number() OVER (PARTITION BY d.g ORDER BY lpad(length(hx)::VARCHAR, 2, '0') || substr(hx, 1, 2), size, k) AS rn FROM (SELECT *, lower(to_hex(size)) AS hx FROM d) d JOIN t ON t.g = d.g)
+ SELECT doc_id, size, source_size, target, CAST((floor(rn * rate + {mixing.offset(mixing.SEED)!r}) - floor((rn - 1) * rate + {mixing.offset(mixing.SEED)!r})) * size AS BIGINT) AS taken FROM o"""
+
+SQL: dict[str, str] = {"op3_sharding": OP3, "op5_decontamination": OP5, "op9_mixing": OP9}
