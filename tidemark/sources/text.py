@@ -22,7 +22,7 @@ def read_series(spark: SparkSession, paths: str | list[str], column: str = "t",
     first so many values of each series. Files without values give no rows: keep their names in a
     series dimension."""
     # whole files keep their lines' order; series files are small, and there is one task for each few of them
-    whole = spark.read.option("wholetext", True).text(paths).select(_name(F.col("_metadata.file_path")).alias("series"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    whole = spark.read.text(paths, wholetext=True).select(_name(F.col("_metadata.file_path")).alias("series"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
     whole = whole.where(F.trim("text") != "")
     if line_per_series:
         whole = whole.withColumn("series", F.concat_ws("#", "series", F.col("line").cast("string")))
