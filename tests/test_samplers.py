@@ -29,6 +29,17 @@ def test_chain_matches_quadrature():
     assert abs(np.mean([not t for _, t, _ in kept]) - exact_pk()) < 0.02
 
 
+@pytest.mark.parametrize("kind", ["normal", "mixture", "histogram"])
+def test_location_proposals(kind):
+    cfg = kernels.SamplerConfig(iterations=60_000, burn_in=1000, thinning=2, nu=NU, max_changepoints=1, move_width=0.5, proposal=kind, proposal_normal=(1.0, 1.0), proposal_bins=(3, 2, 1, 1))
+    kept, _ = kernels.run_chain(kernels.PoissonModel(EVENTS, 1.0, 1.0), 0.0, END, cfg, np.random.default_rng(1))
+    assert abs(np.mean([not t for _, t, _ in kept]) - exact_pk()) < 0.02
+
+
+def test_monotone():
+    assert kernels.monotone([1, 1, 2]) and not kernels.monotone([2, 1])
+
+
 def test_rejection_matches_quadrature():
     # The sampler's prior keeps the first changepoint only: P(0) e^(-nu T), density nu e^(-nu t).
     m = kernels.PoissonModel(EVENTS, 1.0, 1.0)

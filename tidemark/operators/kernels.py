@@ -25,7 +25,11 @@ class SamplerConfig:
     move_width: float | None = None
     max_changepoints: int | None = None
     spacing: float = 0.0
+    #: Where births are proposed: uniform, normal, mixture (half uniform, half normal) or histogram.
     proposal: str = "uniform"
+    #: Centre and spread of the normal one; the histogram's weights over equal bins.
+    proposal_normal: tuple[float, float] = (0.0, 1.0)
+    proposal_bins: tuple[float, ...] = ()
     random_nu: tuple[float, float] | None = None
     hill_climbing: bool = False
     no_empty_neighbours: bool = False
@@ -106,6 +110,39 @@ class CountModel(PoissonModel):
         return super().loglik(math.ceil(a), math.ceil(b))
 
 
+def location(cfg: SamplerConfig, start: float, end: float, rng: np.random.Generator) -> tuple[Callable[[], float], Callable[[float], float]]:
+    """How a birth's location is drawn, and the log density of a location."""
+    length, (centre, sd) = end - start, cfg.proposal_normal
+    flat = 1 / length
+
+    def normal_density(x: float) -> float:
+        # Draws beyond an end are reflected there, so their density is folded back.
+        return sum(math.exp(-0.5 * ((y - centre) / sd) ** 2) for y in (x, 2 * start - x, 2 * end - x)) / (sd * math.sqrt(2 * math.pi))
+
+    def normal_draw() -> float:
+        while True:
+            x = rng.normal(centre, sd)
+            x = 2 * start - x if x < start else 2 * end - x if x > end else x
+            if start < x < end:
+                return x
+
+    if cfg.proposal == "normal":
+        return normal_draw, lambda x: math.log(normal_density(x))
+    if cfg.proposal == "mixture":
+        return lambda: normal_draw() if rng.random() < 0.5 else start + rng.random() * length, lambda x: math.log(0.5 * normal_density(x) + 0.5 * flat)
+    if cfg.proposal == "histogram":
+        share = np.asarray(cfg.proposal_bins, float) / sum(cfg.proposal_bins)
+        width, cumulative = length / len(share), np.cumsum(share)
+        pick = lambda: min(int(np.searchsorted(cumulative, rng.random(), side="right")), len(share) - 1)
+        return lambda: start + (pick() + rng.random()) * width, lambda x: math.log(share[min(int((x - start) / width), len(share) - 1)] / width)
+    return lambda: start + rng.random() * length, lambda x: -math.log(length)
+
+
+def monotone(means: list[float]) -> bool:
+    """Constraint of non-decreasing rates."""
+    return all(a <= b for a, b in zip(means, means[1:], strict=False))
+
+
 def _edge_birth(k: int, most: int | None) -> float:
     """Log ratio of the chances to propose the death back and the birth."""
     if k == 0:
@@ -124,6 +161,7 @@ def run_chain(model, start: float, end: float, cfg: SamplerConfig, rng: np.rando
     a_nu, b_nu = (cfg.random_nu[0] ** 2 / cfg.random_nu[1], cfg.random_nu[0] / cfg.random_nu[1]) if cfg.random_nu else (0.0, 0.0)
     ends = [s0, *theta, end]
     post = sum(ll(a, b) for a, b in zip(ends, ends[1:], strict=False)) + len(theta) * math.log(cfg.nu) - cfg.nu * length
+    draw, log_q = location(cfg, start, end, rng)
     kept, tried, taken = [], {"birth": 0, "death": 0, "move": 0}, {"birth": 0, "death": 0, "move": 0}
 
     def log_nu(k: int) -> float:
@@ -144,20 +182,20 @@ def run_chain(model, start: float, end: float, cfg: SamplerConfig, rng: np.rando
         tried[kind] = tried.get(kind, 0) + 1
         new, change, ratio = None, 0.0, 0.0
         if kind == "birth":
-            y = start + u() * length
+            y = draw()
             i = bisect_left(theta, y)
             lo, hi = (theta[i - 1] if i else s0), (theta[i] if i < k else end)
             if not too_close(y, lo, hi, i == 0, i == k) and not empty_pair(lo, y, hi):
                 gain = ll(lo, y) + ll(y, hi) - ll(lo, hi)
                 change = gain + log_nu(k) + (cfg.nu * min(cfg.spacing, end - y) if cfg.spacing else 0.0)
-                ratio = change + math.log(length) - math.log(k + 1) + _edge_birth(k, most)
+                ratio = change - log_q(y) - math.log(k + 1) + _edge_birth(k, most)
                 new = theta[:i] + [y] + theta[i:]
         elif kind == "death":
             i = int(u() * k)
             lo, hi = (theta[i - 1] if i else s0), (theta[i + 1] if i + 1 < k else end)
             gain = ll(lo, hi) - ll(lo, theta[i]) - ll(theta[i], hi)
             change = gain - log_nu(k - 1) - (cfg.nu * min(cfg.spacing, end - theta[i]) if cfg.spacing else 0.0)
-            ratio = change - math.log(length) + math.log(k) - _edge_birth(k - 1, most)
+            ratio = change + log_q(theta[i]) + math.log(k) - _edge_birth(k - 1, most)
             new = theta[:i] + theta[i + 1 :]
         elif kind == "move":
             i = int(u() * k)

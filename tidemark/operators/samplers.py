@@ -98,10 +98,11 @@ def prior_sample(series: DataFrame, start: float, end: float, nu: float, n: int,
 SMC = "series string, interval int, particle long, k int, theta array<double>, w double, ess double, resampled boolean"
 
 
-def sequential_monte_carlo(events: DataFrame, series: DataFrame, start: float, end: float, intervals: int, n: int, cfg: SamplerConfig, alpha: float = 0.1, beta: float = 0.1, threshold: float = 0.5, moves: int = 5, full_history: bool = False) -> DataFrame:
+def sequential_monte_carlo(events: DataFrame, series: DataFrame, start: float, end: float, intervals: int, n: int, cfg: SamplerConfig, alpha: float = 0.1, beta: float = 0.1, threshold: float = 0.5, moves: int = 5, full_history: bool = False, look_back: bool = True) -> DataFrame:
     """Weighted particles of each series after each of consecutive windows.
 
-    A window's changepoints are drawn by a chain on the window alone; a particle of the past and
+    A window's changepoints are drawn by a chain on the window, whose first segment begins (with
+    look_back) at the mean time since the last changepoint of the past; a particle of the past and
     one of the window are joined, and weighted by the likelihood of the joined segment over those of
     the two that it replaces. Where the effective size falls under threshold * n, particles are
     resampled systematically and moved by a few chain steps over their whole history. With
@@ -116,7 +117,11 @@ def sequential_monte_carlo(events: DataFrame, series: DataFrame, start: float, e
             a, b = start + i * width, start + (i + 1) * width
             rng = generator(cfg.seed, name, i)
             window = SamplerConfig(**{**cfg.__dict__, "iterations": n * cfg.thinning, "move_width": cfg.move_width or width / 3})
-            kept, _ = run_chain(model, start if full_history else a, b, window, rng)
+            first_from = a
+            if i and look_back and not full_history:
+                w = np.exp(log_w - log_w.max())
+                first_from = max(start, a - float((w * [a - (x[-1] if x else start) for x in past]).sum() / w.sum()))
+            kept, _ = run_chain(model, start if full_history else a, b, window, rng, data_start=None if full_history else first_from)
             fresh, resampled = [theta for _, theta, _ in kept], False
             if full_history:
                 past, log_w = fresh, np.zeros(n)
@@ -126,7 +131,7 @@ def sequential_monte_carlo(events: DataFrame, series: DataFrame, start: float, e
                     new, old = fresh[order[p]], past[p]
                     last, first = (old[-1] if old else start), (new[0] if new else b)
                     if i:
-                        log_w[p] += ll(last, first) - ll(last, a) - ll(a, first)
+                        log_w[p] += ll(last, first) - ll(last, a) - ll(first_from, first)
                     past[p] = old + new
                 w = np.exp(log_w - log_w.max())
                 if w.sum() ** 2 / (w * w).sum() < threshold * n:
