@@ -264,7 +264,7 @@ def _leaves(sized: DataFrame, first_round: bool, leaf: int) -> DataFrame:
     return small.unionByName(pairs.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("leaf"), "uid"))
 
 
-def _round(reps: DataFrame, trees: range, classes: DataFrame | None, n: int, percent: int, leaf: int, depth: int) -> DataFrame:
+def _round(reps: DataFrame, texts: DataFrame, trees: range, classes: DataFrame | None, n: int, percent: int, leaf: int, depth: int) -> DataFrame:
     """Links (a, b) that one round of trees finds."""
     similarity, found = percent / 100, []
     sized = durable(_sized(_plant(reps, trees, similarity), classes), "nodes")
@@ -284,7 +284,9 @@ def _round(reps: DataFrame, trees: range, classes: DataFrame | None, n: int, per
         reps = reps.withColumn("c", F.col("uid"))
     leaves = durable(leaves.distinct(), "leaves")
     promising = durable(_dealt(leaves, reps.select("uid", "size", "sig", "c"), "leaf", lambda p: _promising(p, similarity), "leaf long, uid long, head long"), "promising")
-    return _dealt(promising, reps.select("uid", "size", "sig", "c", "text"), "head", lambda p: _links(p, n, percent), "a long, b long").distinct()
+    # Texts are read only for documents that may have a partner.
+    needed = promising.select("uid").distinct().join(reps.select("uid", "size", "sig", "c"), "uid").join(texts, "uid")
+    return _dealt(promising, needed, "head", lambda p: _links(p, n, percent), "a long, b long").distinct()
 
 
 def _dealt(leaves: DataFrame, about: DataFrame, key: str, fn, schema: str) -> DataFrame:
@@ -321,13 +323,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
     real = signed.where("n_shingles > 0")
     reps = durable(
         real.groupBy("__tm_digest").agg(F.min("__tm_uid").alias("uid"))
-        .join(real.select(F.col("__tm_uid").alias("uid"), F.col("n_shingles").alias("size"), F.col("__tm_sig").alias("sig"), F.col(text_col).alias("text")), "uid")
-        .select("uid", "__tm_digest", "size", "sig", "text"),
+        .join(real.select(F.col("__tm_uid").alias("uid"), F.col("n_shingles").alias("size"), F.col("__tm_sig").alias("sig")), "uid")
+        .select("uid", "__tm_digest", "size", "sig"),
         "reps",
     )
+    texts = real.select(F.col("__tm_uid").alias("uid"), F.col(text_col).alias("text"))
     links, classes, at = None, None, 0
     for trees in rounds:
-        found = durable(_round(reps, range(at, at + trees), classes, shingle, percent, leaf, depth), "links")
+        found = durable(_round(reps, texts, range(at, at + trees), classes, shingle, percent, leaf, depth), "links")
         links = found if links is None else links.unionByName(found)
         classes, at = classes_of(links), at + trees
 
