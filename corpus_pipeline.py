@@ -24,12 +24,10 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more.
 
-    Of repeated rows with one id, one stays."""
-    columns = _columns(docs)
-    found = neardup.near_duplicates(docs, shingle=5)
-    # Rows with the class's id may be repeated; texts without words link with nothing and all stay.
-    one = found.where("kept AND n_shingles > 0").dropDuplicates(["doc_id", "component_id"])
-    return one.unionByName(found.where("n_shingles = 0")).select(*columns)
+    Groups are told apart by their rows, not by ids: documents that share an id or have none all
+    stay, unless their texts are near-duplicates. Texts without words link with nothing and all stay."""
+    found = neardup.near_duplicates(docs, shingle=5, one_col="__tm_keep")
+    return found.where("__tm_keep").select(*_columns(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -334,3 +334,15 @@ def test_pipeline(spark):
     last = p.shard(spark, mixed, SF)
     assert last.count() == mixed.count() and last.select("shard").distinct().count() == min(24, mixed.count())
     assert [n for n, _ in p.STAGES] == ["quality_filter", "near_dedup", "decontaminate", "mix_sources", "shard"]
+
+
+def test_pipeline_keeps_one_row_per_group(spark):
+    import corpus_pipeline as p
+
+    unlike = [" ".join(f"{k}{i}" for i in range(30)) for k in "abcdefg"]
+    rows = [(1, unlike[0]), (1, unlike[1]), (None, unlike[2]), (None, unlike[3]), (None, unlike[4]), (2, unlike[5]), (None, unlike[5]), (3, unlike[5] + " end"), (4, unlike[6]), (4, unlike[6]), (None, unlike[0]), (5, ""), (5, None), (None, " ")]
+    docs = spark.createDataFrame([(i, t, *[None] * 8) for i, t in rows], SCHEMA)
+    got = p.near_dedup(spark, docs, SF)
+    assert got.columns == docs.columns
+    want = [(1, unlike[0]), (1, unlike[1]), (None, unlike[2]), (None, unlike[3]), (None, unlike[4]), (2, unlike[5]), (4, unlike[6]), (5, ""), (5, None), (None, " ")]
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter(want)

@@ -316,8 +316,11 @@ def classes_of(links: DataFrame) -> DataFrame:
         known = now
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: tuple[int, ...] = ROUNDS, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """docs with n_shingles, component_id (smallest id reachable over links), kept (id is that id)."""
+def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: tuple[int, ...] = ROUNDS, leaf: int = LEAF, depth: int = DEPTH, one_col: str | None = None) -> DataFrame:
+    """docs with n_shingles, component_id (smallest id reachable over links), kept (id is that id).
+
+    one_col: name of a further column, true for exactly one row of each class (of the smallest id,
+    null last) and for every row without shingles. Ids may be null or repeated between classes."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_shingles", "component_id", "kept")])
     signed = durable(_signed(docs, text_col, shingle).withColumn("__tm_uid", F.monotonically_increasing_id()), "signed")
     real = signed.where("n_shingles > 0")
@@ -337,8 +340,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
     of_set = reps.select("__tm_digest", "uid").join(classes, "uid", "left").select("__tm_digest", F.coalesce("c", "uid").alias("__tm_c"))
     slim = real.select("__tm_uid", F.col(id_col).alias("__tm_id"), "__tm_digest").join(of_set, "__tm_digest")
     named = durable(slim.select("__tm_uid", "__tm_c", "__tm_id"), "classes")
-    ids = named.groupBy("__tm_c").agg(F.min("__tm_id").alias("component_id"))
-    label = named.join(ids, "__tm_c").select("__tm_uid", "component_id", F.lit(True).alias("__tm_linked"))
+    if one_col:
+        first = F.min(F.struct(F.col("__tm_id").isNull().alias("none"), F.col("__tm_id").alias("id"), F.col("__tm_uid").alias("uid")))
+        ids = named.groupBy("__tm_c").agg(first.alias("x")).select("__tm_c", F.col("x.id").alias("component_id"), F.col("x.uid").alias("__tm_first"))
+        chosen = [(F.col("__tm_uid") == F.col("__tm_first")).alias("__tm_one")]
+    else:
+        ids, chosen = named.groupBy("__tm_c").agg(F.min("__tm_id").alias("component_id")), []
+    label = named.join(ids, "__tm_c").select("__tm_uid", "component_id", F.lit(True).alias("__tm_linked"), *chosen)
     out = signed.join(label, "__tm_uid", "left")
     component = F.when(F.col("__tm_linked"), F.col("component_id")).otherwise(F.col(id_col))
-    return out.select(*docs.columns, "n_shingles", component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    one = [F.coalesce("__tm_one", F.lit(True)).alias(one_col)] if one_col else []
+    return out.select(*docs.columns, "n_shingles", component.alias("component_id"), *one).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
