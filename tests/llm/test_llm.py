@@ -346,3 +346,14 @@ def test_pipeline_keeps_one_row_per_group(spark):
     assert got.columns == docs.columns
     want = [(1, unlike[0]), (1, unlike[1]), (None, unlike[2]), (None, unlike[3]), (None, unlike[4]), (2, unlike[5]), (4, unlike[6]), (5, ""), (5, None), (None, " ")]
     assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter(want)
+
+
+def test_mixing_same_order_at_every_size(spark):
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = common.table(spark, SF, "documents")
+    cut = mixing.mix(docs, F.regexp_count(text, F.lit(common.SPACED)), [F.col("doc_id"), F.md5(text)], bucket_rows=2).select("doc_id", "size", "source_size", "target", "taken")
+    assert differences(cut, connect(SF), sql.SQL["op9_mixing"]) == []
+    # Sizes of one digit and of four, one of them of half of all rows.
+    many = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, "cold").alias("source"), F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") * 37 % 5000).alias("w"))
+    copies = [{r["doc_id"]: r["copies"] for r in mixing.mix(many, F.col("w"), [F.col("doc_id")], bucket_rows=b).collect()} for b in (10_000, 20, 3)]
+    assert len(copies[0]) == 2000 and copies[0] == copies[1] == copies[2]

@@ -1,17 +1,17 @@
 """Mixing sources to target weights by systematic sampling.
 
 Every document of a source expects the same number of copies, the source's target over its size.
-Documents of a source are put in order of size class, then (in large tables) of leading digits of a
-seeded hash, then of size and hash; the prefix sums of the
-expected copies, shifted by one random offset, cross integers, and a document is emitted once for
+Documents of a source are put in order of size, then of a seeded hash, in tables of any size; the
+prefix sums of the expected copies, shifted by one random offset, cross integers, and a document is emitted once for
 each integer that it crosses. The order by size keeps the words taken near the target.
 
 Targets: sources in code-point order, null last, weigh 5, 2, 1, 5, ...; they share the sum of all
 sizes by weight, but none takes over ``most`` times its own size, and what is cut off goes to the
 others by weight (water filling, solved in closed form over the sorted ratios of cap to weight).
 
-No source is ranked in one task: rows are bucketed by size class and leading hash digits, and small
-tables of counts give what stands before a bucket.
+No source is ranked in one task: rows are bucketed by size class; a class of many rows by size, and
+a size of many rows by leading hash digits too. Buckets follow the order, so that they only spread
+the work; small tables of counts give what stands before a bucket.
 
 Edge cases: null is a source of its own; null and blank texts have size 0 and take part with their
 copies, but take no words; sources without words have target 0; repeated rows are each sampled, in
@@ -26,13 +26,13 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import group_key, hex_digits, shuffle_key
+from tidemark.llm.common import group_key, shuffle_key
 
 OUT = ("size", "source_size", "target", "copies", "taken")
 SEED = "mix-1"
 WEIGHTS = (5, 2, 1)
 MOST = 3
-#: Rows that should meet in a bucket, if a third of all rows had one size.
+#: Rows that should meet in a bucket at most.
 BUCKET_ROWS = 20_000
 
 
@@ -41,10 +41,15 @@ def offset(seed: str) -> float:
     return int(hashlib.md5(seed.encode()).hexdigest()[:8], 16) / 2**32
 
 
-def size_class(size: Column) -> Column:
-    """A string that grows with size in steps of a few percent: digits, then the two leading ones, in base 16."""
+def size_key(size: Column) -> Column:
+    """A string that grows with size: the number of its digits, then the digits, in base 16."""
     h = F.lower(F.hex(size))
-    return F.concat(F.lpad(F.length(h).cast("string"), 2, "0"), F.substring(h, 1, 2))
+    return F.concat(F.lpad(F.length(h).cast("string"), 2, "0"), h)
+
+
+def size_class(size: Column) -> Column:
+    """The start of size_key, in steps of a few percent: digits, then the two leading ones."""
+    return F.substring(size_key(size), 1, 4)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -68,9 +73,15 @@ def mix(docs: DataFrame, size: Column, identity: list[Column], source_col: str =
     """docs with size, source_size, target, copies (how often the mix has the row) and taken (copies * size)."""
     docs = docs.withColumn("__tm_size", size.cast("long"))
     kept = [c for c in docs.columns if c.lower() not in OUT and c != "__tm_size"]
-    n = docs.count()
-    digits = hex_digits(n, bucket_rows) if n > 3 * bucket_rows else 0
-    keyed = docs.withColumns({"__tm_g": group_key(F.col(source_col)), "__tm_h": shuffle_key(seed, *identity)}).withColumn("__tm_b", F.concat(size_class(F.col("__tm_size")), F.substring("__tm_h", 1, digits)))
+    keyed = docs.withColumns({"__tm_g": group_key(F.col(source_col)), "__tm_h": shuffle_key(seed, *identity), "__tm_k": size_class(F.col("__tm_size"))})
+    # Few classes and sizes can have more rows than a bucket, so that these tables are small.
+    sizes = docs.groupBy(group_key(F.col(source_col)).alias("__tm_g"), "__tm_size").agg(F.count(F.lit(1)).alias("__tm_n")).withColumn("__tm_k", size_class(F.col("__tm_size")))
+    classes = sizes.groupBy("__tm_g", "__tm_k").agg(F.sum("__tm_n").alias("__tm_n")).where(F.col("__tm_n") > bucket_rows).select("__tm_g", "__tm_k", F.lit(True).alias("__tm_many"))
+    # Digits as in hex_digits, for the rows of one size.
+    digits = F.least(F.lit(6), F.greatest(F.lit(1), F.ceil(F.log(16.0, F.col("__tm_n") / bucket_rows)).cast("int")))
+    heavy = sizes.where(F.col("__tm_n") > bucket_rows).select("__tm_g", "__tm_size", digits.alias("__tm_d"))
+    bucket = F.when(F.col("__tm_many"), F.concat(size_key(F.col("__tm_size")), F.lit(":"), F.when(F.col("__tm_d").isNull(), "").otherwise(F.substring(F.col("__tm_h"), F.lit(1), F.col("__tm_d"))))).otherwise(F.col("__tm_k"))
+    keyed = keyed.join(F.broadcast(classes), ["__tm_g", "__tm_k"], "left").join(F.broadcast(heavy), ["__tm_g", "__tm_size"], "left").withColumn("__tm_b", bucket)
     counts = keyed.groupBy("__tm_g", "__tm_b").agg(F.first(source_col).alias("source"), F.count(F.lit(1)).alias("__tm_n"), F.sum("__tm_size").alias("__tm_words"))
     sources = targets(counts.groupBy("__tm_g").agg(F.first("source").alias("source"), F.sum("__tm_words").alias("source_size")))
     starts = counts.join(sources, "__tm_g").select(
