@@ -357,3 +357,39 @@ def test_mixing_same_order_at_every_size(spark):
     many = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, "cold").alias("source"), F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") * 37 % 5000).alias("w"))
     copies = [{r["doc_id"]: r["copies"] for r in mixing.mix(many, F.col("w"), [F.col("doc_id")], bucket_rows=b).collect()} for b in (10_000, 20, 3)]
     assert len(copies[0]) == 2000 and copies[0] == copies[1] == copies[2]
+
+
+def test_nearest_with_repeats(spark):
+    def found(rows, **more):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = defaultdict(list)
+        for r in sorted(ann.search(df, F.col("vec_id") % 50 == 0, **more).collect(), key=lambda r: r["rank"]):
+            got[r["query_id"]].append(r["vec_id"])
+        return dict(got)
+
+    assert found([(i, [1.0, 2.0]) for i in (0, 0, 0, 1, 1, 1, 2, 2, 2)]) == {0: [1, 2]}
+    x = np.random.default_rng(8).normal(size=(40, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    assert found(rows * 2) == found(rows) == brute(list(range(40)), x)
+    # Several vectors of one id take one place.
+    assert found([(0, [1.0, 0.0]), *[(1, [1.0, k / 100]) for k in range(30)], *[(i, [1.0, i * 1.0]) for i in range(2, 8)]]) == {0: [1, 2, 3, 4, 5]}
+    # Copies scaled by powers of two tie exactly.
+    assert found([(i, [2.0 ** (i % 30), 2.0 ** (i % 30 + 1)]) for i in range(400, -1, -1)])[0] == [1, 2, 3, 4, 5]
+    # Too few directions for a graph.
+    assert found([(i, [2.0 ** (i % 30), 2.0 ** (i % 30 + 1)]) for i in range(200)], part_rows=20)[50] == [0, 1, 2, 3, 4]
+
+
+def test_nearest_probes_fewer_parts(spark, monkeypatch):
+    rng, probed = np.random.default_rng(6), []
+    centres = rng.normal(size=(60, 16))
+    x = (centres[rng.integers(0, 60, 6000)] + 0.3 * rng.normal(size=(6000, 16))).round(3)
+    needed = ann.probes_needed
+    monkeypatch.setattr(ann, "probes_needed", lambda *a: probed.append(needed(*a)) or probed[-1])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.search(df, F.col("vec_id") % 50 == 0, part_rows=300, sample=3000).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    want = brute(list(range(6000)), x)
+    recall = np.mean([len(got[q] & set(want[q])) / 5 for q in want])
+    print(f"probed {probed} of 20 parts, recall {recall:.4f}")
+    assert probed[0] <= 10 and recall >= 0.95

@@ -6,13 +6,13 @@ part, and routes each query to its most probable parts, whose rows are reranked
 How many parts a query probes is calibrated on the sample, so that the parts probed hold the
 wanted share of true neighbours, and each query probes on until its parts hold enough rows.
 
-Of equal vectors only the k + 1 with the smallest ids can be among k nearest, ties going to smaller
-ids; the others are found by no query and are left out of the parts, so that one vector with a
+Repeated rows (id and vector) count once. Of equal vectors only the k + 1 with the smallest ids can be
+among k nearest, ties going to smaller ids; the others are found by no query and are left out of the parts, so that one vector with a
 third of all rows doesn't fill a part. Parts are compared in cells of bounded size.
 
 Edge cases: vectors that are null or zero, or hold null or non-finite components, or have another
-length than most, take no part, nor do null ids; rows with the same id count as the query's own; fewer
-candidates than k are all found; tables that fit one part are searched exactly; an empty table gives an
+length than most, take no part, nor do null ids; rows with the same id count as the query's own, and
+an id of several vectors is found once, by its best score; fewer candidates than k are all found; tables that fit one part are searched exactly; an empty table gives an
 empty result; extra columns are ignored.
 """
 
@@ -33,6 +33,8 @@ NEIGHBOURS = 10
 RECALL = 0.97
 #: Sizes of a cell, in rows of the table and queries.
 CELL, CELL_QUERIES = 4000, 1000
+#: Scores that differ by less may be of equal rows.
+EPSILON = 1e-9
 #: Rows for each part, from which the number of parts follows, up to MOST_PARTS.
 PART_ROWS, MOST_PARTS = 1500, 64
 RESULT = "query_id long, rank int, vec_id long, score double"
@@ -160,15 +162,28 @@ def _rerank(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     lq, lv = np.sqrt((q * q).sum(axis=1)), np.sqrt((v * v).sum(axis=1))
     s = (q / lq[:, None]) @ (v / lv[:, None]).T
     s[qid[:, None] == vid[None, :]] = -np.inf
-    # A margin for copies, whose products may differ in the last bit.
-    n = min(len(rows), 3 * k + 1)
-    top = np.argpartition(-s, n - 1, axis=1)[:, :n]
-    score = np.einsum("ijk,ik->ij", v[top], q) / (lq[:, None] * lv[top])
-    score[qid[:, None] == vid[top]] = -np.inf
-    order = np.lexsort((vid[top], -score), axis=1)[:, :k]
-    at = np.arange(len(queries))[:, None]
-    out = pd.DataFrame({"query_id": np.repeat(qid, order.shape[1]), "vec_id": vid[top][at, order].ravel(), "score": score[at, order].ravel()})
-    return out[np.isfinite(out["score"])]
+    # The k-th score of distinct ids, with a margin for copies, whose products may differ in the last
+    # bits: all rows from there on are scored exactly, however many tie.
+    ids, of_id = np.unique(vid, return_inverse=True)
+    best = s
+    if len(ids) < len(vid):
+        by_id = np.argsort(of_id, kind="stable")
+        best = np.maximum.reduceat(s[:, by_id], np.flatnonzero(np.r_[True, np.diff(of_id[by_id]) > 0]), axis=1)
+    n = min(len(ids), k)
+    least = np.partition(best, best.shape[1] - n, axis=1)[:, best.shape[1] - n] - EPSILON
+    near = (s >= least[:, None]) & np.isfinite(s)
+    ends = np.cumsum(near.sum(axis=1))
+    out, i = [], 0
+    while i < len(q):
+        # Queries with about CELL candidates together.
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + CELL, side="right")))
+        at, row = np.nonzero(near[i:j])
+        at += i
+        score = np.einsum("ij,ij->i", v[row], q[at]) / (lq[at] * lv[row])
+        found = pd.DataFrame({"at": at, "query_id": qid[at], "vec_id": vid[row], "score": score}).sort_values(["at", "score", "vec_id"], ascending=[True, False, True])
+        out.append(found.drop_duplicates(["at", "vec_id"]).groupby("at").head(k).drop(columns="at"))
+        i = j
+    return pd.concat(out)
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, part_rows: int = PART_ROWS, recall: float = RECALL) -> DataFrame:
@@ -180,7 +195,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
         return spark.createDataFrame([], RESULT)
     rows = rows.where(F.size("v") == length[0]["d"])
     copies = Window.partitionBy("v").orderBy("id")
-    candidates = rows.select("id", "v").withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1).drop("n")
+    candidates = rows.select("id", "v").distinct().withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1).drop("n")
     candidates = durable(candidates, "vectors")
 
     total = candidates.count()
@@ -189,20 +204,23 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     if parts > 1:
         x = unit(np.stack(candidates.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()["v"]))
         x = np.unique(x, axis=0)
+        # A sample of few different directions has no graph: all rows are searched.
+        parts = parts if len(x) > max(NEIGHBOURS, parts) else 1
+    if parts > 1:
         graph = neighbour_graph(x)
         model = Classifier(x, balanced_parts(x, graph, parts), parts)
         probes = probes_needed(model.ranked(x), graph, recall)
     parts = max(parts, 1)
 
     index = durable(_route(candidates, model, 1).select("id", "v", F.col("parts")[0].alias("part")), "index")
-    held = dict(index.groupBy("part").count().collect())
-    sizes = [held.get(i, 0) for i in range(parts)]
-    # Probe on until the parts hold k rows besides copies of the query itself.
-    counts = F.array(*[F.lit(int(s)) for s in sizes])
+    held = {r["part"]: r for r in index.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids")).collect()}
+    sizes = [held[i]["n"] if i in held else 0 for i in range(parts)]
+    # Probe on until one of the parts holds k ids besides the query's own: ids may be in several parts.
+    counts = F.array(*[F.lit(int(held[i]["ids"]) if i in held else 0) for i in range(parts)])
     routed = _route(rows.where("q").select("id", "v"), model, parts)
     enough = F.aggregate(
-        "parts", F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("rows")),
-        lambda a, p: F.when((a["n"] >= probes) & (a["rows"] >= 2 * k + 2), a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["rows"] + F.element_at(counts, p + 1)).cast("long").alias("rows"))),
+        "parts", F.struct(F.lit(0).alias("n"), F.lit(0).alias("ids")),
+        lambda a, p: F.when((a["n"] >= probes) & (a["ids"] > k), a).otherwise(F.struct((a["n"] + 1).alias("n"), F.greatest(a["ids"], F.element_at(counts, p + 1)).alias("ids"))),
     )["n"]
     routed = durable(routed.select("id", "v", F.slice("parts", 1, enough).alias("parts")), "queries")
     asked = dict(routed.select(F.explode("parts").alias("part")).groupBy("part").count().collect())
@@ -218,4 +236,4 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     key = ["part", "qc", "vc"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(lambda q, v: _rerank(q, v, k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
