@@ -359,6 +359,25 @@ def test_mixing_same_order_at_every_size(spark):
     assert len(copies[0]) == 2000 and copies[0] == copies[1] == copies[2]
 
 
+def test_secret_keys_in_text():
+    flat = base64.b64encode(KEY).decode()
+    lines = [flat[i : i + 64] for i in range(0, len(flat), 64)]
+    odd = next(t for t in (base64.b64encode(der(0x30, KEY[4:-404] + der(4, bytes(400 + n)))).decode() for n in range(3)) if t[-1] != "=")
+    head, foot = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+    for text, want in [
+        (head + "\\n" + "\\n".join(lines) + "\\n" + foot + "\\n", "\\n".join(lines)),
+        (head + "\\r\\n" + "\\r\\n".join(lines) + "\\r\\n" + foot, "\\r\\n".join(lines)),
+        (f"key: |\n    {head}\n    " + "\n    ".join(lines) + f"\n    {foot}\n", "\n    ".join(lines)),
+        (f"{head}\n\t" + " \r\n\t".join(lines) + f"\r\n{foot}", " \r\n\t".join(lines)),
+        (f"{odd}\nNext paragraph", odd),
+        (f"{head}{odd}{foot}", odd),
+        (f"MyPrivateKeyFollows\n{odd}\nEnd", odd),
+    ]:
+        assert [(text[s:e], k) for s, e, k in secrets.confirmed_spans(text)] == [(want, "der")]
+    assert [k for *_, k in secrets.confirmed_spans(f"{odd}\n{flat}\n{odd}")] == ["der"] * 3
+    assert not secrets.confirmed_spans(f"{odd[:-8]}\n")
+
+
 def test_nearest_with_repeats(spark):
     def found(rows, **more):
         df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

@@ -1,6 +1,7 @@
 """Secret scan: pattern matches, and candidates confirmed by their structure.
 
-Candidates in base64 or hex are decoded, and reported only if what they hold parses: DER key
+Candidates in base64 (lines may be indented, their breaks written as escapes, and text may follow
+a key) or hex are decoded, and reported only if what they hold parses: DER key
 encodings whose nested lengths fill one another exactly (PKCS#1, PKCS#8, SEC1), the binary
 envelope of OpenSSH keys, and signed tokens whose header is JSON with an ``alg``.
 
@@ -15,6 +16,8 @@ import binascii
 import hashlib
 import json
 import re
+from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame
 
@@ -25,8 +28,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
+# A line break, real or written as an escape (also escaped again), with indentation.
+BREAK = re.compile(r"[ \t]*(?:\r?\n|(?:\\+r)?\\+n)[ \t]*")
 # A DER sequence starts with byte 0x30: "M" in base64, "30" in hex.
-B64_KEY = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M|b3BlbnNzaC1rZXktdjE)(?:[A-Za-z0-9+/_-]|\r?\n(?=[A-Za-z0-9+/=])){30,}={0,2}")
+B64_START = r"(?:M|b3BlbnNzaC1rZXktdjE)"
+B64_KEY = re.compile(rf"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt])|(?<=-----)){B64_START}(?:[A-Za-z0-9+/_-]|{BREAK.pattern}(?=[A-Za-z0-9+/=])){{30,}}={{0,2}}")
+B64_LINE, PADDING = re.compile(B64_START), re.compile("={0,2}")
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])30(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]+)(?![A-Za-z0-9_-])")
 
@@ -110,14 +117,60 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def _der_chars(head: str) -> int:
+    """How many base64 characters hold the DER sequence that starts so, by its own length; 0 if none does."""
+    b = _unbase64(head)
+    if not b or len(b) < 6 or b[0] != SEQUENCE:
+        return 0
+    size = b[1] & 0x7F if b[1] & 0x80 else 0
+    if b[1] & 0x80 and not 1 <= size <= 4:
+        return 0
+    n = 2 + size + (int.from_bytes(b[2 : 2 + size], "big") if size else b[1])
+    return -(-n * 4 // 3)
+
+
+def _key_at(text: str, lines: list[tuple[int, int]]) -> tuple[int, str] | None:
+    """End and kind of the key in base64 that starts with the first of the lines (start, end)."""
+    head, i = "", 0
+    while len(head) < 8 and i < len(lines):
+        head, i = head + text[slice(*lines[i])], i + 1
+    want = _der_chars(head[:8])
+    if want:
+        parts = []
+        for s, e in lines:
+            parts.append(text[s : min(e, s + want)])
+            want -= len(parts[-1])
+            if want == 0:
+                s += len(parts[-1])
+                return (s + len(PADDING.match(text, s)[0]), "der") if is_der_key(_unbase64("".join(parts))) else None
+        return None
+    if B64_LINE.match(head) and head[0] == "b":
+        # The whole run, or as many lines as decode.
+        for n in range(len(lines), 0, -1):
+            b, e = _unbase64("".join(text[s:e] for s, e in lines[:n])), lines[n - 1][1]
+            if b is not None:
+                return (e + len(PADDING.match(text, e)[0]), "openssh") if is_openssh_key(b) else None
+    return None
+
+
+def _base64_keys(text: str, start: int, end: int) -> Iterator[tuple[int, int, str]]:
+    """Keys in a run of base64 lines: any line may begin one, and text may follow it."""
+    cuts = [start, *chain.from_iterable(m.span() for m in BREAK.finditer(text, start, end)), end]
+    lines = [(s, e) for s, e in zip(cuts[::2], cuts[1::2], strict=True)]
+    lines = [(s, s + len(text[s:e].rstrip("="))) for s, e in lines]
+    after = start
+    for i, (s, e) in enumerate(lines):
+        if s >= after and B64_LINE.match(text, s, e):
+            found = _key_at(text, lines[i:])
+            if found:
+                after = found[0]
+                yield s, *found
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     found = []
     for m in B64_KEY.finditer(text):
-        b = _unbase64(m[0])
-        if is_der_key(b):
-            found.append((m.start(), m.end(), "der"))
-        elif is_openssh_key(b):
-            found.append((m.start(), m.end(), "openssh"))
+        found += _base64_keys(text, *m.span())
     for m in HEX_KEY.finditer(text):
         if is_der_key(bytes.fromhex(m[0])):
             found.append((m.start(), m.end(), "der"))
