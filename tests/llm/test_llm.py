@@ -348,6 +348,53 @@ def test_pipeline_keeps_one_row_per_group(spark):
     assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter(want)
 
 
+def test_near_duplicates_in_one_large_group(spark):
+    """Copies of one text with more or fewer changes: a third are linked, the others lie just under the threshold."""
+    rng = np.random.default_rng(9)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(700):
+        w = list(base)
+        for at in rng.integers(0, 120, rng.integers(0, 6)):
+            w[at] = f"x{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, f"{t} tail") for i, t in near_rows(200, 4)]
+    want, _ = groups(rows, 4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for leaf, depth in ((40, 8), (40, 1), (20, 3)):
+        got = by_id(neardup.near_duplicates(docs, leaf=leaf, depth=depth))
+        assert {i: r["component_id"] for i, r in got.items()} == want
+    assert len(set(want.values())) > 100
+
+
+def test_near_duplicates_through_a_hot_passage(spark):
+    """Many documents share a passage; pairs at 0.8 must still be found after many branchings."""
+    rng, passage = np.random.default_rng(10), [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(500):
+        own = [f"d{i}_{k}" for k in range(45)]
+        rows.append((2 * i, " ".join(passage + own)))
+        own[rng.integers(4, 40)] = "changed"
+        rows.append((2 * i + 1, " ".join(passage + own)))
+    want, _ = groups(rows, 4)
+    got = by_id(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), leaf=20, depth=10))
+    assert {i: r["component_id"] for i, r in got.items()} == want
+    assert len(set(want.values())) == 500
+
+
+def test_pipeline_keeps_columns(spark):
+    import corpus_pipeline as p
+
+    names = "score predicted size taken source_size target copies kept n_shingles component_id held_out uid c id h w".split()
+    docs = spark.createDataFrame([(i, t, f"s{i % 3}" if i else None, *[f"{n}{i}" for n in names]) for i, t in enumerate(TEXTS)], "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    for _, stage in p.STAGES:
+        got = stage(spark, docs, "/root/testdata/sf0.01")
+        rows = got.collect()
+        assert [c for c in got.columns if c not in ("shard", "slot")] == docs.columns and rows
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+        assert stage(spark, docs.limit(0), "/root/testdata/sf0.01").count() == 0
+
+
 def test_mixing_same_order_at_every_size(spark):
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = common.table(spark, SF, "documents")

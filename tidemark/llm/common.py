@@ -64,6 +64,13 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hidden(docs: DataFrame, *but: str) -> tuple[DataFrame, list[Column]]:
+    """docs with all columns but some under internal names, which can't clash with an operator's; and
+    the columns to select to have docs' own names back."""
+    names = {c: c if c in but else f"__tm_in{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), [F.col(v).alias(c) for c, v in names.items()]
+
+
 def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to about ``most`` bytes of text, so that long texts don't pile up in a worker."""
     for b in batches:
