@@ -263,15 +263,66 @@ def test_lm(spark):
     assert maxent.score(frame(spark, [])).count() == 0
 
 
+def lm_words():
+    counts = Counter({"a": 500, "b": 30, "\n": 20, **{f"w{i}": 1 + i % 3 for i in range(3000)}})
+    order = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+    shared = np.zeros(maxent.LEAVES)
+    for w, c in order[maxent.TOP - 1 :]:
+        shared[maxent._hashed_leaf(zlib.crc32(w.encode()))] += c + 0.5
+    return maxent.Words([w for w, _ in order], np.array([c for _, c in order]), sum(counts.values()), len(counts), shared), counts
+
+
 def test_lm_sums_to_one():
-    known = maxent.Words(["a", "b", "\n"], np.array([5, 3, 2]), 14, 5)
-    model = maxent.Model(known, (np.random.default_rng(1).normal(size=(maxent.CLASS_ROWS, maxent.CLASSES + 1)).astype(np.float32), np.random.default_rng(2).normal(size=(maxent.WORD_ROWS, maxent.CLASS_WORDS)).astype(np.float32)))
-    ids = np.array([0, 1, 2, 5])
-    f = maxent._features(np.zeros(1, np.int64), np.array([0]))
-    p = 10 ** np.array([model.log10(np.array([i]), f)[0] for i in ids])
-    # Tokens outside share their class: two known ones and the unseen rest.
-    inside = (2 + 0.5 + 2 + 0.5 + 0.5) / known.other
-    assert p[:3].sum() + p[3] * inside == pytest.approx(1, abs=1e-5)
+    known, counts = lm_words()
+    rng = np.random.default_rng(1)
+    model = maxent.Model(known, [rng.normal(size=(n, maxent.FAN)).astype(np.float32) for n in known.rows])
+    for history in ("a b", "w1", ""):
+        total = 0.0
+        toks = maxent.Tokens.of(known, [f"{history} {w}" for w in counts if w != "\n"])
+        at = np.r_[toks.starts[1:], len(toks.leaf)] - 2
+        p = 10 ** model.log10(toks)[at]
+        single = toks.place[at] < maxent.TOP - 1
+        own = np.array([counts[w] + 0.5 for w in counts if w != "\n"])
+        total = p[single].sum() + (p * own / known.mass[toks.leaf[at]])[~single].sum()
+        # The end token, and the unseen word of each shared leaf.
+        end = maxent.Tokens.of(known, [history])
+        total += 10 ** model.log10(end)[-1]
+        leaves = np.array([x for x in range(maxent.LEAVES) if x % maxent.FAN >= maxent.FAN // 2])
+        unseen = maxent.Tokens([], np.full(len(leaves), maxent.HEAVY), leaves, np.array([0]), np.repeat(end.features[-1:], len(leaves), axis=0))
+        total += (10 ** model.log10(unseen) * 0.5 / known.mass[leaves]).sum()
+        assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_untrained_is_unigram(spark):
+    docs = common.table(spark, SF, "documents")
+    for r in maxent.score(docs, steps=0).collect():
+        assert r["score"] == pytest.approx(r["base_score"], rel=0.02)
+
+
+def test_lm_gradients_match_a_loop():
+    """Sums over chunks against a plain loop over tokens."""
+    known, _ = lm_words()
+    rng = np.random.default_rng(2)
+    model = maxent.Model(known, [rng.normal(size=(n, maxent.FAN)).astype(np.float32) for n in known.rows])
+    toks = maxent.Tokens.of(known, ["a b w1 w2 a unseen", "", "w7 a b w1"])
+    for i in range(len(toks.leaf)):
+        lp = 0.0
+        for level in range(maxent.LEVELS):
+            node, each = int(toks.leaf[i]) // 16 ** (3 - level), known.rows[level] // 16**level
+            z = known.bias[level][node].astype(float)
+            for f in toks.features[i]:
+                z = z + model.weights[level][(int(f) >> 16 + 16 * level) % each + node * each]
+            lp += z[int(toks.leaf[i]) // 16 ** (2 - level) % 16] - np.log(np.exp(z).sum())
+        assert model.log10(toks)[i] == pytest.approx(lp / np.log(10), abs=1e-4)
+    assert [len(x) for x in maxent.observed(known, toks)] == [3 * len(toks.leaf)] * 3
+
+
+@pytest.mark.parametrize("steps", [1, 2])
+def test_lm_same_scores_for_any_partitioning(spark, steps):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents").select(F.concat(F.lit("id"), F.col("doc_id")).alias("doc_id"), "text").limit(400)
+    docs = common.durable(docs, "lm")
+    got = [{r["doc_id"]: r["score"] for r in maxent.score(docs.repartition(n), steps=steps).collect()} for n in (2, 24)]
+    assert got[0] == pytest.approx(got[1], rel=1e-6) and len(got[0]) == 400
 
 
 def brute(ids, x, k=5):
