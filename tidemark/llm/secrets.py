@@ -2,8 +2,9 @@
 
 Candidates in base64 (lines may be indented, their breaks written as escapes, and text may follow
 a key) or hex are decoded, and reported only if what they hold parses: DER key
-encodings whose nested lengths fill one another exactly (PKCS#1, PKCS#8, SEC1), the binary
-envelope of OpenSSH keys, and signed tokens whose header is JSON with an ``alg``.
+encodings whose nested lengths fill one another exactly (PKCS#1, PKCS#8, encrypted PKCS#8, SEC1, DSA), the binary
+envelope of OpenSSH keys, through public keys and private section to its end, and signed tokens whose
+header is JSON with an ``alg`` and whose payload is JSON too.
 
 Edge cases: a null or empty text has no spans; positions are code points, ends exclusive; repeated
 rows are scanned one by one; long texts are scanned whole; ties in start go by the order of KINDS.
@@ -34,10 +35,15 @@ BREAK = re.compile(r"[ \t]*(?:\r?\n|(?:\\+r)?\\+n)[ \t]*")
 B64_START = r"(?:M|b3BlbnNzaC1rZXktdjE)"
 B64_KEY = re.compile(rf"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt])|(?<=-----)){B64_START}(?:[A-Za-z0-9+/_-]|{BREAK.pattern}(?=[A-Za-z0-9+/=])){{30,}}={{0,2}}")
 B64_LINE, PADDING = re.compile(B64_START), re.compile("={0,2}")
-HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])30(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
+HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:30|6[Ff]70656[Ee]737368)(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]+)(?![A-Za-z0-9_-])")
 
 INTEGER, OCTETS, OID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
+# Object identifiers of password-based encryption begin so (PKCS#5 and PKCS#12).
+PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+MAGIC = b"openssh-key-v1\0"
+# Authenticated ciphers append their tag to the private section.
+MOST_TAG = 16
 
 
 def _unbase64(s: str) -> bytes | None:
@@ -73,37 +79,76 @@ def is_der_key(b: bytes | None) -> bool:
     if not outer or len(outer) != 1 or outer[0][0] != SEQUENCE:
         return False
     parts = _tlvs(outer[0][1])
-    if not parts or len(parts) < 2 or parts[0][0] != INTEGER or parts[0][1] not in (b"\0", b"\1"):
+    if not parts or len(parts) < 2:
         return False
     tags = [t for t, _ in parts]
+    if tags == [SEQUENCE, OCTETS]:
+        inner = _tlvs(parts[0][1])
+        return bool(inner) and inner[0][0] == OID and inner[0][1].startswith(PASSWORD_BASED) and len(parts[1][1]) >= 16
+    if tags[0] != INTEGER or parts[0][1] not in (b"\0", b"\1"):
+        return False
     if tags[:9] == [INTEGER] * 9:
         return True
+    if tags == [INTEGER] * 6:
+        return len(parts[1][1]) >= 64
     if tags[1] == SEQUENCE and len(parts) > 2 and tags[2] == OCTETS:
         inner = _tlvs(parts[1][1])
         return bool(inner) and inner[0][0] == OID
     return tags[1] == OCTETS and len(parts[1][1]) in (20, 24, 28, 32, 48, 64, 66)
 
 
+def openssh_size(b: bytes | None) -> int:
+    """How many bytes the OpenSSH key at the start of b has, 0 if none: the magic; cipher, key
+    derivation and its options; a count of keys; so many public keys, each beginning with its type; and the
+    private section, which begins with two equal numbers where it isn't encrypted."""
+    if not b or not b.startswith(MAGIC):
+        return 0
+    at = len(MAGIC)
+
+    def block() -> bytes | None:
+        nonlocal at
+        n = int.from_bytes(b[at : at + 4], "big")
+        if at + 4 + n > len(b):
+            return None
+        at += 4 + n
+        return b[at - n : at]
+
+    cipher, kdf, options = block(), block(), block()
+    if not cipher or not kdf or options is None or not cipher.isascii() or at + 4 > len(b):
+        return 0
+    keys, at = int.from_bytes(b[at : at + 4], "big"), at + 4
+    if not 1 <= keys <= 16:
+        return 0
+    for _ in range(keys):
+        public = block()
+        kind = int.from_bytes(public[:4], "big") if public else 0
+        if not 4 <= kind <= 64 or kind + 4 > len(public) or not public[4 : 4 + kind].isascii():
+            return 0
+    private = block()
+    if not private or len(private) < 16 or (cipher == b"none" and private[:4] != private[4:8]):
+        return 0
+    return at + (min(MOST_TAG, len(b) - at) if b"gcm" in cipher or b"poly1305" in cipher else 0)
+
+
 def is_openssh_key(b: bytes | None) -> bool:
-    """The magic, then length-prefixed cipher, key derivation and options, and a small count of keys."""
-    magic = b"openssh-key-v1\0"
-    if not b or not b.startswith(magic):
-        return False
-    at = len(magic)
-    for _ in range(3):
-        if at + 4 > len(b):
-            return False
-        at += 4 + int.from_bytes(b[at : at + 4], "big")
-    return at + 4 <= len(b) and 1 <= int.from_bytes(b[at : at + 4], "big") <= 16
+    """An OpenSSH key that fills b."""
+    return bool(b) and openssh_size(b) == len(b)
 
 
-def is_token_header(s: str) -> bool:
+def _json(s: str) -> object:
     b = _unbase64(s)
     try:
-        head = json.loads(b) if b else None
-    except ValueError:
+        return json.loads(b) if b else None
+    except (ValueError, RecursionError):
+        return None
+
+
+def is_signed_token(header: str, payload: str) -> bool:
+    """The header is a JSON object with an algorithm, and the payload one too unless the header says that it's packed."""
+    head = _json(header)
+    if not isinstance(head, dict) or not isinstance(head.get("alg"), str):
         return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str)
+    return isinstance(_json(payload), dict) or bool({"enc", "zip", "b64"} & head.keys())
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -134,22 +179,19 @@ def _key_at(text: str, lines: list[tuple[int, int]]) -> tuple[int, str] | None:
     head, i = "", 0
     while len(head) < 8 and i < len(lines):
         head, i = head + text[slice(*lines[i])], i + 1
-    want = _der_chars(head[:8])
-    if want:
-        parts = []
-        for s, e in lines:
-            parts.append(text[s : min(e, s + want)])
-            want -= len(parts[-1])
-            if want == 0:
-                s += len(parts[-1])
-                return (s + len(PADDING.match(text, s)[0]), "der") if is_der_key(_unbase64("".join(parts))) else None
+    want, kind = _der_chars(head[:8]), "der"
+    if not want and head.startswith("b3BlbnNz"):
+        flat = "".join(text[s:e] for s, e in lines)
+        want, kind = -(-openssh_size(_unbase64(flat[: len(flat) - (len(flat) % 4 == 1)])) * 4 // 3), "openssh"
+    if not want:
         return None
-    if B64_LINE.match(head) and head[0] == "b":
-        # The whole run, or as many lines as decode.
-        for n in range(len(lines), 0, -1):
-            b, e = _unbase64("".join(text[s:e] for s, e in lines[:n])), lines[n - 1][1]
-            if b is not None:
-                return (e + len(PADDING.match(text, e)[0]), "openssh") if is_openssh_key(b) else None
+    parts = []
+    for s, e in lines:
+        parts.append(text[s : min(e, s + want)])
+        want -= len(parts[-1])
+        if want == 0:
+            s += len(parts[-1])
+            return (s + len(PADDING.match(text, s)[0]), kind) if kind == "openssh" or is_der_key(_unbase64("".join(parts))) else None
     return None
 
 
@@ -172,10 +214,11 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     for m in B64_KEY.finditer(text):
         found += _base64_keys(text, *m.span())
     for m in HEX_KEY.finditer(text):
-        if is_der_key(bytes.fromhex(m[0])):
-            found.append((m.start(), m.end(), "der"))
-    if ".ey" in text or "ey" in text:
-        found += [(m.start(), m.end(), "token") for m in TOKEN.finditer(text) if is_token_header(m[1])]
+        b = bytes.fromhex(m[0])
+        if is_der_key(b) or is_openssh_key(b):
+            found.append((m.start(), m.end(), "der" if b[0] == SEQUENCE else "openssh"))
+    if "ey" in text:
+        found += [(m.start(), m.end(), "token") for m in TOKEN.finditer(text) if is_signed_token(m[1], m[2])]
     return found
 
 
