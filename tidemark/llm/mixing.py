@@ -1,10 +1,14 @@
 """Mixing sources to target weights by systematic sampling.
 
-Every document of a source expects the same number of copies, the source's target over its size.
 Documents of a source are put in order of size, then of a seeded hash, in tables of any size; the
 prefix sums of the expected copies, shifted by one random offset, cross integers, and a document is emitted once for
 each integer that it crosses. The order by size keeps the words taken near the target.
 
+Every document of a source expects the same number of copies, the source's target over its size, but for
+this: documents with over 1 / PARTS of a source's words (fewer than PARTS of them) are drawn first, and
+the others expect what is then missing, from none to ``most`` copies each. So the words taken are within about
+1 / PARTS of the source's size of its target, unless its large documents hold too much for the others to make up.
+
 Targets: sources in code-point order, null last, weigh 5, 2, 1, 5, ...; they share the sum of all
 sizes by weight, but none takes over ``most`` times its own size, and what is cut off goes to the
 others by weight (water filling, solved in closed form over the sorted ratios of cap to weight).
@@ -26,12 +30,14 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import group_key, shuffle_key
+from tidemark.llm.common import durable, group_key, shuffle_key
 
 OUT = ("size", "source_size", "target", "copies", "taken")
 SEED = "mix-1"
 WEIGHTS = (5, 2, 1)
 MOST = 3
+#: A document with over 1 / PARTS of its source's words is drawn before the others.
+PARTS = 100
 #: Rows that should meet in a bucket at most.
 BUCKET_ROWS = 20_000
 
@@ -69,34 +75,46 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return level.withColumn("target", F.least(cap, first["__tm_level"] * F.col("__tm_w"))).select("__tm_g", "source_size", "target")
 
 
-def mix(docs: DataFrame, size: Column, identity: list[Column], source_col: str = "source", seed: str = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def _drawn(rank: Column, rate: Column, u: float) -> Column:
+    """How many integers the expected copies of this rank cross."""
+    return (F.floor(rank * rate + u) - F.floor((rank - 1) * rate + u)).cast("long")
+
+
+def mix(docs: DataFrame, size: Column, identity: list[Column], source_col: str = "source", seed: str = SEED, bucket_rows: int = BUCKET_ROWS, most: int = MOST) -> DataFrame:
     """docs with size, source_size, target, copies (how often the mix has the row) and taken (copies * size)."""
-    docs = docs.withColumn("__tm_size", size.cast("long"))
-    kept = [c for c in docs.columns if c.lower() not in OUT and c != "__tm_size"]
-    keyed = docs.withColumns({"__tm_g": group_key(F.col(source_col)), "__tm_h": shuffle_key(seed, *identity), "__tm_k": size_class(F.col("__tm_size"))})
+    kept = [c for c in docs.columns if c.lower() not in OUT]
+    u, g, n = offset(seed), F.col("__tm_g"), F.col("__tm_size")
+    # Sizes and hashes are computed once and written: what follows reads them several times.
+    keyed = docs.select(*kept, size.cast("long").alias("__tm_size"), group_key(F.col(source_col)).alias("__tm_g"), shuffle_key(seed, *identity).alias("__tm_h"), F.col(source_col).alias("__tm_source"))
+    keyed = durable(keyed.withColumn("__tm_k", size_class(n)), "sized")
+    sums = keyed.groupBy("__tm_g").agg(F.first("__tm_source").alias("source"), F.sum("__tm_size").alias("source_size"))
+    sources = durable(targets(sums, most=most), "sources")
+    keyed = keyed.drop("__tm_source").join(sources, "__tm_g")
+    is_large = n * PARTS > F.col("source_size")
+
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    large = keyed.where(is_large).withColumn("copies", _drawn(F.row_number().over(Window.partitionBy("__tm_g").orderBy("__tm_size", "__tm_h")), rate, u))
+    drawn = large.groupBy("__tm_g").agg(F.sum("__tm_size").alias("__tm_held"), F.sum(F.col("copies") * n).alias("__tm_took"))
+    left = F.col("source_size") - F.coalesce("__tm_held", F.lit(0))
+    missing = F.col("target") - F.coalesce("__tm_took", F.lit(0))
+    rates = sources.join(drawn, "__tm_g", "left").select("__tm_g", F.when(left > 0, F.least(F.lit(float(most)), F.greatest(F.lit(0.0), missing / left))).otherwise(0.0).alias("__tm_rate"))
+
     # Few classes and sizes can have more rows than a bucket, so that these tables are small.
-    sizes = docs.groupBy(group_key(F.col(source_col)).alias("__tm_g"), "__tm_size").agg(F.count(F.lit(1)).alias("__tm_n")).withColumn("__tm_k", size_class(F.col("__tm_size")))
+    rest = keyed.where(~is_large)
+    sizes = rest.groupBy("__tm_g", "__tm_k", "__tm_size").agg(F.count(F.lit(1)).alias("__tm_n"))
     classes = sizes.groupBy("__tm_g", "__tm_k").agg(F.sum("__tm_n").alias("__tm_n")).where(F.col("__tm_n") > bucket_rows).select("__tm_g", "__tm_k", F.lit(True).alias("__tm_many"))
     # Digits as in hex_digits, for the rows of one size.
     digits = F.least(F.lit(6), F.greatest(F.lit(1), F.ceil(F.log(16.0, F.col("__tm_n") / bucket_rows)).cast("int")))
     heavy = sizes.where(F.col("__tm_n") > bucket_rows).select("__tm_g", "__tm_size", digits.alias("__tm_d"))
-    bucket = F.when(F.col("__tm_many"), F.concat(size_key(F.col("__tm_size")), F.lit(":"), F.when(F.col("__tm_d").isNull(), "").otherwise(F.substring(F.col("__tm_h"), F.lit(1), F.col("__tm_d"))))).otherwise(F.col("__tm_k"))
-    keyed = keyed.join(F.broadcast(classes), ["__tm_g", "__tm_k"], "left").join(F.broadcast(heavy), ["__tm_g", "__tm_size"], "left").withColumn("__tm_b", bucket)
-    counts = keyed.groupBy("__tm_g", "__tm_b").agg(F.first(source_col).alias("source"), F.count(F.lit(1)).alias("__tm_n"), F.sum("__tm_size").alias("__tm_words"))
-    sources = targets(counts.groupBy("__tm_g").agg(F.first("source").alias("source"), F.sum("__tm_words").alias("source_size")))
-    starts = counts.join(sources, "__tm_g").select(
-        "__tm_g", "__tm_b", "source_size", "target",
-        F.coalesce(F.sum("__tm_n").over(Window.partitionBy("__tm_g").orderBy("__tm_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__tm_before"),
-    )
+    bucket = F.when(F.col("__tm_many"), F.concat(size_key(n), F.lit(":"), F.when(F.col("__tm_d").isNull(), "").otherwise(F.substring(F.col("__tm_h"), F.lit(1), F.col("__tm_d"))))).otherwise(F.col("__tm_k"))
+    rest = rest.join(classes, ["__tm_g", "__tm_k"], "left").join(heavy, ["__tm_g", "__tm_size"], "left").withColumn("__tm_b", bucket)
+    before = Window.partitionBy("__tm_g").orderBy("__tm_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rest.groupBy("__tm_g", "__tm_b").agg(F.count(F.lit(1)).alias("__tm_n")).withColumn("__tm_before", F.coalesce(F.sum("__tm_n").over(before), F.lit(0))).drop("__tm_n").join(rates, "__tm_g")
     rank = F.col("__tm_before") + F.row_number().over(Window.partitionBy("__tm_g", "__tm_b").orderBy("__tm_size", "__tm_h"))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    u = offset(seed)
-    return (
-        keyed.select(*kept, "__tm_size", "__tm_g", "__tm_b", "__tm_h").join(starts, ["__tm_g", "__tm_b"])
-        .withColumns({"__tm_r": rank, "__tm_rate": rate})
-        .withColumn("copies", (F.floor(F.col("__tm_r") * F.col("__tm_rate") + u) - F.floor((F.col("__tm_r") - 1) * F.col("__tm_rate") + u)).cast("long"))
-        .select(*kept, F.col("__tm_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("__tm_size")).alias("taken"))
-    )
+    rest = rest.join(starts, ["__tm_g", "__tm_b"]).withColumn("__tm_r", rank).withColumn("copies", _drawn(F.col("__tm_r"), F.col("__tm_rate"), u))
+
+    out = [*kept, "__tm_size", "source_size", "target", "copies"]
+    return rest.select(*out).unionByName(large.select(*out)).select(*kept, n.alias("size"), "source_size", "target", "copies", (F.col("copies") * n).alias("taken"))
 
 
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:

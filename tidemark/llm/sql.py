@@ -22,10 +22,11 @@ OP3 = f"""WITH {CRC},
  SELECT doc_id, n + 8 AS size, crc AS text_crc32, 'rows' AS law, (p * 24 // total)::INT AS shard, (p - ((p * 24 // total) * total + 23) // 24)::BIGINT AS slot, NULL::INT AS grown_shard FROM cut"""
 
 OP5 = f"""WITH dw AS (SELECT doc_id, regexp_extract_all({LOWER}, '{ALNUM}') AS w FROM documents), iw AS (SELECT item_id, regexp_extract_all({LOWER}, '{ALNUM}') AS w FROM benchmark),
- ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw)),
- its AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM iw)),
+ il AS (SELECT item_id, w, least(len(w), 5) AS k FROM iw WHERE len(w) > 0),
+ ds AS (SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, (SELECT DISTINCT k FROM il))),
+ its AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM il)),
  n AS (SELECT item_id, count(*) AS n_item FROM its GROUP BY item_id)
- SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item::DOUBLE AS containment FROM ds JOIN its USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*) >= ceil(0.8 * n_item - 1e-6)"""
+ SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item::DOUBLE AS containment FROM ds JOIN its USING (s, k) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*) >= ceil(0.8 * n_item - 1e-6)"""
 
 OP9 = f"""WITH d AS (SELECT doc_id, source, coalesce('=' || source, '') AS g, len(regexp_extract_all(coalesce(text, ''), '{SPACED}'))::BIGINT AS size, md5('{mixing.SEED}' || ':' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS k FROM documents),
  s AS (SELECT g, any_value(source) AS source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY g),
@@ -33,7 +34,13 @@ OP9 = f"""WITH d AS (SELECT doc_id, source, coalesce('=' || source, '') AS g, le
  r AS (SELECT *, 3.0 * source_size / w AS ratio FROM w),
  l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3.0 * source_size) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS lvl FROM r WINDOW b AS (ORDER BY ratio, g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
  t AS (SELECT g, source_size, least(3.0 * source_size, (SELECT arg_min(lvl, (ratio, g)) FROM l WHERE lvl <= ratio) * w)::DOUBLE AS target FROM l),
- o AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, row_number() OVER (PARTITION BY d.g ORDER BY lpad(length(hx)::VARCHAR, 2, '0') || substr(hx, 1, 2), size, k) AS rn FROM (SELECT *, lower(to_hex(size)) AS hx FROM d) d JOIN t ON t.g = d.g)
- SELECT doc_id, size, source_size, target, CAST((floor(rn * rate + {mixing.offset(mixing.SEED)!r}) - floor((rn - 1) * rate + {mixing.offset(mixing.SEED)!r})) * size AS BIGINT) AS taken FROM o"""
+ e AS (SELECT d.doc_id, d.g, size, source_size, target, size * {mixing.PARTS} > source_size AS large, lpad(length(hx)::VARCHAR, 2, '0') || substr(hx, 1, 2) AS cls, k FROM (SELECT *, lower(to_hex(size)) AS hx FROM d) d JOIN t ON t.g = d.g),
+ o AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, row_number() OVER (PARTITION BY g, large ORDER BY cls, size, k) AS rn FROM e),
+ h AS (SELECT *, CAST(floor(rn * rate + {mixing.offset(mixing.SEED)!r}) - floor((rn - 1) * rate + {mixing.offset(mixing.SEED)!r}) AS BIGINT) AS c FROM o WHERE large),
+ q AS (SELECT g, sum(size)::BIGINT AS held, sum(c * size)::BIGINT AS took FROM h GROUP BY g),
+ v AS (SELECT t.g, CASE WHEN source_size > coalesce(held, 0) THEN least(3.0, greatest(0.0, (target - coalesce(took, 0)) / (source_size - coalesce(held, 0)))) ELSE 0 END::DOUBLE AS rate FROM t LEFT JOIN q ON q.g = t.g),
+ z AS (SELECT doc_id, size, source_size, target, c FROM h UNION ALL
+   SELECT doc_id, size, source_size, target, CAST(floor(rn * v.rate + {mixing.offset(mixing.SEED)!r}) - floor((rn - 1) * v.rate + {mixing.offset(mixing.SEED)!r}) AS BIGINT) FROM o JOIN v ON v.g = o.g WHERE NOT large)
+ SELECT doc_id, size, source_size, target, c * size AS taken FROM z"""
 
 SQL: dict[str, str] = {"op3_sharding": OP3, "op5_decontamination": OP5, "op9_mixing": OP9}
