@@ -1,12 +1,15 @@
 """Licence scan with a positional index of rare words.
 
 Templates are indexed by word and position. For each file, its licence words of highest inverse
-document frequency (over the whole corpus) are looked up, and postings are intersected by relative
-position: a template is a candidate where enough rare words agree on where it would begin. It is
+document frequency (over the whole corpus) are looked up, the rarest first, until each template has met
+RARE of its words; postings are intersected by relative
+position: a template is a candidate where enough of the words looked up agree on where it would begin. It is
 reported if its mandatory phrases stand within that place.
 
 Edge cases: null and empty texts have no words and no labels ("" and null positions); repeated
-rows are scanned one by one; long texts are scanned whole; an empty table gives an empty result.
+rows are scanned one by one; long texts are scanned whole; words of equal frequency are looked up in
+alphabetical order; a template of fewer words than RARE is looked up by all of them; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,6 +52,40 @@ TEMPLATES = {
         "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
         ("subject to the terms of the mozilla public license", "source code form"),
     ),
+    "bsd-disclaimer": (
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages",
+        ("provided by the copyright holders and contributors as is", "fitness for a particular purpose are disclaimed"),
+    ),
+    "lgpl": (
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+        ("library is free software you can redistribute it", "gnu lesser general public license"),
+    ),
+    "agpl": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        ("free software you can redistribute it", "gnu affero general public license"),
+    ),
+    "unlicense": (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        ("free and unencumbered software released into the public domain",),
+    ),
+    "zlib": (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+        ("in no event will the authors be held liable", "to alter it and redistribute it freely"),
+    ),
+    "boost": (
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software",
+        ("any person or organization obtaining a copy", "prepare derivative works of the software"),
+    ),
+    "epl": (
+        "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0 which is available at",
+        ("under the terms of the eclipse public license",),
+    ),
+    "cc-by": ("this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0 international",)),
+    "cc-by-sa": ("this work is licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike 4 0",)),
+    "cc0": (
+        "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+        ("dedicated all copyright and related and neighboring rights",),
+    ),
     "apache-short": ("licensed under the apache license version 2 0", ("apache license version 2 0",)),
     "gpl-short": ("this work is licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
     "mit-short": ("released under the mit license", ("released under the mit license",)),
@@ -56,8 +93,12 @@ TEMPLATES = {
 VOCABULARY = frozenset(w for t, _ in TEMPLATES.values() for w in t.split())
 
 
+#: Words of a template that are looked up; share of them that must agree; places that they may be off.
+RARE, NEED, SLACK = 24, 0.5, 3
+
+
 def label(template: str) -> str:
-    return template.removesuffix("-short")
+    return template.removesuffix("-short").removesuffix("-disclaimer")
 
 
 def find_phrase(ws: list[str], phrase: list[str], at: int = 0, end: int | None = None) -> list[int]:
@@ -74,38 +115,46 @@ def find_phrase(ws: list[str], phrase: list[str], at: int = 0, end: int | None =
 
 
 class Index:
-    """Word -> postings (template, position), and each template's rare words."""
+    """Word -> postings: of each template that holds it, the positions."""
 
-    def __init__(self, idf: dict[str, float], rare: int = 24, need: float = 0.5, slack: int = 3):
-        self.rare, self.need, self.slack, self.idf = rare, need, slack, idf
-        self.postings: dict[str, list[tuple[str, int]]] = defaultdict(list)
-        self.size = {}
+    def __init__(self, idf: dict[str, float]):
+        self.order = {w: i for i, w in enumerate(sorted(VOCABULARY, key=lambda w: (-idf[w], w)))}
+        self.postings: dict[str, dict[str, list[int]]] = defaultdict(lambda: defaultdict(list))
         for name, (text, _) in TEMPLATES.items():
-            ws = text.split()
-            for w in sorted(set(ws), key=lambda w: (-idf[w], w))[:rare]:
-                for i, x in enumerate(ws):
-                    if x == w:
-                        self.postings[w].append((name, i))
-            self.size[name] = min(rare, len(set(ws)))
-        self.words = frozenset(self.postings)
+            for i, w in enumerate(text.split()):
+                self.postings[w][name].append(i)
 
     def scan(self, ws: list[str]) -> dict[str, float]:
-        """Label -> the share of the template's rare words that agree, if its phrases are there."""
-        if self.words.isdisjoint(ws):
+        """Label -> the share of the template's words looked up that agree, if its phrases are there."""
+        present = sorted(VOCABULARY.intersection(ws), key=self.order.__getitem__)
+        # The file's rarest licence words, as many as each template takes.
+        wanted: dict[str, set[str]] = defaultdict(set)
+        for w in present:
+            for name in self.postings[w]:
+                if len(wanted[name]) < RARE:
+                    wanted[name].add(w)
+        wanted = {name: own for name, own in wanted.items() if len(own) >= NEED * min(RARE, len(set(TEMPLATES[name][0].split())))}
+        if not wanted:
             return {}
-        votes: dict[tuple[str, int], set[str]] = defaultdict(set)
+        places: dict[str, list[int]] = {w: [] for own in wanted.values() for w in own}
         for at, w in enumerate(ws):
-            for name, i in self.postings.get(w, ()):
-                for d in range(-self.slack, self.slack + 1):
-                    votes[name, at - i + d].add(w)
+            if w in places:
+                places[w].append(at)
         best: dict[str, float] = {}
-        for (name, start), agreed in votes.items():
-            share = len(agreed) / self.size[name]
-            if share >= self.need and share > best.get(label(name), 0):
-                text, phrases = TEMPLATES[name]
-                lo, hi = max(0, start - self.slack), min(len(ws), start + len(text.split()) + 2 * self.slack)
-                if all(find_phrase(ws, p.split(), lo, hi) for p in phrases):
-                    best[label(name)] = share
+        for name, own in wanted.items():
+            votes: dict[int, set[str]] = defaultdict(set)
+            for w in own:
+                starts = {at - i + d for at in places[w] for i in self.postings[w][name] for d in range(-SLACK, SLACK + 1)}
+                for start in starts:
+                    votes[start].add(w)
+            text, phrases = TEMPLATES[name]
+            size = min(RARE, len(set(text.split())))
+            for start, agreed in votes.items():
+                share = len(agreed) / size
+                if share >= NEED and share > best.get(label(name), 0):
+                    lo, hi = max(0, start - SLACK), min(len(ws), start + len(text.split()) + 2 * SLACK)
+                    if all(find_phrase(ws, p.split(), lo, hi) for p in phrases):
+                        best[label(name)] = share
         return best
 
 
