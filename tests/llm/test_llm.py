@@ -171,6 +171,45 @@ def test_licenses(spark):
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
 
 
+def test_license_base_equals_brute_force(spark):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents").limit(400)
+    got = by_id(licenses.scan_licenses(docs))
+    places_found = 0
+    for r in docs.collect():
+        t = (r["text"] or "").encode().lower().decode()
+        ws, w = [], ""
+        for ch in t + " ":
+            if ch in "0123456789abcdefghijklmnopqrstuvwxyz" or ord(ch) > 127:
+                w += ch
+            elif w:
+                ws.append(w)
+                w = ""
+        at = {name: [i for i in range(len(ws)) if ws[i : i + len(p.split())] == p.split()] for p, name in licenses.BASE.items()}
+        places = sorted(i for v in at.values() for i in v)
+        x = got[r["doc_id"]]
+        assert (x["n_words"], x["n_base"], x["first_word"], x["last_word"]) == (len(ws), len(places), places[0] if places else None, places[-1] if places else None)
+        assert x["base_labels"] == ",".join(sorted(k for k, v in at.items() if v)) and set(x["base_labels"].split(",")) - {""} <= set(x["labels"].split(","))
+        places_found += len(places)
+    assert places_found > 0
+
+
+def test_license_templates_in_files():
+    rng = np.random.default_rng(4)
+    index = licenses.Index({w: float(rng.random()) for w in licenses.VOCABULARY})
+    noise = sorted(licenses.VOCABULARY)
+    for name, (text, _) in licenses.TEMPLATES.items():
+        ws = [*rng.choice(noise, 200), *text.split(), *rng.choice(noise, 200)]
+        assert licenses.label(name) in index.scan(ws), name
+        # Words in another order, or without the mandatory phrases, are no licence.
+        assert licenses.label(name) not in index.scan(list(rng.permutation(text.split()))), name
+    both = " x ".join(licenses.TEMPLATES[n][0] for n in ("mit", "zlib", "epl")).split()
+    assert {"mit", "zlib", "epl"} <= set(index.scan(both))
+    # A few words changed between the phrases.
+    ws = licenses.TEMPLATES["isc"][0].split()
+    ws[20:22] = ["is", "now", "hereby"]
+    assert "isc" in index.scan(ws)
+
+
 def test_sharding(spark):
     docs = frame(spark)
     got = sharding.interleave(docs, 4, [F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))])
@@ -305,6 +344,36 @@ def test_components(spark):
     assert neardup.classes_of(chain.limit(0)).count() == 0
 
 
+def test_quality_training_equals_a_plain_loop():
+    """Follow-the-regularised-leader from its formulas, one coordinate at a time."""
+    rng, rows = np.random.default_rng(6), []
+    for _ in range(60):
+        at = np.sort(rng.choice(64, 8, replace=False)).astype(np.int32)
+        rows.append((at, rng.random(8).astype(np.float32), int(rng.random() < 0.4 + 0.3 * (at[0] % 2))))
+    w, bias = quality.train(rows, bits=6, epochs=2)
+    z, n = [0.0] * 64, [0.0] * 64
+    share = sum(y for *_, y in rows) / 60
+    b, bn = np.log(share / (1 - share)), 0.0
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return (np.sign(z[i]) * quality.L1 - z[i]) / ((quality.BETA + np.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for epoch in range(2):
+        for k in np.random.Generator(np.random.PCG64(epoch)).permutation(60):
+            at, x, y = rows[k]
+            own = {int(i): weight(int(i)) for i in at}
+            g = 1 / (1 + np.exp(-(sum(own[int(i)] * float(v) for i, v in zip(at, x)) + b))) - y
+            for i, v in zip(at.tolist(), x.tolist()):
+                s = (np.sqrt(n[i] + (g * v) ** 2) - np.sqrt(n[i])) / quality.ALPHA
+                z[i] += g * v - s * own[i]
+                n[i] += (g * v) ** 2
+            bn += g * g
+            b -= 0.1 * g / (1 + np.sqrt(bn))
+    assert bias == pytest.approx(b, abs=1e-5) and w == pytest.approx(np.array([weight(i) for i in range(64)]), abs=1e-4)
+
+
 def test_quality(spark):
     docs, labels = common.table(spark, "/root/testdata/sf0.01", "documents"), common.table(spark, "/root/testdata/sf0.01", "labels")
     got = quality.score_quality(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
@@ -581,10 +650,30 @@ def test_nearest_with_repeats(spark):
     assert found([(0, [1.0, 0.0]), *[(1, [1.0, k / 100]) for k in range(30)], *[(i, [1.0, i * 1.0]) for i in range(2, 8)]]) == {0: [1, 2, 3, 4, 5]}
     # Copies scaled by powers of two tie exactly.
     assert found([(i, [2.0 ** (i % 30), 2.0 ** (i % 30 + 1)]) for i in range(400, -1, -1)])[0] == [1, 2, 3, 4, 5]
+    # Huge and tiny components.
+    big = [(0, [1e200, 2e200]), (1, [2e200, 4e200]), (2, [1e-200, 2e-200]), (3, [1.0, 0.0]), (4, [-1e300, 1e300])]
+    rows = ann.search(spark.createDataFrame(big, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).orderBy("rank").collect()
+    assert {r["vec_id"] for r in rows[:2]} == {1, 2} and [r["vec_id"] for r in rows[2:]] == [3, 4] and [r["score"] for r in rows] == pytest.approx([1.0, 1.0, 5**-0.5, 10**-0.5])
+    # Exact ties of many go to the smallest ids.
+    assert found([(i, [1.0, 1.0] if i else [1.0, 0.0]) for i in range(200)])[0] == [1, 2, 3, 4, 5]
     # Too few directions for a graph.
     assert found([(i, [2.0 ** (i % 30), 2.0 ** (i % 30 + 1)]) for i in range(200)], part_rows=20)[50] == [0, 1, 2, 3, 4]
 
 
+def test_nearest_runs_its_method_on_small_tables(spark, monkeypatch):
+    made = []
+    real = ann.balanced_parts
+    monkeypatch.setattr(ann, "balanced_parts", lambda *a: made.append(a[2]) or real(*a))
+    table = common.table(spark, "/root/testdata/sf0.01", "embeddings")
+    got = defaultdict(set)
+    for r in ann.search(table, F.col("vec_id") % 50 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    rows = table.orderBy("vec_id").collect()
+    want = brute([r["vec_id"] for r in rows], [r["embedding"] for r in rows])
+    assert made and made[0] >= 4 and set(got) == set(want)
+    assert np.mean([len(got[q] & set(want[q])) / 5 for q in want]) >= 0.9
+
+
 def test_nearest_probes_fewer_parts(spark, monkeypatch):
     rng, probed = np.random.default_rng(6), []
     centres = rng.normal(size=(60, 16))

@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by learned partitions.
 
-On a bounded sample the neighbour graph is built and cut into balanced parts; a small classifier
-(one hidden layer) learns which part a vector belongs to. It then gives each row of the table its
+On a bounded sample (SAMPLE rows) the neighbour graph is built and cut into balanced parts; a small classifier
+(one hidden layer) learns in which parts a vector and its neighbours are. It then gives each row of the table its
 part, and routes each query to its most probable parts, whose rows are reranked by exact cosine.
-How many parts a query probes is calibrated on the sample, so that the parts probed hold the
-wanted share of true neighbours, and each query probes on until its parts hold enough rows.
+How many parts a query probes is calibrated: CALIBRATION rows that the classifier hasn't seen are compared
+with the whole table, and so many parts are probed that these hold the wanted share of their true
+neighbours. Each query probes on until its parts hold enough rows.
+Parts grow with the root of the table, up to MOST_PARTS, which the sample bounds.
 
 Repeated rows (id and vector) count once. Of equal vectors only the k + 1 with the smallest ids can be
 among k nearest, ties going to smaller ids; the others are found by no query and are left out of the parts, so that one vector with a
@@ -12,7 +14,9 @@ third of all rows doesn't fill a part. Parts are compared in cells of bounded si
 
 Edge cases: vectors that are null or zero, or hold null or non-finite components, or have another
 length than most, take no part, nor do null ids; rows with the same id count as the query's own, and
-an id of several vectors is found once, by its best score; fewer candidates than k are all found; tables that fit one part are searched exactly; an empty table gives an
+an id of several vectors is found once, by its best score; fewer candidates than k are all found; tables of too few
+directions for a graph are one part; vectors are scaled by powers of two, which changes no cosine, so that
+huge and tiny components don't overflow; an empty table gives an
 empty result; extra columns are ignored.
 """
 
@@ -30,13 +34,15 @@ from tidemark.llm.common import durable
 
 SAMPLE = 6000
 NEIGHBOURS = 10
-RECALL = 0.97
+RECALL = 0.95
+#: Rows whose true neighbours say how many parts to probe.
+CALIBRATION = 256
 #: Sizes of a cell, in rows of the table and queries.
 CELL, CELL_QUERIES = 4000, 1000
 #: Scores that differ by less may be of equal rows.
 EPSILON = 1e-9
-#: Rows for each part, from which the number of parts follows, up to MOST_PARTS.
-PART_ROWS, MOST_PARTS = 1500, 64
+#: Parts for each root of the number of rows, up to MOST_PARTS (so many that each has 24 rows of the sample).
+ROOT_SHARE, MOST_PARTS = 0.25, 250
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -46,9 +52,13 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(v, lambda x: x != 0)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, which makes its largest component 0.5 to 1."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.float64)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = scaled(x.astype(np.float64))
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -99,9 +109,12 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int = 1
 
 
 class Classifier:
-    """Softmax over parts with one hidden layer, fitted by Adam."""
+    """Softmax over parts with one hidden layer, fitted by Adam to a row's own part and its neighbours'."""
 
-    def __init__(self, x: np.ndarray, part: np.ndarray, parts: int, hidden: int = 128, epochs: int = 30, seed: int = 1):
+    def __init__(self, x: np.ndarray, part: np.ndarray, parts: int, graph: np.ndarray, hidden: int = 128, epochs: int = 30, seed: int = 1):
+        wanted = np.zeros((len(x), parts))
+        wanted[np.arange(len(x)), part] = 0.5
+        np.add.at(wanted, (np.arange(len(x))[:, None], part[graph]), 0.5 / graph.shape[1])
         rng = np.random.Generator(np.random.PCG64(seed))
         self.w = [rng.normal(0, np.sqrt(2 / x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, np.sqrt(1 / hidden), (hidden, parts)), np.zeros(parts)]
         m, v, t = [np.zeros_like(a) for a in self.w], [np.zeros_like(a) for a in self.w], 0
@@ -110,8 +123,7 @@ class Classifier:
             for i in range(0, len(x), 128):
                 at = order[i : i + 128]
                 h, p = self._forward(x[at])
-                p[np.arange(len(at)), part[at]] -= 1
-                p /= len(at)
+                p = (p - wanted[at]) / len(at)
                 back = (p @ self.w[2].T) * (h > 0)
                 t += 1
                 for j, g in enumerate((x[at].T @ back, back.sum(0), h.T @ p, p.sum(0))):
@@ -131,14 +143,37 @@ class Classifier:
         return np.argsort(-self._forward(x)[1], axis=1, kind="stable")
 
 
-def probes_needed(ranked: np.ndarray, graph: np.ndarray, recall: float = RECALL) -> int:
-    """How many parts must be probed to reach that share of the sample's neighbours."""
+def probes_needed(ranked: np.ndarray, near: list[tuple[int, int]], recall: float = RECALL) -> int:
+    """How many parts must be probed to reach that share of true neighbours: (row of ranked, part of the neighbour)."""
     place = np.argsort(ranked, axis=1)
-    rank = place[np.arange(len(graph))[:, None], ranked[:, 0][graph]]
-    share = np.cumsum(np.bincount(rank.ravel(), minlength=ranked.shape[1])) / rank.size
+    row, part = np.array(near).T
+    share = np.cumsum(np.bincount(place[row, part], minlength=ranked.shape[1])) / len(near)
     return int(np.searchsorted(share, recall) + 1)
 
 
+def _true_neighbours(index: DataFrame, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """(number of the query, part) of the k nearest rows in the whole index of each of a few queries."""
+    sent = index.sparkSession.sparkContext.broadcast((ids, x))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = sent.value
+        best, parts = np.full((len(x), k), -np.inf), np.zeros((len(x), k), np.int64)
+        for b in batches:
+            if b.num_rows:
+                s = x @ unit(np.stack(b.column(1).to_numpy(zero_copy_only=False))).T
+                s[ids[:, None] == b.column(0).to_numpy()[None, :]] = -np.inf
+                s = np.concatenate([best, s], axis=1)
+                p = np.concatenate([parts, np.broadcast_to(b.column(2).to_numpy(), (len(x), b.num_rows))], axis=1)
+                at = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                best, parts = np.take_along_axis(s, at, axis=1), np.take_along_axis(p, at, axis=1)
+        q, j = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(parts[q, j]), pa.array(best[q, j])], names=["q", "part", "score"])
+
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "part")
+    found = index.select("id", "v", "part").mapInArrow(run, "q long, part long, score double")
+    return [tuple(r) for r in found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("q", "part").collect()]
+
+
 def _route(rows: DataFrame, model: Classifier | None, most: int) -> DataFrame:
     """rows (id, v) with parts: the first ``most`` in order of probability."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
@@ -157,7 +192,7 @@ def _rerank(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     """Of one cell: each query's k nearest rows, by exact cosine."""
     if not len(queries) or not len(rows):
         return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-    q, v = np.stack(queries["v"]), np.stack(rows["v"])
+    q, v = scaled(np.stack(queries["v"])), scaled(np.stack(rows["v"]))
     qid, vid = queries["id"].to_numpy(), rows["id"].to_numpy()
     lq, lv = np.sqrt((q * q).sum(axis=1)), np.sqrt((v * v).sum(axis=1))
     s = (q / lq[:, None]) @ (v / lv[:, None]).T
@@ -186,8 +221,10 @@ def _rerank(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.concat(out)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, part_rows: int = PART_ROWS, recall: float = RECALL) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query among all other rows."""
+def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, part_rows: int | None = None, recall: float = RECALL) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each query among all other rows.
+
+    part_rows: rows for each part, in place of the rule by the root of the table."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), is_query.alias("q")).where(F.col("id").isNotNull() & usable(F.col("v")))
     length = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
@@ -199,20 +236,24 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     candidates = durable(candidates, "vectors")
 
     total = candidates.count()
-    parts = int(min(MOST_PARTS, total // part_rows))
-    model, probes = None, 1
-    if parts > 1:
-        x = unit(np.stack(candidates.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()["v"]))
-        x = np.unique(x, axis=0)
-        # A sample of few different directions has no graph: all rows are searched.
-        parts = parts if len(x) > max(NEIGHBOURS, parts) else 1
-    if parts > 1:
+    parts = int(np.clip(total // part_rows if part_rows else round(ROOT_SHARE * total**0.5), 2, MOST_PARTS))
+    drawn = candidates.orderBy(F.xxhash64("id"), "id").limit(sample + CALIBRATION).toPandas()
+    checks = min(CALIBRATION, len(drawn) // 5)
+    model, probes, x = None, 1, np.empty((0, 1))
+    if len(drawn):
+        x = np.unique(unit(np.stack(drawn["v"][checks:])), axis=0)
+    # A sample of few different directions has no graph: all rows are one part.
+    if len(x) > max(NEIGHBOURS, parts):
         graph = neighbour_graph(x)
-        model = Classifier(x, balanced_parts(x, graph, parts), parts)
-        probes = probes_needed(model.ranked(x), graph, recall)
-    parts = max(parts, 1)
+        model = Classifier(x, balanced_parts(x, graph, parts), parts, graph)
+    else:
+        parts = 1
 
     index = durable(_route(candidates, model, 1).select("id", "v", F.col("parts")[0].alias("part")), "index")
+    if model and checks:
+        asked = unit(np.stack(drawn["v"][:checks]))
+        near = _true_neighbours(index, drawn["id"][:checks].to_numpy(), asked, k)
+        probes = probes_needed(model.ranked(asked), near, recall) if near else parts
     held = {r["part"]: r for r in index.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids")).collect()}
     sizes = [held[i]["n"] if i in held else 0 for i in range(parts)]
     # Probe on until one of the parts holds k ids besides the query's own: ids may be in several parts.
