@@ -83,6 +83,75 @@ def test_smc_agrees_with_chain(spark):
     assert all(1 <= r["ess"] <= 2000.001 for r in s)
 
 
+@pytest.mark.parametrize("kind", ["gaussian", "counts"])
+def test_smc_of_other_models_agrees_with_chain(spark, kind):
+    rng = np.random.default_rng(8)
+    values = np.r_[rng.normal(0, 1, 12), rng.normal(2.5, 1, 12)].round(2) if kind == "gaussian" else np.r_[rng.poisson(1, 12), rng.poisson(4, 12)]
+    name = "y" if kind == "gaussian" else "n"
+    rows = spark.createDataFrame([("a", i, float(v) if name == "y" else int(v)) for i, v in enumerate(values)], f"series string, seq long, {name} {'double' if name == 'y' else 'long'}")
+    dim, prior = rows.select("series").distinct(), (2.0, 2.0) if kind == "gaussian" else (1.0, 1.0)
+    smc = samplers.sequential_monte_carlo(rows, dim, 0.0, 24.0, 4, 1500, kernels.SamplerConfig(burn_in=200, thinning=3, nu=0.08), *prior, kind=kind, v=10.0)
+    k = smc.where("interval = 3").agg(F.sum(F.col("w") * F.col("k"))).first()[0]
+    model = kernels.GaussianModel(values.tolist(), *prior, 10.0) if kind == "gaussian" else kernels.CountModel([], *prior, None, values.tolist())
+    kept, _ = kernels.run_chain(model, 0.0, 24.0, kernels.SamplerConfig(iterations=40_000, burn_in=500, thinning=4, nu=0.08), np.random.default_rng(5))
+    assert abs(k - np.mean([len(t) for _, t, _ in kept])) < 0.25
+
+
+def test_smc_spacing(spark):
+    ev = spark.createDataFrame([("a", t) for t in EVENTS], "series string, t double")
+    got = samplers.sequential_monte_carlo(ev, ev.select("series").distinct(), 0.0, END, 4, 300, kernels.SamplerConfig(burn_in=100, thinning=2, nu=2.0, spacing=0.4), 1.0, 1.0, moves=0, threshold=0.0)
+    near = got.where("w > 0").collect()
+    assert near and all(b - a >= 0.4 - 1e-12 for r in near for a, b in zip(r["theta"], r["theta"][1:], strict=False))
+
+
+def test_rate_draws(spark):
+    seg = spark.range(4000).selectExpr("'a' AS series", "CAST(id AS INT) AS j", "7 AS r", "2.0D AS length")
+    a, b = (sorted((r["j"], r["rate"]) for r in samplers.draw_rates(x, ["series", "j"], alpha=1.0, beta=1.0).collect()) for x in (seg, seg.repartition(7)))
+    assert a == b
+    rates = np.array([v for _, v in a])
+    assert abs(rates.mean() - 8 / 3) < 0.06 and abs(rates.var() - 8 / 9) < 0.1
+    drawn = [r["rate"] for r in samplers.draw_rates(seg, ["series", "j"], alpha=2.0, beta=4.0, prior=True).collect()]
+    assert abs(np.mean(drawn) - 0.5) < 0.03
+
+
+def test_chain_of_series_with_their_own_ends(spark):
+    rows = spark.createDataFrame([(s, i, float(i)) for s, n in (("a", 10), ("b", 30)) for i in range(n)], "series string, seq long, y double")
+    dim = spark.createDataFrame([("a", 10.0), ("b", 30.0)], "series string, end double")
+    got = samplers.reversible_jump(rows, dim, 0.0, 0.0, kernels.SamplerConfig(iterations=2000, burn_in=100, nu=0.5), "gaussian", alpha=2.0, beta=2.0)
+    top = {r[0]: r[1] for r in got.where("k > 0").groupBy("series").agg(F.max(F.element_at("theta", -1))).collect()}
+    assert top["a"] < 10 < top["b"] < 30
+
+
+def test_average_chi_square_follows_its_loop(spark):
+    """The criterion kept up to date sample by sample."""
+    from tidemark.operators import histogram
+
+    bins = np.random.default_rng(4).integers(0, 12, 60).tolist()
+    c = lambda k: special.chi2_quantile(0.95, k - 1) / 2 if k > 1 else 0.0
+    seen, rate, initial = set(), 0.0, None
+    for i, x in enumerate(bins, 1):
+        seen.add(x)
+        if i == 10:
+            initial = len(seen)
+        rate = (len(seen) - initial) / (i - 10) if i > 10 else 0.0
+    want = (c(len(seen)) + 60 * rate * (c(len(seen) + 1) - c(len(seen)))) / 60 / 61
+    scored = spark.createDataFrame([("a", len(seen), 60.0)], "series string, n_bins long, total double")
+    early = spark.createDataFrame([("a", initial, 10.0)], "series string, bins_0 long, total_0 double")
+    q = special.chi2_quantiles(spark.createDataFrame([(len(seen) - 1,), (len(seen),)], "dof long"), 0.95)
+    assert histogram.chi_square_average(scored, early, ["series"], q).first()["chi_square_average"] == pytest.approx(want, rel=1e-9)
+
+
+def test_greedy_duplication_equals_loop(spark):
+    w = np.random.default_rng(7).random(12)
+    w /= w.sum()
+    copies = np.ones(12, int)
+    for _ in range(25):
+        copies[np.argmax(w * w / (copies * (copies + 1)))] += 1
+    rows = spark.createDataFrame([("a", i, float(x)) for i, x in enumerate(w)], "series string, particle long, w double")
+    got = {r["particle"]: r["copies"] for r in particles.greedy_duplication(rows, ["series"], 25).collect()}
+    assert got == dict(enumerate(copies.tolist()))
+
+
 def test_offspring_add_up():
     w = np.random.default_rng(4).random(50)
     assert kernels.systematic_counts(w, 200, 0.3).sum() == 200

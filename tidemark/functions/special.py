@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Lanczos coefficients for g = 7, n = 9.
@@ -96,3 +96,13 @@ def gamma_p_inverse(a: float, p: float) -> float:
 
 def chi2_quantile(p: float, dof: float) -> float:
     return 2 * gamma_p_inverse(dof / 2, p)
+
+
+def chi2_quantiles(dofs: DataFrame, p: float) -> DataFrame:
+    """(dof, q) of the distinct degrees of freedom, 1 or more, in the only column."""
+
+    def run(batches):
+        for b in batches:
+            yield b.assign(q=[chi2_quantile(p, k) for k in b["dof"]])
+
+    return dofs.toDF("dof").where("dof >= 1").selectExpr("CAST(dof AS LONG) AS dof").distinct().mapInPandas(run, "dof long, q double")

@@ -88,3 +88,18 @@ def decay_integral(t: Column, rho: float, start: Column | None = None) -> Column
     if start is not None:
         return decay_integral(t, rho) - decay_integral(start, rho)
     return (1 - F.exp(-rho * t)) / rho if rho > 0 else t
+
+
+def step_of_means(segments: DataFrame, keys: list[str], normalise: bool = False) -> DataFrame:
+    """(keys, knot, height): the segments' means as a step function, with an integral of one if normalised.
+
+    segments: (keys, tau_l, tau_r, mean)."""
+    steps = segments.select(*keys, F.col("tau_l").alias("knot"), F.col("mean").alias("height"), (F.col("mean") * (F.col("tau_r") - F.col("tau_l"))).alias("_area"))
+    if normalise:
+        steps = steps.join(steps.groupBy(*keys).agg(F.sum("_area").alias("_whole")), keys).withColumn("height", F.col("height") / F.col("_whole"))
+    return steps.select(*keys, "knot", "height")
+
+
+def time_scale(trend: StepFunction | None, season: StepFunction | None, third: StepFunction | None = None) -> list[StepFunction]:
+    """The factors of a time scale: those that are there; a missing trend leaves the season alone."""
+    return [f for f in (trend, season, third) if f is not None]

@@ -62,3 +62,28 @@ def total_variance(values: DataFrame, keys: list[str], chain: str, value: str) -
 def primary_points(n: int) -> list[float]:
     """Shares of the time range at which the primary function is evaluated."""
     return [(i + 1) / (n + 1) for i in range(n)] if n < 20 else [i / (n - 1) for i in range(n)]
+
+
+def filtered(covered: DataFrame, interval: str, points: int) -> DataFrame:
+    """Covered grid points that lie in the row's own interval, of so many points each: what a filter
+    knew when that interval ended. Without this, all points are summarised anew in each interval."""
+    return covered.where(F.floor(F.col("g") / points) == F.col(interval))
+
+
+def primary(segments: DataFrame, keys: list[str], start: float, end: float, n: int, kind: str = "mean", decay_rate: float = 0.0) -> DataFrame:
+    """Weighted mean and variance, at each primary point, of the segment's mean or of the distance to the
+    nearest changepoint (kind "nearest") or to the one before (kind "since"), decayed from the segment's start.
+
+    segments: (keys, w, tau_l, tau_r, mean). A point lies in the segment with tau_l < t <= tau_r, the first one in the first."""
+    points = primary_points(n)
+    # Around the segment's ends, a point more on either side, then the exact rule.
+    step, first = (1 / (n + 1), 1) if n < 20 else (1 / (n - 1), 0)
+    at = lambda tau: F.floor((F.col(tau) - start) / (end - start) / step).cast("int") - first
+    some = F.sequence(F.greatest(at("tau_l") - 1, F.lit(0)), F.least(at("tau_r") + 1, F.lit(n - 1)))
+    placed = segments.withColumn("i", F.explode(some)).withColumn("t", F.lit(start) + (end - start) * F.element_at(F.array(*map(F.lit, points)), F.col("i") + 1))
+    inside = placed.where((F.col("t") <= F.col("tau_r")) & ((F.col("t") > F.col("tau_l")) | ((F.col("t") == start) & (F.col("tau_l") == start))))
+    since = F.col("t") - F.col("tau_l")
+    value = {"mean": F.col("mean"), "since": since, "nearest": F.least(since, F.col("tau_r") - F.col("t"))}[kind] * F.exp(-decay_rate * since)
+    w = F.col("w")
+    sums = inside.withColumn("_f", value).groupBy(*keys, "i", "t").agg((F.sum(w * F.col("_f")) / F.sum(w)).alias("mean"), (F.sum(w * F.col("_f") * F.col("_f")) / F.sum(w)).alias("_sq"))
+    return sums.withColumn("variance", F.col("_sq") - F.col("mean") * F.col("mean")).drop("_sq")

@@ -162,3 +162,46 @@ def entropy_jackknife(visits: DataFrame, keys: list[str], place: str, bins: str
     """Entropy less ``share`` times the entropies of the odd and of the even half of the visits."""
     halves = entropy(counts(visits.withColumn("_odd", F.col(place) % 2), [*keys, "_odd"], bins), [*keys, "_odd"]).groupBy(*keys).agg(F.sum("entropy").alias("_halves"))
     return entropy(counts(visits, keys, bins), keys).join(halves, keys).select(*keys, (F.col("entropy") - share * F.col("_halves")).alias("score"))
+
+
+def within(theta: Column, start: float, end: float) -> Column:
+    """Positions in [start, end), in front of a bounded histogram."""
+    return F.filter(theta, lambda v: (v >= start) & (v < end))
+
+
+def draws(histogram: DataFrame, us: DataFrame, keys: list[str], order: str = "bin") -> DataFrame:
+    """us (keys, draw, u) with the first bin whose cumulative share reaches u. A key's bins are one array: as
+    many as the histogram has."""
+    cells = histogram.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("bin"), F.col("n").cast("double").alias("n")))).alias("_cells"), F.sum("n").cast("double").alias("_n"))
+    grow = F.aggregate(
+        "_cells", F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("int").alias("bin")),
+        lambda a, x: F.when(a["bin"].isNotNull(), a).otherwise(F.struct((a["c"] + x["n"]).alias("c"), F.when(a["c"] + x["n"] >= F.col("u") * F.col("_n"), x["bin"].cast("int")).alias("bin"))),
+    )
+    return us.join(cells, keys).withColumn(order, grow["bin"]).drop("_cells", "_n")
+
+
+def difference_density(dense: DataFrame, keys: list[str], width: float, bin_col: str = "bin", n: str = "n") -> DataFrame:
+    """Of each cell between neighbouring bins: its probability by the exponentiated difference of their
+    counts, and the log density when the cells share the bins' whole width."""
+    cells = dense.withColumns({"_d": F.col(n) - F.lag(n).over(Window.partitionBy(*keys).orderBy(bin_col))}).where(F.col("_d").isNotNull())
+    top = cells.groupBy(*keys).agg(F.max("_d").alias("_top"), F.count(F.lit(1)).alias("_cells"))
+    raised = cells.join(top, keys).withColumn("_e", F.exp(F.col("_d") - F.col("_top")))
+    whole = raised.groupBy(*keys).agg(F.sum("_e").alias("_sum"))
+    p = F.col("_e") / F.col("_sum")
+    cell_width = F.lit(width) * (F.col("_cells") + 1) / F.col("_cells")
+    return raised.join(whole, keys).select(*keys, (F.col(bin_col) - 1).alias("cell"), p.alias("p"), (F.col("_d") - F.col("_top") - F.log("_sum") - F.log(cell_width)).alias("log_density"))
+
+
+def chi_square_average(scored: DataFrame, initial: DataFrame, keys: list[str], quantile: DataFrame) -> DataFrame:
+    """Average form of the chi-squared criterion: the criterion, and what another sample changes it by
+    if it opens a bin, at the rate of new bins since the first ``initial`` (keys, bins_0, total_0) samples."""
+    c = quantile.select((F.col("dof") + 1).alias("_bins"), (F.col("q") / 2).alias("_c"))
+    own = scored.join(initial, keys).join(c, F.col("n_bins") == F.col("_bins"), "left").withColumn("_own", F.coalesce("_c", F.lit(0.0))).drop("_bins", "_c")
+    both = own.join(c, F.col("n_bins") + 1 == F.col("_bins"), "left").withColumn("_more", F.coalesce("_c", F.lit(0.0)) - F.col("_own"))
+    rate = F.when(F.col("total") > F.col("total_0"), (F.col("n_bins") - F.col("bins_0")) / (F.col("total") - F.col("total_0"))).otherwise(0.0)
+    return both.select(*keys, ((F.col("_own") + F.col("total") * rate * F.col("_more")) / F.col("total") / (F.col("total") + 1)).alias("chi_square_average"))
+
+
+def function_variance(values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Divergence by the variance of a function of interest: its variance over the number of samples."""
+    return values.groupBy(*keys).agg((F.var_pop(value) / F.count(F.lit(1))).alias("divergence"))

@@ -82,15 +82,24 @@ def best_per_dimension(particles: DataFrame, keys: list[str], value: str, k: str
     return particles.groupBy(*keys, k).agg(best, F.count(F.lit(1)).alias("n")).select(*keys, k, f"_best.{tie}", f"_best.{value}", "n")
 
 
-def greedy_allocation(scores: DataFrame, budget: int) -> DataFrame:
+def greedy_allocation(scores: DataFrame, budget: int, buckets: int = 4096) -> DataFrame:
     """How many extensions each process gets if one at a time goes to the largest score.
 
     scores: (process, step, score), the score that a process has before its step-th extension. The
     greedy order is that of the running minimum of each process's scores, ties by process and step;
-    so the choice is the ``budget`` largest of those, found by a distributed sort and one limit."""
+    so the choice is the ``budget`` largest of those. Counts by bucket of value say in which bucket the
+    budget ends: what lies above is taken whole, and only that bucket's rows are ranked."""
     low = F.min("score").over(Window.partitionBy("process").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
-    chosen = scores.withColumn("low", low).orderBy(F.desc("low"), "process", "step").limit(budget)
-    return scores.select("process").distinct().join(chosen.groupBy("process").agg(F.count(F.lit(1)).alias("extensions")), "process", "left").fillna(0, ["extensions"])
+    range_ = scores.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
+    known = scores.withColumn("low", low).crossJoin(F.broadcast(range_))
+    share = F.when(F.col("_hi") > F.col("_lo"), (F.col("low") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
+    known = known.withColumn("_b", F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int")).drop("_lo", "_hi")
+    above = known.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_above", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = known.join(F.broadcast(above), "_b").where(F.col("_above") < budget)
+    whole = placed.where(F.col("_above") + F.col("_n") <= budget)
+    last = placed.where(F.col("_above") + F.col("_n") > budget).withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(F.desc("low"), "process", "step"))).where(F.col("_above") + F.col("_r") <= budget)
+    chosen = whole.select("process").unionByName(last.select("process")).groupBy("process").agg(F.count(F.lit(1)).alias("extensions"))
+    return scores.select("process").distinct().join(chosen, "process", "left").fillna(0, ["extensions"])
 
 
 def greedy_duplication(weighted: DataFrame, keys: list[str], extra: int, particle: str = "particle") -> DataFrame:
@@ -98,7 +107,39 @@ def greedy_duplication(weighted: DataFrame, keys: list[str], extra: int, particl
 
     The (m + 1)-th copy gains 2 log w - log m - log(m + 1), falling in m: the largest gains are taken,
     ties by particle and m. Each copy's log weight falls by the log of the copies."""
-    gains = weighted.where("w > 0").withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(max(extra, 1))))).withColumn("gain", F.round(2 * F.log("w") - F.log("m") - F.log(F.col("m") + 1), 9))
+    # All gains of one copy or more are at most w^2 / 2 at m = 1, and a particle's m-th is w^2 / (m (m + 1)): what lies
+    # under the best particle's last possible gain is never taken, so each explodes up to its own bound only.
+    top = weighted.groupBy(*keys).agg(F.max("w").alias("_top"))
+    bound = F.least(F.lit(max(extra, 1)), F.ceil(F.col("w") / F.col("_top") * (max(extra, 1) + 1))).cast("int")
+    gains = weighted.where("w > 0").join(top, keys).withColumn("m", F.explode(F.sequence(F.lit(1), F.greatest(bound, F.lit(1))))).drop("_top").withColumn("gain", F.round(2 * F.log("w") - F.log("m") - F.log(F.col("m") + 1), 9))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("gain"), particle, "m"))
     more = gains.withColumn("_r", rank).where(F.col("_r") <= extra).groupBy(*keys, particle).agg(F.count(F.lit(1)).alias("_more"))
     return weighted.join(more, [*keys, particle], "left").withColumn("copies", F.coalesce("_more", F.lit(0)) + 1).withColumn("log_w", F.log("w") - F.log("copies")).drop("_more")
+
+
+def concatenate(pairs: DataFrame, theta: str = "theta", log_w: str = "log_w", log_post: str | None = None) -> DataFrame:
+    """Pairs of zip_particles as single particles: the positions of A, then those of B; weights and posteriors add up."""
+    out = pairs.withColumns({theta: F.concat(theta, f"b_{theta}"), log_w: F.col(log_w) + F.col(f"b_{log_w}")})
+    out = out.withColumn(log_post, F.col(log_post) + F.col(f"b_{log_post}")) if log_post else out
+    return out.withColumn("k", F.size(theta)).drop(f"b_{theta}", f"b_{log_w}", *([f"b_{log_post}"] if log_post else []))
+
+
+def existing(particles: DataFrame, others: DataFrame, keys: list[str], theta: str = "theta") -> DataFrame:
+    """Particles whose positions equal those of one of the others."""
+    return particles.join(others.select(*keys, theta).distinct(), [*keys, theta], "left_semi")
+
+
+def monotone(means: Column, lengths: Column, decay_rate: float = 0.0) -> Column:
+    """Whether no mean falls below the one before, decayed over its segment."""
+    each = F.arrays_zip(F.slice(means, 2, F.size(means)).alias("next"), means.alias("own"), lengths.alias("length"))
+    return F.forall(F.slice(each, 1, F.greatest(F.size(means) - 1, F.lit(0))), lambda x: x["next"] >= x["own"] * F.exp(-decay_rate * x["length"]))
+
+
+def constrained(particles: DataFrame, means: str, lengths: str, decay_rate: float = 0.0) -> DataFrame:
+    """Particles that keep the constraint of means that don't fall."""
+    return particles.where(monotone(F.col(means), F.col(lengths), decay_rate))
+
+
+def importance(particles: DataFrame, terms: str, log_w: str = "log_w") -> DataFrame:
+    """Particles drawn from a model without the terms' factors, weighted towards the one with them."""
+    return particles.withColumn(log_w, F.col(log_w) + F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))

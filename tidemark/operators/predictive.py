@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.special import chi2_upper_even, lgamma
+from tidemark.functions.timescale import StepFunction
 from tidemark.operators.series import previous, running_sum
 
 
@@ -16,15 +17,16 @@ def log_pmf(r: Column, t: Column, shape: Column, rate: Column) -> Column:
 
 
 def cdf_below(r: Column, t: Column, shape: Column, rate: Column) -> tuple[Column, Column]:
-    """P(X < r) and P(X = r), by running through the probabilities of 0 .. r."""
-    p0 = F.exp(shape * (F.log(rate) - F.log(rate + t)))
+    """P(X < r) and P(X = r), by running down from the probability of r, which doesn't underflow where that of 0 would."""
     q = t / (rate + t)
+    at = F.exp(log_pmf(r, t, shape, rate))
     end = F.aggregate(
         F.sequence(F.lit(1), F.greatest(r.cast("int"), F.lit(1))),
-        F.struct(F.lit(0.0).alias("below"), p0.alias("at")),
-        lambda a, i: F.when(i > r, a).otherwise(F.struct((a["below"] + a["at"]).alias("below"), (a["at"] * q * (shape + i - 1) / i).alias("at"))),
+        F.struct(F.lit(0.0).alias("below"), at.alias("at")),
+        # The i-th step goes from r - i + 1 down to r - i.
+        lambda a, i: F.when(i > r, a).otherwise(F.struct((a["below"] + a["at"] * (r - i + 1) / (q * (shape + r - i))).alias("below"), (a["at"] * (r - i + 1) / (q * (shape + r - i))).alias("at"))),
     )
-    return end["below"], end["at"]
+    return end["below"], at
 
 
 def tails(windows: DataFrame, r: str, t: str, shape: str, rate: str) -> DataFrame:
@@ -63,3 +65,42 @@ def waiting_times(events: DataFrame, start: float, width: float, bucket: float,
     counted = running_sum(gaps, {"_n": F.lit(1)}, bucket, order=("t", "seq"))
     shape, rate = F.lit(alpha) + F.col("_n") - 1, F.lit(beta) + F.col("t") - start - F.col("gap")
     return counted.withColumns({"win": F.floor((F.col("t") - start) / width).cast("int"), "p": F.exp(shape * (F.log(rate) - F.log(rate + F.col("gap"))))}).drop("_n")
+
+
+def given_history(windows: DataFrame, r_before: str, t_before: str, r: str, t: str, alpha: float, beta: float) -> DataFrame:
+    """windows with the tails of r events in time t, given r_before events in time t_before."""
+    known = windows.withColumns({"shape": F.lit(alpha) + F.col(r_before), "rate": F.lit(beta) + F.col(t_before)})
+    return tails(known, r, t, "shape", "rate")
+
+
+def event_counts(windows: DataFrame, scale: StepFunction, width: float, alpha: float, beta: float) -> DataFrame:
+    """windows (series, win, r) with the tails of r in scaled time, given all earlier windows. A window
+    without scaled time can't be observed: its p-values are one half."""
+    start = F.col("win") * width
+    timed = windows.withColumn("t", scale.integral(start + width) - scale.integral(start))
+    before = Window.partitionBy("series").orderBy("win").rowsBetween(Window.unboundedPreceding, -1)
+    known = timed.withColumns({"shape": F.lit(alpha) + F.coalesce(F.sum("r").over(before), F.lit(0)), "rate": F.lit(beta) + F.coalesce(F.sum("t").over(before), F.lit(0.0)), "observable": F.col("t") > 0})
+    half = lambda name: F.when(F.col("observable"), F.col(name)).otherwise(1.0 if name == "p_two" else 0.5).alias(name)
+    scored = tails(known.withColumn("_t", F.when(F.col("observable"), F.col("t")).otherwise(1.0)), "r", "_t", "shape", "rate")
+    return scored.select(*[half(c) if c.startswith("p_") else F.col(c) for c in scored.columns if c != "_t"])
+
+
+def window_waiting_times(events: DataFrame, series: DataFrame, start: float, windows: int, width: float, bucket: float, alpha: float, beta: float) -> DataFrame:
+    """Of each series and window: the combined p-value of its gaps (p_upper, p_lower, p_two) and their number n.
+
+    A window's first gap begins with it, and its last one, censored by its end, counts with half its
+    survival probability. A gap's survival is predicted from all events and time before it."""
+    ends = series.select("series").withColumn("seq", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(windows - 1).cast("long"))))
+    # An event at a window's end is in the next one.
+    marks = ends.select("series", "seq", (F.lit(start) + (F.col("seq") + 1) * width).alias("t"), F.lit(0).alias("_event"))
+    rows = events.where((F.col("t") >= start) & (F.col("t") < start + windows * width)).select("series", "seq", "t", F.lit(1).alias("_event")).unionByName(marks)
+    order = ("t", "_event", "seq")
+    gaps = running_sum(previous(rows, "t", "_before", bucket, order=order), {"_n": F.col("_event")}, bucket, order=order)
+    since = F.coalesce("_before", F.lit(start))
+    gaps = gaps.withColumns({"gap": F.col("t") - since, "_shape": F.lit(alpha) + F.col("_n") - F.col("_event"), "_rate": F.lit(beta) + since - start})
+    survival = F.exp(F.col("_shape") * (F.log("_rate") - F.log(F.col("_rate") + F.col("gap"))))
+    win = F.when(F.col("_event") == 1, F.floor((F.col("t") - start) / width)).otherwise(F.col("seq")).cast("long")
+    each = gaps.where((F.col("_event") == 1) | (F.col("gap") > 0)).select("series", win.alias("win"), F.when(F.col("_event") == 1, survival).otherwise(survival / 2).alias("p"))
+    upper = fisher(each, ["series", "win"]).withColumnRenamed("combined", "p_upper")
+    lower = fisher(each.withColumn("p", 1 - F.col("p")), ["series", "win"]).select("series", "win", F.col("combined").alias("p_lower"))
+    return upper.join(lower, ["series", "win"]).withColumn("p_two", 2 * F.least("p_upper", 1 - F.col("p_upper")))

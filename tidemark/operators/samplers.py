@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.kernels import CountModel, GaussianModel, PoissonModel, SamplerConfig, draw_prior, rejection, run_chain, run_shot_noise, systematic_counts
 
+#: What the models of each kind of series read.
+COLUMNS = {"poisson": ["t"], "counts": ["seq", "n"], "gaussian": ["seq", "y"]}
 PARTICLES = "series string, chain int, iteration long, k int, theta array<double>, means array<double>, log_post double"
 
 
@@ -31,18 +33,19 @@ def _model(kind: str, pdf: pd.DataFrame, alpha: float, beta: float, v: float, sc
 
 
 def _with_empty(events: DataFrame, series: DataFrame, columns: list[str]) -> DataFrame:
-    return series.select("series").join(events.select("series", *columns), "series", "left")
+    return series.select("series", *[c for c in series.columns if c == "end"]).join(events.select("series", *columns), "series", "left")
 
 
 def reversible_jump(events: DataFrame, series: DataFrame, start: float, end: float, cfg: SamplerConfig, kind: str = "poisson", chains: int = 1, alpha: float = 0.1, beta: float = 0.1, v: float = 10.0, scale=None) -> DataFrame:
     """Posterior changepoint samples (PARTICLES) of each series and chain.
 
-    kind: poisson (t), counts (seq, n) or gaussian (seq, y). scale: cumulative time scale, a function of t."""
-    columns = {"poisson": ["t"], "counts": ["seq", "n"], "gaussian": ["seq", "y"]}[kind]
-    rows = _with_empty(events, series, columns).withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
+    A column ``end`` of the series dimension is a series' own end, in place of the common one. kind: poisson (t), counts (seq, n) or gaussian (seq, y). scale: cumulative time scale, a function of t."""
+    rows = _with_empty(events, series, COLUMNS[kind]).withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
+    common = end
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         name, chain = key
+        end = float(pdf["end"].iloc[0]) if "end" in pdf else common
         model = _model(kind, pdf.dropna(), alpha, beta, v, scale)
         kept, _ = run_chain(model, start, end, cfg, generator(cfg.seed, name, chain))
         out = []
@@ -98,7 +101,7 @@ def prior_sample(series: DataFrame, start: float, end: float, nu: float, n: int,
 SMC = "series string, interval int, particle long, k int, theta array<double>, w double, ess double, resampled boolean"
 
 
-def sequential_monte_carlo(events: DataFrame, series: DataFrame, start: float, end: float, intervals: int, n: int, cfg: SamplerConfig, alpha: float = 0.1, beta: float = 0.1, threshold: float = 0.5, moves: int = 5, full_history: bool = False, look_back: bool = True) -> DataFrame:
+def sequential_monte_carlo(events: DataFrame, series: DataFrame, start: float, end: float, intervals: int, n: int, cfg: SamplerConfig, alpha: float = 0.1, beta: float = 0.1, threshold: float = 0.5, moves: int = 5, full_history: bool = False, kind: str = "poisson", v: float = 10.0, look_back: bool = True) -> DataFrame:
     """Weighted particles of each series after each of consecutive windows.
 
     A window's changepoints are drawn by a chain on the window, whose first segment begins (with
@@ -106,12 +109,13 @@ def sequential_monte_carlo(events: DataFrame, series: DataFrame, start: float, e
     one of the window are joined, and weighted by the likelihood of the joined segment over those of
     the two that it replaces. Where the effective size falls under threshold * n, particles are
     resampled systematically and moved by a few chain steps over their whole history. With
-    full_history, each window is instead sampled from the start, with equal weights."""
+    full_history, each window is instead sampled from the start, with equal weights. kind: as for
+    reversible_jump. With cfg.spacing, particles whose joined changepoints lie closer lose their weight."""
     width = (end - start) / intervals
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         name = key[0]
-        model, out = PoissonModel(sorted(pdf["t"].dropna().tolist()), alpha, beta), []
+        model, out = _model(kind, pdf.dropna(), alpha, beta, v, None), []
         past, log_w, ll = [[] for _ in range(n)], np.zeros(n), model.loglik
         for i in range(intervals):
             a, b = start + i * width, start + (i + 1) * width
@@ -132,7 +136,12 @@ def sequential_monte_carlo(events: DataFrame, series: DataFrame, start: float, e
                     last, first = (old[-1] if old else start), (new[0] if new else b)
                     if i:
                         log_w[p] += ll(last, first) - ll(last, a) - ll(first_from, first)
+                    if cfg.spacing and old and new:
+                        # Joined changepoints that are too close have no weight; others make up for the prior's gap.
+                        log_w[p] += -np.inf if first - last < cfg.spacing else 0.0
                     past[p] = old + new
+                if np.isneginf(log_w).all():
+                    log_w = np.zeros(n)
                 w = np.exp(log_w - log_w.max())
                 if w.sum() ** 2 / (w * w).sum() < threshold * n:
                     times = systematic_counts(w, n, rng.random())
@@ -144,7 +153,7 @@ def sequential_monte_carlo(events: DataFrame, series: DataFrame, start: float, e
             out += [(name, i, p, len(x), x, w[p], 1 / (w * w).sum(), resampled) for p, x in enumerate(past)]
         return pd.DataFrame(out, columns=["series", "interval", "particle", "k", "theta", "w", "ess", "resampled"])
 
-    return _with_empty(events, series, ["t"]).groupBy("series").applyInPandas(run, SMC)
+    return _with_empty(events, series, COLUMNS[kind]).groupBy("series").applyInPandas(run, SMC)
 
 
 def interval_summary(sample: DataFrame) -> DataFrame:
@@ -192,3 +201,17 @@ def polish_map(best: DataFrame, events: DataFrame, start: float, end: float, alp
         return pd.DataFrame([(key[0], ends[1:-1], sum(model.loglik(a, b) for a, b in zip(ends, ends[1:], strict=False)))], columns=["series", "theta", "log_lik"])
 
     return best.groupBy("series").cogroup(events.select("series", "t").groupBy("series")).applyInPandas(run, "series string, theta array<double>, log_lik double")
+
+
+def draw_rates(segments: DataFrame, keys: list[str], r: str = "r", length: str = "length", alpha: float = 0.1, beta: float = 0.1, seed: int = 1, prior: bool = False) -> DataFrame:
+    """segments with rate, drawn from the Gamma posterior of r events in length (or from the prior). A draw
+    depends on the seed and the keys alone."""
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in segments.schema.fields) + ", rate double"
+
+    def run(batches):
+        for pdf in batches:
+            own = [generator(seed, *k) for k in pdf[keys].itertuples(index=False, name=None)]
+            shape, rate = (pdf[r] * 0 + alpha, pdf[length] * 0 + beta) if prior else (alpha + pdf[r], beta + pdf[length])
+            yield pdf.assign(rate=[g.gamma(a, 1 / b) for g, a, b in zip(own, shape, rate, strict=True)])
+
+    return segments.mapInPandas(run, out)

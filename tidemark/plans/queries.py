@@ -4,12 +4,12 @@ Doubles are rounded to six places and integers are longs, so that results compar
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import models as m
 from tidemark.functions import timescale as ts
-from tidemark.functions.special import chi2_quantile
+from tidemark.functions.special import chi2_quantiles
 from tidemark.operators import grid, histogram, particles, predictive, series
 from tidemark.sources.tables import event_series, order_counts, series_of
 
@@ -376,8 +376,7 @@ def divergence_scores(spark, d):
 
 def divergence_chi_square(spark, d):
     scored = histogram.divergence(histogram.counts(binned(spark, d), ["series"]), ["series"]).select("series", "n_bins", "total")
-    q = spark.createDataFrame([(k, chi2_quantile(0.95, k)) for k in range(1, 400)], "dof int, q double")
-    return final(histogram.chi_square_scores(scored, q))
+    return final(histogram.chi_square_scores(scored, chi2_quantiles(scored.select(F.col("n_bins") - 1), 0.95)))
 
 
 def divergence_jackknife(spark, d):
@@ -463,6 +462,114 @@ def greedy_duplication(spark, d):
     return final(particles.greedy_duplication(w, ["series"], 20).select("series", "particle", "copies"))
 
 
+# Windows given history, intervals, constraints, draws
+
+#: A profile with a quarter of a day in which nothing can be observed.
+CLOSED = ts.StepFunction((0.0, 0.25, 0.5), (0.0, 2.0, 1.0), 1.0)
+
+
+def window_given_history(spark, d):
+    by_time = Window.partitionBy("series").orderBy("j")
+    w = segments(spark, d, "user_id").withColumns({"r_before": F.lag("r").over(by_time), "t_before": F.lit(3.0)}).where("r_before IS NOT NULL")
+    return final(predictive.given_history(w, "r_before", "t_before", "r", "length", 1.0, 1.0).select("series", "j", "r_before", "r", "p_lower", "p_upper", "p_two"))
+
+
+def window_count_pvalues(spark, d):
+    ev = event_series(spark, d, "user_id")
+    w = predictive.windows_of(ev, series_of(ev), 0.0, 120, 0.25)
+    return final(predictive.event_counts(w, CLOSED, 0.25, 1.0, 1.0).select("series", "win", "r", "t", F.col("observable").cast("long").alias("observable"), "p_lower", "p_upper", "p_two"))
+
+
+def window_waiting_pvalues(spark, d):
+    ev = event_series(spark, d, "user_id")
+    return final(predictive.window_waiting_times(ev, series_of(ev), 0.0, 10, 3.0, BUCKET, 1.0, 1.0))
+
+
+def _in_intervals(spark, d):
+    return grid.on_grid(particle_segments(spark, d), 0.0, 3.0, 12).withColumn("interval", F.col("particle") % 3)
+
+
+def grid_sequential(spark, d):
+    return final(grid.summarise(_in_intervals(spark, d), ["series", "interval"], 0.5).select("series", "interval", "g", "intensity", "since_mean", "p_below"))
+
+
+def grid_filtering(spark, d):
+    return final(grid.summarise(grid.filtered(_in_intervals(spark, d), "interval", 4), ["series", "interval"], 0.5).select("series", "interval", "g", "intensity", "since_mean", "p_below"))
+
+
+def primary_mean(spark, d):
+    return final(grid.primary(particle_segments(spark, d), ["series"], 0.0, 3.0, 25, decay_rate=0.2))
+
+
+def primary_nearest(spark, d):
+    return final(grid.primary(particle_segments(spark, d), ["series"], 0.0, 3.0, 9, "nearest"))
+
+
+def primary_since(spark, d):
+    return final(grid.primary(particle_segments(spark, d), ["series"], 0.0, 3.0, 9, "since"))
+
+
+def step_of_means(spark, d):
+    s = segments(spark, d, "user_id").withColumn("mean", m.poisson_posterior(F.col("r"), F.col("length"), ALPHA, BETA)["post_mean"])
+    plain, unit = ts.step_of_means(s, ["series"]), ts.step_of_means(s, ["series"], True).withColumnRenamed("height", "share")
+    return final(plain.join(unit, ["series", "knot"]))
+
+
+def particle_concat(spark, d):
+    p = pseudo_particles(spark, d)
+    a, b = (p.where(F.col("particle") % 2 == i).select("series", "particle", "theta", "log_w") for i in (0, 1))
+    pairs = particles.zip_particles(a, b.withColumn("theta", F.transform("theta", lambda x: x + 3)), ["series"], ["particle"], ["particle"])
+    sums = F.aggregate("theta", F.lit(0.0), lambda s, x: s / 2 + x)
+    return final(particles.concatenate(pairs).select("series", "slot", "particle", "b_particle", "k", "log_w", sums.alias("folded")))
+
+
+def particle_exists(spark, d):
+    b = binned(spark, d)
+    even, odd = b.where(F.col("particle") % 2 == 0), b.where(F.col("particle") % 2 == 1)
+    return final(particles.existing(even, odd, ["series"], "bins").select("series", "particle", "k"))
+
+
+def monotone_particles(spark, d):
+    s = segments(spark, d, "user_id").withColumn("mean", m.poisson_posterior(F.col("r"), F.col("length"), ALPHA, BETA)["post_mean"]).where("j < 3")
+    p = s.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("j", "mean", "length"))).alias("x")).select("series", F.col("x.mean").alias("means"), F.col("x.length").alias("lengths"))
+    return final(particles.constrained(p, "means", "lengths", 0.05).select("series", F.element_at("means", 1).alias("first"), F.element_at("means", -1).alias("last")))
+
+
+def importance_weights(spark, d):
+    s = particle_segments(spark, d).withColumn("term", F.log1p("mean") - F.col("tau_l"))
+    p = s.groupBy("series", "particle").agg(F.array_sort(F.collect_list(F.struct("j", "term"))).alias("x")).select("series", "particle", F.col("x.term").alias("terms"))
+    w = particles.importance(p.join(pseudo_particles(spark, d).select("series", "particle", "log_w"), ["series", "particle"]), "terms")
+    return final(particles.normalised(w, ["series"]).select("series", "particle", "w"), 9)
+
+
+def bounded_histogram(spark, d):
+    p = pseudo_particles(spark, d).withColumn("theta", histogram.within(F.col("theta"), 0.5, 2.5))
+    return final(histogram.counts(p.withColumn("bins", histogram.particle_bins(F.col("theta"), 0.5, 2.5, 4)), ["series"]))
+
+
+def hist_draws(spark, d):
+    o = histogram.occupancy(binned(spark, d), ["series"]).select("series", "bin", "n")
+    us = o.select("series").distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(39)))).withColumn("u", (F.col("draw") + 0.37) / 40)
+    return final(histogram.draws(o, us, ["series"]).select("series", "draw", "bin"))
+
+
+def difference_density(spark, d):
+    o = histogram.occupancy(binned(spark, d), ["series"]).select("series", "bin", (F.col("n") / 50).alias("n"))
+    return final(histogram.difference_density(o, ["series"], 0.5))
+
+
+def divergence_function(spark, d):
+    return final(histogram.function_variance(pseudo_particles(spark, d), ["series"], "k"), 9)
+
+
+def divergence_chi_square_average(spark, d):
+    b = binned(spark, d)
+    scored = histogram.divergence(histogram.counts(b, ["series"]), ["series"]).select("series", "n_bins", "total")
+    early = histogram.divergence(histogram.counts(b.where(F.col("particle") % 4 == 0), ["series"]), ["series"]).select("series", F.col("n_bins").alias("bins_0"), F.col("total").alias("total_0"))
+    q = chi2_quantiles(scored.select(F.explode(F.array(F.col("n_bins") - 1, F.col("n_bins")))), 0.95)
+    return final(histogram.chi_square_average(scored, early, ["series"], q), 9)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -474,5 +581,8 @@ QUERIES = {
         hist_merge, hist_normalised, hist_draw, shannon_entropy, cross_entropy, jsd, repeat_probability, difference_softmax, true_marginal, phi_table,
         divergence_scores, divergence_chi_square, divergence_jackknife, dimension_distribution, map_per_dimension, grid_summary, grid_capped, last_distance,
         probability_variance, total_variance, normalised_weights, ess, systematic_resample, particle_edits, particle_join, greedy_allocation, greedy_duplication,
+        window_given_history, window_count_pvalues, window_waiting_pvalues, grid_sequential, grid_filtering, primary_mean, primary_nearest, primary_since,
+        step_of_means, particle_concat, particle_exists, monotone_particles, importance_weights, bounded_histogram, hist_draws, difference_density,
+        divergence_function, divergence_chi_square_average,
     )
 }

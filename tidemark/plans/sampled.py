@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import particles, samplers
+from tidemark.operators import particles, predictive, samplers, series
 from tidemark.operators.kernels import SamplerConfig
+from tidemark.plans.queries import final
 from tidemark.sources.tables import event_series, order_counts, series_of
 from tidemark.streaming import pvalues
 
@@ -22,16 +23,46 @@ def rj_poisson(spark: SparkSession, d: str) -> DataFrame:
     return samplers.reversible_jump(ev, series_of(ev), 0.0, END, CFG, chains=2)
 
 
+def _values(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Each user's values in order of time, and the users with the number of theirs as end."""
+    ranked = series.argsort(event_series(spark, d, "user_id"), 1.0)
+    y = ranked.select("series", F.col("rank").alias("seq"), F.col("value").alias("y"))
+    return y, y.groupBy("series").agg(F.count(F.lit(1)).cast("double").alias("end"))
+
+
 def rj_gaussian(spark: SparkSession, d: str) -> DataFrame:
-    ev = event_series(spark, d, "user_id")
-    y = ev.select("series", (F.row_number().over(Window.partitionBy("series").orderBy("t", "seq")) - 1).alias("seq"), F.col("value").alias("y"))
-    return samplers.reversible_jump(y, series_of(ev), 0.0, 60.0, CFG, "gaussian", alpha=2.0, beta=2.0)
+    y, users = _values(spark, d)
+    return samplers.reversible_jump(y, users, 0.0, 0.0, CFG, "gaussian", alpha=2.0, beta=2.0)
 
 
-def rj_counts(spark: SparkSession, d: str) -> DataFrame:
+def _daily(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Orders by status and day, numbered from the first, and the statuses with the number of days as end."""
     o = order_counts(spark, d)
     c = o.select("series", (F.row_number().over(Window.partitionBy("series").orderBy("seq")) - 1).alias("seq"), "n")
-    return samplers.reversible_jump(c, c.select("series").distinct(), 0.0, 600.0, SamplerConfig(iterations=2000, burn_in=500, thinning=10, nu=0.01), "counts")
+    return c, c.groupBy("series").agg(F.count(F.lit(1)).cast("double").alias("end"))
+
+
+def rj_counts(spark: SparkSession, d: str) -> DataFrame:
+    c, statuses = _daily(spark, d)
+    return samplers.reversible_jump(c, statuses, 0.0, 0.0, SamplerConfig(iterations=2000, burn_in=500, thinning=10, nu=0.01), "counts")
+
+
+def smc_gaussian(spark: SparkSession, d: str) -> DataFrame:
+    """Over the longest user's number of values; shorter series add nothing beyond their end."""
+    y, users = _values(spark, d)
+    longest = users.agg(F.max("end")).first()[0] or 1.0
+    return samplers.sequential_monte_carlo(y, users.drop("end"), 0.0, longest, 4, 50, SamplerConfig(burn_in=100, thinning=2, nu=1 / 30), 2.0, 2.0, kind="gaussian")
+
+
+def smc_counts(spark: SparkSession, d: str) -> DataFrame:
+    c, statuses = _daily(spark, d)
+    longest = statuses.agg(F.max("end")).first()[0] or 1.0
+    return samplers.sequential_monte_carlo(c, statuses.drop("end"), 0.0, longest, 6, 100, SamplerConfig(burn_in=200, thinning=2, nu=0.01, spacing=2.0), kind="counts")
+
+
+def rate_draws(spark: SparkSession, d: str) -> DataFrame:
+    ev = event_series(spark, d, "user_id")
+    return samplers.draw_rates(series.segment_counts(ev, series.even_cuts(series_of(ev), 0.0, END, 10), 1.0), ["series", "j"])
 
 
 def rj_shot_noise(spark: SparkSession, d: str) -> DataFrame:
@@ -45,8 +76,12 @@ def rj_acceptance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rejection_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Of each user and three days: exact draws with one changepoint at most."""
     ev = event_series(spark, d, "user_id")
-    return samplers.rejection_sample(ev.where("t < 3"), series_of(ev), 0.0, 3.0, 0.2, 100)
+    block = F.floor(F.col("t") / 3)
+    name = F.concat_ws(":", "series", block.cast("int").cast("string"))
+    windows = series_of(ev).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(9)))).select(F.concat_ws(":", "series", F.col("block").cast("string")).alias("series"))
+    return samplers.rejection_sample(ev.select(name.alias("series"), (F.col("t") - block * 3).alias("t")), windows, 0.0, 3.0, 0.2, 20)
 
 
 def prior_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -86,11 +121,16 @@ def stream_pvalues(spark: SparkSession, d: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     events = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").select(F.col("event_type").alias("series"), F.col("ts").cast("timestamp").alias("ts"))
     first = 19723  # days from 1970-01-01 to 2024-01-01
-    scored = pvalues.posterior(pvalues.windowed(events, 1.0), first, 1.0, 1.0, 1.0)
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     where = f"{base.rstrip('/')}/tidemark/stream-{uuid.uuid4().hex}"
+    # The table ends, a stream doesn't: a mark after the last day closes its window.
+    spark.sql("SELECT CAST(NULL AS STRING) AS series, TIMESTAMP'2024-02-02 00:00:00' AS ts").write.parquet(f"{where}/end")
+    marked = events.unionByName(spark.readStream.schema("series string, ts timestamp").parquet(f"{where}/end*"))
+    # The mark's own window never closes.
+    scored = pvalues.posterior(pvalues.windowed(marked, 1.0), first, 1.0, 1.0, 1.0)
     scored.writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(pvalues.SCORED).parquet(f"{where}/rows")
+    rows = spark.read.schema(pvalues.SCORED).parquet(f"{where}/rows")
+    return final(predictive.tails(rows, "r", "t", "shape", "rate"))
 
 
-QUERIES = {f.__name__: f for f in (rj_poisson, rj_gaussian, rj_counts, rj_shot_noise, rj_acceptance, rejection_sample, prior_sample, smc_poisson, smc_full_history, smc_summary, smc_adaptive, map_polished, stream_pvalues)}
+QUERIES = {f.__name__: f for f in (rj_poisson, rj_gaussian, rj_counts, rj_shot_noise, rj_acceptance, rejection_sample, smc_gaussian, smc_counts, rate_draws, prior_sample, smc_poisson, smc_full_history, smc_summary, smc_adaptive, map_polished, stream_pvalues)}

@@ -143,3 +143,66 @@ SQL = {
     "greedy_allocation": q(USER, SCORES, "lo AS (SELECT process, step, min(score) OVER (PARTITION BY process ORDER BY step) AS low FROM sc)", "ch AS (SELECT process FROM lo ORDER BY low DESC, process, step LIMIT 500)", body="SELECT process, (SELECT count(*) FROM ch WHERE ch.process = p.process) AS extensions FROM (SELECT DISTINCT process FROM sc) p"),
     "greedy_duplication": q(TYPE, PT, WT, "ga AS (SELECT series, particle, m, 2 * ln(w) - ln(m) - ln(m + 1) AS gain FROM wn CROSS JOIN (SELECT unnest(range(1, 21)) AS m) x)", "tk AS (SELECT series, particle FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY round(gain, 9) DESC, particle, m) AS i FROM ga) WHERE i <= 20)", body="SELECT series, particle, 1 + (SELECT count(*) FROM tk WHERE tk.series = wn.series AND tk.particle = wn.particle) AS copies FROM wn"),
 }
+
+#: Mid-p tails of a negative binomial count r with shape, rate and time t.
+TAILS = """tl AS (SELECT *, list_transform(range(r + 1), lambda x: exp(lgamma(shape + x) - lgamma(shape) - lgamma(x + 1.0) + shape * (ln(rate) - ln(rate + t)) + x * (ln(t) - ln(rate + t)))) AS p FROM kn),
+ mp AS (SELECT *, list_sum(p) - p[r + 1] / 2 AS lo FROM tl)"""
+MEAN = "(0.1 + r) / (0.1 + length)"
+
+
+def primary(n: int, value: str) -> str:
+    """Weighted mean and variance of a value at the primary points of [0, 3]."""
+    points = f"(i + 1) / {n + 1}.0::DOUBLE" if n < 20 else f"i / {n - 1}.0::DOUBLE"
+    return q(
+        TYPE, PT, WT, PSEG, f"pts AS (SELECT i, 3.0::DOUBLE * ({points}) AS t FROM (SELECT unnest(range({n})) AS i))",
+        f"fv AS (SELECT series, w, i, t, {value} AS f FROM ps JOIN pts ON t <= tau_r AND (t > tau_l OR (t = 0 AND tau_l = 0)))",
+        body="SELECT series, i, round(t, 6) AS t, round(sum(w * f) / sum(w), 6) AS mean, round(sum(w * f * f) / sum(w) - (sum(w * f) / sum(w)) ^ 2, 6) AS variance FROM fv GROUP BY series, i, t",
+    )
+
+
+def by_interval(own: str) -> str:
+    return q(TYPE, PT, WT, PSEG, GRID, body=f"SELECT series, particle % 3 AS interval, g, round(sum(w * mean) / sum(w), 6) AS intensity, round(sum(w * (t - tau_l)) / sum(w), 6) AS since_mean, round(sum(w * ((t - tau_l) < mu)::INT) / sum(w), 6) AS p_below FROM pr WHERE {own} GROUP BY series, particle % 3, g")
+
+
+#: Gaps between events and ends of windows of three days, with the survival of each.
+GAPS = """wm AS (SELECT dim.series, x.j AS seq, (x.j + 1) * 3.0::DOUBLE AS t, 0 AS ev FROM dim CROSS JOIN (SELECT unnest(range(10)) AS j) x UNION ALL SELECT series, seq, t, 1 FROM ev WHERE t >= 0 AND t < 30),
+ wg AS (SELECT *, coalesce(lag(t) OVER o, 0) AS since, sum(ev) OVER (o ROWS UNBOUNDED PRECEDING) - ev AS before FROM wm WINDOW o AS (PARTITION BY series ORDER BY t, ev, seq)),
+ wv AS (SELECT series, CASE WHEN ev = 1 THEN floor(t / 3)::BIGINT ELSE seq END AS win, exp((1 + before) * (ln(1 + since) - ln(1 + t))) / CASE WHEN ev = 1 THEN 1 ELSE 2 END AS p FROM wg WHERE ev = 1 OR t > since),
+ wf AS (SELECT series, win, count(*) AS n, -2 * sum(ln(p)) AS xu, -2 * sum(ln(1 - p)) AS xl, min(p) AS p1 FROM wv GROUP BY ALL)"""
+
+
+def chi2_upper(x: str) -> str:
+    return f"CASE WHEN {x} <= 0 THEN 1 ELSE least(1, list_sum(list_transform(range(n), lambda i: exp(-{x} / 2 + i * ln({x} / 2) - lgamma(i + 1.0))))) END"
+
+
+MORE: dict[str, str] = {
+    "window_given_history": q(USER, SERIES, SEG, "kn AS (SELECT series, j, r, lag(r) OVER (PARTITION BY series ORDER BY j) AS rb, 1.0::DOUBLE + lag(r) OVER (PARTITION BY series ORDER BY j) AS shape, 4.0::DOUBLE AS rate, 3.0::DOUBLE AS t FROM seg QUALIFY rb IS NOT NULL)", TAILS, body="SELECT series, j, rb AS r_before, r, round(lo, 6) AS p_lower, round(greatest(0, 1 - lo), 6) AS p_upper, round(least(1, 2 * least(lo, greatest(0, 1 - lo))), 6) AS p_two FROM mp"),
+    "window_count_pvalues": q(
+        USER, SERIES, "wn AS (SELECT dim.series, win, count(ev.t) AS r, [0.0, 0.5, 0.25, 0.25][(win % 4 + 1)::INT]::DOUBLE AS tt FROM dim CROSS JOIN (SELECT unnest(range(120)) AS win) x LEFT JOIN ev ON ev.series = dim.series AND floor(ev.t / 0.25) = win GROUP BY ALL)",
+        "kn AS (SELECT series, win, r, tt, CASE WHEN tt > 0 THEN tt ELSE 1 END AS t, (1 + coalesce(sum(r) OVER b, 0))::DOUBLE AS shape, 1 + coalesce(sum(tt) OVER b, 0) AS rate FROM wn WINDOW b AS (PARTITION BY series ORDER BY win ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))", TAILS,
+        body="SELECT series, win, r, tt AS t, (tt > 0)::BIGINT AS observable, round(CASE WHEN tt > 0 THEN lo ELSE 0.5 END, 6) AS p_lower, round(CASE WHEN tt > 0 THEN greatest(0, 1 - lo) ELSE 0.5 END, 6) AS p_upper, round(CASE WHEN tt > 0 THEN least(1, 2 * least(lo, greatest(0, 1 - lo))) ELSE 1 END, 6) AS p_two FROM mp",
+    ),
+    "window_waiting_pvalues": q(USER, SERIES, GAPS, f"wc AS (SELECT series, win, n, CASE WHEN n = 1 THEN p1 ELSE {chi2_upper('xu')} END AS u, CASE WHEN n = 1 THEN 1 - p1 ELSE {chi2_upper('xl')} END AS l FROM wf)", body="SELECT series, win, n, round(u, 6) AS p_upper, round(l, 6) AS p_lower, round(2 * least(u, 1 - u), 6) AS p_two FROM wc"),
+    "grid_sequential": by_interval("true"),
+    "grid_filtering": by_interval("g // 4 = particle % 3"),
+    "primary_mean": primary(25, "mean * exp(-0.2 * (t - tau_l))"),
+    "primary_nearest": primary(9, "least(t - tau_l, tau_r - t)"),
+    "primary_since": primary(9, "t - tau_l"),
+    "step_of_means": q(USER, SERIES, SEG, f"mm AS (SELECT series, tau_l, length, {MEAN} AS mean FROM seg)", body="SELECT series, tau_l AS knot, round(mean, 6) AS height, round(mean / sum(mean * length) OVER (PARTITION BY series), 6) AS share FROM mm"),
+    "particle_concat": q(
+        TYPE, PT, "za AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY particle) - 1 AS i, count(*) OVER (PARTITION BY series) AS c FROM pp WHERE particle % 2 = 0), zb AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY particle) - 1 AS i, count(*) OVER (PARTITION BY series) AS c FROM pp WHERE particle % 2 = 1)",
+        "zs AS (SELECT series, unnest(range(greatest(ca, cb))) AS slot, ca, cb FROM (SELECT series, any_value(c) AS ca FROM za GROUP BY series) JOIN (SELECT series, any_value(c) AS cb FROM zb GROUP BY series) USING (series))",
+        "zz AS (SELECT zs.series, slot, za.particle, zb.particle AS b_particle, list_concat(za.theta, list_transform(zb.theta, lambda x: x + 3)) AS theta, za.log_w + zb.log_w AS log_w FROM zs JOIN za ON za.series = zs.series AND za.i = slot % ca JOIN zb ON zb.series = zs.series AND zb.i = slot % cb)",
+        body="SELECT series, slot, particle, b_particle, len(theta) AS k, round(log_w, 6) AS log_w, round(list_reduce(list_concat([0.0::DOUBLE], theta), lambda s, x: s / 2 + x), 6) AS folded FROM zz",
+    ),
+    "particle_exists": q(TYPE, PT, BINS, body="SELECT series, particle, k FROM bn a WHERE particle % 2 = 0 AND EXISTS (SELECT 1 FROM bn b WHERE b.series = a.series AND b.bins = a.bins AND b.particle % 2 = 1)"),
+    "monotone_particles": q(USER, SERIES, SEG, f"mm AS (SELECT series, list({MEAN} ORDER BY j) AS v FROM seg WHERE j < 3 GROUP BY series)", body="SELECT series, round(v[1], 6) AS first, round(v[3], 6) AS last FROM mm WHERE v[2] >= v[1] * exp(-0.05 * 3) AND v[3] >= v[2] * exp(-0.05 * 3)"),
+    "importance_weights": q(TYPE, PT, WT, PSEG, "iw AS (SELECT series, particle, sum(ln(1 + mean) - tau_l) AS x FROM ps GROUP BY ALL)", "il AS (SELECT series, particle, x + log_w AS l FROM iw JOIN pp USING (series, particle))", "ie AS (SELECT series, particle, exp(l - max(l) OVER (PARTITION BY series)) AS e FROM il)", body="SELECT series, particle, round(e / sum(e) OVER (PARTITION BY series), 9) AS w FROM ie"),
+    "bounded_histogram": q(TYPE, PT, "bf AS (SELECT series, list_transform(list_filter(theta, lambda v: v >= 0.5 AND v < 2.5), lambda v: CAST(floor((v - 0.5) / 0.5) AS INT)) AS bins FROM pp)", body="SELECT series, array_to_string(bins, ',') AS bins, count(*) AS n FROM bf GROUP BY series, bins"),
+    "hist_draws": q(TYPE, PT, BINS, OCC, "cu AS (SELECT series, bin, sum(n) OVER (PARTITION BY series ORDER BY bin) AS c, sum(n) OVER (PARTITION BY series) AS s FROM occ)", body="SELECT series, draw, min(bin)::BIGINT AS bin FROM cu JOIN (SELECT unnest(range(40)) AS draw) ON c >= (draw + 0.37::DOUBLE) / 40 * s GROUP BY series, draw"),
+    "difference_density": q(TYPE, PT, BINS, OCC, "df AS (SELECT series, bin, n / 50.0::DOUBLE - lag(n) OVER (PARTITION BY series ORDER BY bin) / 50.0::DOUBLE AS d, count(*) OVER (PARTITION BY series) - 1 AS cells FROM occ QUALIFY d IS NOT NULL)", "ds AS (SELECT *, max(d) OVER (PARTITION BY series) AS top FROM df)", "dz AS (SELECT *, ln(sum(exp(d - top)) OVER (PARTITION BY series)) + top AS z FROM ds)", body="SELECT series, bin::BIGINT - 1 AS cell, round(exp(d - z), 6) AS p, round(d - z - ln(0.5 * (cells + 1) / cells), 6) AS log_density FROM dz"),
+    "stream_pvalues": q(TYPE, "wn AS (SELECT series, floor(t)::BIGINT AS win, count(*) AS r FROM ev GROUP BY ALL)", "kn AS (SELECT series, win, r, 1.0::DOUBLE AS t, (1 + coalesce(sum(r) OVER (PARTITION BY series ORDER BY win ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS shape, (1 + win)::DOUBLE AS rate FROM wn)", TAILS, body="SELECT series, win, r, t, shape, rate, round(lo, 6) AS p_lower, round(greatest(0, 1 - lo), 6) AS p_upper, round(least(1, 2 * least(lo, greatest(0, 1 - lo))), 6) AS p_two FROM mp"),
+    "divergence_function": q(TYPE, PT, body="SELECT series, round(var_pop(k) / count(*), 9) AS divergence FROM pp GROUP BY series"),
+}
+
+SQL |= MORE
