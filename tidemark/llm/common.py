@@ -64,6 +64,11 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checked(rows: DataFrame, most: int) -> DataFrame:
+    """rows of a written table, marked for a broadcast if there are ``most`` of them at most."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def hidden(docs: DataFrame, *but: str) -> tuple[DataFrame, list[Column]]:
     """docs with all columns but some under internal names, which can't clash with an operator's; and
     the columns to select to have docs' own names back."""

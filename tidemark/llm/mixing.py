@@ -30,12 +30,14 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, group_key, shuffle_key
+from tidemark.llm.common import checked, durable, group_key, shuffle_key
 
 OUT = ("size", "source_size", "target", "copies", "taken")
 SEED = "mix-1"
 WEIGHTS = (5, 2, 1)
 MOST = 3
+#: Sources, full classes and full sizes are broadcast up to so many, so that whole rows are shuffled once.
+BROADCAST_ROWS = 200_000
 #: A document with over 1 / PARTS of its source's words is drawn before the others.
 PARTS = 100
 #: Rows that should meet in a bucket at most.
@@ -89,7 +91,7 @@ def mix(docs: DataFrame, size: Column, identity: list[Column], source_col: str =
     keyed = durable(keyed.withColumn("__tm_k", size_class(n)), "sized")
     sums = keyed.groupBy("__tm_g").agg(F.first("__tm_source").alias("source"), F.sum("__tm_size").alias("source_size"))
     sources = durable(targets(sums, most=most), "sources")
-    keyed = keyed.drop("__tm_source").join(sources, "__tm_g")
+    keyed = keyed.drop("__tm_source").join(checked(sources, BROADCAST_ROWS), "__tm_g")
     is_large = n * PARTS > F.col("source_size")
 
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -107,6 +109,7 @@ def mix(docs: DataFrame, size: Column, identity: list[Column], source_col: str =
     digits = F.least(F.lit(6), F.greatest(F.lit(1), F.ceil(F.log(16.0, F.col("__tm_n") / bucket_rows)).cast("int")))
     heavy = sizes.where(F.col("__tm_n") > bucket_rows).select("__tm_g", "__tm_size", digits.alias("__tm_d"))
     bucket = F.when(F.col("__tm_many"), F.concat(size_key(n), F.lit(":"), F.when(F.col("__tm_d").isNull(), "").otherwise(F.substring(F.col("__tm_h"), F.lit(1), F.col("__tm_d"))))).otherwise(F.col("__tm_k"))
+    classes, heavy = checked(durable(classes, "classes"), BROADCAST_ROWS), checked(durable(heavy, "heavy"), BROADCAST_ROWS)
     rest = rest.join(classes, ["__tm_g", "__tm_k"], "left").join(heavy, ["__tm_g", "__tm_size"], "left").withColumn("__tm_b", bucket)
     before = Window.partitionBy("__tm_g").orderBy("__tm_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = rest.groupBy("__tm_g", "__tm_b").agg(F.count(F.lit(1)).alias("__tm_n")).withColumn("__tm_before", F.coalesce(F.sum("__tm_n").over(before), F.lit(0))).drop("__tm_n").join(rates, "__tm_g")

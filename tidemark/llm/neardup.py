@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from tidemark.llm.common import SPACED, durable, hidden, py_lower, sliced
+from tidemark.llm.common import SPACED, checked, durable, hidden, py_lower, sliced
 
 #: Positions of a signature.
 POSITIONS = 64
@@ -370,16 +370,11 @@ def _round(reps: DataFrame, texts: DataFrame, trees: int, had: int, n: int, perc
     promising = promising.join(heavy, "head", "left")
     # Texts are read only for documents that may have a partner.
     needed = durable(promising.select("uid").distinct(), "needed")
-    texts = texts.join(_checked(needed), "uid", "left_semi")
+    texts = texts.join(checked(needed, BROADCAST_ROWS), "uid", "left_semi")
     key = F.xxhash64("head", F.pmod(F.xxhash64("leaf"), F.coalesce("cuts", F.lit(1))))
     return _dealt(promising, about.join(texts, "uid"), key, lambda p: _links(p, n, percent), "a long, b long").distinct()
 
 
-def _checked(rows: DataFrame) -> DataFrame:
-    """Row numbers, marked for a broadcast if they are few."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
 def _dealt(leaves: DataFrame, about: DataFrame, key: Column, fn, schema: str) -> DataFrame:
     """Applies fn to leaves, many at a time, so that a task has about TASK_ROWS rows and no leaf is cut."""
     tasks = max(1, leaves.count() // TASK_ROWS)
@@ -451,4 +446,4 @@ def unlike_documents(docs: DataFrame, shingle: int = 5, percent: int = 80, id_co
     best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("uid").alias("uid")))
     chosen = classes.groupBy("c").agg(best.alias("x")).select(F.col("x.uid").alias("uid"))
     gone = durable(classes.join(chosen, "uid", "left_anti").select(F.col("uid").alias("__tm_uid")), "gone")
-    return signed.join(_checked(gone), "__tm_uid", "left_anti").select(*back)
+    return signed.join(checked(gone, BROADCAST_ROWS), "__tm_uid", "left_anti").select(*back)
