@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.series import bucketed_sum
+
 
 def insert_component(theta: Column, at: int, value: Column) -> Column:
     """Position at (from 0) of an array gets a new value."""
@@ -30,14 +32,24 @@ def effective_size(weighted: DataFrame, keys: list[str]) -> DataFrame:
     return weighted.groupBy(*keys).agg((F.sum("w") * F.sum("w") / F.sum(F.col("w") * F.col("w"))).alias("ess"), F.count(F.lit(1)).alias("n"), F.sum((F.col("w") == 0).cast("long")).alias("zero_weights"))
 
 
-def systematic(weighted: DataFrame, keys: list[str], order: list[str], n: Column, u: float) -> DataFrame:
+#: Weights are summed as whole numbers of this many parts of the largest one, so that sums agree in any order.
+WEIGHT_PARTS = 2.0**40
+
+
+def _buckets(order: list[str], bucket: Column | None) -> Column:
+    return F.lit(0) if bucket is None else bucket
+
+
+def systematic(weighted: DataFrame, keys: list[str], order: list[str], n: Column, u: float, bucket: Column | None = None) -> DataFrame:
     """weighted with offspring: how many of n evenly spaced points, shifted by u in [0, 1), fall in
-    the particle's stretch of the cumulative weights. A closed form, no join."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    ranked = weighted.withColumns({"_c": F.sum("w").over(w), "_last": F.lead("w").over(w).isNull()})
-    up = F.when(F.col("_last"), F.lit(1.0)).otherwise(F.least(F.col("_c"), F.lit(1.0)))
-    ends = ranked.withColumn("_n", n).withColumn("_hi", F.ceil(F.col("_n") * up - u))
-    return ends.withColumn("offspring", (F.col("_hi") - F.coalesce(F.lag("_hi").over(w), F.lit(0))).cast("long")).drop("_c", "_last", "_n", "_hi")
+    the particle's stretch of the cumulative weights. A closed form, no join with the points.
+
+    bucket: ascends with the order; given, a key with many particles is many tasks."""
+    parts = F.round(F.col("w") * WEIGHT_PARTS).cast("long")
+    summed = bucketed_sum(weighted.withColumn("_w", parts), {"_before": F.col("_w")}, _buckets(order, bucket), keys, order, before=True)
+    known = summed.join(weighted.groupBy(*keys).agg(F.sum(parts).alias("_all")), keys)
+    points = lambda c: F.greatest(F.lit(0), F.ceil(n * (c / F.col("_all")) - u))
+    return known.withColumn("offspring", (points(F.col("_before") + F.col("_w")) - points(F.col("_before"))).cast("long")).drop("_before", "_w", "_all")
 
 
 def replicate(particles: DataFrame, times: str = "offspring") -> DataFrame:
@@ -45,9 +57,11 @@ def replicate(particles: DataFrame, times: str = "offspring") -> DataFrame:
     return particles.where(F.col(times) > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
 
 
-def zip_particles(a: DataFrame, b: DataFrame, keys: list[str], order_a: list[str], order_b: list[str]) -> DataFrame:
-    """Pairs the i-th particles of both samples; the shorter one is gone through again."""
-    slot = lambda df, order: df.withColumn("slot", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+def zip_particles(a: DataFrame, b: DataFrame, keys: list[str], order_a: list[str], order_b: list[str], bucket: Column | None = None) -> DataFrame:
+    """Pairs the i-th particles of both samples; the shorter one is gone through again.
+
+    bucket: ascends with both orders; given, a key with many particles is many tasks."""
+    slot = lambda df, order: bucketed_sum(df, {"slot": F.lit(1)}, _buckets(order, bucket), keys, order, before=True)
     size = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
     sizes = size(a, "na").join(size(b, "nb"), keys).withColumn("n", F.greatest("na", "nb"))
 

@@ -19,21 +19,28 @@ def _within(keys: list[str], order: list[Column | str]):
     return Window.partitionBy(*keys, "_b").orderBy(*order)
 
 
-def running_sum(df: DataFrame, values: dict[str, Column], width: float, keys: tuple[str, ...] = ("series",), order: tuple[str, ...] = ("t",), reverse: bool = False) -> DataFrame:
-    """df with each named running sum of a value, in order of t (ties by the rest of order), per series."""
-    keys, named = list(keys), {f"_v_{k}": v for k, v in values.items()}
-    df = _bucketed(df.withColumns(named), width)
-    first, last = (0, Window.unboundedFollowing) if reverse else (Window.unboundedPreceding, 0)
+def bucketed_sum(df: DataFrame, values: dict[str, Column], bucket: Column, keys: list[str], order: list[Column | str], reverse: bool = False, before: bool = False) -> DataFrame:
+    """df with each named running sum of a value per key, in an order that the bucket follows: buckets
+    ascend with it. before: what stands before the row, without its own value."""
+    named = {f"_v_{k}": v for k, v in values.items()}
+    df = df.withColumns({**named, "_b": bucket})
+    own = -1 if before else 0
+    first, last = (-own, Window.unboundedFollowing) if reverse else (Window.unboundedPreceding, own)
     outer = Window.partitionBy(*keys).orderBy("_b").rowsBetween(*((1, Window.unboundedFollowing) if reverse else (Window.unboundedPreceding, -1)))
     totals = df.groupBy(*keys, "_b").agg(*[F.sum(v).alias(v) for v in named])
-    before = totals.select(*keys, "_b", *[F.coalesce(F.sum(v).over(outer), F.lit(0)).alias(f"_o{v}") for v in named])
+    ahead = totals.select(*keys, "_b", *[F.coalesce(F.sum(v).over(outer), F.lit(0)).alias(f"_o{v}") for v in named])
     inner = _within(keys, list(order)).rowsBetween(first, last)
-    out = df.join(before, [*keys, "_b"])
+    out = df.join(ahead, [*keys, "_b"])
     for k, v in zip(values, named, strict=True):
-        out = out.withColumn(k, F.col(f"_o{v}") + F.sum(v).over(inner))
+        out = out.withColumn(k, F.col(f"_o{v}") + F.coalesce(F.sum(v).over(inner), F.lit(0)))
     return out.drop("_b", *named, *[f"_o{v}" for v in named])
 
 
+def running_sum(df: DataFrame, values: dict[str, Column], width: float, keys: tuple[str, ...] = ("series",), order: tuple[str, ...] = ("t",), reverse: bool = False) -> DataFrame:
+    """df with each named running sum of a value, in order of t (ties by the rest of order), per series."""
+    return bucketed_sum(df, values, F.floor(F.col("t") / width), list(keys), list(order), reverse)
+
+
 def previous(df: DataFrame, value: str, out: str, width: float, keys: tuple[str, ...] = ("series",), order: tuple[str, ...] = ("t",)) -> DataFrame:
     """df with the value of the row before, in order of t; null for a series' first row."""
     keys = list(keys)

@@ -20,6 +20,8 @@ END, SEGMENTS = 30.0, 10
 #: Days in a bucket of two-level running sums.
 BUCKET = 1.0
 ALPHA = BETA = 0.1
+#: Particle numbers in a bucket of two-level ranks.
+PARTICLES = 1000
 
 
 def final(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -430,7 +432,7 @@ def ess(spark, d):
 def systematic_resample(spark, d):
     w = particles.normalised(pseudo_particles(spark, d), ["series"])
     # Sums in another order differ in the last bits: an offset away from the steps' multiples keeps counts equal.
-    return final(particles.systematic(w, ["series"], ["particle"], F.lit(1000), 0.37).select("series", "particle", "offspring"))
+    return final(particles.systematic(w, ["series"], ["particle"], F.lit(1000), 0.37, F.floor(F.col("particle") / PARTICLES)).select("series", "particle", "offspring"))
 
 
 def particle_edits(spark, d):
@@ -443,7 +445,7 @@ def particle_edits(spark, d):
 def particle_join(spark, d):
     p = pseudo_particles(spark, d)
     a, b = p.where(F.col("particle") % 2 == 0).select("series", "particle", "k", "log_w"), p.where(F.col("particle") % 2 == 1).select("series", "particle", "k", "log_w")
-    z = particles.zip_particles(a, b, ["series"], ["particle"], ["particle"])
+    z = particles.zip_particles(a, b, ["series"], ["particle"], ["particle"], F.floor(F.col("particle") / PARTICLES))
     return final(z.select("series", "slot", "particle", "b_particle", (F.col("k") + F.col("b_k")).alias("k"), particles.joined_weight(F.col("log_w"), F.col("b_log_w"), F.lit(0.5), F.lit(0.25)).alias("log_w")))
 
 
