@@ -104,6 +104,26 @@ def test_smc_spacing(spark):
     assert near and all(b - a >= 0.4 - 1e-12 for r in near for a, b in zip(r["theta"], r["theta"][1:], strict=False))
 
 
+def test_rising_rates(spark):
+    ev = spark.createDataFrame([("a", t) for t in EVENTS], "series string, t double")
+    cfg = kernels.SamplerConfig(iterations=6000, burn_in=200, nu=NU)
+    got = samplers.reversible_jump(ev, ev.select("series").distinct(), 0.0, END, cfg, alpha=1.0, beta=1.0, rising=True).collect()
+    assert 50 < len(got) < 600 and all(a <= b for r in got for a, b in zip(r["means"], r["means"][1:], strict=False))
+
+
+def test_smc_with_budget(spark):
+    rng = np.random.default_rng(9)
+    busy = [("busy", float(t)) for t in np.sort(np.r_[rng.uniform(0, 1, 40), rng.uniform(3, 4, 40)])]
+    ev = spark.createDataFrame(busy + [("calm", 2.0)], "series string, t double")
+    dim = spark.createDataFrame([("busy",), ("calm",), ("empty",)], "series string")
+    cfg = kernels.SamplerConfig(iterations=1000, burn_in=100, thinning=5, nu=0.5)
+    sizes = samplers.adaptive_sizes(ev, dim, 0.0, END, 2, 90, 20, cfg, 10, 1.0, 1.0)
+    n = {(r["series"], r["interval"]): r["n"] for r in sizes.collect()}
+    assert len(n) == 6 and all(sum(n[s, i] for s in ("busy", "calm", "empty")) == 150 for i in (0, 1)) and min(n.values()) >= 20
+    smc = samplers.sequential_monte_carlo(ev, dim, 0.0, END, 2, 50, kernels.SamplerConfig(burn_in=100, thinning=2, nu=0.5), 1.0, 1.0, sizes=sizes)
+    assert {(r["series"], r["interval"]): r["count"] for r in smc.groupBy("series", "interval").count().collect()} == n
+
+
 def test_rate_draws(spark):
     seg = spark.range(4000).selectExpr("'a' AS series", "CAST(id AS INT) AS j", "7 AS r", "2.0D AS length")
     a, b = (sorted((r["j"], r["rate"]) for r in samplers.draw_rates(x, ["series", "j"], alpha=1.0, beta=1.0).collect()) for x in (seg, seg.repartition(7)))

@@ -55,6 +55,11 @@ class PoissonModel:
             return 0.0
         return self.alpha * math.log(self.beta) + (math.lgamma(self.alpha + n) - math.lgamma(self.alpha) if n else 0.0) - (self.alpha + n) * math.log(self.beta + length)
 
+    def draw(self, a: float, b: float, rng: np.random.Generator) -> float:
+        """A rate of the segment's posterior."""
+        length = self.scale(b) - self.scale(a) if self.scale else b - a
+        return float(rng.gamma(self.alpha + self.index(b) - self.index(a), 1 / (self.beta + length)))
+
     def mean(self, a: float, b: float) -> float:
         length = self.scale(b) - self.scale(a) if self.scale else b - a
         return (self.alpha + self.index(b) - self.index(a)) / (self.beta + length)

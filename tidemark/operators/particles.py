@@ -96,24 +96,29 @@ def best_per_dimension(particles: DataFrame, keys: list[str], value: str, k: str
     return particles.groupBy(*keys, k).agg(best, F.count(F.lit(1)).alias("n")).select(*keys, k, f"_best.{tie}", f"_best.{value}", "n")
 
 
-def greedy_allocation(scores: DataFrame, budget: int, buckets: int = 4096) -> DataFrame:
-    """How many extensions each process gets if one at a time goes to the largest score.
+def greedy_allocation(scores: DataFrame, budget: int, keys: tuple[str, ...] = (), buckets: int = 4096) -> DataFrame:
+    """How many extensions each process gets if one at a time goes to the largest score; of each of the
+    keys' groups, if there are keys, with a budget each.
 
-    scores: (process, step, score), the score that a process has before its step-th extension. The
+    scores: (keys, process, step, score), the score that a process has before its step-th extension. The
     greedy order is that of the running minimum of each process's scores, ties by process and step;
     so the choice is the ``budget`` largest of those. Counts by bucket of value say in which bucket the
     budget ends: what lies above is taken whole, and only that bucket's rows are ranked."""
-    low = F.min("score").over(Window.partitionBy("process").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    keys = list(keys)
+    low = F.min("score").over(Window.partitionBy(*keys, "process").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
     range_ = scores.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
     known = scores.withColumn("low", low).crossJoin(F.broadcast(range_))
     share = F.when(F.col("_hi") > F.col("_lo"), (F.col("low") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
     known = known.withColumn("_b", F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int")).drop("_lo", "_hi")
-    above = known.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_above", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = known.join(F.broadcast(above), "_b").where(F.col("_above") < budget)
+    higher = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    above = known.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_above", F.coalesce(F.sum("_n").over(higher), F.lit(0)))
+    placed = known.join(above, [*keys, "_b"]).where(F.col("_above") < budget)
     whole = placed.where(F.col("_above") + F.col("_n") <= budget)
-    last = placed.where(F.col("_above") + F.col("_n") > budget).withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(F.desc("low"), "process", "step"))).where(F.col("_above") + F.col("_r") <= budget)
-    chosen = whole.select("process").unionByName(last.select("process")).groupBy("process").agg(F.count(F.lit(1)).alias("extensions"))
-    return scores.select("process").distinct().join(chosen, "process", "left").fillna(0, ["extensions"])
+    rank = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(F.desc("low"), "process", "step"))
+    last = placed.where(F.col("_above") + F.col("_n") > budget).withColumn("_r", rank).where(F.col("_above") + F.col("_r") <= budget)
+    own = [*keys, "process"]
+    chosen = whole.select(*own).unionByName(last.select(*own)).groupBy(*own).agg(F.count(F.lit(1)).alias("extensions"))
+    return scores.select(*own).distinct().join(chosen, own, "left").fillna(0, ["extensions"])
 
 
 def greedy_duplication(weighted: DataFrame, keys: list[str], extra: int, particle: str = "particle") -> DataFrame:

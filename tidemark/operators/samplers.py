@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.kernels import CountModel, GaussianModel, PoissonModel, SamplerConfig, draw_prior, rejection, run_chain, run_shot_noise, systematic_counts
+from tidemark.operators.kernels import CountModel, GaussianModel, PoissonModel, SamplerConfig, draw_prior, monotone, rejection, run_chain, run_shot_noise, systematic_counts
+from tidemark.operators.particles import greedy_allocation
 
 #: What the models of each kind of series read.
 COLUMNS = {"poisson": ["t"], "counts": ["seq", "n"], "gaussian": ["seq", "y"]}
@@ -33,13 +34,15 @@ def _model(kind: str, pdf: pd.DataFrame, alpha: float, beta: float, v: float, sc
 
 
 def _with_empty(events: DataFrame, series: DataFrame, columns: list[str]) -> DataFrame:
-    return series.select("series", *[c for c in series.columns if c == "end"]).join(events.select("series", *columns), "series", "left")
+    return series.select("series", *[c for c in series.columns if c in ("end", "sizes")]).join(events.select("series", *columns), "series", "left")
 
 
-def reversible_jump(events: DataFrame, series: DataFrame, start: float, end: float, cfg: SamplerConfig, kind: str = "poisson", chains: int = 1, alpha: float = 0.1, beta: float = 0.1, v: float = 10.0, scale=None) -> DataFrame:
+def reversible_jump(events: DataFrame, series: DataFrame, start: float, end: float, cfg: SamplerConfig, kind: str = "poisson", chains: int = 1, alpha: float = 0.1, beta: float = 0.1, v: float = 10.0, scale=None, rising: bool = False) -> DataFrame:
     """Posterior changepoint samples (PARTICLES) of each series and chain.
 
-    A column ``end`` of the series dimension is a series' own end, in place of the common one. kind: poisson (t), counts (seq, n) or gaussian (seq, y). scale: cumulative time scale, a function of t."""
+    A column ``end`` of the series dimension is a series' own end, in place of the common one. kind: poisson (t), counts (seq, n) or gaussian (seq, y). scale: cumulative time scale, a function of t.
+    rising: segments' rates are drawn from their posteriors (means holds them), and states are kept only
+    where no rate falls below the one before."""
     rows = _with_empty(events, series, COLUMNS[kind]).withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
     common = end
 
@@ -47,11 +50,14 @@ def reversible_jump(events: DataFrame, series: DataFrame, start: float, end: flo
         name, chain = key
         end = float(pdf["end"].iloc[0]) if "end" in pdf else common
         model = _model(kind, pdf.dropna(), alpha, beta, v, scale)
-        kept, _ = run_chain(model, start, end, cfg, generator(cfg.seed, name, chain))
+        rng = generator(cfg.seed, name, chain)
+        kept, _ = run_chain(model, start, end, cfg, rng)
         out = []
         for it, theta, post in kept:
             ends = [start, *theta, end]
-            out.append((name, chain, it, len(theta), theta, [model.mean(a, b) for a, b in zip(ends, ends[1:], strict=False)], post))
+            means = [model.draw(a, b, rng) if rising else model.mean(a, b) for a, b in zip(ends, ends[1:], strict=False)]
+            if not rising or monotone(means):
+                out.append((name, chain, it, len(theta), theta, means, post))
         return pd.DataFrame(out, columns=["series", "chain", "iteration", "k", "theta", "means", "log_post"])
 
     return rows.groupBy("series", "chain").applyInPandas(run, PARTICLES)
@@ -101,7 +107,7 @@ def prior_sample(series: DataFrame, start: float, end: float, nu: float, n: int,
 SMC = "series string, interval int, particle long, k int, theta array<double>, w double, ess double, resampled boolean"
 
 
-def sequential_monte_carlo(events: DataFrame, series: DataFrame, start: float, end: float, intervals: int, n: int, cfg: SamplerConfig, alpha: float = 0.1, beta: float = 0.1, threshold: float = 0.5, moves: int = 5, full_history: bool = False, kind: str = "poisson", v: float = 10.0, look_back: bool = True) -> DataFrame:
+def sequential_monte_carlo(events: DataFrame, series: DataFrame, start: float, end: float, intervals: int, n: int, cfg: SamplerConfig, alpha: float = 0.1, beta: float = 0.1, threshold: float = 0.5, moves: int = 5, full_history: bool = False, kind: str = "poisson", v: float = 10.0, sizes: DataFrame | None = None, look_back: bool = True) -> DataFrame:
     """Weighted particles of each series after each of consecutive windows.
 
     A window's changepoints are drawn by a chain on the window, whose first segment begins (with
@@ -110,16 +116,28 @@ def sequential_monte_carlo(events: DataFrame, series: DataFrame, start: float, e
     the two that it replaces. Where the effective size falls under threshold * n, particles are
     resampled systematically and moved by a few chain steps over their whole history. With
     full_history, each window is instead sampled from the start, with equal weights. kind: as for
-    reversible_jump. With cfg.spacing, particles whose joined changepoints lie closer lose their weight."""
-    width = (end - start) / intervals
+    reversible_jump. With cfg.spacing, particles whose joined changepoints lie closer lose their weight.
+    sizes: (series, interval, n), the number of particles of each window in place of n; where it
+    changes, particles are resampled to the new number."""
+    width, common = (end - start) / intervals, n
+    if sizes is not None:
+        # As many numbers as intervals for each series.
+        lists = sizes.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("interval", "n"))).alias("_x")).select("series", F.col("_x.n").alias("sizes"))
+        series = series.join(lists, "series", "left").withColumn("sizes", F.coalesce("sizes", F.array_repeat(F.lit(n).cast("long"), intervals)))
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         name = key[0]
-        model, out = _model(kind, pdf.dropna(), alpha, beta, v, None), []
-        past, log_w, ll = [[] for _ in range(n)], np.zeros(n), model.loglik
+        model, out = _model(kind, pdf.drop(columns="sizes", errors="ignore").dropna(), alpha, beta, v, None), []
+        past, log_w, ll = [[] for _ in range(common)], np.zeros(common), model.loglik
+        own = pdf["sizes"].iloc[0] if "sizes" in pdf else None
         for i in range(intervals):
             a, b = start + i * width, start + (i + 1) * width
             rng = generator(cfg.seed, name, i)
+            n = int(own[i]) if own is not None else common
+            if len(past) != n:
+                w = np.exp(log_w - log_w.max())
+                past = [past[p] for p in np.repeat(np.arange(len(past)), systematic_counts(w, n, rng.random()))]
+                log_w = np.zeros(n)
             window = SamplerConfig(**{**cfg.__dict__, "iterations": n * cfg.thinning, "move_width": cfg.move_width or width / 3})
             first_from = a
             if i and look_back and not full_history:
@@ -156,6 +174,22 @@ def sequential_monte_carlo(events: DataFrame, series: DataFrame, start: float, e
     return _with_empty(events, series, COLUMNS[kind]).groupBy("series").applyInPandas(run, SMC)
 
 
+def adaptive_sizes(events: DataFrame, series: DataFrame, start: float, end: float, intervals: int, budget: int, least: int, cfg: SamplerConfig, bins: int = 50, alpha: float = 0.1, beta: float = 0.1) -> DataFrame:
+    """(series, interval, n): how many particles each series takes in each window, when each window's
+    budget goes, one particle at a time, to the series of the largest extent score; ``least`` for each at first.
+
+    A pilot chain on each window gives the scores; cfg.iterations / cfg.thinning is the most that a series can get."""
+    width = (end - start) / intervals
+    name = lambda i: F.concat_ws(":", "series", i.cast("string"))
+    at = F.floor((F.col("t") - start) / width).cast("int")
+    local = events.where((F.col("t") >= start) & (F.col("t") < end)).select(name(at).alias("series"), (F.col("t") - start - at * width).alias("t"))
+    windows = series.select("series", F.explode(F.sequence(F.lit(0), F.lit(intervals - 1))).alias("interval")).withColumn("window", name(F.col("interval")))
+    sample = reversible_jump(local, windows.select(F.col("window").alias("series")), 0.0, width, cfg, alpha=alpha, beta=beta)
+    scores = score_trajectories(sample, 0.0, width, bins, least).join(windows.select(F.col("window").alias("process"), "interval"), "process")
+    given = greedy_allocation(scores, budget, ("interval",)).select(F.col("process").alias("window"), "extensions")
+    return windows.join(given, "window", "left").select("series", "interval", (F.lit(least) + F.coalesce("extensions", F.lit(0))).cast("long").alias("n"))
+
+
 def interval_summary(sample: DataFrame) -> DataFrame:
     """Of each series and interval: effective size, mean number and mean last position of changepoints."""
     last = F.coalesce(F.element_at("theta", F.when(F.size("theta") > 0, -1)), F.lit(0.0))

@@ -109,6 +109,19 @@ def smc_adaptive(spark: SparkSession, d: str) -> DataFrame:
     return particles.greedy_allocation(samplers.score_trajectories(sample, 0.0, END, 50, 50), 3000)
 
 
+def smc_budgeted(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries of particles whose number in each window follows from one budget over all users."""
+    ev = event_series(spark, d, "user_id")
+    users = series_of(ev)
+    sizes = samplers.adaptive_sizes(ev, users, 0.0, END, 5, 3000, 20, SamplerConfig(iterations=1000, burn_in=100, thinning=10, nu=1 / 10))
+    return samplers.interval_summary(samplers.sequential_monte_carlo(ev, users, 0.0, END, 5, 50, SamplerConfig(burn_in=100, thinning=2, nu=1 / 10), sizes=sizes))
+
+
+def rj_rising(spark: SparkSession, d: str) -> DataFrame:
+    ev = event_series(spark, d, "user_id")
+    return samplers.reversible_jump(ev, series_of(ev), 0.0, END, CFG, rising=True)
+
+
 def map_polished(spark: SparkSession, d: str) -> DataFrame:
     ev = event_series(spark, d, "user_id")
     sample = samplers.reversible_jump(ev, series_of(ev), 0.0, END, CFG)
@@ -133,4 +146,4 @@ def stream_pvalues(spark: SparkSession, d: str) -> DataFrame:
     return final(predictive.tails(rows, "r", "t", "shape", "rate"))
 
 
-QUERIES = {f.__name__: f for f in (rj_poisson, rj_gaussian, rj_counts, rj_shot_noise, rj_acceptance, rejection_sample, smc_gaussian, smc_counts, rate_draws, prior_sample, smc_poisson, smc_full_history, smc_summary, smc_adaptive, map_polished, stream_pvalues)}
+QUERIES = {f.__name__: f for f in (rj_poisson, rj_gaussian, rj_counts, rj_shot_noise, rj_acceptance, rejection_sample, smc_gaussian, smc_counts, smc_budgeted, rj_rising, rate_draws, prior_sample, smc_poisson, smc_full_history, smc_summary, smc_adaptive, map_polished, stream_pvalues)}
