@@ -86,17 +86,17 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) ->
             yield b.slice(i, step)
 
 
-def map_texts(df: DataFrame, text: str, keep: Sequence[str], fn: Callable[[list[str]], dict], schema: str) -> DataFrame:
+def map_texts(df: DataFrame, text: str, keep: Sequence[str], fn: Callable[[list[str]], dict], schema: str, most: int = 8 << 20) -> DataFrame:
     """Applies fn (texts -> columns of as many values) batch by batch; ``keep`` columns pass by.
 
-    schema: the DDL of fn's columns, in order."""
+    schema: the DDL of fn's columns, in order. most: bytes of text in a batch, beyond its first text."""
     keep = [c for c in dict.fromkeys(keep)]
     src = df.select(*[F.col(c) for c in keep], F.coalesce(F.col(text), F.lit("")).alias("__tm_text"))
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     out = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in src.schema.fields[:-1])}, {schema}" if keep else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "__tm_text"):
+        for b in sliced(batches, "__tm_text", most):
             made = fn(b.column(b.num_columns - 1).to_pylist())
             arrays = [*(b.column(i) for i in range(len(keep))), *(pa.array(made[f.name], type=f.type) for f in arrow)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *(f.name for f in arrow)])
