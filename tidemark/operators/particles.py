@@ -106,10 +106,9 @@ def greedy_allocation(scores: DataFrame, budget: int, keys: tuple[str, ...] = ()
     budget ends: what lies above is taken whole, and only that bucket's rows are ranked."""
     keys = list(keys)
     low = F.min("score").over(Window.partitionBy(*keys, "process").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
-    range_ = scores.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-    known = scores.withColumn("low", low).crossJoin(F.broadcast(range_))
-    share = F.when(F.col("_hi") > F.col("_lo"), (F.col("low") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
-    known = known.withColumn("_b", F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int")).drop("_lo", "_hi")
+    lo, hi = scores.agg(F.min("score"), F.max("score")).first()
+    share = (F.col("low") - lo) / (hi - lo) if lo is not None and hi > lo else F.lit(0.0)
+    known = scores.withColumn("low", low).withColumn("_b", F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int"))
     higher = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     above = known.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_above", F.coalesce(F.sum("_n").over(higher), F.lit(0)))
     placed = known.join(above, [*keys, "_b"]).where(F.col("_above") < budget)
