@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, decontamination, licenses, maxent, mixing, neardup, quality, secrets, sharding, sql, tokens
+from tidemark.llm import ann, decontamination, licenses, maxent, mixing, neardup, quality, recompress, secrets, sharding, spelling, sql, tokens, turntrie
 from tidemark.llm.common import SPACED, table
 
 N_SHARDS = 24
@@ -59,8 +59,20 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.digests(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turntrie.prefix_nodes(turntrie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_nearest_neighbours, op3_sharding, op4_quality, op5_decontamination, op6_token_counts, op7_lm_score, op8_license_scan, op9_mixing, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_nearest_neighbours, op3_sharding, op4_quality, op5_decontamination, op6_token_counts, op7_lm_score, op8_license_scan, op9_mixing, op10_near_duplicates, op11_substring_dedup, op12_spelling_variants, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, sharding
+from tidemark.llm import mixing, recompress, sharding, spelling
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -10,10 +10,18 @@ SPACED = r"[^\x20\x09-\x0D]+"
 
 # CRC-32 of the UTF-8 bytes: the table follows from the reversed polynomial, then one step for each byte.
 _STEP = "lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
-CRC = f"""crc_table AS (SELECT list(list_reduce(list_concat([n::UBIGINT], list_transform(range(8), lambda _: 0::UBIGINT)), {_STEP}) ORDER BY n) AS v FROM range(256) r(n)),
+TABLE = f"crc_table AS (SELECT list(list_reduce(list_concat([n::UBIGINT], list_transform(range(8), lambda _: 0::UBIGINT)), {_STEP}) ORDER BY n) AS v FROM range(256) r(n))"
+
+
+def crc(digits: str, n: str) -> str:
+    """CRC-32 of n bytes, given as hex digits; needs v of TABLE."""
+    return f"""xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(range({n}), lambda i: ('0x' || substr({digits}, 2 * i + 1, 2))::UBIGINT)),
+   lambda c, b: xor(c >> 8, v[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT"""
+
+
+CRC = f"""{TABLE},
  sized AS (SELECT doc_id, source, coalesce(text, '') AS text, octet_length(encode(coalesce(text, '')))::BIGINT AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
- crced AS (SELECT doc_id, source, n, xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(n), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::UBIGINT)),
-   lambda c, b: xor(c >> 8, v[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS crc FROM sized, crc_table)"""
+ crced AS (SELECT doc_id, source, n, {crc("h", "n")} AS crc FROM sized, crc_table)"""
 
 OP3 = f"""WITH {CRC},
  ranked AS (SELECT *, coalesce('=' || source, '') AS g, md5('{sharding.SEED}' || ':' || coalesce(doc_id::VARCHAR, '') || ':' || crc) AS k FROM crced),
@@ -43,4 +51,42 @@ OP9 = f"""WITH d AS (SELECT doc_id, source, coalesce('=' || source, '') AS g, le
    SELECT doc_id, size, source_size, target, CAST(floor(rn * v.rate + {mixing.offset(mixing.SEED)!r}) - floor((rn - 1) * v.rate + {mixing.offset(mixing.SEED)!r}) AS BIGINT) FROM o JOIN v ON v.g = o.g WHERE NOT large)
  SELECT doc_id, size, source_size, target, c * size AS taken FROM z"""
 
-SQL: dict[str, str] = {"op3_sharding": OP3, "op5_decontamination": OP5, "op9_mixing": OP9}
+OP11 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w FROM documents),
+ starts AS (SELECT r, i, md5(array_to_string(w[i:i + {recompress.WINDOW - 1}], ' ')) AS k FROM (SELECT r, w, unnest(range(1, len(w) - {recompress.WINDOW - 2})) AS i FROM d WHERE len(w) >= {recompress.WINDOW})),
+ again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS c FROM starts) WHERE c > 1),
+ gone AS (SELECT DISTINCT r, unnest(range(i, i + {recompress.WINDOW})) AS j FROM again),
+ kept AS (SELECT r, string_agg(x, ' ' ORDER BY j) AS t, count(*) AS n FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM d) ANTI JOIN gone USING (r, j) GROUP BY r)
+ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
+
+OP12 = f"""WITH RECURSIVE {TABLE},
+ runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+ each AS (SELECT id, run, count(*) AS c FROM runs WHERE length(run) >= {spelling.LETTERS} GROUP BY id, run),
+ crced AS (SELECT run, c, {crc("hex(encode(id || ':' || run))", "octet_length(encode(id || ':' || run))")} AS h FROM each, crc_table),
+ words AS (SELECT word, sum(c)::BIGINT AS n FROM (SELECT CASE WHEN h % {spelling.DAMAGED} = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM crced) WHERE length(word) >= {spelling.LETTERS} GROUP BY word HAVING sum(c) >= {spelling.LEAST}),
+ holes AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+ pairs AS (SELECT a.word, b.word AS other, b.n FROM holes a JOIN holes b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+   UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON a.rest = b.word),
+ near AS (SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS best, max(n) AS best_n FROM pairs GROUP BY word),
+ formed AS (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= {spelling.FACTOR} * n THEN best END AS form, CASE WHEN best_n >= {spelling.FACTOR} * n THEN best_n END AS form_n FROM words LEFT JOIN near USING (word)),
+ chain AS (SELECT word, word AS root FROM formed UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL),
+ ends AS (SELECT c.word, c.root FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NULL)
+ SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)"""
+
+OP13 = f"""WITH {TABLE},
+ t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p FROM conversations WHERE conv_id IS NOT NULL),
+ c AS (SELECT conv_id, {crc("hex(encode(conv_id::VARCHAR))", "octet_length(encode(conv_id::VARCHAR))")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t), crc_table),
+ made AS (SELECT c.conv_id, 0 AS part, p, r, x FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND p <= h UNION ALL SELECT c.conv_id, 1, p, r, x FROM c JOIN t ON t.conv_id = c.conv_id AND p > h),
+ prefixes AS (SELECT conv_id, x, row_number() OVER o AS depth, md5(string_agg(length(r) || ':' || r || length(x) || ':' || x, '') OVER o) AS k FROM made WINDOW o AS (PARTITION BY conv_id ORDER BY part, p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ members AS (SELECT conv_id, '' AS x, 0 AS depth, '' AS k FROM c UNION ALL SELECT conv_id, x, depth, k FROM prefixes),
+ placed AS (SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY depth) AS up, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM members),
+ nodes AS (SELECT depth, k, any_value(up) AS up, min(conv_id) AS low, count(*) AS n, len(regexp_extract_all(any_value(x), '{SPACED}')) AS words, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends) AS ids FROM placed GROUP BY depth, k),
+ kids AS (SELECT up AS k, depth - 1 AS depth, count(*) AS m FROM nodes WHERE depth > 0 GROUP BY up, depth),
+ known AS (SELECT nodes.*, coalesce(m, 0) AS m FROM nodes LEFT JOIN kids USING (depth, k)),
+ -- Each node's own share lies on the path of its smallest member.
+ shares AS (SELECT conv_id, depth, k, sum(CASE WHEN low = conv_id THEN (n - 1) * words ELSE 0 END) OVER u AS saved, sum(CASE WHEN low = conv_id AND m = 0 THEN 1 ELSE 0 END) OVER u AS leaves
+   FROM placed JOIN known USING (depth, k) WINDOW u AS (PARTITION BY conv_id ORDER BY depth DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ sums AS (SELECT depth, k, sum(saved)::BIGINT AS saved, sum(leaves)::BIGINT AS leaves FROM shares GROUP BY depth, k)
+ SELECT a.low AS conv_id, a.depth::BIGINT AS depth, b.low AS parent_conv_id, a.n::BIGINT AS n_convs, a.m::BIGINT AS n_children, leaves AS n_leaves, saved AS saved_tokens, sha256(coalesce(a.ids, '')) AS ends_sha256
+ FROM known a JOIN sums USING (depth, k) LEFT JOIN known b ON b.depth = a.depth - 1 AND b.k = a.up"""
+
+SQL: dict[str, str] = {"op3_sharding": OP3, "op5_decontamination": OP5, "op9_mixing": OP9, "op11_substring_dedup": OP11, "op12_spelling_variants": OP12, "op13_prefix_trie": OP13}
