@@ -39,7 +39,7 @@ WINDOW = 35
 #: Rounds of pairs; a run round precedes those named. A symbol grows by a third in each.
 ROUNDS, RUN_ROUNDS = 5, (0,)
 #: Bytes of text that a task names at once, and of packed windows that one compares at once.
-BATCH_BYTES, BUCKET_BYTES = 6 << 20, 16 << 20
+BATCH_BYTES, BUCKET_BYTES = 3 << 20, 8 << 20
 #: Packed bytes for each byte of text, about.
 PACKED = 1.3
 
