@@ -5,7 +5,8 @@ from compare import connect, differences
 
 from tidemark.plans import registry
 
-SF = "/root/testdata/sf0.001"
+#: The driver compares on this one.
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")

@@ -103,3 +103,22 @@ def step_of_means(segments: DataFrame, keys: list[str], normalise: bool = False)
 def time_scale(trend: StepFunction | None, season: StepFunction | None, third: StepFunction | None = None) -> list[StepFunction]:
     """The factors of a time scale: those that are there; a missing trend leaves the season alone."""
     return [f for f in (trend, season, third) if f is not None]
+
+
+def profile_integral(rows: DataFrame, profiles: DataFrame, period: float, t: str = "t", out: str = "scaled") -> DataFrame:
+    """rows (series, t) with the integral from 0 to t of each series' own periodic step function.
+
+    profiles: (series, knot, height), with a knot at 0 for each series. A series' knots are one row, bounded by
+    its profile; a series without a profile keeps its time as it is."""
+    knots = profiles.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("knot", "height"))).alias("_k"))
+    # Each knot with the integral up to it, and the whole period's.
+    ends = F.concat(F.slice(F.transform("_k", lambda k: k["knot"]), F.lit(2), F.size("_k")), F.array(F.lit(period)))
+    areas = F.transform(F.arrays_zip(F.col("_k").alias("k"), ends.alias("e")), lambda x: x["k"]["height"] * (x["e"] - x["k"]["knot"]))
+    sums = F.aggregate(areas, F.array(F.lit(0.0)), lambda s, a: F.concat(s, F.array(F.element_at(s, -1) + a)))
+    prepared = knots.select("series", "_k", sums.alias("_s"))
+    n = F.when(F.col(t) > period, F.floor(F.col(t) / period)).otherwise(0)
+    x = F.col(t) - n * period
+    at = F.size(F.filter("_k", lambda k: k["knot"] <= x))
+    own = F.element_at("_k", at)
+    value = n * F.element_at("_s", -1) + F.element_at("_s", at) + (x - own["knot"]) * own["height"]
+    return rows.join(prepared, "series", "left").withColumn(out, F.when(F.col("_k").isNull(), F.col(t)).otherwise(value)).drop("_k", "_s")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.special import chi2_upper_even, lgamma
+from tidemark.functions.special import beta_inc, beta_inc_array, chi2_upper_even, lgamma
 from tidemark.functions.timescale import StepFunction
 from tidemark.operators.series import previous, running_sum
 
@@ -17,16 +21,10 @@ def log_pmf(r: Column, t: Column, shape: Column, rate: Column) -> Column:
 
 
 def cdf_below(r: Column, t: Column, shape: Column, rate: Column) -> tuple[Column, Column]:
-    """P(X < r) and P(X = r), by running down from the probability of r, which doesn't underflow where that of 0 would."""
-    q = t / (rate + t)
-    at = F.exp(log_pmf(r, t, shape, rate))
-    end = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(r.cast("int"), F.lit(1))),
-        F.struct(F.lit(0.0).alias("below"), at.alias("at")),
-        # The i-th step goes from r - i + 1 down to r - i.
-        lambda a, i: F.when(i > r, a).otherwise(F.struct((a["below"] + a["at"] * (r - i + 1) / (q * (shape + r - i))).alias("below"), (a["at"] * (r - i + 1) / (q * (shape + r - i))).alias("at"))),
-    )
-    return end["below"], at
+    """P(X < r) and P(X = r); the first is an incomplete beta function, so a large r costs no more terms than its root."""
+    n = r.cast("double")
+    below = F.when(n > 0, beta_inc(shape, F.greatest(n, F.lit(1.0)), rate / (rate + t))).otherwise(0.0)
+    return below, F.exp(log_pmf(r, t, shape, rate))
 
 
 def tails(windows: DataFrame, r: str, t: str, shape: str, rate: str) -> DataFrame:
@@ -38,6 +36,74 @@ def tails(windows: DataFrame, r: str, t: str, shape: str, rate: str) -> DataFram
     return out.withColumn("p_two", F.least(F.lit(1.0), 2 * F.least("p_lower", "p_upper")))
 
 
+#: Tails that differ by this part of their size at most are equal ones.
+SAME = 1e-10
+
+
+def _matching(edge: np.ndarray, tail: Callable[[np.ndarray], np.ndarray], to: np.ndarray, sign: int) -> np.ndarray:
+    """The first whole number from edge on, in the direction of sign, where the falling tail is at most ``to``;
+    -1 where there is none on the way to 0."""
+    step, at = np.ones_like(edge), edge.copy()
+    inside = lambda i: np.where(i >= 0, tail(np.maximum(i, 0)), 0.0) <= to
+    far = at + sign * step
+    while not (done := inside(far)).all():
+        step = np.where(done, step, 2 * step)
+        far = np.where(done, far, at + sign * step)
+    near = at
+    while (np.abs(far - near) > 1).any():
+        mid = near + np.trunc((far - near) / 2)
+        ok = inside(mid)
+        far, near = np.where(ok & (np.abs(far - near) > 1), mid, far), np.where(ok | (np.abs(far - near) <= 1), near, mid)
+    return np.where(inside(near), near, np.maximum(far, -1))
+
+
+def two_sided_masses(r: np.ndarray, t: np.ndarray, shape: np.ndarray, rate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(g < g_r) and P(g <= g_r) of the predictive distribution, g_i being the smaller of P(X <= i) and P(X >= i).
+
+    P(X <= i) rises and P(X >= i) falls in i, so the numbers with a smaller g are those beyond r on its own
+    side, and those from a matching point on the other side on, which is found by doubling and halving."""
+    q = rate / (rate + t)
+    up = lambda i: beta_inc_array(shape, i + 1, q)  # noqa: E731  P(X <= i)
+    down = lambda i: np.where(i > 0, beta_inc_array(np.maximum(i, 1), shape, 1 - q), 1.0)  # noqa: E731  P(X >= i)
+    r = r.astype(float)
+    low, high = up(r), down(r)
+    is_low = low <= high
+    g = np.where(is_low, low, high)
+    out = []
+    for own, limit in ((np.where(is_low, np.where(r > 0, up(np.maximum(r - 1, 0)), 0.0), down(r + 1)), g * (1 - SAME)), (g, g * (1 + SAME))):
+        above = _matching(r + 1, down, limit, 1)
+        below = _matching(np.maximum(r - 1, -1), up, limit, -1)
+        out.append(np.minimum(1.0, own + np.where(is_low, down(above), np.where(below >= 0, up(np.maximum(below, 0)), 0.0))))
+    return out[0], out[1]
+
+
+def two_sided(windows: DataFrame, r: str, t: str, shape: str, rate: str) -> DataFrame:
+    """windows with p_less and p_most, the ends of the p-value's interval, and p_mid between them."""
+
+    @F.pandas_udf("p_less double, p_most double")
+    def masses(r: pd.Series, t: pd.Series, shape: pd.Series, rate: pd.Series) -> pd.DataFrame:
+        less, most = two_sided_masses(*(x.to_numpy(float) for x in (r, t, shape, rate))) if len(r) else ([], [])
+        return pd.DataFrame({"p_less": less, "p_most": most})
+
+    found = windows.withColumn("_m", masses(*(F.col(c).cast("double") for c in (r, t, shape, rate))))
+    return found.select(*windows.columns, "_m.p_less", "_m.p_most").withColumn("p_mid", (F.col("p_less") + F.col("p_most")) / 2)
+
+
+def uniform(*names: Column) -> Column:
+    """A number in (0, 1) that follows from the names alone: reproducible under any partitioning."""
+    digits = F.substring(F.md5(F.concat_ws(":", *[n.cast("string") for n in names])), 1, 13)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / 2.0**52
+
+
+def monte_carlo(intervals: DataFrame, keys: list[str], place: str, draws: int, low: str = "p_less", high: str = "p_most", seed: int = 1) -> DataFrame:
+    """(keys, n, combined): Fisher's combination of p-values that are known as intervals, averaged over draws
+    of one value from each. place: a column that tells a key's intervals apart."""
+    each = intervals.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    u = uniform(F.lit(seed), *[F.col(k) for k in keys], F.col(place), F.col("_draw"))
+    drawn = each.withColumn("_p", F.col(low) + u * (F.col(high) - F.col(low)))
+    return fisher(drawn, [*keys, "_draw"], "_p").groupBy(*keys).agg(F.first("n").alias("n"), F.avg("combined").alias("combined"))
+
+
 def windows_of(events: DataFrame, series: DataFrame, start: float, n: int, width: float) -> DataFrame:
     """(series, win, r) of tumbling windows, those without events too."""
     all_windows = series.select("series").withColumn("win", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

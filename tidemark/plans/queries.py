@@ -20,6 +20,8 @@ END, SEGMENTS = 30.0, 10
 #: Days in a bucket of two-level running sums.
 BUCKET = 1.0
 ALPHA = BETA = 0.1
+#: Digits that are rounded to before the ones that are shown.
+FIRST_DIGITS = {6: 12, 3: 5}
 #: Particle numbers in a bucket of two-level ranks.
 PARTICLES = 1000
 
@@ -27,7 +29,9 @@ PARTICLES = 1000
 def final(df: DataFrame, digits: int = 6) -> DataFrame:
     def shown(name: str, kind: str):
         if kind in ("double", "float"):
-            return F.round(F.col(name).cast("double"), digits).alias(name)
+            # More digits first: what is a tie but for the last bits rounds as the tie does.
+            x = F.col(name).cast("double")
+            return F.round(F.round(x, FIRST_DIGITS[digits]) if digits in FIRST_DIGITS else x, digits).alias(name)
         if kind in ("int", "smallint", "tinyint"):
             return F.col(name).cast("long").alias(name)
         if kind.startswith("array"):
@@ -288,6 +292,38 @@ def sequential_pvalues(spark, d):
     return final(predictive.sequential(w, 1.0, 1.0, 1.0).select("series", "win", "r", "shape", "rate", "p_lower", "p_upper"))
 
 
+def two_sided_pvalues(spark, d):
+    s = segments(spark, d, "user_id").withColumns({"t": F.lit(3.0), "shape": F.lit(4.0), "rate": F.lit(2.0)})
+    return final(predictive.two_sided(s, "r", "t", "shape", "rate").select("series", "j", "r", "p_less", "p_most", "p_mid"))
+
+
+def monte_carlo_pvalues(spark, d):
+    """Each user's two-sided p-values of all segments, combined by draws from their intervals."""
+    s = segments(spark, d, "user_id").withColumns({"t": F.lit(3.0), "shape": F.lit(4.0), "rate": F.lit(2.0)})
+    masses = predictive.two_sided(s, "r", "t", "shape", "rate")
+    # From six digits, so that a draw doesn't hang on the last bits.
+    return final(predictive.monte_carlo(masses.withColumns({c: F.round(F.round(c, 12), 6) for c in ("p_less", "p_most")}), ["series"], "j", 20))
+
+
+def profile_integral(spark, d):
+    """Scaled time of each event by its user's own profile: how often the user is seen in each quarter of a day."""
+    ev = event_series(spark, d, "user_id")
+    quarter = F.floor((F.col("t") - F.floor("t")) * 4)
+    seen = ev.groupBy("series", (quarter / 4).alias("knot")).agg(F.count(F.lit(1)).alias("n"))
+    all_knots = series_of(ev).withColumn("knot", F.explode(F.array(*[F.lit(i / 4) for i in range(4)])))
+    profiles = all_knots.join(seen, ["series", "knot"], "left").select("series", "knot", (F.coalesce("n", F.lit(0)) + 1.0).alias("height"))
+    return final(ts.profile_integral(ev, profiles, 1.0).select("series", "seq", "t", "scaled"))
+
+
+def pregression_exposure(spark, d):
+    """Counts of each order status in a hundred days, the days' orders of all statuses being the multipliers of its rate."""
+    o = order_counts(spark, d)
+    every = o.groupBy("seq").agg(F.sum("n").alias("m"))
+    whole = o.select("series").distinct().crossJoin(every).join(o, ["series", "seq"], "left")
+    s = whole.withColumn("j", F.floor(F.col("seq") / 100)).groupBy("series", "j").agg(F.sum(F.coalesce("n", F.lit(0))).alias("r"), (F.sum("m") / 100.0).alias("length"))
+    return final(s.select("series", "j", "r", "length", m.poisson_loglik(F.col("r"), F.col("length"), ALPHA, BETA).alias("loglik")))
+
+
 def waiting_time_pvalues(spark, d):
     ev = event_series(spark, d, "user_id")
     return final(predictive.waiting_times(ev, 0.0, 3.0, BUCKET, 1.0, 1.0).select("series", "seq", "win", "gap", "p"))
@@ -585,6 +621,6 @@ QUERIES = {
         probability_variance, total_variance, normalised_weights, ess, systematic_resample, particle_edits, particle_join, greedy_allocation, greedy_duplication,
         window_given_history, window_count_pvalues, window_waiting_pvalues, grid_sequential, grid_filtering, primary_mean, primary_nearest, primary_since,
         step_of_means, particle_concat, particle_exists, monotone_particles, importance_weights, bounded_histogram, hist_draws, difference_density,
-        divergence_function, divergence_chi_square_average,
+        divergence_function, divergence_chi_square_average, two_sided_pvalues, monte_carlo_pvalues, profile_integral, pregression_exposure,
     )
 }
