@@ -21,7 +21,7 @@ END, SEGMENTS = 30.0, 10
 BUCKET = 1.0
 ALPHA = BETA = 0.1
 #: Digits that are rounded to before the ones that are shown.
-FIRST_DIGITS = {6: 12, 3: 5}
+FIRST_DIGITS = {6: 12}
 #: Particle numbers in a bucket of two-level ranks.
 PARTICLES = 1000
 
@@ -81,7 +81,7 @@ def distinct_values(spark, d):
 def prefix_sum(spark, d):
     ev = event_series(spark, d)
     out = series.running_sum(ev, {"s": F.col("value"), "ss": F.col("value") * F.col("value")}, BUCKET, order=("t", "seq"))
-    return final(out.select("series", "seq", "s", "ss"), 3)
+    return final(out.select("series", "seq", "s", "ss"), 4)
 
 
 def undo_prefix_sum(spark, d):

@@ -69,7 +69,7 @@ ENT = "ln(sum(n)) - sum(n * ln(n)) / sum(n)"
 
 SQL = {
     "distinct_values": q(TYPE, body="SELECT series, count(DISTINCT value) AS n_values, round(min(t), 6) AS t_min, round(max(t), 6) AS t_max FROM ev GROUP BY series"),
-    "prefix_sum": q(TYPE, body="SELECT series, seq, round(sum(value) OVER w, 3) AS s, round(sum(value * value) OVER w, 3) AS ss FROM ev WINDOW w AS (PARTITION BY series ORDER BY t, seq ROWS UNBOUNDED PRECEDING)"),
+    "prefix_sum": q(TYPE, body="SELECT series, seq, round(sum(value) OVER w, 4) AS s, round(sum(value * value) OVER w, 4) AS ss FROM ev WINDOW w AS (PARTITION BY series ORDER BY t, seq ROWS UNBOUNDED PRECEDING)"),
     "undo_prefix_sum": q(TYPE, body="SELECT series, seq, 1::BIGINT AS x, row_number() OVER (PARTITION BY series ORDER BY t, seq) AS s FROM ev"),
     "suffix_sum": q(TYPE, body="SELECT series, seq, round(sum(value) OVER (PARTITION BY series ORDER BY t, seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 3) AS s FROM ev"),
     "modulo_fold": q(TYPE, body="SELECT series, seq, CAST(floor(t) AS BIGINT) AS turn, round(t - floor(t), 6) AS folded, round(t, 6) AS unfolded FROM ev"),
@@ -230,7 +230,7 @@ SQL |= MORE | {
 
 def settled(sql: str) -> str:
     """Roundings go over more digits: what is a tie but for the last bits rounds as the tie does."""
-    out, at, first = "", 0, {"6": 12, "3": 5}
+    out, at, first = "", 0, {"6": 12}
     while (start := sql.find("round(", at)) >= 0:
         depth, i, comma = 1, start + 6, -1
         while depth:
