@@ -111,17 +111,13 @@ def test_rising_rates(spark):
     assert 50 < len(got) < 600 and all(a <= b for r in got for a, b in zip(r["means"], r["means"][1:], strict=False))
 
 
-def test_smc_with_budget(spark):
-    rng = np.random.default_rng(9)
-    busy = [("busy", float(t)) for t in np.sort(np.r_[rng.uniform(0, 1, 40), rng.uniform(3, 4, 40)])]
-    ev = spark.createDataFrame(busy + [("calm", 2.0)], "series string, t double")
+def test_smc_with_sizes(spark):
+    ev = spark.createDataFrame([("busy", i / 20) for i in range(70)] + [("calm", 2.0)], "series string, t double")
     dim = spark.createDataFrame([("busy",), ("calm",), ("empty",)], "series string")
-    cfg = kernels.SamplerConfig(iterations=1000, burn_in=100, thinning=5, nu=0.5)
-    sizes = samplers.adaptive_sizes(ev, dim, 0.0, END, 2, 90, 20, cfg, 10, 1.0, 1.0)
-    n = {(r["series"], r["interval"]): r["n"] for r in sizes.collect()}
-    assert len(n) == 6 and all(sum(n[s, i] for s in ("busy", "calm", "empty")) == 150 for i in (0, 1)) and min(n.values()) >= 20
+    sizes = spark.createDataFrame([("busy", 0, 30), ("busy", 1, 70), ("calm", 1, 25), ("calm", 0, 20)], "series string, interval int, n long")
     smc = samplers.sequential_monte_carlo(ev, dim, 0.0, END, 2, 50, kernels.SamplerConfig(burn_in=100, thinning=2, nu=0.5), 1.0, 1.0, sizes=sizes)
-    assert {(r["series"], r["interval"]): r["count"] for r in smc.groupBy("series", "interval").count().collect()} == n
+    n = {(r["series"], r["interval"]): r["count"] for r in smc.groupBy("series", "interval").count().collect()}
+    assert n == {(r["series"], r["interval"]): r["n"] for r in sizes.collect()} | {("empty", 0): 50, ("empty", 1): 50}
 
 
 def test_rate_draws(spark):

@@ -140,6 +140,49 @@ def gamma_p_inverse(a: float, p: float) -> float:
     return 0.5 * (lo + hi)
 
 
+def log_gamma_p(a: float, x: float) -> float:
+    """Log of gamma_p, also where that underflows."""
+    if x <= 0:
+        return -math.inf
+    if x >= a + 1:
+        return math.log(gamma_p(a, x)) if x < math.inf else 0.0
+    term = total = 1.0
+    n = a
+    while term > total * 1e-16:
+        n += 1
+        term *= x / n
+        total += term
+    return a * math.log(x) - x - math.lgamma(a + 1) + math.log(total)
+
+
+def truncated_gamma(a: float, rate: float, upper: float, rng: np.random.Generator) -> float:
+    """A draw of the Gamma distribution below upper: by rejection where that is likely, by the inverse
+    of the incomplete gamma function, in logs, in the far tail."""
+    top = log_gamma_p(a, rate * upper)
+    if top > -0.7:
+        while True:
+            x = rng.gamma(a) / rate
+            if 0 < x < upper:
+                return x
+    target = math.log(1 - rng.random()) + top
+    # In y = log(rate * x): Newton's steps, halved where they leave the bracket. For small x the function is a y - log(a!).
+    hi = math.log(rate * upper)
+    lo = y = min(hi, (target + math.lgamma(a + 1)) / a)
+    for _ in range(100):
+        x = math.exp(y)
+        log_p = log_gamma_p(a, x)
+        if abs(log_p - target) < 1e-12 * max(1.0, abs(target)) or hi - lo < 1e-14 * max(1.0, abs(y)):
+            break
+        lo, hi = (y, hi) if log_p < target else (lo, y)
+        step = y - (log_p - target) / math.exp(a * y - x - math.lgamma(a) - log_p)
+        y = step if lo < step < hi else (lo + hi) / 2
+    return min(math.exp(y) / rate, upper * (1 - 1e-15))
+
+
+def log_truncated_gamma_density(x: float, a: float, rate: float, upper: float) -> float:
+    return a * math.log(rate) - math.lgamma(a) + (a - 1) * math.log(x) - rate * x - log_gamma_p(a, rate * upper)
+
+
 def chi2_quantile(p: float, dof: float) -> float:
     return 2 * gamma_p_inverse(dof / 2, p)
 

@@ -7,12 +7,14 @@ chains and windows. Segment likelihoods come from prefix sums, so a proposal cos
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 
+from tidemark.functions.special import log_truncated_gamma_density, truncated_gamma
+
 
 @dataclass(frozen=True)
 class SamplerConfig:
@@ -33,6 +35,8 @@ class SamplerConfig:
     random_nu: tuple[float, float] | None = None
     hill_climbing: bool = False
     no_empty_neighbours: bool = False
+    #: What jumps of shot noise are proposed from: gamma (fitted to the events, truncated) or prior.
+    jumps: str = "gamma"
     seed: int = 1
 
 
@@ -257,53 +261,216 @@ def shot_noise_loglik(r: int, left: float, length: float, height: float, kappa:
     return -(height / kappa) * -math.expm1(-kappa * length) + r * math.log(height) + kappa * r * left
 
 
-def run_shot_noise(t: list[float], start: float, end: float, cfg: SamplerConfig, alpha: float, kappa: float, rng: np.random.Generator) -> list[tuple[int, list[float], list[float], float]]:
-    """Chain over changepoints and heights of a decaying rate with exponential upward jumps; state
-    (iteration, positions, heights, log posterior). Heights are drawn anew from the prior's jump at
-    births, and scaled in parameter moves."""
-    u, length = rng.random, end - start
-    tau, jump = [start], [rng.exponential(1 / alpha)]
-
-    def heights(tau: list[float], jump: list[float]) -> list[float]:
-        out, h, at = [], 0.0, start
-        for x, j in zip(tau, jump, strict=True):
-            h = h * math.exp(-kappa * (x - at)) + j
-            at = x
-            out.append(h)
-        return out
-
-    def target(tau: list[float], jump: list[float]) -> float:
-        cuts = [*tau, end]
-        ll = sum(shot_noise_loglik(bisect_left(t, b) - bisect_left(t, a), a, b - a, h, kappa) for a, b, h in zip(cuts, cuts[1:], heights(tau, jump), strict=False))
-        return ll + sum(math.log(alpha) - alpha * j for j in jump) + (len(tau) - 1) * math.log(cfg.nu)
-
-    post, kept = target(tau, jump), []
-    for it in range(1, cfg.burn_in + cfg.iterations + 1):
-        k, x = len(tau) - 1, u()
-        ratio, new = 0.0, None
-        if x < 0.25:
-            y, j = start + u() * length, rng.exponential(1 / alpha)
-            i = bisect_left(tau, y)
-            new = (tau[:i] + [y] + tau[i:], jump[:i] + [j] + jump[i:])
-            ratio = math.log(length) - math.log(k + 1) - (math.log(alpha) - alpha * j)
-        elif x < 0.5:
+def _jump_terms(t: list[float], y: float, h: float, end: float, after: float | None, alpha: float, kappa: float) -> tuple[Callable[[float], float], float, float, float]:
+    """Of a jump at y, on a rate h, where the next height (at end) stays as it is: the log posterior's part that
+    depends on it; and shape, rate and upper limit of the truncated Gamma distribution that it is proposed from."""
+    length = end - y
+    mass, left = -math.expm1(-kappa * length) / kappa, math.exp(-kappa * length)
+    r = bisect_left(t, end) - bisect_left(t, y)
+    # The next jump shrinks by what is left of this one.
+    pull = -alpha - mass + (alpha * left if after is not None else 0.0)
+    rate = -pull
+    return lambda j: pull * j + (r * math.log(h + j) if r else 0.0), max(1.0, r + 1 - h * rate), rate, after / left - h if after is not None else math.inf
+
+
+def shot_noise_moves(t: list[float], tau: list[float], heights: list[float], lo: float, end: float, cfg: SamplerConfig, alpha: float, kappa: float, rng: np.random.Generator, steps: int, kept: list | None = None, post: float = 0.0, counts: dict | None = None) -> tuple[list[float], list[float], float]:
+    """Chain steps on the changepoints in (lo, end), which leave the rest as it is; returns positions, heights and log posterior.
+
+    A state is its positions, tau[0] being where the rate begins, and the heights there. A move keeps all later heights, so it
+    changes two segments only. Jumps are proposed from a Gamma distribution below what the next height allows (cfg.jumps
+    "gamma"), or from their prior ("prior"). kept: gets (step, positions, heights, log posterior) of each thinned step."""
+    u, length, first = rng.random, end - lo, max(1, bisect_right(tau, lo))
+    tau, heights = list(tau), list(heights)
+    counts = counts if counts is not None else {}
+
+    def around(i: int, y: float) -> tuple[float, float, float | None]:
+        """Rate before y, and the next position and height, for a changepoint at y between i - 1 and i."""
+        h = heights[i - 1] * math.exp(-kappa * (y - tau[i - 1])) if i else 0.0
+        return h, (tau[i] if i < len(tau) else end), (heights[i] if i < len(tau) else None)
+
+    def proposal(a: float, rate: float, upper: float) -> tuple[float, float, float]:
+        return (a, rate, upper) if cfg.jumps == "gamma" else (1.0, alpha, upper)
+
+    for it in range(1, steps + 1):
+        k, x, accepted = len(tau) - first, u(), False
+        if x < 0.5:
+            birth = x < 0.25
+            if birth or k:
+                i = None if birth else first + int(u() * k)
+                if birth:
+                    y = lo + u() * length
+                    i = bisect_left(tau, y)
+                    h, nxt, after = around(i, y)
+                else:
+                    y = tau[i]
+                    h = heights[i - 1] * math.exp(-kappa * (y - tau[i - 1]))
+                    nxt, after = (tau[i + 1], heights[i + 1]) if i + 1 < len(tau) else (end, None)
+                part, *law = _jump_terms(t, y, h, nxt, after, alpha, kappa)
+                law = proposal(*law)
+                j = truncated_gamma(*law, rng) if birth else heights[i] - h
+                if j > 0 and h > 0 and law[2] > 0:
+                    change = part(j) - part(0.0) + math.log(alpha) + math.log(cfg.nu)
+                    ratio = change + math.log(length) - math.log(k + birth) - log_truncated_gamma_density(j, *law)
+                    change, ratio = (change, ratio) if birth else (-change, -ratio)
+                    if ratio >= 0 or u() < math.exp(ratio):
+                        accepted, post = True, post + change
+                        if birth:
+                            tau.insert(i, y)
+                            heights.insert(i, h + j)
+                        else:
+                            del tau[i], heights[i]
+            kind = "birth" if birth else "death"
+        elif x < 0.75:
+            kind = "move"
             if k:
-                i = 1 + int(u() * k)
-                new = (tau[:i] + tau[i + 1 :], jump[:i] + jump[i + 1 :])
-                ratio = -math.log(length) + math.log(k) + math.log(alpha) - alpha * jump[i]
-        elif x < 0.75 and k:
-            i = 1 + int(u() * k)
-            y = tau[i] + (2 * u() - 1) * (cfg.move_width or length / 20)
-            if tau[i - 1] < y < (tau[i + 1] if i < k else end):
-                new = (tau[:i] + [y] + tau[i + 1 :], jump)
+                i = first + int(u() * k)
+                y = tau[i] + (2 * u() - 1) * (cfg.move_width or length / 20)
+                nxt = tau[i + 1] if i + 1 < len(tau) else end
+                if max(lo, tau[i - 1]) < y < nxt:
+                    at = tau[i - 1]
+                    h_old, h = (heights[i - 1] * math.exp(-kappa * (v - at)) for v in (tau[i], y))
+                    top = h + heights[i] - h_old
+                    drop = (top * math.exp(-kappa * (nxt - y)) - heights[i] * math.exp(-kappa * (nxt - tau[i]))) if i + 1 < len(tau) else 0.0
+                    if i + 1 == len(tau) or heights[i + 1] > top * math.exp(-kappa * (nxt - y)):
+                        r = lambda a, b: bisect_left(t, b) - bisect_left(t, a)
+                        change = alpha * drop + sum(sign * shot_noise_loglik(r(v, w), v, w - v, g, kappa) for sign, v, w, g in ((1, at, y, heights[i - 1]), (1, y, nxt, top), (-1, at, tau[i], heights[i - 1]), (-1, tau[i], nxt, heights[i])))
+                        if change >= 0 or u() < math.exp(change):
+                            accepted, post, tau[i], heights[i] = True, post + change, y, top
         else:
-            i = int(u() * (k + 1))
-            f = math.exp(u() - 0.5)
-            new, ratio = (tau, jump[:i] + [jump[i] * f] + jump[i + 1 :]), math.log(f)
-        if new is not None:
-            value = target(*new)
-            if value - post + ratio >= 0 or u() < math.exp(value - post + ratio):
-                tau, jump, post = *new, value
-        if it > cfg.burn_in and (it - cfg.burn_in) % cfg.thinning == 0:
-            kept.append((it - cfg.burn_in, tau[1:], heights(tau, jump), post))
+            kind = "height"
+            here = ([0] if lo <= tau[0] else []) + list(range(first, len(tau)))
+            if here:
+                i = here[int(u() * len(here))]
+                h = heights[i - 1] * math.exp(-kappa * (tau[i] - tau[i - 1])) if i else 0.0
+                nxt, after = (tau[i + 1], heights[i + 1]) if i + 1 < len(tau) else (end, None)
+                part, *law = _jump_terms(t, tau[i], h, nxt, after, alpha, kappa)
+                j = heights[i] - h
+                if x < 0.875:
+                    law = proposal(*law)
+                    new = truncated_gamma(*law, rng)
+                    ratio = log_truncated_gamma_density(j, *law) - log_truncated_gamma_density(new, *law) if j > 0 and new > 0 else -math.inf
+                else:
+                    ratio = u() - 0.5
+                    new = j * math.exp(ratio)
+                if 0 < new < law[2]:
+                    change = part(new) - part(j)
+                    if change + ratio >= 0 or u() < math.exp(change + ratio):
+                        accepted, post, heights[i] = True, post + change, h + new
+        counts[kind] = counts.get(kind, 0) + 1
+        counts[f"{kind}_taken"] = counts.get(f"{kind}_taken", 0) + accepted
+        if kept is not None and it > cfg.burn_in and (it - cfg.burn_in) % cfg.thinning == 0:
+            kept.append((it - cfg.burn_in, tau[1:], list(heights), post))
+    return tau, heights, post
+
+
+def run_shot_noise(t: list[float], start: float, end: float, cfg: SamplerConfig, alpha: float, kappa: float, rng: np.random.Generator, counts: dict | None = None) -> list[tuple[int, list[float], list[float], float]]:
+    """Chain over changepoints and heights of a decaying rate with exponential upward jumps; kept states
+    (iteration, positions, heights, log posterior)."""
+    part, a, rate, _ = _jump_terms(t, start, 0.0, end, None, alpha, kappa)
+    first = rng.gamma(a) / rate
+    post = part(first) + math.log(alpha) + kappa * (bisect_left(t, end) - bisect_left(t, start)) * start
+    kept: list = []
+    shot_noise_moves(t, [start], [first], start, end, cfg, alpha, kappa, rng, cfg.burn_in + cfg.iterations, kept, post, counts)
     return kept
+
+
+def _window_loglik(t: list[float], tau: list[float], end: float, e: np.ndarray, c: np.ndarray, first: np.ndarray, kappa: float) -> np.ndarray:
+    """Log likelihood of a window's events for many heights at its beginning: the height at tau[i] is first * e[i] + c[i]."""
+    out = np.zeros_like(first)
+    for i, a in enumerate(tau):
+        b = tau[i + 1] if i + 1 < len(tau) else end
+        r, h = bisect_left(t, b) - bisect_left(t, a), first * e[i] + c[i]
+        out += h / kappa * math.expm1(-kappa * (b - a)) + (r * np.log(h) if r else 0.0)
+    return out
+
+
+def shot_noise_window(t: list[float], past: list[tuple[list[float], list[float]]], log_w: np.ndarray, i: int, a: float, b: float, n: int, cfg: SamplerConfig, alpha: float, kappa: float, rng: np.random.Generator, threshold: float, moves: int) -> tuple[list[tuple[list[float], list[float]]], np.ndarray, bool]:
+    """One window of sequential Monte Carlo for shot noise: particles (positions, heights), log weights, and whether they were resampled.
+
+    A window's sample has a height of its own at the window's beginning. In the joined particle the past's rate goes on
+    there, and what its heights differ by decays from there on, so that the window's jumps stay. The weight is the
+    likelihood of the window with the past's rate over that with the window's own, integrated over its height."""
+    window = SamplerConfig(**{**cfg.__dict__, "iterations": n * cfg.thinning, "move_width": cfg.move_width or (b - a) / 3})
+    fresh = [([a, *theta], heights) for _, theta, heights, _ in run_shot_noise(t, a, b, window, alpha, kappa, rng)]
+    if not i:
+        return fresh, np.zeros(n), False
+    order, out, log_w = rng.permutation(n), [], log_w.copy()
+    r = bisect_left(t, b) - bisect_left(t, a)
+    scale = (r + 1) / (alpha - math.expm1(-kappa * (b - a)) / kappa)
+    grid = np.linspace(math.log(scale * 1e-6), math.log(scale * (1 + 12 / math.sqrt(r + 1))), 160)
+    first = np.exp(grid)
+    prior = math.log(alpha) - alpha * first + grid + math.log(grid[1] - grid[0])
+    for p in range(n):
+        (old_tau, old), (tau, heights) = past[p], fresh[order[p]]
+        e = np.exp(-kappa * (np.array(tau) - a))
+        c = np.maximum(np.array(heights) - heights[0] * e, 0.0)
+        goes_on = old[-1] * math.exp(-kappa * (a - old_tau[-1]))
+        value = _window_loglik(t, tau, b, e, c, first, kappa) + prior
+        top = value.max()
+        log_w[p] += float(_window_loglik(t, tau, b, e, c, np.array([goes_on]), kappa)[0]) - top - math.log(np.exp(value - top).sum())
+        out.append((old_tau + tau[1:], old + (goes_on * e + c)[1:].tolist()))
+    w = np.exp(log_w - log_w.max())
+    if w.sum() ** 2 / (w * w).sum() >= threshold * n:
+        return out, log_w, False
+    lo, steps = max(out[0][0][0], b - 2 * (b - a)), SamplerConfig(**{**cfg.__dict__, "move_width": cfg.move_width or (b - a) / 3})
+    again = [out[p] for p in np.repeat(np.arange(n), systematic_counts(w, n, rng.random()))]
+    return [shot_noise_moves(t, *x, lo, b, steps, alpha, kappa, rng, moves)[:2] for x in again], np.zeros(n), True
+
+
+@dataclass
+class SeenModel(PoissonModel):
+    """Events from some time on, and how many there were before: segments begin with the data or after that time."""
+
+    before: int = 0
+    begin: float = 0.0
+
+    def index(self, x: float) -> int:
+        return self.before + bisect_left(self.t, x) if x > self.begin else 0
+
+
+def smc_window(model, past: list[list[float]], log_w: np.ndarray, i: int, a: float, b: float, begin: float, n: int, cfg: SamplerConfig, rng: np.random.Generator, threshold: float, moves: int, look_back: bool = True, fresh: list[list[float]] | None = None) -> tuple[list[list[float]], np.ndarray, bool]:
+    """One window of sequential Monte Carlo: particles, log weights, and whether they were resampled.
+
+    begin: where the data begin; changepoints before it come from the prior alone. fresh: the window's sample, if it was drawn before."""
+    ll, width = model.loglik, b - a
+    since = lambda x: max(x, begin)
+    if len(past) != n:
+        w = np.exp(log_w - log_w.max())
+        past = [past[p] for p in np.repeat(np.arange(len(past)), systematic_counts(w, n, rng.random()))]
+        log_w = np.zeros(n)
+    past, log_w, first_from = list(past), log_w.copy(), a
+    if a > begin and look_back and fresh is None:
+        w = np.exp(log_w - log_w.max())
+        first_from = max(begin, a - float((w * [a - since(x[-1] if x else begin) for x in past]).sum() / w.sum()))
+    if fresh is None:
+        window = SamplerConfig(**{**cfg.__dict__, "iterations": n * cfg.thinning, "move_width": cfg.move_width or width / 3})
+        fresh = [theta for _, theta, _ in run_chain(model, a, b, window, rng, data_start=first_from)[0]]
+    order = rng.permutation(n)
+    for p in range(n):
+        new, old = fresh[order[p]], past[p]
+        last, first = since(old[-1] if old else begin), (new[0] if new else b)
+        if a > begin:
+            log_w[p] += ll(last, first) - ll(last, a) - ll(first_from, first)
+        if cfg.spacing and old and new:
+            # Joined changepoints that are too close have no weight; others make up for the prior's gap.
+            log_w[p] += -np.inf if first - old[-1] < cfg.spacing else 0.0
+        past[p] = old + new
+    if np.isneginf(log_w).all():
+        log_w = np.zeros(n)
+    w = np.exp(log_w - log_w.max())
+    if w.sum() ** 2 / (w * w).sum() >= threshold * n:
+        return past, log_w, False
+    times = systematic_counts(w, n, rng.random())
+    steps = SamplerConfig(**{**cfg.__dict__, "iterations": moves, "burn_in": 0, "thinning": moves, "move_width": cfg.move_width or width / 3})
+    # Moves stay in the last two windows, so that they cost the same in each window.
+    lo, out = begin if cfg.spacing else moves_from(begin, a, b), []
+    for p in np.repeat(np.arange(n), times):
+        fixed = [x for x in past[p] if x <= lo]
+        near = past[p][len(fixed) :]
+        out.append(fixed + (run_chain(model, lo, b, steps, rng, data_start=since(fixed[-1] if fixed else begin), theta=near)[0][-1][1] if moves else near))
+    return out, np.zeros(n), True
+
+
+def moves_from(begin: float, a: float, b: float) -> float:
+    """From here on changepoints may still move at the end of the window [a, b)."""
+    return max(begin, b - 2 * (b - a))

@@ -10,11 +10,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.kernels import CountModel, GaussianModel, PoissonModel, SamplerConfig, draw_prior, monotone, rejection, run_chain, run_shot_noise, systematic_counts
-from tidemark.operators.particles import greedy_allocation
+from tidemark.operators.kernels import CountModel, GaussianModel, PoissonModel, SamplerConfig, draw_prior, monotone, rejection, run_chain, run_shot_noise, shot_noise_window, smc_window
+from tidemark.operators.series import bucketed_sum
+from tidemark.sources.tables import durable
 
 #: What the models of each kind of series read.
 COLUMNS = {"poisson": ["t"], "counts": ["seq", "n"], "gaussian": ["seq", "y"]}
@@ -107,87 +108,139 @@ def prior_sample(series: DataFrame, start: float, end: float, nu: float, n: int,
 SMC = "series string, interval int, particle long, k int, theta array<double>, w double, ess double, resampled boolean"
 
 
-def sequential_monte_carlo(events: DataFrame, series: DataFrame, start: float, end: float, intervals: int, n: int, cfg: SamplerConfig, alpha: float = 0.1, beta: float = 0.1, threshold: float = 0.5, moves: int = 5, full_history: bool = False, kind: str = "poisson", v: float = 10.0, sizes: DataFrame | None = None, look_back: bool = True) -> DataFrame:
+def sequential_monte_carlo(events: DataFrame, series: DataFrame, start: float, end: float, intervals: int, n: int, cfg: SamplerConfig, alpha: float = 0.1, beta: float = 0.1, threshold: float = 0.5, moves: int = 5, full_history: bool = False, kind: str = "poisson", v: float = 10.0, sizes: DataFrame | None = None, look_back: bool = True, fresh: DataFrame | None = None) -> DataFrame:
     """Weighted particles of each series after each of consecutive windows.
 
     A window's changepoints are drawn by a chain on the window, whose first segment begins (with
     look_back) at the mean time since the last changepoint of the past; a particle of the past and
     one of the window are joined, and weighted by the likelihood of the joined segment over those of
     the two that it replaces. Where the effective size falls under threshold * n, particles are
-    resampled systematically and moved by a few chain steps over their whole history. With
+    resampled systematically and moved by a few chain steps in the last two windows. With
     full_history, each window is instead sampled from the start, with equal weights. kind: as for
     reversible_jump. With cfg.spacing, particles whose joined changepoints lie closer lose their weight.
     sizes: (series, interval, n), the number of particles of each window in place of n; where it
-    changes, particles are resampled to the new number."""
+    changes, particles are resampled to the new number. fresh: (series, interval, particle, theta), the windows' samples if they were drawn before."""
     width, common = (end - start) / intervals, n
     if sizes is not None:
         # As many numbers as intervals for each series.
         lists = sizes.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("interval", "n"))).alias("_x")).select("series", F.col("_x.n").alias("sizes"))
         series = series.join(lists, "series", "left").withColumn("sizes", F.coalesce("sizes", F.array_repeat(F.lit(n).cast("long"), intervals)))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf: pd.DataFrame, drawn: pd.DataFrame | None = None) -> pd.DataFrame:
         name = key[0]
         model, out = _model(kind, pdf.drop(columns="sizes", errors="ignore").dropna(), alpha, beta, v, None), []
-        past, log_w, ll = [[] for _ in range(common)], np.zeros(common), model.loglik
+        past, log_w = [[] for _ in range(common)], np.zeros(common)
         own = pdf["sizes"].iloc[0] if "sizes" in pdf else None
+        given = {int(i): [list(x) for x in g.sort_values("particle")["theta"]] for i, g in drawn.groupby("interval")} if drawn is not None else {}
         for i in range(intervals):
             a, b = start + i * width, start + (i + 1) * width
-            rng = generator(cfg.seed, name, i)
-            n = int(own[i]) if own is not None else common
-            if len(past) != n:
-                w = np.exp(log_w - log_w.max())
-                past = [past[p] for p in np.repeat(np.arange(len(past)), systematic_counts(w, n, rng.random()))]
-                log_w = np.zeros(n)
-            window = SamplerConfig(**{**cfg.__dict__, "iterations": n * cfg.thinning, "move_width": cfg.move_width or width / 3})
-            first_from = a
-            if i and look_back and not full_history:
-                w = np.exp(log_w - log_w.max())
-                first_from = max(start, a - float((w * [a - (x[-1] if x else start) for x in past]).sum() / w.sum()))
-            kept, _ = run_chain(model, start if full_history else a, b, window, rng, data_start=None if full_history else first_from)
-            fresh, resampled = [theta for _, theta, _ in kept], False
+            rng, fresh, resampled = generator(cfg.seed, name, i), given.get(i), False
+            n = len(fresh) if fresh else int(own[i]) if own is not None else common
             if full_history:
-                past, log_w = fresh, np.zeros(n)
+                window = SamplerConfig(**{**cfg.__dict__, "iterations": n * cfg.thinning, "move_width": cfg.move_width or width / 3})
+                past, log_w = [theta for _, theta, _ in run_chain(model, start, b, window, rng)[0]], np.zeros(n)
             else:
-                order = rng.permutation(n)
-                for p in range(n):
-                    new, old = fresh[order[p]], past[p]
-                    last, first = (old[-1] if old else start), (new[0] if new else b)
-                    if i:
-                        log_w[p] += ll(last, first) - ll(last, a) - ll(first_from, first)
-                    if cfg.spacing and old and new:
-                        # Joined changepoints that are too close have no weight; others make up for the prior's gap.
-                        log_w[p] += -np.inf if first - last < cfg.spacing else 0.0
-                    past[p] = old + new
-                if np.isneginf(log_w).all():
-                    log_w = np.zeros(n)
-                w = np.exp(log_w - log_w.max())
-                if w.sum() ** 2 / (w * w).sum() < threshold * n:
-                    times = systematic_counts(w, n, rng.random())
-                    steps = SamplerConfig(**{**cfg.__dict__, "iterations": moves, "burn_in": 0, "thinning": moves, "move_width": cfg.move_width or width / 3})
-                    past = [run_chain(model, start, b, steps, rng, theta=past[p])[0][-1][1] for p in np.repeat(np.arange(n), times)]
-                    log_w, resampled = np.zeros(n), True
+                past, log_w, resampled = smc_window(model, past, log_w, i, a, b, start, n, cfg, rng, threshold, moves, look_back, fresh)
             w = np.exp(log_w - log_w.max())
             w /= w.sum()
             out += [(name, i, p, len(x), x, w[p], 1 / (w * w).sum(), resampled) for p, x in enumerate(past)]
         return pd.DataFrame(out, columns=["series", "interval", "particle", "k", "theta", "w", "ess", "resampled"])
 
-    return _with_empty(events, series, COLUMNS[kind]).groupBy("series").applyInPandas(run, SMC)
+    rows = _with_empty(events, series, COLUMNS[kind])
+    if fresh is None:
+        return rows.groupBy("series").applyInPandas(lambda key, pdf: run(key, pdf), SMC)
+    both = rows.groupBy("series").cogroup(fresh.select("series", "interval", "particle", "theta").groupBy("series"))
+    return both.applyInPandas(lambda key, pdf, drawn: run(key, pdf, drawn), SMC)
+
+
+SHOTS = "series string, interval int, particle long, k int, theta array<double>, heights array<double>, w double, ess double, resampled boolean"
+
+
+def shot_noise_smc(events: DataFrame, series: DataFrame, start: float, end: float, intervals: int, n: int, cfg: SamplerConfig, alpha: float, kappa: float, threshold: float = 0.5, moves: int = 5) -> DataFrame:
+    """Weighted particles of a decaying rate with jumps after each of consecutive windows: sequential_monte_carlo for
+    shot noise. heights has the rate at start and after each jump."""
+    width = (end - start) / intervals
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        t, past, log_w, out = sorted(pdf["t"].dropna().tolist()), [], np.zeros(n), []
+        for i in range(intervals):
+            past, log_w, resampled = shot_noise_window(t, past, log_w, i, start + i * width, start + (i + 1) * width, n, cfg, alpha, kappa, generator(cfg.seed, key[0], i), threshold, moves)
+            w = np.exp(log_w - log_w.max())
+            w /= w.sum()
+            out += [(key[0], i, p, len(tau) - 1, tau[1:], h, w[p], 1 / (w * w).sum(), resampled) for p, (tau, h) in enumerate(past)]
+        return pd.DataFrame(out, columns=["series", "interval", "particle", "k", "theta", "heights", "w", "ess", "resampled"])
+
+    return _with_empty(events, series, ["t"]).groupBy("series").applyInPandas(run, SHOTS)
+
+
+def water_level(scores: DataFrame, budget: int, bucket: Column | None = None) -> DataFrame:
+    """(series, interval, more): how many of each interval's ``budget`` draws go to each of its series, when
+    one at a time goes to the largest of extent / seen, seen growing by one with it.
+
+    scores: (series, interval, extent, seen), seen being 1 or more. Those that get any end with extent / (seen + more) near a common
+    level, which follows from sums over the series with larger scores: no loop. On average a series passes the level by
+    half a draw, so seen counts half a draw less; fractions go, whole, to the largest ones."""
+    scores = scores.withColumn("seen", F.col("seen") - 0.5)
+    score = F.col("extent") / F.col("seen")
+    # In buckets of the score's logarithm: scores are of the form exp(2 h) / n, so equal widths would put most in one.
+    rows = scores.withColumn("_score", score).withColumn("_bucket", F.floor(-8 * F.log("_score")) if bucket is None else bucket)
+    order = [F.col("_score").desc(), "series"]
+    sums = bucketed_sum(rows, {"_e": F.col("extent"), "_i": F.col("seen")}, F.col("_bucket"), ["interval"], order)
+    level = sums.where(F.col("_score") > F.col("_e") / (budget + F.col("_i"))).groupBy("interval").agg(F.max_by(F.col("_e") / (budget + F.col("_i")), "_i").alias("_level"))
+    share = F.greatest(F.lit(0.0), F.col("extent") / F.col("_level") - F.col("seen"))
+    given = rows.join(level, "interval").withColumns({"more": F.floor(share).cast("long"), "_part": share - F.floor(share)})
+    lack = given.groupBy("interval").agg((F.lit(budget) - F.sum("more")).alias("_lack"))
+    ranked = bucketed_sum(given, {"_rank": F.lit(1)}, F.floor(-64 * F.col("_part")), ["interval"], [F.col("_part").desc(), "series"])
+    return ranked.join(lack, "interval").select("series", "interval", (F.col("more") + (F.col("_rank") <= F.col("_lack")).cast("long")).alias("more"))
+
+
+DRAWN = "series string, interval int, particle long, theta array<double>"
 
 
-def adaptive_sizes(events: DataFrame, series: DataFrame, start: float, end: float, intervals: int, budget: int, least: int, cfg: SamplerConfig, bins: int = 50, alpha: float = 0.1, beta: float = 0.1) -> DataFrame:
-    """(series, interval, n): how many particles each series takes in each window, when each window's
-    budget goes, one particle at a time, to the series of the largest extent score; ``least`` for each at first.
+def budgeted_windows(events: DataFrame, series: DataFrame, start: float, end: float, intervals: int, budget: int, least: int, cfg: SamplerConfig, bins: int = 50, rounds: int = 3, alpha: float = 0.1, beta: float = 0.1) -> DataFrame:
+    """(DRAWN): each window's sample for each series, when the window's ``budget`` of draws over all series goes where the
+    extent score of the draws so far is largest.
 
-    A pilot chain on each window gives the scores; cfg.iterations / cfg.thinning is the most that a series can get."""
+    Each series begins with ``least`` draws. Then rounds: scores from all draws so far, half of what is left of the budget (in the
+    last round all of it) dealt out by them, and the chains go on from where they stopped. Rounds are written
+    tables, so a lost executor costs a round's tasks at most. A window has least * series + budget draws."""
     width = (end - start) / intervals
-    name = lambda i: F.concat_ws(":", "series", i.cast("string"))
     at = F.floor((F.col("t") - start) / width).cast("int")
-    local = events.where((F.col("t") >= start) & (F.col("t") < end)).select(name(at).alias("series"), (F.col("t") - start - at * width).alias("t"))
-    windows = series.select("series", F.explode(F.sequence(F.lit(0), F.lit(intervals - 1))).alias("interval")).withColumn("window", name(F.col("interval")))
-    sample = reversible_jump(local, windows.select(F.col("window").alias("series")), 0.0, width, cfg, alpha=alpha, beta=beta)
-    scores = score_trajectories(sample, 0.0, width, bins, least).join(windows.select(F.col("window").alias("process"), "interval"), "process")
-    given = greedy_allocation(scores, budget, ("interval",)).select(F.col("process").alias("window"), "extensions")
-    return windows.join(given, "window", "left").select("series", "interval", (F.lit(least) + F.coalesce("extensions", F.lit(0))).cast("long").alias("n"))
+    local = events.where((F.col("t") >= start) & (F.col("t") < end)).select("series", at.alias("interval"), "t")
+    windows = series.select("series", F.explode(F.sequence(F.lit(0), F.lit(intervals - 1))).alias("interval"))
+
+    def draw(state: DataFrame, number: int) -> DataFrame:
+        """state: (series, interval, theta, seen, more)."""
+
+        def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if left.empty:
+                return pd.DataFrame(columns=["series", "interval", "particle", "theta"])
+            (name, i), s = key, left.iloc[0]
+            own = SamplerConfig(**{**cfg.__dict__, "iterations": int(s["more"]) * cfg.thinning, "burn_in": 0 if number else cfg.burn_in, "move_width": cfg.move_width or width / 3})
+            model = PoissonModel(sorted(right["t"].tolist()), alpha, beta)
+            a = start + i * width
+            kept, _ = run_chain(model, a, a + width, own, generator(cfg.seed, name, i, number), theta=list(s["theta"]))
+            return pd.DataFrame([(name, i, int(s["seen"]) + j, x) for j, (_, x, _) in enumerate(kept)], columns=["series", "interval", "particle", "theta"])
+
+        both = state.groupBy("series", "interval").cogroup(local.groupBy("series", "interval"))
+        return durable(both.applyInPandas(run, DRAWN), f"round{number}")
+
+    first = windows.select("series", "interval", F.array().cast("array<double>").alias("theta"), F.lit(0).cast("long").alias("seen"), F.lit(least).cast("long").alias("more"))
+    drawn, left = draw(first, 0), budget
+    for number in range(1, rounds + 1):
+        part = left if number == rounds else left // 2
+        left -= part
+        if not part:
+            continue
+        own = F.col("interval") * F.lit(width) + start
+        bin_of = F.concat_ws(",", F.transform("theta", lambda x: F.floor((x - own) / (width / bins)).cast("string")))
+        cells = drawn.groupBy("series", "interval", bin_of.alias("bins")).agg(F.count(F.lit(1)).alias("c"))
+        scored = cells.groupBy("series", "interval").agg(F.sum("c").alias("seen"), F.sum(F.col("c") * F.log("c")).alias("_x"))
+        scored = scored.withColumn("extent", F.exp(2 * (F.log("seen") - F.col("_x") / F.col("seen"))))
+        more = water_level(scored, part)
+        last = drawn.groupBy("series", "interval").agg(F.max_by("theta", "particle").alias("theta"), F.count(F.lit(1)).alias("seen"))
+        drawn = drawn.unionByName(draw(last.join(more.where("more > 0"), ["series", "interval"]), number))
+    return drawn
 
 
 def interval_summary(sample: DataFrame) -> DataFrame:

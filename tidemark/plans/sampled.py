@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import particles, predictive, samplers, series
 from tidemark.operators.kernels import SamplerConfig
 from tidemark.plans.queries import final
-from tidemark.sources.tables import event_series, order_counts, series_of
-from tidemark.streaming import pvalues
+from tidemark.sources.tables import days, event_series, order_counts, series_of, shared_dir
+from tidemark.streaming import pvalues, smc
 
 END = 30.0
 CFG = SamplerConfig(iterations=4000, burn_in=500, thinning=10, nu=1 / 15)
@@ -113,8 +113,37 @@ def smc_budgeted(spark: SparkSession, d: str) -> DataFrame:
     """Summaries of particles whose number in each window follows from one budget over all users."""
     ev = event_series(spark, d, "user_id")
     users = series_of(ev)
-    sizes = samplers.adaptive_sizes(ev, users, 0.0, END, 5, 3000, 20, SamplerConfig(iterations=1000, burn_in=100, thinning=10, nu=1 / 10))
-    return samplers.interval_summary(samplers.sequential_monte_carlo(ev, users, 0.0, END, 5, 50, SamplerConfig(burn_in=100, thinning=2, nu=1 / 10), sizes=sizes))
+    budget = 20 * users.count()
+    drawn = samplers.budgeted_windows(ev, users, 0.0, END, 5, budget, 20, SamplerConfig(burn_in=100, thinning=5, nu=1 / 10))
+    return samplers.interval_summary(samplers.sequential_monte_carlo(ev, users, 0.0, END, 5, 20, SamplerConfig(burn_in=100, thinning=2, nu=1 / 10), fresh=drawn))
+
+
+def window_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """How many draws each user has in each window under that budget."""
+    ev = event_series(spark, d, "user_id")
+    users = series_of(ev)
+    drawn = samplers.budgeted_windows(ev, users, 0.0, END, 5, 20 * users.count(), 20, SamplerConfig(burn_in=100, thinning=5, nu=1 / 10))
+    return drawn.groupBy("series", "interval").agg(F.count(F.lit(1)).alias("n"))
+
+
+def smc_shot_noise(spark: SparkSession, d: str) -> DataFrame:
+    """Of each user: particles of a decaying rate with jumps, window by window."""
+    ev = event_series(spark, d, "user_id")
+    return samplers.interval_summary(samplers.shot_noise_smc(ev, series_of(ev), 0.0, END, 5, 60, SamplerConfig(burn_in=100, thinning=4, nu=0.1), 1.0, 0.3))
+
+
+STREAMED = smc.Windows(width=5.0, intervals=6, n=60, cfg=SamplerConfig(burn_in=100, thinning=2, nu=1 / 15))
+
+
+def smc_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Of each user: particles after each window of a stream over the events table, collected into a table."""
+    events = _stream(spark, d).selectExpr("CAST(user_id AS STRING) AS series", "CAST(ts AS TIMESTAMP) AS ts", f"{days('ts')} AS t")
+    return _collected(spark, events, lambda marked: smc.particles(marked, STREAMED, FIRST_DAY * 86_400_000), smc.ROWS)
+
+
+def smc_replay(spark: SparkSession, d: str) -> DataFrame:
+    """smc_stream in batch."""
+    return smc.replay(event_series(spark, d, "user_id"), STREAMED)
 
 
 def rj_rising(spark: SparkSession, d: str) -> DataFrame:
@@ -129,21 +158,32 @@ def map_polished(spark: SparkSession, d: str) -> DataFrame:
     return samplers.polish_map(best, ev, 0.0, END)
 
 
+#: Days from 1970-01-01 to the origin.
+FIRST_DAY = 19723
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+
+
+def _collected(spark: SparkSession, events: DataFrame, scored: Callable[[DataFrame], DataFrame], rows: str) -> DataFrame:
+    """The rows that a stream makes of all events (series, ts, ...) by the time it ends."""
+    where = f"{shared_dir(spark)}/tidemark/stream-{uuid.uuid4().hex}"
+    # The table ends, a stream doesn't: a mark after the last day closes its windows. The mark's own window never closes.
+    names = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    mark = ", ".join("TIMESTAMP'2024-02-02 00:00:00' AS ts" if n == "ts" else f"CAST(NULL AS {kind}) AS {n}" for n, kind in names.items())
+    spark.sql(f"SELECT {mark}").write.parquet(f"{where}/end")
+    marked = events.unionByName(spark.readStream.schema(", ".join(f"{n} {kind}" for n, kind in names.items())).parquet(f"{where}/end*"))
+    scored(marked).writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows).parquet(f"{where}/rows")
+
+
 def stream_pvalues(spark: SparkSession, d: str) -> DataFrame:
     """A stream over the events table, scored window by window, collected into a table."""
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    events = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").select(F.col("event_type").alias("series"), F.col("ts").cast("timestamp").alias("ts"))
-    first = 19723  # days from 1970-01-01 to 2024-01-01
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    where = f"{base.rstrip('/')}/tidemark/stream-{uuid.uuid4().hex}"
-    # The table ends, a stream doesn't: a mark after the last day closes its window.
-    spark.sql("SELECT CAST(NULL AS STRING) AS series, TIMESTAMP'2024-02-02 00:00:00' AS ts").write.parquet(f"{where}/end")
-    marked = events.unionByName(spark.readStream.schema("series string, ts timestamp").parquet(f"{where}/end*"))
-    # The mark's own window never closes.
-    scored = pvalues.posterior(pvalues.windowed(marked, 1.0), first, 1.0, 1.0, 1.0)
-    scored.writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.schema(pvalues.SCORED).parquet(f"{where}/rows")
+    events = _stream(spark, d).select(F.col("event_type").alias("series"), F.col("ts").cast("timestamp").alias("ts"))
+    rows = _collected(spark, events, lambda marked: pvalues.posterior(pvalues.windowed(marked, 1.0), FIRST_DAY, 1.0, 1.0, 1.0), pvalues.SCORED)
     return final(predictive.tails(rows, "r", "t", "shape", "rate"))
 
 
-QUERIES = {f.__name__: f for f in (rj_poisson, rj_gaussian, rj_counts, rj_shot_noise, rj_acceptance, rejection_sample, smc_gaussian, smc_counts, smc_budgeted, rj_rising, rate_draws, prior_sample, smc_poisson, smc_full_history, smc_summary, smc_adaptive, map_polished, stream_pvalues)}
+QUERIES = {f.__name__: f for f in (rj_poisson, rj_gaussian, rj_counts, rj_shot_noise, rj_acceptance, rejection_sample, smc_gaussian, smc_counts, smc_budgeted, window_sizes, smc_shot_noise, smc_stream, smc_replay, rj_rising, rate_draws, prior_sample, smc_poisson, smc_full_history, smc_summary, smc_adaptive, map_polished, stream_pvalues)}
