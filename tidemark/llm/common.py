@@ -11,8 +11,6 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -21,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from tidemark.sources.tables import durable  # noqa: F401  used by the operators
+
 #: Words between ASCII white space.
 SPACED = r"[^\x20\x09-\x0D]+"
 #: Runs of ASCII letters and digits (lower case) and everything beyond ASCII.
@@ -46,24 +46,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def durable(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: cuts the lineage, survives
-    lost executors, and lets later steps read single columns."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def checked(rows: DataFrame, most: int) -> DataFrame:
     """rows of a written table, marked for a broadcast if there are ``most`` of them at most."""
     return F.broadcast(rows) if rows.count() <= most else rows
