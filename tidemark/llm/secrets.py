@@ -2,7 +2,7 @@
 
 Candidates in base64 (lines may be indented, their breaks written as escapes, and text may follow
 a key) or hex are decoded, and reported only if what they hold parses: DER key
-encodings whose nested lengths fill one another exactly (PKCS#1, PKCS#8, encrypted PKCS#8, SEC1, DSA), the binary
+encodings whose nested lengths fill one another exactly (PKCS#1, PKCS#8 with the key inside, encrypted PKCS#8, SEC1, DSA), the binary
 envelope of OpenSSH keys, through public keys and private section to its end, and signed tokens whose
 header is JSON with an ``alg`` and whose payload is JSON too.
 
@@ -17,8 +17,9 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 from pyspark.sql import DataFrame
 
@@ -41,6 +42,14 @@ TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,}
 INTEGER, OCTETS, OID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
 # Object identifiers of password-based encryption begin so (PKCS#5 and PKCS#12).
 PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+RSA = (bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a864886f70d01010a"))
+ELLIPTIC = bytes.fromhex("2a8648ce3d0201")
+#: DSA and Diffie-Hellman.
+WHOLE_NUMBER = (bytes.fromhex("2a8648ce380401"), bytes.fromhex("2a864886f70d010301"))
+#: X25519, X448, Ed25519, Ed448.
+EDWARDS = tuple(bytes.fromhex(f"2b65{i}") for i in ("6e", "6f", "70", "71"))
+# Keys of many primes have ten parts; names of ciphers and key types, and object identifiers, are short.
+MOST_PARTS, MOST_NAME, MOST_OID = 16, 64, 32
 MAGIC = b"openssh-key-v1\0"
 # Authenticated ciphers append their tag to the private section.
 MOST_TAG = 16
@@ -54,85 +63,138 @@ def _unbase64(s: str) -> bytes | None:
         return None
 
 
-def _tlvs(b: bytes) -> list[tuple[int, bytes]] | None:
-    """Tag and value of each element if they fill b exactly."""
-    out, at = [], 0
-    while at < len(b):
-        if at + 2 > len(b):
+class Bytes:
+    """Bytes that are read piece by piece."""
+
+    def __init__(self, b: bytes):
+        self.b, self.size = b, len(b)
+
+    def read(self, at: int, n: int) -> bytes:
+        return self.b[at : at + n]
+
+
+class Base64:
+    """What a base64 string encodes from a character on; only what is read is decoded."""
+
+    def __init__(self, chars: str, start: int):
+        self.chars, self.start, self.size = chars, start, (len(chars) - start) * 3 // 4
+
+    def read(self, at: int, n: int) -> bytes:
+        n = max(0, min(n, self.size - at))
+        s = self.chars[self.start + at // 3 * 4 : self.start + -(-(at + n) // 3) * 4]
+        return base64.b64decode(s + "A" * (-len(s) % 4))[at % 3 : at % 3 + n]
+
+
+def _parts(src: Bytes | Base64, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """Tag, beginning and end of the value of each element, if they fill [at, end) exactly; no key has over MOST_PARTS."""
+    out = []
+    while at < end:
+        head = src.read(at, 6)
+        if len(head) < 2 or len(out) == MOST_PARTS:
+            return None
+        size = head[1] & 0x7F if head[1] & 0x80 else 0
+        if head[1] & 0x80 and (not 1 <= size <= 4 or len(head) < 2 + size):
             return None
-        tag, n, at = b[at], b[at + 1], at + 2
-        if n & 0x80:
-            size = n & 0x7F
-            if not 1 <= size <= 4 or at + size > len(b):
-                return None
-            n, at = int.from_bytes(b[at : at + size], "big"), at + size
-        if at + n > len(b):
+        n = int.from_bytes(head[2 : 2 + size], "big") if size else head[1]
+        at += 2 + size
+        if at + n > end:
             return None
-        out.append((tag, b[at : at + n]))
+        out.append((head[0], at, at + n))
         at += n
     return out
 
 
-def is_der_key(b: bytes | None) -> bool:
-    """A private key in PKCS#1, PKCS#8 or SEC1 form, with lengths that agree at each depth."""
-    outer = _tlvs(b) if b else None
-    if not outer or len(outer) != 1 or outer[0][0] != SEQUENCE:
+def _is_inner_key(src: Bytes | Base64, oid: bytes, at: int, end: int) -> bool:
+    """The key inside of PKCS#8, in the form that its algorithm has."""
+    outer = _parts(src, at, end)
+    if not outer or len(outer) != 1:
         return False
-    parts = _tlvs(outer[0][1])
+    tag, at, end = outer[0]
+    if oid in EDWARDS:
+        return tag == OCTETS and end - at in (32, 56, 57)
+    if oid in WHOLE_NUMBER:
+        return tag == INTEGER
+    if oid in RSA or oid == ELLIPTIC:
+        inner = _parts(src, at, end) if tag == SEQUENCE else None
+        tags = [t for t, *_ in inner or []]
+        return tags[:9] == [INTEGER] * 9 if oid in RSA else tags[:2] == [INTEGER, OCTETS]
+    return True
+
+
+def der_size(src: Bytes | Base64) -> int:
+    """How many bytes the private key at the start has, in PKCS#1, PKCS#8 or SEC1 form, with lengths that agree at
+    each depth; 0 if there is none. Reads headers only, so a false start costs the same however long it claims to be."""
+    head = src.read(0, 6)
+    if len(head) < 6 or head[0] != SEQUENCE:
+        return 0
+    size = head[1] & 0x7F if head[1] & 0x80 else 0
+    if head[1] & 0x80 and not 1 <= size <= 4:
+        return 0
+    end = 2 + size + (int.from_bytes(head[2 : 2 + size], "big") if size else head[1])
+    parts = _parts(src, 2 + size, end) if end <= src.size else None
     if not parts or len(parts) < 2:
-        return False
-    tags = [t for t, _ in parts]
+        return 0
+    tags, length = [t for t, *_ in parts], parts[1][2] - parts[1][1]
+
+    def oid(of: int) -> bytes:
+        inner = _parts(src, *parts[of][1:])
+        return src.read(inner[0][1], min(MOST_OID, inner[0][2] - inner[0][1])) if inner and inner[0][0] == OID else b""
+
     if tags == [SEQUENCE, OCTETS]:
-        inner = _tlvs(parts[0][1])
-        return bool(inner) and inner[0][0] == OID and inner[0][1].startswith(PASSWORD_BASED) and len(parts[1][1]) >= 16
-    if tags[0] != INTEGER or parts[0][1] not in (b"\0", b"\1"):
-        return False
-    if tags[:9] == [INTEGER] * 9:
-        return True
-    if tags == [INTEGER] * 6:
-        return len(parts[1][1]) >= 64
-    if tags[1] == SEQUENCE and len(parts) > 2 and tags[2] == OCTETS:
-        inner = _tlvs(parts[1][1])
-        return bool(inner) and inner[0][0] == OID
-    return tags[1] == OCTETS and len(parts[1][1]) in (20, 24, 28, 32, 48, 64, 66)
-
-
-def openssh_size(b: bytes | None) -> int:
-    """How many bytes the OpenSSH key at the start of b has, 0 if none: the magic; cipher, key
+        ok = oid(0).startswith(PASSWORD_BASED) and length >= 16
+    elif tags[0] != INTEGER or src.read(parts[0][1], parts[0][2] - parts[0][1] if parts[0][2] - parts[0][1] == 1 else 0) not in (b"\0", b"\1"):
+        ok = False
+    elif tags[1] == SEQUENCE and len(parts) > 2 and tags[2] == OCTETS:
+        kind = oid(1)
+        ok = bool(kind) and _is_inner_key(src, kind, *parts[2][1:])
+    else:
+        ok = tags[:9] == [INTEGER] * 9 or (tags == [INTEGER] * 6 and length >= 64) or (tags[1] == OCTETS and length in (20, 24, 28, 32, 48, 64, 66))
+    return end if ok else 0
+
+
+def is_der_key(b: bytes | None) -> bool:
+    """A private key that fills b."""
+    return bool(b) and der_size(Bytes(b)) == len(b)
+
+
+def openssh_size(src: Bytes | Base64) -> int:
+    """How many bytes the OpenSSH key at the start has, 0 if none: the magic; cipher, key
     derivation and its options; a count of keys; so many public keys, each beginning with its type; and the
     private section, which begins with two equal numbers where it isn't encrypted."""
-    if not b or not b.startswith(MAGIC):
+    if src.read(0, len(MAGIC)) != MAGIC:
         return 0
     at = len(MAGIC)
 
-    def block() -> bytes | None:
+    def block() -> tuple[int, int]:
+        """Beginning and length of the next block; length -1 if it is cut short."""
         nonlocal at
-        n = int.from_bytes(b[at : at + 4], "big")
-        if at + 4 + n > len(b):
-            return None
+        n = int.from_bytes(src.read(at, 4), "big")
+        if at + 4 + n > src.size:
+            return at, -1
         at += 4 + n
-        return b[at - n : at]
+        return at - n, n
 
-    cipher, kdf, options = block(), block(), block()
-    if not cipher or not kdf or options is None or not cipher.isascii() or at + 4 > len(b):
+    (name, n), (_, derivation), (_, options) = block(), block(), block()
+    cipher = src.read(name, n) if 1 <= n <= MOST_NAME else b""
+    if not cipher or not cipher.isascii() or derivation < 1 or options < 0 or at + 4 > src.size:
         return 0
-    keys, at = int.from_bytes(b[at : at + 4], "big"), at + 4
+    keys, at = int.from_bytes(src.read(at, 4), "big"), at + 4
     if not 1 <= keys <= 16:
         return 0
     for _ in range(keys):
-        public = block()
-        kind = int.from_bytes(public[:4], "big") if public else 0
-        if not 4 <= kind <= 64 or kind + 4 > len(public) or not public[4 : 4 + kind].isascii():
+        start, n = block()
+        kind = int.from_bytes(src.read(start, 4), "big") if n >= 4 else 0
+        if not 4 <= kind <= MOST_NAME or kind + 4 > n or not src.read(start + 4, kind).isascii():
             return 0
-    private = block()
-    if not private or len(private) < 16 or (cipher == b"none" and private[:4] != private[4:8]):
+    start, n = block()
+    if n < 16 or (cipher == b"none" and src.read(start, 4) != src.read(start + 4, 4)):
         return 0
-    return at + (min(MOST_TAG, len(b) - at) if b"gcm" in cipher or b"poly1305" in cipher else 0)
+    return at + (min(MOST_TAG, src.size - at) if b"gcm" in cipher or b"poly1305" in cipher else 0)
 
 
 def is_openssh_key(b: bytes | None) -> bool:
     """An OpenSSH key that fills b."""
-    return bool(b) and openssh_size(b) == len(b)
+    return bool(b) and openssh_size(Bytes(b)) == len(b)
 
 
 def _json(s: str) -> object:
@@ -162,51 +224,26 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def _der_chars(head: str) -> int:
-    """How many base64 characters hold the DER sequence that starts so, by its own length; 0 if none does."""
-    b = _unbase64(head)
-    if not b or len(b) < 6 or b[0] != SEQUENCE:
-        return 0
-    size = b[1] & 0x7F if b[1] & 0x80 else 0
-    if b[1] & 0x80 and not 1 <= size <= 4:
-        return 0
-    n = 2 + size + (int.from_bytes(b[2 : 2 + size], "big") if size else b[1])
-    return -(-n * 4 // 3)
-
-
-def _key_at(text: str, lines: list[tuple[int, int]]) -> tuple[int, str] | None:
-    """End and kind of the key in base64 that starts with the first of the lines (start, end)."""
-    head, i = "", 0
-    while len(head) < 8 and i < len(lines):
-        head, i = head + text[slice(*lines[i])], i + 1
-    want, kind = _der_chars(head[:8]), "der"
-    if not want and head.startswith("b3BlbnNz"):
-        flat = "".join(text[s:e] for s, e in lines)
-        want, kind = -(-openssh_size(_unbase64(flat[: len(flat) - (len(flat) % 4 == 1)])) * 4 // 3), "openssh"
-    if not want:
-        return None
-    parts = []
-    for s, e in lines:
-        parts.append(text[s : min(e, s + want)])
-        want -= len(parts[-1])
-        if want == 0:
-            s += len(parts[-1])
-            return (s + len(PADDING.match(text, s)[0]), kind) if kind == "openssh" or is_der_key(_unbase64("".join(parts))) else None
-    return None
-
-
 def _base64_keys(text: str, start: int, end: int) -> Iterator[tuple[int, int, str]]:
-    """Keys in a run of base64 lines: any line may begin one, and text may follow it."""
+    """Keys in a run of base64 lines: any line may begin one, and text may follow it. The lines are put together once."""
     cuts = [start, *chain.from_iterable(m.span() for m in BREAK.finditer(text, start, end)), end]
-    lines = [(s, e) for s, e in zip(cuts[::2], cuts[1::2], strict=True)]
-    lines = [(s, s + len(text[s:e].rstrip("="))) for s, e in lines]
-    after = start
-    for i, (s, e) in enumerate(lines):
-        if s >= after and B64_LINE.match(text, s, e):
-            found = _key_at(text, lines[i:])
-            if found:
-                after = found[0]
-                yield s, *found
+    lines = [text[s:e].rstrip("=") for s, e in zip(cuts[::2], cuts[1::2], strict=True)]
+    chars = "".join(lines).replace("-", "+").replace("_", "/")
+    offsets, after = [0, *accumulate(map(len, lines))], start
+    for i, s in enumerate(cuts[::2]):
+        if s < after or not B64_LINE.match(text, s, s + len(lines[i])):
+            continue
+        src = Base64(chars, offsets[i])
+        size, kind = der_size(src), "der"
+        if not size:
+            size, kind = openssh_size(src), "openssh"
+        if size:
+            # Where the key's last character stands.
+            last = offsets[i] + -(-size * 4 // 3) - 1
+            line = bisect_right(offsets, last) - 1
+            stop = cuts[2 * line] + last - offsets[line] + 1
+            after = stop + len(PADDING.match(text, stop)[0])
+            yield s, after, kind
 
 
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
