@@ -645,6 +645,9 @@ def test_mixing_small_sources(spark):
     got = mixing.mix(docs.select("doc_id", "source", F.regexp_count(text, F.lit(common.SPACED)).alias("n")), F.col("n"), [F.col("doc_id")])
     sums = got.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("x"), F.max("copies").alias("c")).collect()
     assert len(sums) > 15 and all(abs(r["t"] / r["x"] - 1) < 0.02 and r["c"] <= 3 for r in sums)
+    # Ten documents a source, one of them half of it.
+    few = queries.op9_mixing(spark, SF).groupBy("source_size", "target").agg(F.sum("taken").alias("t"), F.max(F.col("taken") / F.col("size")).alias("c")).collect()
+    assert len(few) > 15 and all(abs(r["t"] / r["target"] - 1) < 0.05 and r["c"] <= 3 for r in few)
 
 
 def test_secret_keys_in_text():

@@ -4,10 +4,10 @@ Documents of a source are put in order of size, then of a seeded hash, in tables
 prefix sums of the expected copies, shifted by one random offset, cross integers, and a document is emitted once for
 each integer that it crosses. The order by size keeps the words taken near the target.
 
-Every document of a source expects the same number of copies, the source's target over its size, but for
-this: documents with over 1 / PARTS of a source's words (fewer than PARTS of them) are drawn first, and
-the others expect what is then missing, from none to ``most`` copies each. So the words taken are within about
-1 / PARTS of the source's size of its target, unless its large documents hold too much for the others to make up.
+Documents with over 1 / PARTS of a source's words (fewer than PARTS of them) are drawn first, from the largest down. Each
+expects, from none to ``most`` copies, what the source still misses of its target over the words still to come, so
+that each makes up for those before it, and no more than fit into that if the rest can make it up; all the others expect what is missing after them. So the words taken are within about
+1 / PARTS of the source's size of its target; of a source of few documents, within about the size of its smallest one.
 
 Targets: sources in code-point order, null last, weigh 5, 2, 1, 5, ...; they share the sum of all
 sizes by weight, but none takes over ``most`` times its own size, and what is cut off goes to the
@@ -94,12 +94,24 @@ def mix(docs: DataFrame, size: Column, identity: list[Column], source_col: str =
     keyed = keyed.drop("__tm_source").join(checked(sources, BROADCAST_ROWS), "__tm_g")
     is_large = n * PARTS > F.col("source_size")
 
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    large = keyed.where(is_large).withColumn("copies", _drawn(F.row_number().over(Window.partitionBy("__tm_g").orderBy("__tm_size", "__tm_h")), rate, u))
-    drawn = large.groupBy("__tm_g").agg(F.sum("__tm_size").alias("__tm_held"), F.sum(F.col("copies") * n).alias("__tm_took"))
-    left = F.col("source_size") - F.coalesce("__tm_held", F.lit(0))
-    missing = F.col("target") - F.coalesce("__tm_took", F.lit(0))
-    rates = sources.join(drawn, "__tm_g", "left").select("__tm_g", F.when(left > 0, F.least(F.lit(float(most)), F.greatest(F.lit(0.0), missing / left))).otherwise(0.0).alias("__tm_rate"))
+    # The largest first, so that what they miss is made up for by smaller ones: fewer than PARTS of a source in all.
+    ranked = keyed.where(is_large).withColumn("__tm_r", F.row_number().over(Window.partitionBy("__tm_g").orderBy(n.desc(), "__tm_h")))
+    lists = ranked.groupBy("__tm_g").agg(F.array_sort(F.collect_list(F.struct("__tm_r", "__tm_size"))).alias("__tm_a"))
+
+    def next_one(s: Column, x: Column) -> Column:
+        size = x["__tm_size"]
+        share = F.when(s["left"] > 0, F.least(F.lit(float(most)), F.greatest(F.lit(0.0), s["missing"] / s["left"]))).otherwise(0.0)
+        fit = F.floor(F.greatest(F.lit(0.0), s["missing"]) / size).cast("double")
+        expected = F.when((s["left"] - size) * most >= s["missing"] - fit * size, F.least(share, fit)).otherwise(share)
+        copies = (F.floor(s["sum"] + expected + u) - F.floor(s["sum"] + u)).cast("long")
+        return F.struct((s["missing"] - copies * x["__tm_size"]).alias("missing"), (s["left"] - x["__tm_size"]).alias("left"), (s["sum"] + expected).alias("sum"), F.concat(s["copies"], F.array(copies)).alias("copies"))
+
+    begin = F.struct(F.col("target").alias("missing"), F.col("source_size").cast("double").alias("left"), F.lit(0.0).alias("sum"), F.array().cast("array<bigint>").alias("copies"))
+    some = F.coalesce("__tm_a", F.array().cast("array<struct<__tm_r:int,__tm_size:bigint>>"))
+    folded = durable(sources.join(lists, "__tm_g", "left").select("__tm_g", F.aggregate(some, begin, next_one).alias("__tm_s")), "large")
+    large = ranked.join(checked(folded, BROADCAST_ROWS), "__tm_g").withColumn("copies", F.element_at("__tm_s.copies", F.col("__tm_r")))
+    left, missing = F.col("__tm_s.left"), F.col("__tm_s.missing")
+    rates = folded.select("__tm_g", F.when(left > 0, F.least(F.lit(float(most)), F.greatest(F.lit(0.0), missing / left))).otherwise(0.0).alias("__tm_rate"))
 
     # Few classes and sizes can have more rows than a bucket, so that these tables are small.
     rest = keyed.where(~is_large)

@@ -36,18 +36,25 @@ OP5 = f"""WITH dw AS (SELECT doc_id, regexp_extract_all({LOWER}, '{ALNUM}') AS w
  n AS (SELECT item_id, count(*) AS n_item FROM its GROUP BY item_id)
  SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item::DOUBLE AS containment FROM ds JOIN its USING (s, k) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*) >= ceil(0.8 * n_item - 1e-6)"""
 
-OP9 = f"""WITH d AS (SELECT doc_id, source, coalesce('=' || source, '') AS g, len(regexp_extract_all(coalesce(text, ''), '{SPACED}'))::BIGINT AS size, md5('{mixing.SEED}' || ':' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS k FROM documents),
+#: What all later documents expect, what the next large one does, and its copies.
+SHARE = f"CASE WHEN f.togo > 0 THEN least({mixing.MOST}.0, greatest(0.0, f.missing / f.togo)) ELSE 0.0 END::DOUBLE"
+FIT = "floor(greatest(0.0, f.missing) / b.size)"
+EXPECTED = f"CASE WHEN (f.togo - b.size) * {mixing.MOST} >= f.missing - {FIT} * b.size THEN least({SHARE}, {FIT}) ELSE {SHARE} END::DOUBLE"
+COPIES = f"CAST(floor(f.p + {EXPECTED} + {mixing.offset(mixing.SEED)!r}) - floor(f.p + {mixing.offset(mixing.SEED)!r}) AS BIGINT)"
+
+OP9 = f"""WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('=' || source, '') AS g, len(regexp_extract_all(coalesce(text, ''), '{SPACED}'))::BIGINT AS size, md5('{mixing.SEED}' || ':' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS k FROM documents),
  s AS (SELECT g, any_value(source) AS source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY g),
  w AS (SELECT *, ([5.0, 2.0, 1.0])[((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM s),
  r AS (SELECT *, 3.0 * source_size / w AS ratio FROM w),
  l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3.0 * source_size) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS lvl FROM r WINDOW b AS (ORDER BY ratio, g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
  t AS (SELECT g, source_size, least(3.0 * source_size, (SELECT arg_min(lvl, (ratio, g)) FROM l WHERE lvl <= ratio) * w)::DOUBLE AS target FROM l),
  e AS (SELECT d.doc_id, d.g, size, source_size, target, size * {mixing.PARTS} > source_size AS large, lpad(length(hx)::VARCHAR, 2, '0') || substr(hx, 1, 2) AS cls, k FROM (SELECT *, lower(to_hex(size)) AS hx FROM d) d JOIN t ON t.g = d.g),
- o AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, row_number() OVER (PARTITION BY g, large ORDER BY cls, size, k) AS rn FROM e),
- h AS (SELECT *, CAST(floor(rn * rate + {mixing.offset(mixing.SEED)!r}) - floor((rn - 1) * rate + {mixing.offset(mixing.SEED)!r}) AS BIGINT) AS c FROM o WHERE large),
- q AS (SELECT g, sum(size)::BIGINT AS held, sum(c * size)::BIGINT AS took FROM h GROUP BY g),
- v AS (SELECT t.g, CASE WHEN source_size > coalesce(held, 0) THEN least(3.0, greatest(0.0, (target - coalesce(took, 0)) / (source_size - coalesce(held, 0)))) ELSE 0 END::DOUBLE AS rate FROM t LEFT JOIN q ON q.g = t.g),
- z AS (SELECT doc_id, size, source_size, target, c FROM h UNION ALL
+ o AS (SELECT *, row_number() OVER (PARTITION BY g, large ORDER BY CASE WHEN large THEN -size END, cls, size, k) AS rn FROM e),
+ b AS (SELECT g, doc_id, size, source_size, target, rn FROM o WHERE large),
+ f AS (SELECT g, 0::BIGINT AS rn, target AS missing, source_size::DOUBLE AS togo, 0.0::DOUBLE AS p, 0::BIGINT AS c FROM t
+   UNION ALL SELECT f.g, b.rn, f.missing - {COPIES} * b.size, f.togo - b.size, f.p + {EXPECTED}, {COPIES} FROM f JOIN b ON b.g = f.g AND b.rn = f.rn + 1),
+ v AS (SELECT g, {SHARE} AS rate FROM (SELECT g, arg_max(missing, rn) AS missing, arg_max(togo, rn) AS togo FROM f GROUP BY g) f),
+ z AS (SELECT b.doc_id, b.size, b.source_size, b.target, f.c FROM b JOIN f ON f.g = b.g AND f.rn = b.rn UNION ALL
    SELECT doc_id, size, source_size, target, CAST(floor(rn * v.rate + {mixing.offset(mixing.SEED)!r}) - floor((rn - 1) * v.rate + {mixing.offset(mixing.SEED)!r}) AS BIGINT) FROM o JOIN v ON v.g = o.g WHERE NOT large)
  SELECT doc_id, size, source_size, target, c * size AS taken FROM z"""
 
