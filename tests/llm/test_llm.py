@@ -491,6 +491,16 @@ def test_lm_gradients_match_a_loop():
     assert [len(x) for x in maxent.observed(known, toks)] == [3 * len(toks.leaf)] * 3
 
 
+def test_lm_gain_grows_with_steps(spark):
+    """Each step, over documents that the model is then run on, raises what held-out documents gain over the unigram model."""
+    docs = common.durable(common.table(spark, "/root/testdata/sf0.1", "documents").where("doc_id < 3000").select("doc_id", "text"), "lm")
+    gains = []
+    for steps in (1, 2, 4):
+        r = maxent.score(docs, steps=steps).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+        gains.append(1 - r[0] / r[1])
+    assert gains[0] + 0.002 < gains[1] < gains[2] and gains[2] > 0.055
+
+
 @pytest.mark.parametrize("steps", [1, 2])
 def test_lm_same_scores_for_any_partitioning(spark, steps):
     docs = common.table(spark, "/root/testdata/sf0.01", "documents").select(F.concat(F.lit("id"), F.col("doc_id")).alias("doc_id"), "text").limit(400)

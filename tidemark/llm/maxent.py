@@ -8,12 +8,13 @@ most frequent words, TOP - 1 at most, have one each; all others, unseen ones too
 a word's probability is its smoothed relative frequency. Logits start from the log frequencies of
 the classes, so an untrained model is the unigram model.
 
-Training is synchronous: each step sums a gradient over all training documents and then updates all
+Training is synchronous: each step sums a gradient over training documents and then updates all
 weights, so that the model doesn't depend on how rows are partitioned. An entry's gradient is how
-often it was observed less how often the model expects it; the update is its logarithmic step,
-log((observed + prior) / (expected + prior)), damped since features overlap. At the start the
-expected counts follow from the unigram model, so that the first step only counts; each later one runs the model over
-the corpus. Rows of weights grow with the vocabulary up to MOST_ROWS.
+often it was observed less how often the model expects it; the update is a logarithmic step,
+log((observed + prior) / (expected + prior)), damped since features overlap. The first step is over all documents; what
+the untrained model expects there follows from the unigram counts. SLICES further steps each run the model over another
+slice of the documents (by a hash of the text), all of them in one epoch, at falling rates and under a heavier prior.
+Rows of weights grow with the vocabulary up to MOST_ROWS.
 
 Counts are exact and cover all training documents. Gradients are added up in a tree of fixed fan-in.
 All that comes to the driver is bounded by parameters: the frequent words (HEAVY), the masses of leaves and
@@ -58,10 +59,12 @@ BLOCK = 1024
 FAN_IN = 32
 CHUNK = 8192
 #: Bytes of text whose tokens a worker holds at once, and words whose numbers it keeps.
-SLICE, KEPT_WORDS = 2 << 20, 200_000
-STEPS = 1
-#: Share of the full logarithmic step that is taken; weight of the unigram expectation, in tokens.
-RATES, PRIOR = (0.55, 0.2), 30.0
+SLICE, KEPT_WORDS = 1 << 20, 200_000
+SLICES = 3
+STEPS = 1 + SLICES
+#: Shares of the full logarithmic step that are taken, at the first step and then in turn; weights of the unigram
+#: expectation, in tokens, at the first step and later. Rates fall further with each epoch.
+RATES, PRIORS = (0.4, 0.5, 0.45, 0.4), (30.0, 60.0)
 
 
 def is_held_out(id_col: str) -> Column:
@@ -231,8 +234,8 @@ def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
     return texts.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def gradient_sums(texts: DataFrame, text_col: str, known: Words, weights: list[np.ndarray] | None) -> list[np.ndarray]:
-    """Over all texts, of each entry: how often it is observed (no weights) or what the model expects."""
+def gradient_sums(texts: DataFrame, text_col: str, known: Words, weights: list[np.ndarray] | None) -> tuple[list[np.ndarray], list[np.ndarray] | None]:
+    """Over all texts, of each entry: how often it is observed, and what the model with these weights expects."""
     sent = texts.sparkSession.sparkContext.broadcast((known, weights))
     schema = "level int, block int, part int, v binary"
 
@@ -241,13 +244,13 @@ def gradient_sums(texts: DataFrame, text_col: str, known: Words, weights: list[n
 
         known, weights = sent.value
         model, part = weights and Model(known, weights), TaskContext.get().partitionId()
-        sums = [np.zeros(n * FAN, np.int32 if model is None else np.float64) for n in known.rows]
+        counts = [np.zeros(n * FAN, np.int32) for n in known.rows]
+        means = [np.zeros((n, FAN)) for n in known.rows] if model else []
         for b in sliced(batches, "t", SLICE):
             toks = Tokens.of(known, b.column(0).to_pylist())
-            if model is None:
-                for level, at in enumerate(observed(known, toks)):
-                    sums[level] += np.bincount(at, minlength=len(sums[level])).astype(np.int32)
-            else:
+            for level, at in enumerate(observed(known, toks)):
+                counts[level] += np.bincount(at, minlength=len(counts[level])).astype(np.int32)
+            if model:
                 for _, level, _, rows, z in model.chunks(toks):
                     flat = rows.ravel(order="F")
                     order = np.argsort(flat.astype(np.uint32), kind="stable")
@@ -255,14 +258,14 @@ def gradient_sums(texts: DataFrame, text_col: str, known: Words, weights: list[n
                     first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
                     p = np.exp(z, out=z)
                     p /= p.sum(axis=1, keepdims=True)
-                    sums[level].reshape(-1, FAN)[flat[first]] += np.add.reduceat(p[order % len(rows)], first, axis=0)
-        for level, v in enumerate(sums):
+                    means[level][flat[first]] += np.add.reduceat(p[order % len(rows)], first, axis=0)
+        for level, v in enumerate([*counts, *means]):
             v = v.reshape(-1, BLOCK * FAN)
             kept = np.flatnonzero(v.any(axis=1))
             for i in range(0, len(kept), 64):
                 own = kept[i : i + 64]
-                # Counts of one task fit 32-bit floats exactly up to 2 ** 24.
-                exact = v[own].max() < 1 << 24
+                # Counts of one task fit 32-bit floats exactly up to 2 ** 24; sums of chances are kept whole.
+                exact = level < LEVELS and v[own].max() < 1 << 24
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(own), level, np.int32)), pa.array(own.astype(np.int32)), pa.array(np.full(len(own), part, np.int32)), pa.array([x.astype(np.float32 if exact else np.float64).tobytes() for x in v[own]], pa.binary())],
                     names=["level", "block", "part", "v"],
@@ -273,21 +276,26 @@ def gradient_sums(texts: DataFrame, text_col: str, known: Words, weights: list[n
         parts = durable(parts.groupBy(F.col("level"), F.col("block"), F.expr(f"part div {FAN_IN}")).applyInPandas(_summed, schema), "sums")
         if not parts.agg(F.max("part")).first()[0]:
             break
-    sums = [np.zeros((n, FAN)) for n in known.rows]
+    sums = [np.zeros((n, FAN)) for n in known.rows * (2 if weights else 1)]
     for r in parts.toLocalIterator():
         sums[r["level"]][r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["v"]).reshape(BLOCK, FAN)
-    return sums
+    # The sums are written: what workers held isn't needed again.
+    sent.unpersist()
+    return sums[:LEVELS], sums[LEVELS:] or None
 
 
 def train(texts: DataFrame, text_col: str, known: Words, steps: int = STEPS) -> list[np.ndarray]:
-    """Weights of each level after so many synchronous steps over all texts."""
-    seen = gradient_sums(texts, text_col, known, None)
+    """Weights of each level after so many synchronous steps: one over all texts, then one for each slice in turn."""
     start = [np.repeat(np.exp(b.astype(np.float64)), n // len(b), axis=0) for b, n in zip(known.bias, known.rows, strict=True)]
     weights = [np.zeros((n, FAN), np.float32) for n in known.rows]
+    own = F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(SLICES))
     for step in range(steps):
-        expected = [p * n.sum(axis=1, keepdims=True) for p, n in zip(start, seen, strict=True)] if step == 0 else gradient_sums(texts, text_col, known, weights)
-        rate = RATES[min(step, len(RATES) - 1)]
-        weights = [(w + rate * np.log((o + PRIOR * p + 1e-12) / (e + PRIOR * p + 1e-12))).astype(np.float32) for w, o, e, p in zip(weights, seen, expected, start, strict=True)]
+        epoch, place = divmod(step - 1, SLICES) if step else (0, -1)
+        seen, expected = gradient_sums(texts.where(own == place) if step else texts, text_col, known, weights if step else None)
+        if not step:
+            expected = [p * n.sum(axis=1, keepdims=True) for p, n in zip(start, seen, strict=True)]
+        rate, prior = RATES[place + 1] / (1 + epoch), PRIORS[step > 0]
+        weights = [(w + rate * np.log((o + prior * p + 1e-12) / (e + prior * p + 1e-12))).astype(np.float32) for w, o, e, p in zip(weights, seen, expected, start, strict=True)]
     return weights
 
 
