@@ -62,21 +62,22 @@ class StepFunction:
         return spark.createDataFrame(list(zip(self.knots, self.heights, strict=True)), "knot double, height double")
 
 
-def prefix_integrals(steps: DataFrame) -> DataFrame:
-    """(knot, height) with the integral up to each knot."""
-    order = Window.partitionBy().orderBy("knot")
+def prefix_integrals(steps: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, knot, height) with the integral up to each knot."""
+    order = Window.partitionBy(*keys).orderBy("knot")
     width = F.lead("knot").over(order) - F.col("knot")
     return steps.withColumn("area", F.col("height") * width).withColumn("integral", F.coalesce(F.sum("area").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("area")
 
 
-def combine(first: DataFrame, second: DataFrame, end: float, period: float, multiply: bool = True) -> DataFrame:
-    """Sum or product of two step functions on their merged knots; the second one repeats with its period up to end."""
+def combine(first: DataFrame, second: DataFrame, end: float, period: float, multiply: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Sum or product of two step functions (keys, knot, height) on their merged knots; the second one repeats with its period up to end."""
     repeats = F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-int(end * 1_000_000) // int(period * 1_000_000)) - 1))))
-    again = second.withColumn("n", repeats).select((F.col("knot") + F.col("n") * period).alias("knot"), F.lit(None).cast("double").alias("a"), F.col("height").alias("b")).where(F.col("knot") < end)
-    both = first.select("knot", F.col("height").alias("a"), F.lit(None).cast("double").alias("b")).unionByName(again).groupBy("knot").agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    order = Window.partitionBy().orderBy("knot").rowsBetween(Window.unboundedPreceding, 0)
+    none = F.lit(None).cast("double")
+    again = second.withColumn("n", repeats).select(*keys, (F.col("knot") + F.col("n") * period).alias("knot"), none.alias("a"), F.col("height").alias("b")).where(F.col("knot") < end)
+    both = first.select(*keys, "knot", F.col("height").alias("a"), none.alias("b")).unionByName(again).groupBy(*keys, "knot").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    order = Window.partitionBy(*keys).orderBy("knot").rowsBetween(Window.unboundedPreceding, 0)
     a, b = F.last("a", ignorenulls=True).over(order), F.last("b", ignorenulls=True).over(order)
-    return both.select("knot", (a * b if multiply else a + b).alias("height"))
+    return both.select(*keys, "knot", (a * b if multiply else a + b).alias("height"))
 
 
 def decay(t: Column, rho: float) -> Column:

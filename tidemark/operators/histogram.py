@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.special import digamma_integer
+from tidemark.operators.series import bucketed_sum
 
 
 def bin_of(v: Column, start: float, end: float, n: int, bounded: bool = True) -> Column:
@@ -110,11 +111,12 @@ def draw_bin(histogram: DataFrame, keys: list[str], u: float, order: str = "bin"
     return histogram.withColumn("_c", F.sum("n").over(w)).join(histogram.groupBy(*keys).agg(F.sum("n").alias("_n")), keys).where(F.col("_c") >= F.lit(u) * F.col("_n")).groupBy(*keys).agg(F.min(order).alias(order))
 
 
-def true_marginal(spark, start: float, end: float, n: int, cdf) -> DataFrame:
-    """Probability of each bin under a distribution given by its CDF, as a function of Columns."""
+def true_marginal(rows: DataFrame, start: float, end: float, n: int, cdf) -> DataFrame:
+    """rows, each with the probability p of every bin under a distribution given by its CDF: a function of a Column, which may use the row's columns."""
     width = (end - start) / n
     edge = lambda i: F.lit(start) + i * width
-    return spark.range(n).select(F.col("id").cast("int").alias("bin"), (cdf(edge(F.col("id") + 1)) - cdf(edge(F.col("id")))).alias("p"))
+    bins = rows.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return bins.withColumn("p", cdf(edge(F.col("bin") + 1)) - cdf(edge(F.col("bin"))))
 
 
 # Divergences: how far a histogram still is from its limit.
@@ -125,12 +127,10 @@ def phi(n: Column) -> Column:
     return F.when(n <= 0, 0.0).otherwise(n * (F.log(n) - digamma_integer(n)))
 
 
-def phi_differences(spark, most: int) -> DataFrame:
-    """(n, phi, phi1, phi2): the function, and its first and second differences, for n = 1 .. most."""
-    n = F.col("id")
-    return spark.range(1, most + 1).select(
-        n.alias("n"), phi(n).alias("phi"), (phi(n + 1) - phi(n)).alias("phi1"), (phi(n + 2) - 2 * phi(n + 1) + phi(n)).alias("phi2")
-    )
+def phi_differences(numbers: DataFrame, n: str = "n") -> DataFrame:
+    """numbers with phi, phi1 and phi2: the function, and its first and second differences, at n >= 1."""
+    at = lambda i: phi(F.col(n) + i)
+    return numbers.withColumns({"phi": at(0), "phi1": at(1) - at(0), "phi2": at(2) - 2 * at(1) + at(0)})
 
 
 def divergence(histogram: DataFrame, keys: list[str]) -> DataFrame:
@@ -170,15 +170,20 @@ def within(theta: Column, start: float, end: float) -> Column:
     return F.filter(theta, lambda v: (v >= start) & (v < end))
 
 
-def draws(histogram: DataFrame, us: DataFrame, keys: list[str], order: str = "bin") -> DataFrame:
-    """us (keys, draw, u) with the first bin whose cumulative share reaches u. A key's bins are one array: as
-    many as the histogram has."""
-    cells = histogram.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("bin"), F.col("n").cast("double").alias("n")))).alias("_cells"), F.sum("n").cast("double").alias("_n"))
-    grow = F.aggregate(
-        "_cells", F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("int").alias("bin")),
-        lambda a, x: F.when(a["bin"].isNotNull(), a).otherwise(F.struct((a["c"] + x["n"]).alias("c"), F.when(a["c"] + x["n"] >= F.col("u") * F.col("_n"), x["bin"].cast("int")).alias("bin"))),
+def draws(histogram: DataFrame, us: DataFrame, keys: list[str], order: str = "bin", bucket: int = 1024) -> DataFrame:
+    """us (keys, draw, u) with the first bin whose cumulative share reaches u.
+
+    Cells and draws stand on one line, at the cumulative counts and at u times the whole: as many cells as stand before a
+    draw, so many bins are passed. Sums are taken in buckets, so that neither a key's bins nor its draws meet in one row."""
+    cells = bucketed_sum(histogram, {"_at": F.col("n").cast("double"), "_place": F.lit(1)}, F.floor(F.col(order) / bucket), keys, [order])
+    whole = histogram.groupBy(*keys).agg(F.sum("n").cast("double").alias("_n"), F.max(order).alias("_last"))
+    marks = us.join(whole, keys).withColumn("_at", F.col("u") * F.col("_n"))
+    line = marks.withColumns({"_cell": F.lit(0), "_place": F.lit(None).cast("int")}).unionByName(
+        cells.join(whole, keys).select(*keys, "_at", "_n", "_last", F.lit(1).alias("_cell"), "_place"), allowMissingColumns=True
     )
-    return us.join(cells, keys).withColumn(order, grow["bin"]).drop("_cells", "_n")
+    passed = bucketed_sum(line, {"_passed": F.col("_cell")}, F.floor(F.col("_at") / F.col("_n") * 256), keys, ["_at", "_cell"]).where("_cell = 0").withColumn("_place", F.col("_passed") + 1)
+    found = passed.drop("_at", "_n", "_cell", "_passed").join(cells.select(*keys, "_place", order), [*keys, "_place"], "left")
+    return found.select(*us.columns, F.coalesce(order, "_last").cast("int").alias(order))
 
 
 def difference_density(dense: DataFrame, keys: list[str], width: float, bin_col: str = "bin", n: str = "n") -> DataFrame:

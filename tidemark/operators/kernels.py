@@ -32,6 +32,8 @@ class SamplerConfig:
     #: Centre and spread of the normal one; the histogram's weights over equal bins.
     proposal_normal: tuple[float, float] = (0.0, 1.0)
     proposal_bins: tuple[float, ...] = ()
+    #: Changepoints at whole numbers only, each with probability nu.
+    discrete: bool = False
     random_nu: tuple[float, float] | None = None
     hill_climbing: bool = False
     no_empty_neighbours: bool = False
@@ -171,9 +173,24 @@ def run_chain(model, start: float, end: float, cfg: SamplerConfig, rng: np.rando
     ends = [s0, *theta, end]
     post = sum(ll(a, b) for a, b in zip(ends, ends[1:], strict=False)) + len(theta) * math.log(cfg.nu) - cfg.nu * length
     draw, log_q = location(cfg, start, end, rng)
+    # Whole numbers inside, each a changepoint with probability nu.
+    places = math.ceil(end) - math.floor(start) - 1
+    if cfg.discrete:
+        post += places * math.log1p(-cfg.nu) - len(theta) * math.log1p(-cfg.nu) + cfg.nu * length
+
+    def unused() -> float | None:
+        """A whole number inside that is no changepoint; None if all are."""
+        while len(theta) < places:
+            y = float(math.floor(start) + 1 + int(u() * places))
+            i = bisect_left(theta, y)
+            if i == len(theta) or theta[i] != y:
+                return y
+        return None
     kept, tried, taken = [], {"birth": 0, "death": 0, "move": 0}, {"birth": 0, "death": 0, "move": 0}
 
     def log_nu(k: int) -> float:
+        if cfg.discrete:
+            return math.log(cfg.nu) - math.log1p(-cfg.nu)
         return math.log((a_nu + k) / (b_nu + length)) if cfg.random_nu else math.log(cfg.nu)
 
     def too_close(x: float, lo: float, hi: float, first: bool, last: bool) -> bool:
@@ -191,25 +208,27 @@ def run_chain(model, start: float, end: float, cfg: SamplerConfig, rng: np.rando
         tried[kind] = tried.get(kind, 0) + 1
         new, change, ratio = None, 0.0, 0.0
         if kind == "birth":
-            y = draw()
-            i = bisect_left(theta, y)
+            y = unused() if cfg.discrete else draw()
+            i = bisect_left(theta, y) if y is not None else 0
             lo, hi = (theta[i - 1] if i else s0), (theta[i] if i < k else end)
-            if not too_close(y, lo, hi, i == 0, i == k) and not empty_pair(lo, y, hi):
+            if y is not None and not too_close(y, lo, hi, i == 0, i == k) and not empty_pair(lo, y, hi):
                 gain = ll(lo, y) + ll(y, hi) - ll(lo, hi)
                 change = gain + log_nu(k) + (cfg.nu * min(cfg.spacing, end - y) if cfg.spacing else 0.0)
-                ratio = change - log_q(y) - math.log(k + 1) + _edge_birth(k, most)
+                ratio = change - (-math.log(places - k) if cfg.discrete else log_q(y)) - math.log(k + 1) + _edge_birth(k, most)
                 new = theta[:i] + [y] + theta[i:]
         elif kind == "death":
             i = int(u() * k)
             lo, hi = (theta[i - 1] if i else s0), (theta[i + 1] if i + 1 < k else end)
             gain = ll(lo, hi) - ll(lo, theta[i]) - ll(theta[i], hi)
             change = gain - log_nu(k - 1) - (cfg.nu * min(cfg.spacing, end - theta[i]) if cfg.spacing else 0.0)
-            ratio = change + log_q(theta[i]) + math.log(k) - _edge_birth(k - 1, most)
+            ratio = change + (-math.log(places - k + 1) if cfg.discrete else log_q(theta[i])) + math.log(k) - _edge_birth(k - 1, most)
             new = theta[:i] + theta[i + 1 :]
         elif kind == "move":
             i = int(u() * k)
             lo, hi = (theta[i - 1] if i else start), (theta[i + 1] if i + 1 < k else end)
             y = theta[i] + (2 * u() - 1) * width
+            if cfg.discrete:
+                y = float(math.floor(lo) + 1 + int(u() * (math.ceil(hi) - math.floor(lo) - 1)))
             while not lo < y < hi:  # reflected at the neighbours
                 y = 2 * lo - y if y <= lo else 2 * hi - y
                 if lo == hi:
@@ -230,23 +249,47 @@ def run_chain(model, start: float, end: float, cfg: SamplerConfig, rng: np.rando
     return kept, {f"{k}_rate": taken[k] / tried[k] if tried.get(k) else 0.0 for k in taken}
 
 
+def chain_rates(segments: np.ndarray, first: tuple[float, float], variance: float, rng: np.random.Generator) -> list[list[float]]:
+    """For each number of segments: their rates drawn from a chain, the first Gamma(first), each later one Gamma with the mean of the one before and a fixed variance."""
+    rate = np.maximum(rng.gamma(first[0], 1 / first[1], len(segments)), 1e-100)
+    rates = [rate]
+    for _ in range(int(segments.max(initial=1)) - 1):
+        # A rate that has come down to nothing stays there.
+        rate = np.maximum(rng.gamma(np.maximum(rate * rate / variance, 1e-300)) * variance / rate, 1e-100)
+        rates.append(rate)
+    return [row[:k].tolist() for row, k in zip(np.stack(rates, axis=1), segments, strict=True)]
+
+
 def draw_prior(start: float, end: float, nu: float, rng: np.random.Generator) -> list[float]:
     return sorted((start + rng.random(rng.poisson(nu * (end - start))) * (end - start)).tolist())
 
 
 def rejection(model: PoissonModel, start: float, end: float, nu: float, n: int, rng: np.random.Generator) -> tuple[list[list[float]], int]:
     """n exact draws with one changepoint at most, and how many were tried: the first changepoint of
-    the prior is accepted by its likelihood over the largest one, which lies just before or after an event."""
-    ll = model.loglik
-    cuts = [start, *[x for t in model.t if start < t < end for x in (t, math.nextafter(t, end))]]
-    top = max([ll(start, end), *[ll(start, x) + ll(x, end) for x in cuts]])
+    the prior is accepted by its likelihood over the largest one, which lies just before or after an event. Tries are drawn in arrays."""
+    t = np.asarray(model.t)
+    t = t[(t >= start) & (t < end)]
+    a, b = model.alpha, model.beta
+    log_fact = np.array([math.lgamma(a + i) - math.lgamma(a) for i in range(len(t) + 1)])
+
+    def part(count: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return np.where(length > 0, a * math.log(b) + log_fact[count] - (a + count) * np.log(b + np.maximum(length, 0)), 0.0)
+
+    def value(x: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Log likelihood with a changepoint at x, which count events stand before."""
+        return part(count, x - start) + part(len(t) - count, end - x)
+
+    whole = float(part(np.array(len(t)), np.array(end - start)))
+    places = np.arange(len(t))
+    top = max(whole, *value(t, places), *value(np.nextafter(t, end), places + 1)) if len(t) else max(whole, float(value(np.array(start), np.array(0))))
     out, tried = [], 0
     while len(out) < n:
-        tried += 1
-        x = start + rng.exponential(1 / nu)
-        value = ll(start, end) if x >= end else ll(start, x) + ll(x, end)
-        if rng.random() < math.exp(min(0.0, value - top)):
-            out.append([] if x >= end else [x])
+        x = start + rng.exponential(1 / nu, size=max(64, 2 * (n - len(out))))
+        inside = x < end
+        ll = np.where(inside, value(np.minimum(x, end), np.searchsorted(t, x)), whole)
+        taken = np.flatnonzero(rng.random(len(x)) < np.exp(np.minimum(0.0, ll - top)))[: n - len(out)]
+        out += [[float(x[i])] if inside[i] else [] for i in taken]
+        tried += len(x) if len(out) < n else int(taken[-1]) + 1
     return out, tried
 
 
@@ -428,9 +471,12 @@ class SeenModel(PoissonModel):
         return self.before + bisect_left(self.t, x) if x > self.begin else 0
 
 
-def smc_window(model, past: list[list[float]], log_w: np.ndarray, i: int, a: float, b: float, begin: float, n: int, cfg: SamplerConfig, rng: np.random.Generator, threshold: float, moves: int, look_back: bool = True, fresh: list[list[float]] | None = None) -> tuple[list[list[float]], np.ndarray, bool]:
+def smc_window(model, past: list[list[float]], log_w: np.ndarray, i: int, a: float, b: float, begin: float, n: int, cfg: SamplerConfig, rng: np.random.Generator, threshold: float, moves: int, look_back: bool = True, fresh: list[list[float]] | None = None, source: str = "chain") -> tuple[list[list[float]], np.ndarray, bool]:
     """One window of sequential Monte Carlo: particles, log weights, and whether they were resampled.
 
+    source: what the window's sample is drawn by: a chain; "rejection", exact draws with one changepoint at most; or "prior",
+    whose draws take the window's whole likelihood as weight.
+
     begin: where the data begin; changepoints before it come from the prior alone. fresh: the window's sample, if it was drawn before."""
     ll, width = model.loglik, b - a
     since = lambda x: max(x, begin)
@@ -439,6 +485,10 @@ def smc_window(model, past: list[list[float]], log_w: np.ndarray, i: int, a: flo
         past = [past[p] for p in np.repeat(np.arange(len(past)), systematic_counts(w, n, rng.random()))]
         log_w = np.zeros(n)
     past, log_w, first_from = list(past), log_w.copy(), a
+    if source == "prior" and fresh is None:
+        fresh = [draw_prior(a, b, cfg.nu, rng) for _ in range(n)]
+    elif source == "rejection" and fresh is None:
+        fresh = rejection(model, a, b, cfg.nu, n, rng)[0]
     if a > begin and look_back and fresh is None:
         w = np.exp(log_w - log_w.max())
         first_from = max(begin, a - float((w * [a - since(x[-1] if x else begin) for x in past]).sum() / w.sum()))
@@ -451,6 +501,8 @@ def smc_window(model, past: list[list[float]], log_w: np.ndarray, i: int, a: flo
         last, first = since(old[-1] if old else begin), (new[0] if new else b)
         if a > begin:
             log_w[p] += ll(last, first) - ll(last, a) - ll(first_from, first)
+        if source == "prior":
+            log_w[p] += sum(ll(x, y) for x, y in zip([first_from, *new], [*new, b], strict=True))
         if cfg.spacing and old and new:
             # Joined changepoints that are too close have no weight; others make up for the prior's gap.
             log_w[p] += -np.inf if first - old[-1] < cfg.spacing else 0.0

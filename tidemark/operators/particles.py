@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,8 +109,13 @@ def greedy_allocation(scores: DataFrame, budget: int, keys: tuple[str, ...] = ()
     keys = list(keys)
     low = F.min("score").over(Window.partitionBy(*keys, "process").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
     lo, hi = scores.agg(F.min("score"), F.max("score")).first()
-    share = (F.col("low") - lo) / (hi - lo) if lo is not None and hi > lo else F.lit(0.0)
-    known = scores.withColumn("low", low).withColumn("_b", F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int"))
+    # Buckets of the logarithm, in twelve decades below the largest score: with buckets of equal width a few large
+    # scores would leave nearly all rows to one.
+    unit = max(abs(lo), abs(hi)) * 1e-12 if lo is not None and hi > lo else 1.0
+    grown = lambda x: F.signum(x) * F.log1p(F.abs(x) / unit)
+    bottom, top = (math.copysign(math.log1p(abs(v) / unit), v) for v in (lo, hi)) if lo is not None and hi > lo else (0.0, 0.0)
+    share = (grown(F.col("low")) - bottom) / (top - bottom) if top > bottom else F.lit(0.0)
+    known = scores.withColumn("low", low).withColumn("_b", F.greatest(F.lit(0), F.least(F.floor(share * buckets), F.lit(buckets - 1))).cast("int"))
     higher = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     above = known.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_above", F.coalesce(F.sum("_n").over(higher), F.lit(0)))
     placed = known.join(above, [*keys, "_b"]).where(F.col("_above") < budget)

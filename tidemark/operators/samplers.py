@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.kernels import CountModel, GaussianModel, PoissonModel, SamplerConfig, draw_prior, monotone, rejection, run_chain, run_shot_noise, shot_noise_window, smc_window
+from tidemark.operators.kernels import CountModel, GaussianModel, PoissonModel, SamplerConfig, chain_rates, draw_prior, monotone, rejection, run_chain, run_shot_noise, shot_noise_window, smc_window
 from tidemark.operators.series import bucketed_sum
 from tidemark.sources.tables import durable
 
@@ -84,14 +84,19 @@ def shot_noise(events: DataFrame, series: DataFrame, start: float, end: float, c
     return _with_empty(events, series, ["t"]).groupBy("series").applyInPandas(run, PARTICLES)
 
 
-def rejection_sample(events: DataFrame, series: DataFrame, start: float, end: float, nu: float, n: int, alpha: float = 0.1, beta: float = 0.1, seed: int = 1) -> DataFrame:
-    """n exact draws of each series, with one changepoint at most, and the acceptance rate."""
+def rejection_sample(events: DataFrame, series: DataFrame, start: float, end: float, nu: float, n: int, alpha: float = 0.1, beta: float = 0.1, seed: int = 1, together: int = 250) -> DataFrame:
+    """n exact draws of each series, with one changepoint at most, and the acceptance rate. A task has many series, ``together`` at a time."""
+    groups = max(1, -(-series.count() // together))
+    rows = _with_empty(events, series, ["t"]).withColumn("_group", F.pmod(F.xxhash64("series"), F.lit(groups)))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        draws, tried = rejection(PoissonModel(sorted(pdf["t"].dropna().tolist()), alpha, beta), start, end, nu, n, generator(seed, *key))
-        return pd.DataFrame([(key[0], i, len(x), x, n / tried) for i, x in enumerate(draws)], columns=["series", "particle", "k", "theta", "acceptance"])
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for name, own in pdf.groupby("series", sort=False)["t"]:
+            draws, tried = rejection(PoissonModel(sorted(own.dropna().tolist()), alpha, beta), start, end, nu, n, generator(seed, name))
+            out += [(name, i, len(x), x, n / tried) for i, x in enumerate(draws)]
+        return pd.DataFrame(out, columns=["series", "particle", "k", "theta", "acceptance"])
 
-    return _with_empty(events, series, ["t"]).groupBy("series").applyInPandas(run, "series string, particle long, k int, theta array<double>, acceptance double")
+    return rows.groupBy("_group").applyInPandas(run, "series string, particle long, k int, theta array<double>, acceptance double")
 
 
 def prior_sample(series: DataFrame, start: float, end: float, nu: float, n: int, seed: int = 1) -> DataFrame:
@@ -108,7 +113,7 @@ def prior_sample(series: DataFrame, start: float, end: float, nu: float, n: int,
 SMC = "series string, interval int, particle long, k int, theta array<double>, w double, ess double, resampled boolean"
 
 
-def sequential_monte_carlo(events: DataFrame, series: DataFrame, start: float, end: float, intervals: int, n: int, cfg: SamplerConfig, alpha: float = 0.1, beta: float = 0.1, threshold: float = 0.5, moves: int = 5, full_history: bool = False, kind: str = "poisson", v: float = 10.0, sizes: DataFrame | None = None, look_back: bool = True, fresh: DataFrame | None = None) -> DataFrame:
+def sequential_monte_carlo(events: DataFrame, series: DataFrame, start: float, end: float, intervals: int, n: int, cfg: SamplerConfig, alpha: float = 0.1, beta: float = 0.1, threshold: float = 0.5, moves: int = 5, full_history: bool = False, kind: str = "poisson", v: float = 10.0, sizes: DataFrame | None = None, look_back: bool = True, fresh: DataFrame | None = None, source: str = "chain") -> DataFrame:
     """Weighted particles of each series after each of consecutive windows.
 
     A window's changepoints are drawn by a chain on the window, whose first segment begins (with
@@ -119,7 +124,8 @@ def sequential_monte_carlo(events: DataFrame, series: DataFrame, start: float, e
     full_history, each window is instead sampled from the start, with equal weights. kind: as for
     reversible_jump. With cfg.spacing, particles whose joined changepoints lie closer lose their weight.
     sizes: (series, interval, n), the number of particles of each window in place of n; where it
-    changes, particles are resampled to the new number. fresh: (series, interval, particle, theta), the windows' samples if they were drawn before."""
+    changes, particles are resampled to the new number. fresh: (series, interval, particle, theta), the windows' samples if they were drawn before.
+    source: chain, rejection (one changepoint a window at most) or prior; the last two don't look back."""
     width, common = (end - start) / intervals, n
     if sizes is not None:
         # As many numbers as intervals for each series.
@@ -140,7 +146,7 @@ def sequential_monte_carlo(events: DataFrame, series: DataFrame, start: float, e
                 window = SamplerConfig(**{**cfg.__dict__, "iterations": n * cfg.thinning, "move_width": cfg.move_width or width / 3})
                 past, log_w = [theta for _, theta, _ in run_chain(model, start, b, window, rng)[0]], np.zeros(n)
             else:
-                past, log_w, resampled = smc_window(model, past, log_w, i, a, b, start, n, cfg, rng, threshold, moves, look_back, fresh)
+                past, log_w, resampled = smc_window(model, past, log_w, i, a, b, start, n, cfg, rng, threshold, moves, look_back, fresh, source)
             w = np.exp(log_w - log_w.max())
             w /= w.sum()
             out += [(name, i, p, len(x), x, w[p], 1 / (w * w).sum(), resampled) for p, x in enumerate(past)]
@@ -302,3 +308,15 @@ def draw_rates(segments: DataFrame, keys: list[str], r: str = "r", length: str =
             yield pdf.assign(rate=[g.gamma(a, 1 / b) for g, a, b in zip(own, shape, rate, strict=True)])
 
     return segments.mapInPandas(run, out)
+
+
+def chain_prior(particles: DataFrame, k: str = "k", first: tuple[float, float] = (4.5, 1.5), variance: float = 5.0, keys: tuple[str, ...] = ("series", "particle"), seed: int = 1) -> DataFrame:
+    """particles with rates: those of their k + 1 segments, drawn from the chain prior. A draw depends on the seed and the keys alone."""
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in particles.schema.fields) + ", rates array<double>"
+
+    def run(batches):
+        for pdf in batches:
+            own = [generator(seed, *x) for x in pdf[list(keys)].itertuples(index=False, name=None)]
+            yield pdf.assign(rates=[chain_rates(np.array([n + 1]), first, variance, g)[0] for n, g in zip(pdf[k], own, strict=True)])
+
+    return particles.mapInPandas(run, out)

@@ -15,7 +15,6 @@ from tidemark.sources.tables import event_series, order_counts, series_of
 
 #: A season profile of one day, and the time range in days.
 SEASON = ts.StepFunction((0.0, 0.3314, 0.765), (1.0, 5.2, 4.1), 1.0)
-TREND = ts.StepFunction((0.0, 10.0, 20.0), (1.0, 1.5, 0.5), 30.0)
 END, SEGMENTS = 30.0, 10
 #: Days in a bucket of two-level running sums.
 BUCKET = 1.0
@@ -161,16 +160,33 @@ def step_integral(spark, d):
     return final(event_series(spark, d).select("series", "seq", SEASON.integral(t).alias("whole"), SEASON.integral(t, t / 2).alias("part")))
 
 
+def day_profile(ev: DataFrame) -> DataFrame:
+    """(series, knot, height): one and how often a series is seen in each quarter of a day."""
+    quarter = F.floor((F.col("t") - F.floor("t")) * 4)
+    seen = ev.groupBy("series", (quarter / 4).alias("knot")).agg(F.count(F.lit(1)).alias("n"))
+    all_knots = series_of(ev).withColumn("knot", F.explode(F.array(*[F.lit(i / 4) for i in range(4)])))
+    return all_knots.join(seen, ["series", "knot"], "left").select("series", "knot", (F.coalesce("n", F.lit(0)) + 1.0).alias("height"))
+
+
+def trend(ev: DataFrame) -> DataFrame:
+    """(series, knot, height): one and how often a series is seen in each ten days."""
+    seen = ev.groupBy("series", (F.floor(F.col("t") / 10) * 10.0).alias("knot")).agg(F.count(F.lit(1)).alias("n"))
+    all_knots = series_of(ev).withColumn("knot", F.explode(F.array(*[F.lit(10.0 * i) for i in range(3)])))
+    return all_knots.join(seen, ["series", "knot"], "left").select("series", "knot", (F.coalesce("n", F.lit(0)) + 1.0).alias("height"))
+
+
 def step_prefix(spark, d):
-    return final(ts.prefix_integrals(SEASON.table(spark)))
+    return final(ts.prefix_integrals(day_profile(event_series(spark, d, "user_id")), ("series",)))
 
 
 def step_product(spark, d):
-    return final(ts.combine(TREND.table(spark), SEASON.table(spark), END, 1.0))
+    ev = event_series(spark, d, "user_id")
+    return final(ts.combine(trend(ev), day_profile(ev), END, 1.0, keys=("series",)))
 
 
 def step_sum(spark, d):
-    return final(ts.combine(TREND.table(spark), SEASON.table(spark), END, 1.0, multiply=False))
+    ev = event_series(spark, d, "user_id")
+    return final(ts.combine(trend(ev), day_profile(ev), END, 1.0, multiply=False, keys=("series",)))
 
 
 def step_standardise(spark, d):
@@ -308,11 +324,7 @@ def monte_carlo_pvalues(spark, d):
 def profile_integral(spark, d):
     """Scaled time of each event by its user's own profile: how often the user is seen in each quarter of a day."""
     ev = event_series(spark, d, "user_id")
-    quarter = F.floor((F.col("t") - F.floor("t")) * 4)
-    seen = ev.groupBy("series", (quarter / 4).alias("knot")).agg(F.count(F.lit(1)).alias("n"))
-    all_knots = series_of(ev).withColumn("knot", F.explode(F.array(*[F.lit(i / 4) for i in range(4)])))
-    profiles = all_knots.join(seen, ["series", "knot"], "left").select("series", "knot", (F.coalesce("n", F.lit(0)) + 1.0).alias("height"))
-    return final(ts.profile_integral(ev, profiles, 1.0).select("series", "seq", "t", "scaled"))
+    return final(ts.profile_integral(ev, day_profile(ev), 1.0).select("series", "seq", "t", "scaled"))
 
 
 def pregression_exposure(spark, d):
@@ -401,11 +413,15 @@ def difference_softmax(spark, d):
 
 
 def true_marginal(spark, d):
-    return final(histogram.true_marginal(spark, 0.0, 3.0, 6, lambda x: 1 - F.exp(-x)))
+    """Bins of the exponential distribution with each user's mean value."""
+    means = event_series(spark, d, "user_id").groupBy("series").agg((F.avg("value") / 100).alias("mean"))
+    return final(histogram.true_marginal(means, 0.0, 3.0, 6, lambda x: 1 - F.exp(-x / F.col("mean"))).select("series", "bin", "p"))
 
 
 def phi_table(spark, d):
-    return final(histogram.phi_differences(spark, 200))
+    """At each number of events that a user has in a segment."""
+    seen = segments(spark, d, "user_id").where("r > 0").select(F.col("r").alias("n")).distinct()
+    return final(histogram.phi_differences(seen))
 
 
 def divergence_scores(spark, d):

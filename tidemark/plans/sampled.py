@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import particles, predictive, samplers, series
 from tidemark.operators.kernels import SamplerConfig
-from tidemark.plans.queries import final
+from tidemark.plans.queries import final, pseudo_particles
 from tidemark.sources.tables import days, event_series, order_counts, series_of, shared_dir
 from tidemark.streaming import pvalues, smc
 
@@ -84,6 +84,29 @@ def rejection_sample(spark: SparkSession, d: str) -> DataFrame:
     return samplers.rejection_sample(ev.select(name.alias("series"), (F.col("t") - block * 3).alias("t")), windows, 0.0, 3.0, 0.2, 20)
 
 
+def rj_discrete(spark: SparkSession, d: str) -> DataFrame:
+    """Daily orders with changepoints at whole days."""
+    c, statuses = _daily(spark, d)
+    return samplers.reversible_jump(c, statuses, 0.0, 0.0, SamplerConfig(iterations=2000, burn_in=500, thinning=10, nu=0.01, discrete=True), "counts")
+
+
+def smc_rejection(spark: SparkSession, d: str) -> DataFrame:
+    """Of each user: particles from exact draws of each window."""
+    ev = event_series(spark, d, "user_id")
+    return samplers.interval_summary(samplers.sequential_monte_carlo(ev, series_of(ev), 0.0, END, 10, 100, SamplerConfig(nu=1 / 10), source="rejection"))
+
+
+def smc_prior(spark: SparkSession, d: str) -> DataFrame:
+    """Of each user: particles from the prior, weighted by the likelihood."""
+    ev = event_series(spark, d, "user_id")
+    return samplers.interval_summary(samplers.sequential_monte_carlo(ev, series_of(ev), 0.0, END, 10, 100, SamplerConfig(nu=1 / 10), source="prior"))
+
+
+def chain_prior_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of the segments between each particle's changepoints, drawn from the chain prior."""
+    return samplers.chain_prior(pseudo_particles(spark, d).select("series", "particle", "k"))
+
+
 def prior_sample(spark: SparkSession, d: str) -> DataFrame:
     return samplers.prior_sample(series_of(event_series(spark, d)), 0.0, END, 0.2, 1000)
 
@@ -186,4 +209,4 @@ def stream_pvalues(spark: SparkSession, d: str) -> DataFrame:
     return final(predictive.tails(rows, "r", "t", "shape", "rate"))
 
 
-QUERIES = {f.__name__: f for f in (rj_poisson, rj_gaussian, rj_counts, rj_shot_noise, rj_acceptance, rejection_sample, smc_gaussian, smc_counts, smc_budgeted, window_sizes, smc_shot_noise, smc_stream, smc_replay, rj_rising, rate_draws, prior_sample, smc_poisson, smc_full_history, smc_summary, smc_adaptive, map_polished, stream_pvalues)}
+QUERIES = {f.__name__: f for f in (rj_poisson, rj_gaussian, rj_counts, rj_shot_noise, rj_acceptance, rejection_sample, smc_gaussian, smc_counts, smc_budgeted, window_sizes, smc_shot_noise, smc_stream, smc_replay, rj_rising, rj_discrete, smc_rejection, smc_prior, chain_prior_rates, rate_draws, prior_sample, smc_poisson, smc_full_history, smc_summary, smc_adaptive, map_polished, stream_pvalues)}

@@ -58,9 +58,13 @@ def phi(n: str) -> str:
     return f"CASE WHEN {n} <= 0 THEN 0 ELSE {n} * (ln({n}) - (ln({x}) - 1 / (2 * {x}) - 1 / (12 * {x} * {x}) + 1 / (120 * pow({x}, 4)) - 1 / (252 * pow({x}, 6)) + 1 / (240 * pow({x}, 8)) - ({shift}))) END"
 
 
+#: One and how often a series is seen in each quarter of a day, and in each ten days.
+PROFILE = "pf AS (SELECT d.series, k, 1.0::DOUBLE + count(ev.t) AS height FROM (SELECT DISTINCT series FROM ev) d CROSS JOIN (SELECT unnest(range(4)) AS k) LEFT JOIN ev ON ev.series = d.series AND floor((t - floor(t)) * 4) = k GROUP BY ALL)"
+TRENDS = "tr AS (SELECT d.series, k, 1.0::DOUBLE + count(ev.t) AS height FROM (SELECT DISTINCT series FROM ev) d CROSS JOIN (SELECT unnest(range(3)) AS k) LEFT JOIN ev ON ev.series = d.series AND floor(t / 10) = k GROUP BY ALL)"
+
+
 def combined(op: str) -> str:
-    return f"""WITH k AS (SELECT knot FROM (VALUES (0.0::DOUBLE), (10.0::DOUBLE), (20.0::DOUBLE)) v(knot) UNION SELECT n + k AS knot FROM (SELECT unnest(range(30))::DOUBLE AS n), (VALUES (0.0::DOUBLE), (0.3314::DOUBLE), (0.765::DOUBLE)) v(k))
-    SELECT round(knot, 6) AS knot, round((CASE WHEN knot >= 20 THEN 0.5 WHEN knot >= 10 THEN 1.5 ELSE 1.0 END) {op} (CASE WHEN round(knot - floor(knot), 6) >= 0.765 THEN 4.1 WHEN round(knot - floor(knot), 6) >= 0.3314 THEN 5.2 ELSE 1.0 END)::DOUBLE, 6) AS height FROM k"""
+    return q(USER, PROFILE, TRENDS, body=f"SELECT pf.series, i / 4.0::DOUBLE AS knot, round(tr.height {op} pf.height, 6) AS height FROM pf JOIN tr ON tr.series = pf.series JOIN (SELECT unnest(range(120)) AS i) ON i % 4 = pf.k AND i // 40 = tr.k")
 
 
 SCORES = "sc AS (SELECT series AS process, row_number() OVER (PARTITION BY series ORDER BY t, seq) - 1 AS step, value AS score FROM ev)"
@@ -85,7 +89,7 @@ SQL = {
     "first_argmax": q(TYPE, body="SELECT series, arg_max(seq, (value, -seq)) AS seq, round(max(value), 6) AS value FROM ev GROUP BY series"),
     "step_value": q(TYPE, body=f"SELECT series, seq, ({season_height('t')})::DOUBLE AS height FROM ev"),
     "step_integral": q(TYPE, body=f"SELECT series, seq, round({season_integral('t')}, 6) AS whole, round({season_integral('t')} - {season_integral('(t / 2)')}, 6) AS part FROM ev"),
-    "step_prefix": "SELECT * FROM (VALUES (0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE), (0.3314::DOUBLE, 5.2::DOUBLE, 0.3314::DOUBLE), (0.765::DOUBLE, 4.1::DOUBLE, round(0.3314 + (0.765 - 0.3314) * 5.2, 6)::DOUBLE)) v(knot, height, integral)",
+    "step_prefix": q(USER, PROFILE, body="SELECT series, k / 4.0::DOUBLE AS knot, height, round(coalesce(sum(height) OVER (PARTITION BY series ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 4, 6) AS integral FROM pf"),
     "step_product": combined("*"),
     "step_sum": combined("+"),
     "step_standardise": q(TYPE, body=f"SELECT series, seq, round(({season_height('t')})::DOUBLE / (0.3314 + (0.765 - 0.3314) * 5.2 + (1 - 0.765) * 4.1), 6) AS height FROM ev"),
@@ -123,8 +127,8 @@ SQL = {
     "jsd": q(TYPE, PT, BINS, "hr AS (SELECT series, particle % 3 AS run, bins, count(*) AS n FROM bn GROUP BY ALL)", "en AS (SELECT series, run, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM hr GROUP BY ALL)", "pr AS (SELECT series, bins, n / sum(n) OVER (PARTITION BY series, run) AS p FROM hr)", "mx AS (SELECT series, sum(p) AS n FROM pr GROUP BY series, bins)", f"hm AS (SELECT series, {ENT} AS h FROM mx GROUP BY series)", body="SELECT hm.series, round(hm.h - (SELECT avg(en.h) FROM en WHERE en.series = hm.series), 6) AS jsd FROM hm"),
     "repeat_probability": q(TYPE, PT, "fb AS (SELECT series, particle, CAST(floor(theta[1] / 0.5) AS INT) AS b FROM pp)", "ob AS (SELECT series, avg(same) AS observed FROM (SELECT series, (b = lag(b) OVER (PARTITION BY series ORDER BY particle))::INT AS same FROM fb) GROUP BY series)", "ch AS (SELECT series, sum(p * p) AS chance FROM (SELECT series, count(*) / sum(count(*)) OVER (PARTITION BY series) AS p FROM fb GROUP BY series, b) GROUP BY series)", body="SELECT series, round(observed, 6) AS observed, round(chance, 6) AS chance, round(CASE WHEN chance >= 1 THEN 0 ELSE greatest(0, (observed - chance) / (1 - chance)) END, 6) AS repeat FROM ob JOIN ch USING (series)"),
     "difference_softmax": q(TYPE, PT, BINS, OCC, "df AS (SELECT series, bin, n / 50.0::DOUBLE AS n, n / 50.0::DOUBLE - coalesce(lag(n) OVER (PARTITION BY series ORDER BY bin) / 50.0::DOUBLE, 0) AS d FROM occ)", body="SELECT series, bin::BIGINT AS bin, round(n, 6) AS n, round(exp(d - max(d) OVER (PARTITION BY series)) / sum(exp(d)) OVER (PARTITION BY series) * exp(max(d) OVER (PARTITION BY series)), 6) AS p FROM df"),
-    "true_marginal": "SELECT bin, round(exp(-bin * 0.5) - exp(-(bin + 1) * 0.5), 6) AS p FROM (SELECT unnest(range(6)) AS bin)",
-    "phi_table": f"SELECT n, round({phi('n')}, 6) AS phi, round({phi('(n + 1)')} - {phi('n')}, 6) AS phi1, round({phi('(n + 2)')} - 2 * {phi('(n + 1)')} + {phi('n')}, 6) AS phi2 FROM (SELECT unnest(range(1, 201)) AS n)",
+    "true_marginal": q(USER, "mv AS (SELECT series, avg(value) / 100 AS m FROM ev GROUP BY series)", body="SELECT series, bin, round(exp(-bin * 0.5 / m) - exp(-(bin + 1) * 0.5 / m), 6) AS p FROM mv, (SELECT unnest(range(6)) AS bin)"),
+    "phi_table": f"WITH {USER}, {SERIES}, {SEG} SELECT n, round({phi('n')}, 6) AS phi, round({phi('(n + 1)')} - {phi('n')}, 6) AS phi1, round({phi('(n + 2)')} - 2 * {phi('(n + 1)')} + {phi('n')}, 6) AS phi2 FROM (SELECT DISTINCT r AS n FROM seg WHERE r > 0)",
     "divergence_scores": q(TYPE, PT, BINS, HIST, f"ft AS (SELECT m, {phi('m')} AS f, {phi('(m + 1)')} - 2 * {phi('m')} + {phi('(m - 1)')} AS d2 FROM (SELECT unnest(range(1, 20000)) AS m))", "fc AS (SELECT m, f, sum(CASE WHEN m = 1 THEN 0 ELSE m * d2 END) OVER (ORDER BY m) AS c FROM ft)", body=f"SELECT series, round(sum(f) / sum(n), 6) AS bias_minimax, round(-sum(c) / sum(n) / (sum(n) + 1), 6) AS bias_average, round({ENT}, 6) AS entropy_score, round(exp(2 * ({ENT})) / sum(n), 6) AS extent_score, count(*) AS n_bins, sum(n)::DOUBLE AS total FROM hist JOIN fc ON m = n GROUP BY series"),
     "divergence_jackknife": q(TYPE, PT, BINS, HIST, "hh AS (SELECT series, particle % 2 AS odd, count(*) AS n FROM bn GROUP BY series, odd, bins)", f"eh AS (SELECT series, sum(h) AS h FROM (SELECT series, odd, {ENT} AS h FROM hh GROUP BY series, odd) GROUP BY series)", f"ew AS (SELECT series, {ENT} AS h FROM hist GROUP BY series)", body="SELECT series, round(ew.h - 0.5 * eh.h, 6) AS score FROM ew JOIN eh USING (series)"),
     "dimension_distribution": q(TYPE, PT, body="SELECT series, k, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY series), 6) AS p FROM pp GROUP BY series, k"),
