@@ -203,7 +203,7 @@ def water_level(scores: DataFrame, budget: int, bucket: Column | None = None) ->
 DRAWN = "series string, interval int, particle long, theta array<double>"
 
 
-def budgeted_windows(events: DataFrame, series: DataFrame, start: float, end: float, intervals: int, budget: int, least: int, cfg: SamplerConfig, bins: int = 50, rounds: int = 3, alpha: float = 0.1, beta: float = 0.1) -> DataFrame:
+def budgeted_windows(events: DataFrame, series: DataFrame, start: float, end: float, intervals: int, budget: int, least: int, cfg: SamplerConfig, bins: int = 50, rounds: int = 3, alpha: float = 0.1, beta: float = 0.1, together: int = 100) -> DataFrame:
     """(DRAWN): each window's sample for each series, when the window's ``budget`` of draws over all series goes where the
     extent score of the draws so far is largest.
 
@@ -214,21 +214,23 @@ def budgeted_windows(events: DataFrame, series: DataFrame, start: float, end: fl
     at = F.floor((F.col("t") - start) / width).cast("int")
     local = events.where((F.col("t") >= start) & (F.col("t") < end)).select("series", at.alias("interval"), "t")
     windows = series.select("series", F.explode(F.sequence(F.lit(0), F.lit(intervals - 1))).alias("interval"))
+    groups = max(1, -(-series.count() * intervals // together))
 
     def draw(state: DataFrame, number: int) -> DataFrame:
         """state: (series, interval, theta, seen, more)."""
 
-        def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if left.empty:
-                return pd.DataFrame(columns=["series", "interval", "particle", "theta"])
-            (name, i), s = key, left.iloc[0]
-            own = SamplerConfig(**{**cfg.__dict__, "iterations": int(s["more"]) * cfg.thinning, "burn_in": 0 if number else cfg.burn_in, "move_width": cfg.move_width or width / 3})
-            model = PoissonModel(sorted(right["t"].tolist()), alpha, beta)
-            a = start + i * width
-            kept, _ = run_chain(model, a, a + width, own, generator(cfg.seed, name, i, number), theta=list(s["theta"]))
-            return pd.DataFrame([(name, i, int(s["seen"]) + j, x) for j, (_, x, _) in enumerate(kept)], columns=["series", "interval", "particle", "theta"])
-
-        both = state.groupBy("series", "interval").cogroup(local.groupBy("series", "interval"))
+        def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            events, out = {k: g.tolist() for k, g in right.groupby(["series", "interval"])["t"]}, []
+            for name, i, theta, seen, more in zip(left["series"], left["interval"], left["theta"], left["seen"], left["more"], strict=True):
+                own = SamplerConfig(**{**cfg.__dict__, "iterations": int(more) * cfg.thinning, "burn_in": 0 if number else cfg.burn_in, "move_width": cfg.move_width or width / 3})
+                a = start + i * width
+                kept, _ = run_chain(PoissonModel(sorted(events.get((name, i), [])), alpha, beta), a, a + width, own, generator(cfg.seed, name, i, number), theta=list(theta))
+                out += [(name, i, int(seen) + j, x) for j, (_, x, _) in enumerate(kept)]
+            return pd.DataFrame(out, columns=["series", "interval", "particle", "theta"])
+
+        # Many windows to a task's call.
+        group = F.pmod(F.xxhash64("series", "interval"), F.lit(groups)).alias("_group")
+        both = state.select(*state.columns, group).groupBy("_group").cogroup(local.select("*", group).groupBy("_group"))
         return durable(both.applyInPandas(run, DRAWN), f"round{number}")
 
     first = windows.select("series", "interval", F.array().cast("array<double>").alias("theta"), F.lit(0).cast("long").alias("seen"), F.lit(least).cast("long").alias("more"))
