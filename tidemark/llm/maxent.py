@@ -251,21 +251,25 @@ def gradient_sums(texts: DataFrame, text_col: str, known: Words, weights: list[n
             for level, at in enumerate(observed(known, toks)):
                 counts[level] += np.bincount(at, minlength=len(counts[level])).astype(np.int32)
             if model:
-                for _, level, _, rows, z in model.chunks(toks):
-                    flat = rows.ravel(order="F")
-                    order = np.argsort(flat.astype(np.uint32), kind="stable")
+                chances = [np.empty((len(toks.leaf), FAN), np.float32) for _ in known.rows]
+                for own, level, _, _, z in model.chunks(toks):
+                    p = np.exp(z, out=chances[level][own])
+                    p /= p.sum(axis=1, keepdims=True)
+                # Rows of one number together: many tokens have the same history.
+                for p, total, (_, _, rows) in zip(chances, means, toks.levels(known), strict=True):
+                    flat = rows.ravel(order="F").astype(np.uint32)
+                    order = np.argsort(flat)
                     flat = flat[order]
                     first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-                    p = np.exp(z, out=z)
-                    p /= p.sum(axis=1, keepdims=True)
-                    means[level][flat[first]] += np.add.reduceat(p[order % len(rows)], first, axis=0)
+                    total[flat[first]] += np.add.reduceat(p[order % len(rows)], first, axis=0)
+                del chances
         for level, v in enumerate([*counts, *means]):
             v = v.reshape(-1, BLOCK * FAN)
             kept = np.flatnonzero(v.any(axis=1))
             for i in range(0, len(kept), 64):
                 own = kept[i : i + 64]
-                # Counts of one task fit 32-bit floats exactly up to 2 ** 24; sums of chances are kept whole.
-                exact = level < LEVELS and v[own].max() < 1 << 24
+                # Counts of one task fit 32-bit floats exactly up to 2 ** 24, and chances need no more digits.
+                exact = level >= LEVELS or v[own].max() < 1 << 24
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(own), level, np.int32)), pa.array(own.astype(np.int32)), pa.array(np.full(len(own), part, np.int32)), pa.array([x.astype(np.float32 if exact else np.float64).tobytes() for x in v[own]], pa.binary())],
                     names=["level", "block", "part", "v"],
@@ -289,9 +293,12 @@ def train(texts: DataFrame, text_col: str, known: Words, steps: int = STEPS) ->
     start = [np.repeat(np.exp(b.astype(np.float64)), n // len(b), axis=0) for b, n in zip(known.bias, known.rows, strict=True)]
     weights = [np.zeros((n, FAN), np.float32) for n in known.rows]
     own = F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(SLICES))
+    tasks = texts.rdd.getNumPartitions() if steps > 1 else 1
     for step in range(steps):
         epoch, place = divmod(step - 1, SLICES) if step else (0, -1)
-        seen, expected = gradient_sums(texts.where(own == place) if step else texts, text_col, known, weights if step else None)
+        # A slice has as many fewer tasks as documents, since each task returns sums of one size.
+        part = texts.where(own == place).coalesce(max(1, tasks // SLICES)) if step else texts
+        seen, expected = gradient_sums(part, text_col, known, weights if step else None)
         if not step:
             expected = [p * n.sum(axis=1, keepdims=True) for p, n in zip(start, seen, strict=True)]
         rate, prior = RATES[place + 1] / (1 + epoch), PRIORS[step > 0]
