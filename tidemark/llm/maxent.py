@@ -280,17 +280,16 @@ def gradient_sums(texts: DataFrame, text_col: str, known: Words, weights: list[n
         parts = durable(parts.groupBy(F.col("level"), F.col("block"), F.expr(f"part div {FAN_IN}")).applyInPandas(_summed, schema), "sums")
         if not parts.agg(F.max("part")).first()[0]:
             break
-    sums = [np.zeros((n, FAN)) for n in known.rows * (2 if weights else 1)]
+    sums = [np.zeros((n, FAN), np.float32) for n in known.rows * (2 if weights else 1)]
     for r in parts.toLocalIterator():
         sums[r["level"]][r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["v"]).reshape(BLOCK, FAN)
-    # The sums are written: what workers held isn't needed again.
-    sent.unpersist()
+    # The sums are written: what was sent isn't needed again.
+    sent.destroy()
     return sums[:LEVELS], sums[LEVELS:] or None
 
 
 def train(texts: DataFrame, text_col: str, known: Words, steps: int = STEPS) -> list[np.ndarray]:
     """Weights of each level after so many synchronous steps: one over all texts, then one for each slice in turn."""
-    start = [np.repeat(np.exp(b.astype(np.float64)), n // len(b), axis=0) for b, n in zip(known.bias, known.rows, strict=True)]
     weights = [np.zeros((n, FAN), np.float32) for n in known.rows]
     own = F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(SLICES))
     tasks = texts.rdd.getNumPartitions() if steps > 1 else 1
@@ -299,10 +298,16 @@ def train(texts: DataFrame, text_col: str, known: Words, steps: int = STEPS) ->
         # A slice has as many fewer tasks as documents, since each task returns sums of one size.
         part = texts.where(own == place).coalesce(max(1, tasks // SLICES)) if step else texts
         seen, expected = gradient_sums(part, text_col, known, weights if step else None)
-        if not step:
-            expected = [p * n.sum(axis=1, keepdims=True) for p, n in zip(start, seen, strict=True)]
         rate, prior = RATES[place + 1] / (1 + epoch), PRIORS[step > 0]
-        weights = [(w + rate * np.log((o + prior * p + 1e-12) / (e + prior * p + 1e-12))).astype(np.float32) for w, o, e, p in zip(weights, seen, expected, start, strict=True)]
+        # Level by level and node by node, in place: the driver holds little besides the sums.
+        for level, (w, o, bias) in enumerate(zip(weights, seen, known.bias, strict=True)):
+            each = len(w) // len(bias)
+            for node, p in enumerate(np.exp(bias.astype(np.float64))):
+                at = slice(node * each, (node + 1) * each)
+                here = o[at].astype(np.float64)
+                e = p * here.sum(axis=1, keepdims=True) if expected is None else expected[level][at]
+                w[at] += rate * np.log((here + prior * p + 1e-12) / (e + prior * p + 1e-12))
+        del seen, expected
     return weights
 
 
