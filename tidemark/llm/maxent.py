@@ -59,7 +59,7 @@ BLOCK = 1024
 FAN_IN = 32
 CHUNK = 8192
 #: Bytes of text whose tokens a worker holds at once, and words whose numbers it keeps.
-SLICE, KEPT_WORDS = 1 << 20, 200_000
+SLICE, KEPT_WORDS = 1 << 19, 200_000
 SLICES = 3
 STEPS = 1 + SLICES
 #: Shares of the full logarithmic step that are taken, at the first step and then in turn; weights of the unigram
