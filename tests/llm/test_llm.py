@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import connect, differences
 from pyspark.sql import functions as F
@@ -467,6 +468,16 @@ def test_lm_sums_to_one():
         assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_words_and_hashes():
+    texts = ["", "  a B\t\n\x0b\x0c\rÀ b  ", "x", "\u00a0x y\u2003z\x1cq\x85w", " ", "é" * 50 + " a a"]
+    found, at, sizes = maxent.tokens(pa.array(texts))
+    want = [[*(w.decode() for w in t.encode().lower().split()), "\n"] for t in texts]
+    assert [found[i].as_py() for i in at] == [w for ws in want for w in ws] and sizes.tolist() == [len(ws) for ws in want]
+    some = pa.array(["", "a", "é" * 40, "xyz" * 100, "word"])
+    for part in (some, some.slice(2), some[:0]):
+        assert maxent.crc32s(part).tolist() == [zlib.crc32(w.encode()) for w in part.to_pylist()]
+
+
 def test_lm_untrained_is_unigram(spark):
     docs = common.table(spark, SF, "documents")
     for r in maxent.score(docs, steps=0).collect():

@@ -28,14 +28,13 @@ scored one by one; ties in frequency go to the smaller word; other columns are i
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, compress
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +42,7 @@ from tidemark.llm.common import durable, map_texts, sliced
 
 FOLDS, HELD = 5, 1
 #: The end token: no word can hold white space.
-END = b"\n"
+END = "\n"
 #: Choices at a level; LEVELS levels make FAN ** LEVELS leaves, half of them for single words.
 FAN, LEVELS = 16, 3
 LEAVES = FAN**LEVELS
@@ -58,8 +57,12 @@ BLOCK = 1024
 #: Partial sums that a task adds up at most.
 FAN_IN = 32
 CHUNK = 8192
-#: Bytes of text whose tokens a worker holds at once, and words whose numbers it keeps.
-SLICE, KEPT_WORDS = 1 << 19, 200_000
+#: Bytes of text whose tokens a worker holds at once, in the model and where words are counted.
+SLICE, COUNTED = 1 << 19, 1 << 22
+#: Longer words' hashes are taken one by one.
+VERY_LONG = 64
+#: Observed entries of a level that are counted together.
+SEEN = 1 << 20
 SLICES = 3
 STEPS = 1 + SLICES
 #: Shares of the full logarithmic step that are taken, at the first step and then in turn; weights of the unigram
@@ -76,9 +79,50 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def tokens(text: str) -> list[bytes]:
-    """UTF-8 words between ASCII white space, which is where bytes split, and the end; bytes lower-case A-Z only."""
-    return [*text.encode().lower().split(), END]
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words between ASCII white space, with A-Z in lower case, and an end after each text: the distinct ones, each token's
+    place among them, and how many tokens each text has."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, sizes = found.flatten(), pc.list_value_length(found).to_numpy(zero_copy_only=False).astype(np.int64)
+    some = pc.not_equal(flat, "")
+    # White space at a text's ends leaves empty strings.
+    empty = np.flatnonzero(~some.to_numpy(zero_copy_only=False))
+    sizes += 1 - np.bincount(np.searchsorted(np.cumsum(sizes), empty, side="right"), minlength=len(sizes))
+    words = flat.filter(some).dictionary_encode()
+    distinct = words.dictionary
+    at = np.full(int(sizes.sum()), len(distinct), np.int64)
+    inside = np.ones(len(at), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    at[inside] = words.indices.to_numpy(zero_copy_only=False)
+    return pa.concat_arrays([distinct, pa.array([END], distinct.type)]), at, sizes
+
+
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+CRC = _crc_table()
+
+
+def crc32s(words: pa.Array) -> np.ndarray:
+    """CRC-32 of each word's UTF-8 bytes: byte by byte over all words that are as long; very long words one by one."""
+    words = words.cast(pa.large_string())
+    offsets, data = (np.frombuffer(b if b is not None else b"", t) for b, t in zip(words.buffers()[1:], (np.int64, np.uint8), strict=True))
+    offsets = offsets[words.offset : words.offset + len(words) + 1]
+    start, size = offsets[:-1], np.diff(offsets)
+    order = np.argsort(-size, kind="stable")
+    longest_first, crc = size[order], np.full(len(size), 0xFFFFFFFF, np.uint32)
+    for j in range(int(min(VERY_LONG, longest_first[0])) if len(size) else 0):
+        n = np.searchsorted(-longest_first, -j)
+        crc[:n] = CRC[(crc[:n] ^ data[start[order[:n]] + j]) & 0xFF] ^ crc[:n] >> 8
+    out = np.empty_like(crc)
+    out[order] = ~crc
+    for i in order[: np.searchsorted(-longest_first, -VERY_LONG)]:
+        out[i] = zlib.crc32(data[start[i] : offsets[i + 1]].tobytes())
+    return out
 
 
 def _hashed_leaf(crc: int) -> int:
@@ -91,21 +135,6 @@ def _top_leaf(rank: int) -> int:
     return rank % FAN * FAN * FAN + rank // FAN % FAN * FAN + rank // (FAN * FAN)
 
 
-class _Numbers(dict):
-    """Of each word: place among the heavy words (HEAVY if none), leaf, 32-bit hash, packed."""
-
-    def __init__(self, words: list[str]):
-        super().__init__()
-        self.place = {w.encode(): i for i, w in enumerate(words)}
-
-    def __missing__(self, word: bytes) -> int:
-        i, crc = self.place.get(word, HEAVY), zlib.crc32(word)
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        self[word] = found = i << 48 | (_top_leaf(i) if i < TOP - 1 else _hashed_leaf(crc)) << 32 | crc
-        return found
-
-
 @dataclass
 class Words:
     """What every worker knows: frequent words with counts, the totals, and the mass of each shared leaf."""
@@ -129,7 +158,13 @@ class Words:
         self.bias = [np.log(n.reshape(-1, FAN) / up[:, None]).astype(np.float32) for up, n in zip(nodes, nodes[1:], strict=False)]
         rows = 1 << int(np.clip(np.ceil(np.log2(max(1, self.distinct) / WORDS_A_ROW)), np.log2(LEAST_ROWS), np.log2(MOST_ROWS)))
         self.rows = [rows, *[rows * DEEP] * (LEVELS - 1)]
-        self.number = _Numbers(self.words)
+        self.heavy = pa.array(self.words, pa.string())
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """Of each word: place among the heavy words (HEAVY if none), leaf, 32-bit hash, packed."""
+        place = pc.fill_null(pc.index_in(words, value_set=self.heavy.cast(words.type)), HEAVY).to_numpy(zero_copy_only=False).astype(np.uint64)
+        crc = crc32s(words).astype(np.uint64)
+        return place << 48 | np.where(place < TOP - 1, _top_leaf(place), _hashed_leaf(crc)) << 32 | crc
 
     def __reduce__(self):
         return Words, (self.words, self.counts, self.total, self.distinct, self.shared)
@@ -137,26 +172,34 @@ class Words:
 
 @dataclass
 class Tokens:
-    """Tokens of several texts: packed parts, where texts begin, and hashed features of each history."""
+    """Tokens of several texts: packed parts, where texts begin, hashed features of each history, and which word each is."""
 
-    lists: list[list[bytes]]
+    words: pa.Array
     place: np.ndarray
     leaf: np.ndarray
     starts: np.ndarray
     features: np.ndarray
+    at: np.ndarray | None = None
 
     @classmethod
-    def of(cls, known: Words, texts: list[str]) -> Tokens:
-        lists = [tokens(t) for t in texts]
-        sizes = np.array([len(t) for t in lists])
-        packed = np.fromiter(map(known.number.__getitem__, chain.from_iterable(lists)), np.uint64, int(sizes.sum()))
+    def of(cls, known: Words, texts: pa.Array | list[str]) -> Tokens:
+        words, at, sizes = tokens(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        packed = known.numbers(words)[at]
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         crc = (packed & np.uint64(0xFFFFFFFF)) + np.uint64(2)
         one, two = np.roll(crc, 1), np.roll(crc, 2)
         one[starts] = two[starts] = two[starts[sizes > 1] + 1] = 1
         pair = one * np.uint64(0x9E3779B97F4A7C15) + two * np.uint64(0x165667B19E3779F9)
         features = np.stack([_mix(one * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)), _mix(two * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(2)), _mix(pair + np.uint64(3))], axis=1)
-        return cls(lists, (packed >> np.uint64(48)).astype(np.int64), (packed >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.int64), starts, features)
+        return cls(words, (packed >> np.uint64(48)).astype(np.int64), (packed >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.int64), starts, features, at)
+
+    def repeats(self, own: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """Of each text: its distinct words among the tokens of a mask, and how often each occurs."""
+        text = np.repeat(np.arange(len(self.starts)), np.diff(self.starts, append=len(self.at)))
+        key, times = np.unique(text[own] * len(self.words) + self.at[own], return_counts=True)
+        ends = pa.array(np.searchsorted(key, np.arange(len(self.starts) + 1) * len(self.words)), pa.int32())
+        words = self.words.take(pa.array(key % len(self.words))).cast(pa.string())
+        return pa.ListArray.from_arrays(ends, words), pa.ListArray.from_arrays(ends, pa.array(times, pa.int64()))
 
     def levels(self, known: Words, own: slice = slice(None)) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Of each level: node and choice of each token, and its rows of weights. Each node has rows of its own."""
@@ -214,22 +257,12 @@ def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
-    """(word, c): exact counts over all texts, added up in the tasks before the shuffle."""
+    """(word, c): exact counts over all texts, added up in batches and in the tasks before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter[bytes] = Counter()
-
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()).cast(pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "c"])
-
-        for b in sliced(batches, "t", SLICE):
-            for t in b.column(0).to_pylist():
-                c.update(tokens(t))
-            if len(c) > KEPT_WORDS:
-                yield rows()
-                c.clear()
-        if c:
-            yield rows()
+        for b in sliced(batches, "t", COUNTED):
+            found, at, _ = tokens(b.column(0))
+            yield pa.RecordBatch.from_arrays([found.cast(pa.string()), pa.array(np.bincount(at, minlength=len(found)), pa.int64())], names=["word", "c"])
 
     return texts.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -245,26 +278,34 @@ def gradient_sums(texts: DataFrame, text_col: str, known: Words, weights: list[n
         known, weights = sent.value
         model, part = weights and Model(known, weights), TaskContext.get().partitionId()
         counts = [np.zeros(n * FAN, np.int32) for n in known.rows]
-        means = [np.zeros((n, FAN)) for n in known.rows] if model else []
+        # Choice by choice: bincount adds up one choice of all rows in a sweep of memory.
+        means = [np.zeros((FAN, n)) for n in known.rows] if model else []
+        waiting: list[list[np.ndarray]] = [[] for _ in known.rows]
+
+        def count(least: int) -> None:
+            for level, seen in enumerate(waiting):
+                if sum(map(len, seen)) >= least:
+                    counts[level] += np.bincount(np.concatenate(seen), minlength=len(counts[level])).astype(np.int32)
+                    seen.clear()
+
         for b in sliced(batches, "t", SLICE):
-            toks = Tokens.of(known, b.column(0).to_pylist())
-            for level, at in enumerate(observed(known, toks)):
-                counts[level] += np.bincount(at, minlength=len(counts[level])).astype(np.int32)
+            toks = Tokens.of(known, b.column(0))
+            for seen, at in zip(waiting, observed(known, toks), strict=True):
+                seen.append(at.astype(np.uint32))
+            count(SEEN)
             if model:
-                chances = [np.empty((len(toks.leaf), FAN), np.float32) for _ in known.rows]
+                chances = [np.empty((FAN, len(toks.leaf)), np.float32) for _ in known.rows]
                 for own, level, _, _, z in model.chunks(toks):
-                    p = np.exp(z, out=chances[level][own])
-                    p /= p.sum(axis=1, keepdims=True)
-                # Rows of one number together: many tokens have the same history.
+                    p = np.exp(z, out=z)
+                    chances[level][:, own] = (p / p.sum(axis=1, keepdims=True)).T
                 for p, total, (_, _, rows) in zip(chances, means, toks.levels(known), strict=True):
-                    flat = rows.ravel(order="F").astype(np.uint32)
-                    order = np.argsort(flat)
-                    flat = flat[order]
-                    first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-                    total[flat[first]] += np.add.reduceat(p[order % len(rows)], first, axis=0)
+                    at = rows.ravel(order="F")
+                    for choice, sums in zip(p, total, strict=True):
+                        sums += np.bincount(at, np.tile(choice, FEATURES), len(sums))
                 del chances
+        count(1)
         for level, v in enumerate([*counts, *means]):
-            v = v.reshape(-1, BLOCK * FAN)
+            v = (v if level < LEVELS else v.T).reshape(-1, BLOCK * FAN)
             kept = np.flatnonzero(v.any(axis=1))
             for i in range(0, len(kept), 64):
                 own = kept[i : i + 64]
@@ -344,15 +385,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", steps
         log_c = np.zeros(len(heavy))
         log_c[heavy] = np.log10(own.counts[toks.place[heavy]] + 0.5)
         p = model.log10(toks) + np.where(single, 0.0, log_c - np.log10(own.mass)[toks.leaf])
-        light = (~heavy).tolist()
-        rare = [Counter(compress(t, light[s : s + len(t)])) for t, s in zip(toks.lists, toks.starts.tolist(), strict=True)]
+        rare, times = toks.repeats(~heavy)
         return {
-            "n_tokens": [len(t) for t in toks.lists],
+            "n_tokens": np.diff(toks.starts, append=len(toks.leaf)),
             "n_heavy": np.add.reduceat(heavy.astype(np.int64), toks.starts),
             "logs": np.add.reduceat(log_c, toks.starts),
             "model": np.add.reduceat(p, toks.starts),
-            "words": [[w.decode() for w in r] for r in rare],
-            "times": [list(r.values()) for r in rare],
+            "words": rare,
+            "times": times,
         }
 
     schema = "n_tokens long, n_heavy long, logs double, model double, words array<string>, times array<long>"
