@@ -54,8 +54,8 @@ FEATURES = 3
 WORDS_A_ROW, LEAST_ROWS, MOST_ROWS, DEEP = 8, 1 << 12, 1 << 16, 4
 #: Rows of weights that are summed together.
 BLOCK = 1024
-#: Partial sums that a task adds up at most.
-FAN_IN = 32
+#: Partial sums that a task adds up at most, and pieces in which the sums come to the driver.
+FAN_IN, PIECES = 32, 16
 CHUNK = 8192
 #: Bytes of text whose tokens a worker holds at once, in the model and where words are counted.
 SLICE, COUNTED = 1 << 19, 1 << 22
@@ -245,14 +245,23 @@ def observed(known: Words, toks: Tokens) -> Iterator[np.ndarray]:
         yield (rows * FAN + choice[:, None]).ravel()
 
 
+def _packed(v: np.ndarray) -> bytes:
+    """32-bit floats hold counts exactly up to 2 ** 24, and sums of chances need no more digits."""
+    return v.astype(np.float32 if v.max() < 1 << 24 else np.float64).tobytes()
+
+
+def _floats(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, np.float64 if len(b) == 8 * BLOCK * FAN else np.float32)
+
+
 def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
     """Adds up the partial sums of blocks; parts are those of the next level of the tree."""
     out = []
     for (level, block), g in pdf.sort_values(["level", "block", "part"]).groupby(["level", "block"]):
         whole = np.zeros(BLOCK * FAN)
         for b in g["v"]:
-            whole += np.frombuffer(b, np.float64 if len(b) == 8 * BLOCK * FAN else np.float32)
-        out.append((level, block, int(g["part"].iloc[0]) // FAN_IN, whole.tobytes()))
+            whole += _floats(b)
+        out.append((level, block, int(g["part"].iloc[0]) // FAN_IN, _packed(whole)))
     return pd.DataFrame(out, columns=["level", "block", "part", "v"])
 
 
@@ -309,10 +318,8 @@ def gradient_sums(texts: DataFrame, text_col: str, known: Words, weights: list[n
             kept = np.flatnonzero(v.any(axis=1))
             for i in range(0, len(kept), 64):
                 own = kept[i : i + 64]
-                # Counts of one task fit 32-bit floats exactly up to 2 ** 24, and chances need no more digits.
-                exact = level >= LEVELS or v[own].max() < 1 << 24
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(own), level, np.int32)), pa.array(own.astype(np.int32)), pa.array(np.full(len(own), part, np.int32)), pa.array([x.astype(np.float32 if exact else np.float64).tobytes() for x in v[own]], pa.binary())],
+                    [pa.array(np.full(len(own), level, np.int32)), pa.array(own.astype(np.int32)), pa.array(np.full(len(own), part, np.int32)), pa.array([_packed(x) for x in v[own]], pa.binary())],
                     names=["level", "block", "part", "v"],
                 )
 
@@ -322,8 +329,9 @@ def gradient_sums(texts: DataFrame, text_col: str, known: Words, weights: list[n
         if not parts.agg(F.max("part")).first()[0]:
             break
     sums = [np.zeros((n, FAN), np.float32) for n in known.rows * (2 if weights else 1)]
-    for r in parts.toLocalIterator():
-        sums[r["level"]][r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["v"]).reshape(BLOCK, FAN)
+    # In small pieces, of which the driver holds one at a time.
+    for r in parts.repartition(PIECES).toLocalIterator():
+        sums[r["level"]][r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = _floats(r["v"]).reshape(BLOCK, FAN)
     # The sums are written: what was sent isn't needed again.
     sent.destroy()
     return sums[:LEVELS], sums[LEVELS:] or None
