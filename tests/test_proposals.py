@@ -79,3 +79,37 @@ def test_chain_prior_moments(spark):
     assert rates.shape == (20_000, 4)
     for i in range(4):
         assert rates[:, i].mean() == pytest.approx(30, abs=0.15) and rates[:, i].var() == pytest.approx(10 + 5 * i, rel=0.06)
+
+
+def test_mean_place():
+    """Against a sum over the gap, for flat, gentle and steep slopes both ways."""
+    x = np.linspace(2, 5, 200_001)
+    for slope in (0.0, 1e-5, 3e-4, 0.5, -0.5, 40.0, -40.0):
+        w = np.exp(slope * (x - (5 if slope > 0 else 2)))
+        assert samplers.mean_place(2, 5, slope) == pytest.approx((w * x).sum() / w.sum(), abs=1e-4)
+    assert samplers.mean_place(2, 5, 1e6) == pytest.approx(5) and samplers.mean_place(2, 5, -1e6) == pytest.approx(2)
+
+
+def test_smoothed_map(spark):
+    """A moved position lies inside the gap that the sharp one is at the edge of; one without a better edge stays."""
+    times = [1.0, 1.1, 1.2, 1.3, 1.4, 1.5, 6.0, 9.0]
+    ev = spark.createDataFrame([("a", t) for t in times] + [("empty", 20.0)], "series string, t double").where("t < 10")
+    best = spark.createDataFrame([("a", [1.7]), ("empty", []), ("none", [5.0])], "series string, theta array<double>")
+    sharp, smooth = ({r["series"]: r for r in samplers.polish_map(best, ev, 0.0, 10.0, smoothing=s).collect()} for s in (False, True))
+    assert sharp["a"]["theta"][0] == pytest.approx(1.5) and 1.5 < smooth["a"]["theta"][0] < 6.0
+    model = kernels.PoissonModel(times)
+    at = sharp["a"]["theta"][0]
+    assert smooth["a"]["theta"][0] == pytest.approx(samplers.mean_place(1.5, 6.0, model.mean(at, 10.0) - model.mean(0.0, at)))
+    assert smooth["a"]["log_lik"] < sharp["a"]["log_lik"] and smooth["none"]["theta"] == sharp["none"]["theta"] == [5.0] and smooth["empty"]["theta"] == []
+
+
+def test_no_empty_neighbours():
+    """No sample holds two segments without events next to each other; without the filter some do."""
+    t = [1.0, 1.1, 1.2, 8.0, 8.1]
+    pairs = []
+    for flag in (True, False):
+        kept, _ = kernels.run_chain(kernels.PoissonModel(t), 0.0, 10.0, kernels.SamplerConfig(iterations=4000, burn_in=0, thinning=1, nu=0.6, no_empty_neighbours=flag), np.random.default_rng(1))
+        ends = [[0.0, *theta, 10.0] for _, theta, _ in kept]
+        n = [np.diff(np.searchsorted(t, e)) for e in ends]
+        pairs.append(sum(bool(((c[1:] == 0) & (c[:-1] == 0)).any()) for c in n))
+    assert pairs[0] == 0 < pairs[1]

@@ -1,5 +1,6 @@
 """Text sources and sinks, edge cases of series operators, and the stream."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.timescale import StepFunction
@@ -36,6 +37,25 @@ def test_step_function_and_histogram_files(spark, tmp_path):
     assert [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()] == ["a 0.50 1.00 2"]
 
 
+def test_dense_histogram_files(spark, tmp_path):
+    (tmp_path / "d.txt").write_text("0\n2\n0\n1\n0\n0\n0\n0\n4\n")
+    got = text.read_dense_histogram(spark, str(tmp_path / "d.txt"), 3, 2)
+    assert sorted((r["bins"], r["n"]) for r in got.collect()) == [([0, 1], 1.0), ([1, 0], 2.0), ([2, 2], 4.0)]
+    text.write_dense_histogram(got.withColumn("n", F.col("n").cast("long")), str(tmp_path / "out"), 3, 2)
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()] == ["0", "2", "0", "1", "0", "0", "0", "0", "4"]
+    with pytest.raises(Exception, match="outside of the cells"):
+        text.write_dense_histogram(spark.createDataFrame([([3, 0], 1)], "bins array<int>, n long"), str(tmp_path / "bad"), 3, 2)
+
+
+def test_lines_by_place(spark, tmp_path):
+    df = spark.createDataFrame([("b", 2, 0.25), ("b", 0, 1.0), ("a", 1, 2.0), ("a", 1, 1.0), ("c", None, 9.0), ("c", 7, 1.0), ("d", 0, None)], "s string, i int, v double")
+    assert sorted(map(tuple, text.lines(df, "s", "i", "v", 3, 2).collect())) == [("a", "0 2.00 0"), ("b", "1.00 0 0.25"), ("d", "0 0 0")]
+    assert ("b", "1.00 0.25") in set(map(tuple, text.lines(df, "s", "i", "v", digits=2).collect()))
+    text.write_lines(text.lines(df, "s", "i", "v", 3, 2), str(tmp_path / "out"), "s")
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()] == ["0 2.00 0", "1.00 0 0.25", "0 0 0"]
+    assert text.lines(df.limit(0), "s", "i", "v", 3).count() == 0
+
+
 def test_simulators(spark):
     assert abs(text.simulate_counts(spark, 2000, [1000], [1, 5], 3).where("seq >= 1000").agg(F.avg("n")).first()[0] - 5) < 0.4
     p = text.simulate_process(spark, 100.0, 10.0, [50.0], [1.0, 0.2], 3)

@@ -8,6 +8,7 @@ values and integrals are Columns and need no join.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,6 +107,11 @@ def time_scale(trend: StepFunction | None, season: StepFunction | None, third: S
     return [f for f in (trend, season, third) if f is not None]
 
 
+def rate_factor(t: Column, factors: list[StepFunction]) -> Column:
+    """The product of a time scale's factors at t; one where there are none."""
+    return reduce(lambda product, f: product * f.value(t), factors, F.lit(1.0))
+
+
 def profile_integral(rows: DataFrame, profiles: DataFrame, period: float, t: str = "t", out: str = "scaled") -> DataFrame:
     """rows (series, t) with the integral from 0 to t of each series' own periodic step function.
 

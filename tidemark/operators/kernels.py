@@ -196,9 +196,12 @@ def run_chain(model, start: float, end: float, cfg: SamplerConfig, rng: np.rando
     def too_close(x: float, lo: float, hi: float, first: bool, last: bool) -> bool:
         return cfg.spacing > 0 and ((not first and x - lo < cfg.spacing) or (not last and hi - x < cfg.spacing))
 
-    def empty_pair(*cuts: float) -> bool:
-        n = [model.index(b) - model.index(a) for a, b in zip(cuts, cuts[1:], strict=False)]
-        return cfg.no_empty_neighbours and any(x == 0 == y for x, y in zip(n, n[1:], strict=False))
+    def empty_pair(theta: list[float], i: int) -> bool:
+        """Whether a segment next to position i, and the one next to it, hold no events."""
+        if not cfg.no_empty_neighbours:
+            return False
+        at = [model.index(x) for x in [s0, *theta, end][max(0, i - 1) : i + 4]]
+        return any(a == c for a, c in zip(at, at[2:], strict=False))
 
     for it in range(1, cfg.burn_in + cfg.iterations + 1):
         k, x = len(theta), u()
@@ -211,7 +214,7 @@ def run_chain(model, start: float, end: float, cfg: SamplerConfig, rng: np.rando
             y = unused() if cfg.discrete else draw()
             i = bisect_left(theta, y) if y is not None else 0
             lo, hi = (theta[i - 1] if i else s0), (theta[i] if i < k else end)
-            if y is not None and not too_close(y, lo, hi, i == 0, i == k) and not empty_pair(lo, y, hi):
+            if y is not None and not too_close(y, lo, hi, i == 0, i == k) and not empty_pair([*theta[:i], y, *theta[i:]], i):
                 gain = ll(lo, y) + ll(y, hi) - ll(lo, hi)
                 change = gain + log_nu(k) + (cfg.nu * min(cfg.spacing, end - y) if cfg.spacing else 0.0)
                 ratio = change - (-math.log(places - k) if cfg.discrete else log_q(y)) - math.log(k + 1) + _edge_birth(k, most)
@@ -234,7 +237,7 @@ def run_chain(model, start: float, end: float, cfg: SamplerConfig, rng: np.rando
                 if lo == hi:
                     break
             left = theta[i - 1] if i else s0
-            if not too_close(y, lo, hi, i == 0, i + 1 == k) and not empty_pair(left, y, hi):
+            if not too_close(y, lo, hi, i == 0, i + 1 == k) and not empty_pair([*theta[:i], y, *theta[i + 1 :]], i):
                 change = ll(left, y) + ll(y, hi) - ll(left, theta[i]) - ll(theta[i], hi)
                 if cfg.spacing:
                     change += cfg.nu * (min(cfg.spacing, end - y) - min(cfg.spacing, end - theta[i]))

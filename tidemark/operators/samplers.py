@@ -6,6 +6,7 @@ series and the chain alone, so they are the same under any partitioning.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -279,9 +280,19 @@ def score_trajectories(sample: DataFrame, start: float, end: float, bins: int, f
     return sample.groupBy("series").applyInPandas(run, "process string, step long, score double")
 
 
-def polish_map(best: DataFrame, events: DataFrame, start: float, end: float, alpha: float = 0.1, beta: float = 0.1) -> DataFrame:
+def mean_place(a: float, b: float, slope: float) -> float:
+    """Mean of the density on [a, b] that grows as exp(slope * x)."""
+    x = abs(slope) * (b - a)
+    share = 0.5 + x / 12 if x < 1e-3 else -1 / math.expm1(-x) - 1 / x
+    return a + (b - a) * (share if slope > 0 else 1 - share)
+
+
+def polish_map(best: DataFrame, events: DataFrame, start: float, end: float, alpha: float = 0.1, beta: float = 0.1, smoothing: bool = False) -> DataFrame:
     """Each series' best particle with its positions moved to the edge of the gap between events that
-    raises the likelihood most: just after the event before, or at the next one."""
+    raises the likelihood most: just after the event before, or at the next one.
+
+    smoothing: a position that was moved is then put at its mean over that gap, given the rates on both sides, which is
+    less sharp than the likeliest edge. log_lik is that of the positions returned."""
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty:
@@ -292,7 +303,10 @@ def polish_map(best: DataFrame, events: DataFrame, start: float, end: float, alp
             at = model.index(ends[i])
             around = [ends[i]] + ([float(np.nextafter(model.t[at - 1], end))] if at else []) + ([model.t[at]] if at < len(model.t) else [])
             near = [x for x in around if ends[i - 1] < x < ends[i + 1]] or [ends[i]]
-            ends[i] = max(near, key=lambda x: model.loglik(ends[i - 1], x) + model.loglik(x, ends[i + 1]))  # noqa: B023
+            was, ends[i] = ends[i], max(near, key=lambda x: model.loglik(ends[i - 1], x) + model.loglik(x, ends[i + 1]))  # noqa: B023
+            if smoothing and ends[i] != was:
+                gap = max(model.t[at - 1] if at else start, ends[i - 1]), min(model.t[at] if at < len(model.t) else end, ends[i + 1])
+                ends[i] = mean_place(*gap, model.mean(ends[i], ends[i + 1]) - model.mean(ends[i - 1], ends[i]))
         return pd.DataFrame([(key[0], ends[1:-1], sum(model.loglik(a, b) for a, b in zip(ends, ends[1:], strict=False)))], columns=["series", "theta", "log_lik"])
 
     return best.groupBy("series").cogroup(events.select("series", "t").groupBy("series")).applyInPandas(run, "series string, theta array<double>, log_lik double")

@@ -11,9 +11,11 @@ from tidemark.functions import models as m
 from tidemark.functions import timescale as ts
 from tidemark.functions.special import chi2_quantiles
 from tidemark.operators import grid, histogram, particles, predictive, series
+from tidemark.sources import text
 from tidemark.sources.tables import event_series, order_counts, series_of
 
 #: A season profile of one day, and the time range in days.
+TREND = ts.StepFunction((0.0, 10.0, 20.0), (1.0, 1.5, 0.75), 40.0)
 SEASON = ts.StepFunction((0.0, 0.3314, 0.765), (1.0, 5.2, 4.1), 1.0)
 END, SEGMENTS = 30.0, 10
 #: Days in a bucket of two-level running sums.
@@ -563,6 +565,22 @@ def primary_since(spark, d):
     return final(grid.primary(particle_segments(spark, d), ["series"], 0.0, 3.0, 9, "since"))
 
 
+def time_scale(spark, d):
+    t = F.col("t")
+    both, alone = ts.time_scale(TREND, SEASON), ts.time_scale(None, SEASON)
+    return final(event_series(spark, d).select("series", "seq", ts.rate_factor(t, both).alias("factor"), ts.rate_factor(t, alone).alias("season")))
+
+
+def thinned_sample(spark, d):
+    p = pseudo_particles(spark, d).withColumn("iteration", F.col("particle"))
+    return final(series.thin(p, 7, 1000).select("series", "particle", "k", "log_w"))
+
+
+def window_lines(spark, d):
+    ev = event_series(spark, d, "user_id")
+    return text.lines(predictive.windows_of(ev, series_of(ev), 0.0, 30, 1.0).where("r > 0"), "series", "win", "r", 30)
+
+
 def step_of_means(spark, d):
     s = segments(spark, d, "user_id").withColumn("mean", m.poisson_posterior(F.col("r"), F.col("length"), ALPHA, BETA)["post_mean"])
     plain, unit = ts.step_of_means(s, ["series"]), ts.step_of_means(s, ["series"], True).withColumnRenamed("height", "share")
@@ -636,7 +654,7 @@ QUERIES = {
         divergence_scores, divergence_chi_square, divergence_jackknife, dimension_distribution, map_per_dimension, grid_summary, grid_capped, last_distance,
         probability_variance, total_variance, normalised_weights, ess, systematic_resample, particle_edits, particle_join, greedy_allocation, greedy_duplication,
         window_given_history, window_count_pvalues, window_waiting_pvalues, grid_sequential, grid_filtering, primary_mean, primary_nearest, primary_since,
-        step_of_means, particle_concat, particle_exists, monotone_particles, importance_weights, bounded_histogram, hist_draws, difference_density,
+        time_scale, thinned_sample, window_lines, step_of_means, particle_concat, particle_exists, monotone_particles, importance_weights, bounded_histogram, hist_draws, difference_density,
         divergence_function, divergence_chi_square_average, two_sided_pvalues, monte_carlo_pvalues, profile_integral, pregression_exposure,
     )
 }

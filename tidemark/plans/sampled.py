@@ -174,11 +174,15 @@ def rj_rising(spark: SparkSession, d: str) -> DataFrame:
     return samplers.reversible_jump(ev, series_of(ev), 0.0, END, CFG, rising=True)
 
 
-def map_polished(spark: SparkSession, d: str) -> DataFrame:
+def map_polished(spark: SparkSession, d: str, smoothing: bool = False) -> DataFrame:
     ev = event_series(spark, d, "user_id")
     sample = samplers.reversible_jump(ev, series_of(ev), 0.0, END, CFG)
     best = sample.groupBy("series").agg(F.max_by("theta", F.struct("log_post", -F.col("iteration"))).alias("theta"))
-    return samplers.polish_map(best, ev, 0.0, END)
+    return samplers.polish_map(best, ev, 0.0, END, smoothing=smoothing)
+
+
+def map_smoothed(spark: SparkSession, d: str) -> DataFrame:
+    return map_polished(spark, d, True)
 
 
 #: Days from 1970-01-01 to the origin.
@@ -209,4 +213,4 @@ def stream_pvalues(spark: SparkSession, d: str) -> DataFrame:
     return final(predictive.tails(rows, "r", "t", "shape", "rate"))
 
 
-QUERIES = {f.__name__: f for f in (rj_poisson, rj_gaussian, rj_counts, rj_shot_noise, rj_acceptance, rejection_sample, smc_gaussian, smc_counts, smc_budgeted, window_sizes, smc_shot_noise, smc_stream, smc_replay, rj_rising, rj_discrete, smc_rejection, smc_prior, chain_prior_rates, rate_draws, prior_sample, smc_poisson, smc_full_history, smc_summary, smc_adaptive, map_polished, stream_pvalues)}
+QUERIES = {f.__name__: f for f in (rj_poisson, rj_gaussian, rj_counts, rj_shot_noise, rj_acceptance, rejection_sample, smc_gaussian, smc_counts, smc_budgeted, window_sizes, smc_shot_noise, smc_stream, smc_replay, rj_rising, rj_discrete, smc_rejection, smc_prior, chain_prior_rates, rate_draws, prior_sample, smc_poisson, smc_full_history, smc_summary, smc_adaptive, map_polished, map_smoothed, stream_pvalues)}

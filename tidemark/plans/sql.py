@@ -192,6 +192,9 @@ MORE: dict[str, str] = {
     "primary_mean": primary(25, "mean * exp(-0.2 * (t - tau_l))"),
     "primary_nearest": primary(9, "least(t - tau_l, tau_r - t)"),
     "primary_since": primary(9, "t - tau_l"),
+    "time_scale": q(TYPE, body=f"SELECT series, seq, round(({season_height('t')}) * CASE WHEN t >= 20 THEN 0.75 WHEN t >= 10 THEN 1.5 ELSE 1.0 END, 6)::DOUBLE AS factor, ({season_height('t')})::DOUBLE AS season FROM ev"),
+    "thinned_sample": q(TYPE, PT, body="SELECT series, particle, k, round(log_w, 6) AS log_w FROM pp WHERE particle > 1000 AND (particle - 1000) % 7 = 0"),
+    "window_lines": q(USER, SERIES, WIN, body="SELECT series, string_agg(CAST(r AS VARCHAR), ' ' ORDER BY win) AS line FROM win GROUP BY series"),
     "step_of_means": q(USER, SERIES, SEG, f"mm AS (SELECT series, tau_l, length, {MEAN} AS mean FROM seg)", body="SELECT series, tau_l AS knot, round(mean, 6) AS height, round(mean / sum(mean * length) OVER (PARTITION BY series), 6) AS share FROM mm"),
     "particle_concat": q(
         TYPE, PT, "za AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY particle) - 1 AS i, count(*) OVER (PARTITION BY series) AS c FROM pp WHERE particle % 2 = 0), zb AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY particle) - 1 AS i, count(*) OVER (PARTITION BY series) AS c FROM pp WHERE particle % 2 = 1)",

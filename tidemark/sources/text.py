@@ -67,6 +67,22 @@ def read_histogram(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(F.slice(v, 2, F.size(v)).cast("array<int>").alias("bins"), v[0].cast("double").alias("n"))
 
 
+def read_dense_histogram(spark: SparkSession, path: str, bins: int, dim: int) -> DataFrame:
+    """(bins, n) of a file that holds a count for each of bins ** dim cells, the first component's bin changing fastest; cells
+    of no count give no rows, nor do cells that the file lacks."""
+    cell = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.floor(F.col("seq") / F.pow(F.lit(float(bins)), d)).cast("long") % bins)
+    return read_series(spark, path, "n", limit=bins**dim).where("n <> 0").select(cell.cast("array<int>").alias("bins"), "n")
+
+
+def write_dense_histogram(histogram: DataFrame, path: str, bins: int, dim: int, n: str = "n") -> None:
+    """The counts of all bins ** dim cells, a line each, in the order that read_dense_histogram takes; other rows are an error."""
+    good = (F.size("bins") == dim) & F.forall("bins", lambda b: (b >= 0) & (b < bins))
+    place = F.aggregate(F.reverse("bins"), F.lit(0).cast("long"), lambda a, b: a * bins + b)
+    seen = histogram.select(F.when(good, place).otherwise(F.raise_error(F.lit("a row lies outside of the cells"))).cast("long").alias("id"), F.col(n).alias("n")).groupBy("id").agg(F.sum("n").alias("n"))
+    cells = histogram.sparkSession.range(bins**dim).join(seen, "id", "left").orderBy("id")
+    cells.select(F.coalesce("n", F.lit(0)).cast("string").alias("value")).write.text(path)
+
+
 def read_sample_sizes(spark: SparkSession, path: str) -> DataFrame:
     """(interval, size)."""
     return read_series(spark, path, "size", "bigint").select(F.col("seq").cast("int").alias("interval"), "size")
@@ -86,6 +102,25 @@ def write_text(df: DataFrame, path: str, digits: int = 8) -> None:
     df.select(F.concat_ws(" ", *[shown(n, k) for n, k in df.dtypes]).alias("value")).write.text(path)
 
 
+def lines(df: DataFrame, row: str, place: str, value: str, n: int | None = None, digits: int = 8, missing: str = "0") -> DataFrame:
+    """(row, line): a row's values between blanks, by place. With n the places are 0 to n - 1, and absent ones show ``missing``;
+    of several values at a place, the largest stands there. A line is one row of the result, bounded by its places."""
+    shown = F.when(F.col(value).isNotNull(), F.format_string(f"%.{digits}f", value)) if dict(df.dtypes)[value] in ("double", "float") else F.col(value).cast("string")
+    cells = df.groupBy(row, F.col(place).cast("int").alias("_place")).agg(F.max(value).alias(value)).select(row, "_place", F.coalesce(shown, F.lit(missing)).alias("_shown"))
+    if n is not None:
+        cells = cells.where(F.col("_place").between(0, n - 1))
+    made = cells.groupBy(row).agg(F.array_sort(F.collect_list(F.struct("_place", "_shown"))).alias("_cells"))
+    if n is None:
+        return made.select(row, F.array_join(F.col("_cells._shown"), " ").alias("line"))
+    by_place = F.map_from_entries("_cells")
+    return made.select(row, by_place.alias("_cells")).select(row, F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.element_at("_cells", i), F.lit(missing))), " ").alias("line"))
+
+
+def write_lines(rows: DataFrame, path: str, row: str) -> None:
+    """Lines as text, in order of their row: part files follow each other."""
+    rows.orderBy(row).select("line").write.text(path)
+
+
 def simulate_gaussian(spark: SparkSession, n: int, cuts: list[int], means: list[float], sds: list[float], seed: int) -> DataFrame:
     """(series, seq, y): normal values whose mean and spread change at cuts (the first seq of a new segment)."""
     j = F.size(F.filter(F.array(*map(F.lit, [0, *cuts])), lambda c: c <= F.col("id")))
