@@ -75,7 +75,8 @@ def read_dense_histogram(spark: SparkSession, path: str, bins: int, dim: int) ->
 
 
 def write_dense_histogram(histogram: DataFrame, path: str, bins: int, dim: int, n: str = "n") -> None:
-    """The counts of all bins ** dim cells, a line each, in the order that read_dense_histogram takes; other rows are an error."""
+    """The counts of all bins ** dim cells, a line each, in the order that read_dense_histogram takes in one file: part files
+    follow each other by name. Rows outside of the cells are an error."""
     good = (F.size("bins") == dim) & F.forall("bins", lambda b: (b >= 0) & (b < bins))
     place = F.aggregate(F.reverse("bins"), F.lit(0).cast("long"), lambda a, b: a * bins + b)
     seen = histogram.select(F.when(good, place).otherwise(F.raise_error(F.lit("a row lies outside of the cells"))).cast("long").alias("id"), F.col(n).alias("n")).groupBy("id").agg(F.sum("n").alias("n"))
