@@ -61,6 +61,8 @@ CHUNK = 8192
 SLICE, COUNTED = 1 << 19, 1 << 22
 #: Longer words' hashes are taken one by one.
 VERY_LONG = 64
+#: Tokens of a task of a step, at least, where partitions are small.
+TASK_TOKENS = 1 << 20
 #: Observed entries of a level that are counted together.
 SEEN = 1 << 20
 SLICES = 3
@@ -341,11 +343,12 @@ def train(texts: DataFrame, text_col: str, known: Words, steps: int = STEPS) ->
     """Weights of each level after so many synchronous steps: one over all texts, then one for each slice in turn."""
     weights = [np.zeros((n, FAN), np.float32) for n in known.rows]
     own = F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(SLICES))
-    tasks = texts.rdd.getNumPartitions() if steps > 1 else 1
+    # Each task returns sums of one size, so small partitions are put together.
+    tasks = max(1, min(texts.rdd.getNumPartitions(), known.total // TASK_TOKENS)) if steps else 1
     for step in range(steps):
         epoch, place = divmod(step - 1, SLICES) if step else (0, -1)
-        # A slice has as many fewer tasks as documents, since each task returns sums of one size.
-        part = texts.where(own == place).coalesce(max(1, tasks // SLICES)) if step else texts
+        # A slice has as many fewer tasks as documents.
+        part = texts.where(own == place).coalesce(max(1, tasks // SLICES)) if step else texts.coalesce(tasks)
         seen, expected = gradient_sums(part, text_col, known, weights if step else None)
         rate, prior = RATES[place + 1] / (1 + epoch), PRIORS[step > 0]
         # Level by level and node by node, in place: the driver holds little besides the sums.
