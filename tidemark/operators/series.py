@@ -21,15 +21,15 @@ def _within(keys: list[str], order: list[Column | str]):
 
 def bucketed_sum(df: DataFrame, values: dict[str, Column], bucket: Column, keys: list[str], order: list[Column | str], reverse: bool = False, before: bool = False) -> DataFrame:
     """df with each named running sum of a value per key, in an order that the bucket follows: buckets
-    ascend with it. before: what stands before the row, without its own value."""
+    ascend with it. before: what stands before the row, without its own value. reverse: sums from the end, order being columns' names or ascending."""
     named = {f"_v_{k}": v for k, v in values.items()}
     df = df.withColumns({**named, "_b": bucket})
-    own = -1 if before else 0
-    first, last = (-own, Window.unboundedFollowing) if reverse else (Window.unboundedPreceding, own)
-    outer = Window.partitionBy(*keys).orderBy("_b").rowsBetween(*((1, Window.unboundedFollowing) if reverse else (Window.unboundedPreceding, -1)))
+    # A frame that reaches to the end is summed anew for each row: reversed sums run over the reversed order instead.
+    turned = [F.desc(c) for c in order] if reverse else list(order)
+    outer = Window.partitionBy(*keys).orderBy(F.desc("_b") if reverse else F.asc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     totals = df.groupBy(*keys, "_b").agg(*[F.sum(v).alias(v) for v in named])
     ahead = totals.select(*keys, "_b", *[F.coalesce(F.sum(v).over(outer), F.lit(0)).alias(f"_o{v}") for v in named])
-    inner = _within(keys, list(order)).rowsBetween(first, last)
+    inner = _within(keys, turned).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     out = df.join(ahead, [*keys, "_b"])
     for k, v in zip(values, named, strict=True):
         out = out.withColumn(k, F.col(f"_o{v}") + F.coalesce(F.sum(v).over(inner), F.lit(0)))
