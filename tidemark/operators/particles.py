@@ -34,8 +34,9 @@ def effective_size(weighted: DataFrame, keys: list[str]) -> DataFrame:
     return weighted.groupBy(*keys).agg((F.sum("w") * F.sum("w") / F.sum(F.col("w") * F.col("w"))).alias("ess"), F.count(F.lit(1)).alias("n"), F.sum((F.col("w") == 0).cast("long")).alias("zero_weights"))
 
 
-#: Weights are summed as whole numbers of this many parts of the largest one, so that sums agree in any order.
-WEIGHT_PARTS = 2.0**40
+#: Weights are summed as whole numbers of this many parts of their sum, so that sums agree in any order. A long holds twice
+#: as many; with fewer, what rounding does to each of a million equal weights adds up to whole points.
+WEIGHT_PARTS = 2.0**62
 
 
 def _buckets(order: list[str], bucket: Column | None) -> Column:

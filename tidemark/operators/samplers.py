@@ -11,10 +11,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.kernels import CountModel, GaussianModel, PoissonModel, SamplerConfig, chain_rates, draw_prior, monotone, rejection, run_chain, run_shot_noise, shot_noise_window, smc_window
+from tidemark.operators.lockstep import GaussianRows, PoissonRows, plain, ragged, run_chains
 from tidemark.operators.series import bucketed_sum
 from tidemark.sources.tables import durable
 
@@ -45,6 +47,8 @@ def reversible_jump(events: DataFrame, series: DataFrame, start: float, end: flo
     A column ``end`` of the series dimension is a series' own end, in place of the common one. kind: poisson (t), counts (seq, n) or gaussian (seq, y). scale: cumulative time scale, a function of t.
     rising: segments' rates are drawn from their posteriors (means holds them), and states are kept only
     where no rate falls below the one before."""
+    if plain(cfg) and scale is None and kind != "counts":
+        return _in_step(events, series, start, end, cfg, kind, chains, alpha, beta, v, rising)
     rows = _with_empty(events, series, COLUMNS[kind]).withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
     common = end
 
@@ -65,6 +69,95 @@ def reversible_jump(events: DataFrame, series: DataFrame, start: float, end: flo
     return rows.groupBy("series", "chain").applyInPandas(run, PARTICLES)
 
 
+#: Chains that run side by side; a step's cost is that of a few hundred array operations and of its chains.
+TOGETHER = 2000
+
+
+def tasks(n: int, together: int = TOGETHER) -> int:
+    """Partitions for n series or chains: a number of one's own, since small inputs would be put into one task."""
+    return max(1, -(-n // together), min(32, n // 200))
+
+
+def gathered(events: DataFrame, series: DataFrame, kind: str, chains: int = 1, together: int = TOGETHER) -> DataFrame:
+    """A row for each series: its name, ``data`` in order of time, and its own end, if any; dealt out over ``tasks``."""
+    value = {"poisson": F.col("t"), "gaussian": F.struct("seq", "y"), "counts": F.struct("seq", "n")}[kind]
+    known = {"poisson": "t IS NOT NULL AND NOT isnan(t)", "gaussian": "seq IS NOT NULL AND y IS NOT NULL AND NOT isnan(y)", "counts": "seq IS NOT NULL AND n IS NOT NULL"}[kind]
+    own = [c for c in series.columns if c in ("end", "sizes")]
+    lists = _with_empty(events, series, COLUMNS[kind]).groupBy("series").agg(F.array_sort(F.collect_list(F.when(F.expr(known), value))).alias("data"), *[F.first(c).alias(c) for c in own])
+    lists = lists if kind == "poisson" else lists.withColumn("data", F.col("data.y" if kind == "gaussian" else "data.n"))
+    # By a hash of the name: a partitioning by the name itself is one that lists have already, and may be put together.
+    return lists.repartition(tasks(series.count() * chains, together), F.xxhash64("series"))
+
+
+def lists_of(column: pa.Array) -> list[np.ndarray]:
+    """The lists of an Arrow column as arrays."""
+    column = column.fill_null([]) if column.null_count else column
+    ends = column.offsets.to_numpy()
+    values = column.values.to_numpy(zero_copy_only=False)
+    return [values[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _in_step(events: DataFrame, series: DataFrame, start: float, end: float, cfg: SamplerConfig, kind: str, chains: int, alpha: float, beta: float, v: float, rising: bool) -> DataFrame:
+    """reversible_jump of many series and chains side by side, with the states that each has alone."""
+
+    def sampled(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data = lists_of(batch.column("data"))
+        model = PoissonRows(data, alpha, beta) if kind == "poisson" else GaussianRows(data, alpha, beta, v)
+        names, n = batch.column("series").to_pylist(), len(data) * chains
+        row, chain = np.repeat(np.arange(len(data)), chains), np.tile(np.arange(chains), len(data))
+        ends = np.repeat(batch.column("end").to_numpy(zero_copy_only=False), chains) if "end" in batch.schema.names else np.full(n, float(end))
+        rng = lambda i: generator(cfg.seed, names[row[i]], chain[i])
+        kept, ks, posts, thetas, edges, last = [], [], [], [], [], None
+        for it, _, now in run_chains(model, row, np.full(n, float(start)), ends, cfg, [rng(i) for i in range(n)]):
+            k, last = now.k.copy(), now
+            inside = np.arange(int(k.max()) + 1) <= k[:, None]
+            of = np.repeat(np.arange(n), k + 1)
+            a, b = (x[:, : inside.shape[1]][inside] for x in (now.at, now.at[:, 1:]))
+            ia, ib = (x[:, : inside.shape[1]][inside] for x in (now.index, now.index[:, 1:]))
+            kept.append(it), ks.append(k), posts.append(now.post.copy()), thetas.append(now.theta(n))
+            edges.append((alpha + ib - ia, 1 / (beta + (b - a))) if rising else (model.mean(row[of], a, ia, b, ib),))
+        # Rows come step by step; they go out chain by chain.
+        order = np.arange(len(kept) * n).reshape(len(kept), n).T.ravel()
+        k = np.concatenate([*ks, np.zeros(0, np.int64)])
+        theta = np.concatenate([*thetas, np.zeros(0)])[ragged(k, order)]
+        edge = [np.concatenate([*x, np.zeros(0)])[ragged(k + 1, order)] for x in zip(*edges, strict=True)] or [np.zeros(0)] * 2
+        post, it, of, k = np.concatenate([*posts, np.zeros(0)])[order], np.tile(kept, n), np.repeat(np.arange(n), len(kept)), k[order]
+        means = edge[0]
+        if rising and len(k):
+            # Rates are drawn after the chain, by what comes next in its numbers.
+            cuts, taken = np.concatenate([[0], np.cumsum((k + 1).reshape(n, -1).sum(axis=1))]), last.draws.taken()
+            means = np.empty(len(edge[0]))
+            for i in range(n):
+                own, here = rng(i), slice(cuts[i], cuts[i + 1])
+                own.bit_generator.advance(int(taken[i]))
+                means[here] = own.gamma(edge[0][here], edge[1][here])
+            first = np.cumsum(k + 1) - (k + 1)
+            falls = np.concatenate([means[1:] < means[:-1], [False]])
+            falls[first + k] = False
+            good = np.flatnonzero(np.add.reduceat(falls, first) == 0)
+            theta, means = theta[ragged(k, good)], means[ragged(k + 1, good)]
+            post, it, of, k = post[good], it[good], of[good], k[good]
+        offsets = lambda x: pa.array(np.concatenate([[0], np.cumsum(x)]), pa.int32())
+        columns = [
+            pa.array(names, pa.string()).take(pa.array(row[of])),
+            pa.array(chain[of], pa.int32()),
+            pa.array(it, pa.int64()),
+            pa.array(k, pa.int32()),
+            pa.ListArray.from_arrays(offsets(k), pa.array(theta)),
+            pa.ListArray.from_arrays(offsets(k + 1), pa.array(means)),
+            pa.array(post),
+        ]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in PARTICLES.split(", ")])
+
+    def run(batches):
+        together = max(1, TOGETHER // chains)
+        for batch in batches:
+            for i in range(0, batch.num_rows, together):
+                yield sampled(batch.slice(i, together))
+
+    return gathered(events, series, kind, chains).mapInArrow(run, PARTICLES)
+
+
 def acceptance_rates(events: DataFrame, series: DataFrame, start: float, end: float, cfg: SamplerConfig, chains: int = 1, alpha: float = 0.1, beta: float = 0.1) -> DataFrame:
     rows = _with_empty(events, series, ["t"]).withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
 
@@ -259,10 +352,10 @@ def interval_summary(sample: DataFrame) -> DataFrame:
     return sample.groupBy("series", "interval").agg(F.count(F.lit(1)).alias("n"), F.first("ess").alias("ess"), (F.sum(w * F.col("k")) / total).alias("e_k"), (F.sum(w * last) / total).alias("e_last_tau"), F.sum((w == 0).cast("long")).alias("zero_weights"))
 
 
-def score_trajectories(sample: DataFrame, start: float, end: float, bins: int, first: int) -> DataFrame:
+def score_trajectories(sample: DataFrame, start: float, end: float, bins: int, first: int, parts: int | None = None) -> DataFrame:
     """(process, step, score): the score that each series has before each sample beyond ``first``: its
     histogram's entropy, squared and exponentiated, over the number of samples so far (extent score).
-    Feeds the greedy allocation; one task for each series."""
+    Feeds the greedy allocation; series are dealt out over ``parts`` tasks, if given."""
     width = (end - start) / bins
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -277,6 +370,8 @@ def score_trajectories(sample: DataFrame, start: float, end: float, bins: int, f
             seen[b] = c + 1
         return pd.DataFrame(out, columns=["process", "step", "score"])
 
+    sample = sample.select("series", "iteration", "theta")
+    sample = sample.repartition(parts, "series") if parts else sample
     return sample.groupBy("series").applyInPandas(run, "process string, step long, score double")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import particles, predictive, samplers, series
 from tidemark.operators.kernels import SamplerConfig
 from tidemark.plans.queries import final, pseudo_particles
-from tidemark.sources.tables import days, event_series, order_counts, series_of, shared_dir
+from tidemark.sources.tables import days, durable, event_series, order_counts, series_of, shared_dir
 from tidemark.streaming import pvalues, smc
 
 END = 30.0
@@ -128,8 +128,11 @@ def smc_summary(spark: SparkSession, d: str) -> DataFrame:
 def smc_adaptive(spark: SparkSession, d: str) -> DataFrame:
     """Sample sizes of each series when one budget goes to the worst score, one sample at a time."""
     ev = event_series(spark, d, "user_id")
-    sample = samplers.reversible_jump(ev, series_of(ev), 0.0, END, SamplerConfig(iterations=2000, burn_in=200, thinning=10, nu=1 / 10))
-    return particles.greedy_allocation(samplers.score_trajectories(sample, 0.0, END, 50, 50), 3000)
+    users = series_of(ev)
+    sample = samplers.reversible_jump(ev, users, 0.0, END, SamplerConfig(iterations=2000, burn_in=200, thinning=10, nu=1 / 10))
+    # The allocation reads scores several times: chains run once.
+    scores = durable(samplers.score_trajectories(sample, 0.0, END, 50, 50, samplers.tasks(users.count())), "scores")
+    return particles.greedy_allocation(scores, 3000)
 
 
 def smc_budgeted(spark: SparkSession, d: str) -> DataFrame:
