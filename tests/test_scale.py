@@ -58,3 +58,23 @@ def test_sample_is_that_of_chains_alone_and_in_many_tasks(spark, rising):
                 if not rising or kernels.monotone(means):
                     want.append((n, chain, it, theta, [round(x, 9) for x in means]))
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("source", ["chain", "rejection", "prior"])
+def test_windows_in_step_are_those_of_one_series(source):
+    g = np.random.default_rng(7)
+    times = [np.sort(g.random(n) * 20) for n in (0, 3, 40, 90)]
+    cfg = kernels.SamplerConfig(burn_in=20, thinning=2, nu=0.2)
+    rows, begin, n = lockstep.PoissonRows(times, 0.1, 0.1), np.zeros(4), 30
+    past, k, log_w = np.full((4, n, 0), np.inf), np.zeros((4, n), np.int64), np.zeros((4, n))
+    alone, seen = [([[]] * n, np.zeros(n)) for _ in times], 0
+    for i in range(4):
+        rng = lambda s: samplers.generator(1, s, i)  # noqa: B023, E731
+        past, k, log_w, again = lockstep.smc_windows(rows, np.arange(4), times, past, k, log_w, i * 5.0, i * 5.0 + 5, begin, cfg, rng, 0.8, 5, source)
+        for s, t in enumerate(times):
+            own, w, resampled = kernels.smc_window(kernels.PoissonModel(t.tolist()), *alone[s], i, i * 5.0, i * 5.0 + 5, 0.0, n, cfg, rng(s), 0.8, 5, source=source)
+            alone[s] = own, w
+            assert [past[s, p, : k[s, p]].tolist() for p in range(n)] == own and resampled == again[s]
+            assert np.allclose(log_w[s], w)
+            seen += resampled
+    assert seen

@@ -489,7 +489,8 @@ def smc_window(model, past: list[list[float]], log_w: np.ndarray, i: int, a: flo
         log_w = np.zeros(n)
     past, log_w, first_from = list(past), log_w.copy(), a
     if source == "prior" and fresh is None:
-        fresh = [draw_prior(a, b, cfg.nu, rng) for _ in range(n)]
+        k = rng.poisson(cfg.nu * (b - a), n)
+        fresh = [np.sort(x).tolist() for x in np.split(a + rng.random(k.sum()) * (b - a), np.cumsum(k)[:-1])]
     elif source == "rejection" and fresh is None:
         fresh = rejection(model, a, b, cfg.nu, n, rng)[0]
     if a > begin and look_back and fresh is None:
@@ -519,13 +520,27 @@ def smc_window(model, past: list[list[float]], log_w: np.ndarray, i: int, a: flo
     steps = SamplerConfig(**{**cfg.__dict__, "iterations": moves, "burn_in": 0, "thinning": moves, "move_width": cfg.move_width or width / 3})
     # Moves stay in the last two windows, so that they cost the same in each window.
     lo, out = begin if cfg.spacing else moves_from(begin, a, b), []
-    for p in np.repeat(np.arange(n), times):
+    # Each particle has numbers of its own, so that particles can move side by side.
+    plain = cfg.proposal == "uniform" and not cfg.discrete
+    numbers = rng.random((n, MOST_DRAWS * moves)) if plain else [None] * n
+    for p, own in zip(np.repeat(np.arange(n), times), numbers, strict=True):
         fixed = [x for x in past[p] if x <= lo]
         near = past[p][len(fixed) :]
-        out.append(fixed + (run_chain(model, lo, b, steps, rng, data_start=since(fixed[-1] if fixed else begin), theta=near)[0][-1][1] if moves else near))
+        out.append(fixed + (run_chain(model, lo, b, steps, Numbers(own) if plain else rng, data_start=since(fixed[-1] if fixed else begin), theta=near)[0][-1][1] if moves else near))
     return out, np.zeros(n), True
 
 
+#: How many numbers a chain's step takes at most, with uniform births.
+MOST_DRAWS = 4
+
+
+class Numbers:
+    """Numbers drawn before, in place of a generator."""
+
+    def __init__(self, numbers: np.ndarray):
+        self.random = iter(numbers.tolist()).__next__
+
+
 def moves_from(begin: float, a: float, b: float) -> float:
     """From here on changepoints may still move at the end of the window [a, b)."""
     return max(begin, b - 2 * (b - a))

@@ -7,14 +7,14 @@ which others it runs beside. Chains have uniform births and neither spacing nor
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
-from tidemark.operators.kernels import SamplerConfig
+from tidemark.operators.kernels import MOST_DRAWS, PoissonModel, SamplerConfig, moves_from, rejection, systematic_counts
 
 #: Steps between refills of the drawn numbers, and how many a step takes at most.
-STEPS, DRAWS = 128, 4
+STEPS, DRAWS = 128, MOST_DRAWS
 
 
 def plain(cfg: SamplerConfig) -> bool:
@@ -50,6 +50,24 @@ class PoissonRows:
         return (self.alpha + ib - ia) / (self.beta + (b - a))
 
 
+class SeenRows(PoissonRows):
+    """SeenModel for many series: the first ``gone`` events of each count as being before any position after ``begin``."""
+
+    def __init__(self, times: list[np.ndarray], alpha: float, beta: float, begin: np.ndarray):
+        super().__init__(times, alpha, beta)
+        self.begin, self.gone = begin, np.zeros(len(times), np.int64)
+
+    def index(self, rows: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.where(x > self.begin[rows], np.maximum(super().index(rows, x), self.gone[rows]), 0)
+
+    def forget(self, past: np.ndarray, lo: np.ndarray) -> None:
+        """Forgets what no later segment of the first rows' particles can begin before, if changepoints may move after lo."""
+        m = len(past)
+        last = np.where(past <= lo[:, None, None], past, -np.inf).max(axis=2, initial=-np.inf)
+        cut = np.where(last > self.begin[:m, None], last, np.inf).min(axis=1)
+        self.gone[:m] = np.maximum(self.gone[:m], super().index(np.arange(m), np.where(np.isinf(cut), lo, cut)))
+
+
 class GaussianRows:
     """GaussianModel for many series."""
 
@@ -80,7 +98,13 @@ class GaussianRows:
 class Draws:
     """Numbers of many generators, each in its own order."""
 
-    def __init__(self, rngs: list[np.random.Generator], steps: int):
+    def __init__(self, rngs: list[np.random.Generator], steps: int, given: np.ndarray | None = None):
+        """given: each chain's numbers, if they were drawn before."""
+        if given is not None:
+            self.u, self.left, rngs = given, given.shape[1] // DRAWS, [None] * len(given)
+            self.flat, self.base = self.u.reshape(-1), np.arange(len(rngs)) * self.u.shape[1]
+            self.at, self.before = np.zeros(len(rngs), np.int64), np.zeros(len(rngs), np.int64)
+            return
         self.rngs, self.each = rngs, min(STEPS, max(steps, 1))
         self.u = np.empty((len(rngs), self.each * DRAWS))
         self.flat, self.base = self.u.reshape(-1), np.arange(len(rngs)) * self.u.shape[1]
@@ -113,17 +137,16 @@ class Chains:
     """States of many chains: ``at`` has where a chain's first segment begins, its changepoints and its end; ``index`` the model's
     index of each, ``part`` the log likelihood of the segment from each to the next, k the number of changepoints.
 
-    rows: the model's row of each chain. begin: where first segments begin, if before start. steps: descending."""
+    rows: the model's row of each chain. theta: its first changepoints, a row for each chain, and how many they are. begin: where first segments begin, if before start."""
 
-    def __init__(self, model, rows: np.ndarray, start: np.ndarray, end: np.ndarray, cfg: SamplerConfig, draws: Draws, theta: list[list[float]] | None = None, begin: np.ndarray | None = None):
+    def __init__(self, model, rows: np.ndarray, start: np.ndarray, end: np.ndarray, cfg: SamplerConfig, draws: Draws, theta: tuple[np.ndarray, np.ndarray] | None = None, begin: np.ndarray | None = None):
         self.model, self.rows, self.start, self.end, self.cfg, self.draws = model, rows, start, end, cfg, draws
-        theta = theta if theta is not None else [[]] * len(rows)
-        self.k = np.array([len(x) for x in theta], np.int64)
+        self.k = np.zeros(len(rows), np.int64) if theta is None else theta[1].astype(np.int64)
         most = int(self.k.max(initial=0))
         self.at = np.full((len(rows), most + 8), np.inf)
         self.at[:, 0] = start if begin is None else begin
-        for row, x in zip(self.at, theta, strict=True):
-            row[1 : len(x) + 1] = x
+        if theta is not None:
+            self.at[:, 1 : most + 1] = np.where(np.arange(most) < self.k[:, None], theta[0][:, :most], np.inf)
         every = np.arange(len(rows))
         self.at[every, self.k + 1] = end
         self.index, self.part = np.zeros(self.at.shape, np.int64), np.zeros(self.at.shape)
@@ -237,7 +260,7 @@ class Chains:
         return self.at[:active, 1 : most + 1][np.arange(most) < self.k[:active, None]]
 
 
-def run_chains(model, rows: np.ndarray, start: np.ndarray, end: np.ndarray, cfg: SamplerConfig, rngs: list[np.random.Generator], iterations: np.ndarray | None = None, theta: list[list[float]] | None = None, begin: np.ndarray | None = None) -> Iterator[tuple[int, int, Chains]]:
+def run_chains(model, rows: np.ndarray, start: np.ndarray, end: np.ndarray, cfg: SamplerConfig, rngs: list[np.random.Generator], iterations: np.ndarray | None = None, theta: tuple[np.ndarray, np.ndarray] | None = None, begin: np.ndarray | None = None) -> Iterator[tuple[int, int, Chains]]:
     """After each kept step: its number, how many chains take it, and the chains, whose arrays go on changing.
 
     iterations: of each chain, descending, in place of the common number."""
@@ -256,3 +279,95 @@ def ragged(lengths: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Where the values of lists of these lengths stand, once the lists are taken in this order."""
     first, own = np.cumsum(lengths) - lengths, lengths[order]
     return np.repeat(first[order] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+
+
+def padded(lists: list, width: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Lists as rows filled up with infinity, and their lengths."""
+    k = np.array([len(x) for x in lists], np.int64)
+    out = np.full((len(lists), max(width, int(k.max(initial=0)))), np.inf)
+    out[np.arange(out.shape[1]) < k[:, None]] = np.concatenate([*lists, np.zeros(0)])
+    return out, k
+
+
+def smc_windows(model: PoissonRows, rows: np.ndarray, times: list[np.ndarray], past: np.ndarray, k: np.ndarray, log_w: np.ndarray, a: float, b: float, begin: np.ndarray, cfg: SamplerConfig, rng: Callable[[int], np.random.Generator], threshold: float, moves: int, source: str = "chain") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """kernels.smc_window for many series side by side, with the same draws: particles, their lengths, log weights, and which series were resampled.
+
+    past: series by particles by positions, ascending and then infinite; k, log_w: series by particles. rng: begins the numbers of a series."""
+    (m, n), width = k.shape, b - a
+    ends = lambda x: np.maximum(x, begin[:, None])
+    last = np.where(k > 0, np.take_along_axis(past, np.maximum(k - 1, 0)[:, :, None], 2)[:, :, 0] if past.shape[2] else 0.0, -np.inf)
+    last, late = ends(last), a > begin
+    rngs, first_from = [rng(i) for i in range(m)], np.full(m, a)
+    if source == "chain":
+        w = np.exp(log_w - log_w.max(axis=1, keepdims=True))
+        first_from = np.where(late, np.maximum(begin, a - (w * (a - last)).sum(axis=1) / w.sum(axis=1)), a)
+        window, kept = SamplerConfig(**{**cfg.__dict__, "iterations": n * cfg.thinning, "move_width": cfg.move_width or width / 3}), []
+        for _, _, now in run_chains(model, rows, np.full(m, a), np.full(m, b), window, rngs, begin=first_from):
+            kept.append((now.at[:, 1:].copy(), now.k.copy()))
+        most = max(int(x.max()) for _, x in kept)
+        fresh = np.full((m, n, most), np.inf)
+        for p, (at, own) in enumerate(kept):
+            shown = min(most, at.shape[1])
+            fresh[:, p, :shown] = np.where(np.arange(shown) < own[:, None], at[:, :shown], np.inf)
+        fresh_k, rngs = np.stack([x for _, x in kept], axis=1), [rng(i) for i in range(m)]
+        for own, taken in zip(rngs, now.draws.taken().tolist(), strict=True):
+            own.bit_generator.advance(taken)
+    else:
+        drawn, ks = [], []
+        for own, t in zip(rngs, times, strict=True):
+            if source == "prior":
+                ks.append(own.poisson(cfg.nu * width, n))
+                drawn.append(a + own.random(ks[-1].sum()) * width)
+            else:
+                x = rejection(PoissonModel(t, model.alpha, model.beta), a, b, cfg.nu, n, own)[0]
+                ks.append(np.array([len(y) for y in x]))
+                drawn.append(np.array([z for y in x for z in y]))
+        fresh_k = np.stack(ks).astype(np.int64)
+        fresh = np.full((m, n, int(fresh_k.max())), np.inf)
+        fresh[np.arange(fresh.shape[2]) < fresh_k[:, :, None]] = np.concatenate(drawn)
+        fresh.sort(axis=2)
+    order = np.stack([own.permutation(n) for own in rngs])
+    fresh, fresh_k = np.take_along_axis(fresh, order[:, :, None], 1), np.take_along_axis(fresh_k, order, 1)
+    row, from_ = np.repeat(rows, n), np.repeat(first_from, n)
+    first = np.where(fresh_k > 0, fresh[:, :, 0] if fresh.shape[2] else b, b)
+
+    def loglik(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return model.loglik(row, x, model.index(row, x), y, model.index(row, y)).reshape(m, n)
+
+    at = np.full(m * n, a)
+    log_w = log_w + np.where(late[:, None], loglik(last.ravel(), first.ravel()) - loglik(last.ravel(), at) - loglik(from_, first.ravel()), 0.0)
+    if source == "prior":
+        cuts = np.concatenate([from_[:, None], fresh.reshape(m * n, -1), np.full((m * n, 1), np.inf)], axis=1)
+        cuts[np.arange(m * n), fresh_k.ravel() + 1] = b
+        for j in range(cuts.shape[1] - 1):
+            log_w = log_w + np.where(fresh_k >= j, loglik(np.minimum(cuts[:, j], b), np.minimum(cuts[:, j + 1], b)), 0.0)
+    # Past positions all come before the window's, so sorting joins them.
+    past, k = np.sort(np.concatenate([past, fresh], axis=2), axis=2), k + fresh_k
+    past = past[:, :, : int(k.max())]
+    w = np.exp(log_w - log_w.max(axis=1, keepdims=True))
+    again = ~(w.sum(axis=1) ** 2 / (w * w).sum(axis=1) >= threshold * n)
+    s = np.flatnonzero(again)
+    if not len(s):
+        return past, k, log_w, again
+    parent = np.stack([np.repeat(np.arange(n), systematic_counts(w[i], n, rngs[i].random())) for i in s])
+    moved, moved_k = np.take_along_axis(past[s], parent[:, :, None], 1).reshape(len(s) * n, -1), np.take_along_axis(k[s], parent, 1).ravel()
+    if moves:
+        numbers = np.concatenate([rngs[i].random((n, MOST_DRAWS * moves)) for i in s])
+        lo = np.repeat(np.array([moves_from(x, a, b) for x in begin[s].tolist()]), n)
+        fixed = (moved <= lo[:, None]).sum(axis=1)
+        before = np.where(fixed > 0, moved[np.arange(len(moved)), np.maximum(fixed - 1, 0)] if moved.shape[1] else 0.0, -np.inf)
+        near = np.sort(np.where(np.arange(moved.shape[1]) < fixed[:, None], np.inf, moved), axis=1)
+        steps = SamplerConfig(**{**cfg.__dict__, "iterations": moves, "burn_in": 0, "thinning": moves, "move_width": cfg.move_width or width / 3})
+        now = Chains(model, np.repeat(rows[s], n), lo, np.full(len(moved), b), steps, Draws([], 0, numbers), (near, moved_k - fixed), np.maximum(before, np.repeat(begin[s], n)))
+        for _ in range(moves):
+            now.step(len(moved))
+        held = np.where(np.arange(moved.shape[1]) < fixed[:, None], moved, np.inf)
+        most = int(now.k.max())
+        moved = np.sort(np.concatenate([held, np.where(np.arange(most) < now.k[:, None], now.at[:, 1 : most + 1], np.inf)], axis=1), axis=1)
+        moved_k = fixed + now.k
+    past = np.pad(past, ((0, 0), (0, 0), (0, max(0, int(moved_k.max()) - past.shape[2]))), constant_values=np.inf)
+    shown = min(past.shape[2], moved.shape[1])
+    past[s], k, log_w = np.inf, k.copy(), log_w.copy()
+    past[s, :, :shown] = moved[:, :shown].reshape(len(s), n, shown)
+    k[s], log_w[s] = moved_k.reshape(len(s), n), 0.0
+    return past, k, log_w, again

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.kernels import CountModel, GaussianModel, PoissonModel, SamplerConfig, chain_rates, draw_prior, monotone, rejection, run_chain, run_shot_noise, shot_noise_window, smc_window
-from tidemark.operators.lockstep import GaussianRows, PoissonRows, plain, ragged, run_chains
+from tidemark.operators.lockstep import GaussianRows, PoissonRows, plain, ragged, run_chains, smc_windows
 from tidemark.operators.series import bucketed_sum
 from tidemark.sources.tables import durable
 
@@ -73,9 +73,9 @@ def reversible_jump(events: DataFrame, series: DataFrame, start: float, end: flo
 TOGETHER = 2000
 
 
-def tasks(n: int, together: int = TOGETHER) -> int:
+def tasks(n: int, cores: int, together: int = TOGETHER) -> int:
     """Partitions for n series or chains: a number of one's own, since small inputs would be put into one task."""
-    return max(1, -(-n // together), min(32, n // 200))
+    return max(1, -(-n // together), min(cores, n // 100))
 
 
 def gathered(events: DataFrame, series: DataFrame, kind: str, chains: int = 1, together: int = TOGETHER) -> DataFrame:
@@ -83,10 +83,10 @@ def gathered(events: DataFrame, series: DataFrame, kind: str, chains: int = 1, t
     value = {"poisson": F.col("t"), "gaussian": F.struct("seq", "y"), "counts": F.struct("seq", "n")}[kind]
     known = {"poisson": "t IS NOT NULL AND NOT isnan(t)", "gaussian": "seq IS NOT NULL AND y IS NOT NULL AND NOT isnan(y)", "counts": "seq IS NOT NULL AND n IS NOT NULL"}[kind]
     own = [c for c in series.columns if c in ("end", "sizes")]
-    lists = _with_empty(events, series, COLUMNS[kind]).groupBy("series").agg(F.array_sort(F.collect_list(F.when(F.expr(known), value))).alias("data"), *[F.first(c).alias(c) for c in own])
+    lists = _with_empty(events, series, COLUMNS[kind]).groupBy("series").agg(F.sort_array(F.collect_list(F.when(F.expr(known), value))).alias("data"), *[F.first(c).alias(c) for c in own])
     lists = lists if kind == "poisson" else lists.withColumn("data", F.col("data.y" if kind == "gaussian" else "data.n"))
     # By a hash of the name: a partitioning by the name itself is one that lists have already, and may be put together.
-    return lists.repartition(tasks(series.count() * chains, together), F.xxhash64("series"))
+    return lists.repartition(tasks(series.count() * chains, series.sparkSession.sparkContext.defaultParallelism, together), F.xxhash64("series"))
 
 
 def lists_of(column: pa.Array) -> list[np.ndarray]:
@@ -221,6 +221,8 @@ def sequential_monte_carlo(events: DataFrame, series: DataFrame, start: float, e
     changes, particles are resampled to the new number. fresh: (series, interval, particle, theta), the windows' samples if they were drawn before.
     source: chain, rejection (one changepoint a window at most) or prior; the last two don't look back."""
     width, common = (end - start) / intervals, n
+    if kind == "poisson" and sizes is None and fresh is None and not full_history and plain(cfg) and (look_back or source != "chain"):
+        return _smc_in_step(events, series, start, end, intervals, n, cfg, alpha, beta, threshold, moves, source)
     if sizes is not None:
         # As many numbers as intervals for each series.
         lists = sizes.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("interval", "n"))).alias("_x")).select("series", F.col("_x.n").alias("sizes"))
@@ -253,6 +255,34 @@ def sequential_monte_carlo(events: DataFrame, series: DataFrame, start: float, e
     return both.applyInPandas(lambda key, pdf, drawn: run(key, pdf, drawn), SMC)
 
 
+def _smc_in_step(events: DataFrame, series: DataFrame, start: float, end: float, intervals: int, n: int, cfg: SamplerConfig, alpha: float, beta: float, threshold: float, moves: int, source: str) -> DataFrame:
+    """sequential_monte_carlo of many series side by side, with the draws that each has alone."""
+    width = (end - start) / intervals
+
+    def sampled(batch: pa.RecordBatch):
+        names, times = batch.column("series").to_pylist(), lists_of(batch.column("data"))
+        m, model = len(names), PoissonRows(times, alpha, beta)
+        past, k, log_w = np.full((m, n, 0), np.inf), np.zeros((m, n), np.int64), np.zeros((m, n))
+        for i in range(intervals):
+            past, k, log_w, again = smc_windows(model, np.arange(m), times, past, k, log_w, start + i * width, start + (i + 1) * width, np.full(m, float(start)), cfg, lambda s: generator(cfg.seed, names[s], i), threshold, moves, source)  # noqa: B023
+            w = np.exp(log_w - log_w.max(axis=1, keepdims=True))
+            w /= w.sum(axis=1, keepdims=True)
+            theta = past[np.arange(past.shape[2]) < k[:, :, None]]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k.ravel())]), pa.int32()), pa.array(theta))
+            every = lambda x: pa.array(np.repeat(x, n))
+            columns = [pa.array(names, pa.string()).take(every(np.arange(m))), pa.array(np.full(m * n, i), pa.int32()), pa.array(np.tile(np.arange(n), m)), pa.array(k.ravel(), pa.int32()), lists, pa.array(w.ravel()), every(1 / (w * w).sum(axis=1)), every(again)]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SMC.split(", ")])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, SMC_TOGETHER):
+                yield from sampled(batch.slice(i, SMC_TOGETHER))
+
+    return gathered(events, series, "poisson", together=SMC_TOGETHER).mapInArrow(run, SMC)
+
+
+#: Series whose particles are sampled side by side.
+SMC_TOGETHER = 1000
 SHOTS = "series string, interval int, particle long, k int, theta array<double>, heights array<double>, w double, ess double, resampled boolean"
 
 

@@ -131,7 +131,7 @@ def smc_adaptive(spark: SparkSession, d: str) -> DataFrame:
     users = series_of(ev)
     sample = samplers.reversible_jump(ev, users, 0.0, END, SamplerConfig(iterations=2000, burn_in=200, thinning=10, nu=1 / 10))
     # The allocation reads scores several times: chains run once.
-    scores = durable(samplers.score_trajectories(sample, 0.0, END, 50, 50, samplers.tasks(users.count())), "scores")
+    scores = durable(samplers.score_trajectories(sample, 0.0, END, 50, 50, samplers.tasks(users.count(), spark.sparkContext.defaultParallelism)), "scores")
     return particles.greedy_allocation(scores, 3000)
 
 

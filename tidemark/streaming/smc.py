@@ -18,15 +18,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.kernels import SamplerConfig, SeenModel, draw_prior, moves_from, smc_window
-from tidemark.operators.samplers import generator
+from tidemark.operators.lockstep import SeenRows, padded, smc_windows
+from tidemark.operators.samplers import gathered, generator, lists_of
+from tidemark.sources.tables import series_of
 from tidemark.streaming.pvalues import STATE_STORE
 
 ROWS = "series string, interval long, n long, events long, ess double, e_k double, e_last_tau double, resampled boolean"
 NAMES = [c.split()[0] for c in ROWS.split(", ")]
+KINDS = {"interval": "int64", "n": "int64", "events": "int64", "ess": "float64", "e_k": "float64", "e_last_tau": "float64", "resampled": "bool"}
+ROW_TYPES = pa.schema([("series", pa.string()), *((c, pa.from_numpy_dtype(np.dtype(k))) for c, k in KINDS.items())])
+#: Series of a replay that are sampled side by side.
+TOGETHER = 1000
 
 
 @dataclass(frozen=True)
@@ -65,7 +72,9 @@ class Filter:
         self.next += 1
         w = np.exp(self.log_w - self.log_w.max())
         w /= w.sum()
-        row = (self.series, i, how.n, len(events), float(1 / (w * w).sum()), float((w * [len(x) for x in self.past]).sum()), float((w * [x[-1] if x else 0.0 for x in self.past]).sum()), bool(resampled))
+        # Rounded, as sums in arrays of another shape differ in the last bits.
+        sums = 1 / (w * w).sum(), (w * [len(x) for x in self.past]).sum(), (w * [x[-1] if x else 0.0 for x in self.past]).sum()
+        row = (self.series, i, how.n, len(events), *(round(float(x), 9) for x in sums), bool(resampled))
         self._forget(b)
         return row
 
@@ -139,14 +148,43 @@ def particles(events: DataFrame, how: Windows, origin_ms: int, unit_ms: int = 86
 def replay(events: DataFrame, how: Windows) -> DataFrame:
     """The same rows in batch, from (series, t)."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        t = sorted(x for x in pdf["t"].tolist() if 0 <= x < how.width * how.intervals)
-        if not t:
-            return pd.DataFrame(columns=NAMES)
-        own, out = Filter(key[0], how, int(t[0] // how.width)), []
-        while own.next < how.intervals:
-            a, b = (bisect_left(t, x * how.width) for x in (own.next, own.next + 1))
-            out.append(own.advance(t[a:b]))
-        return pd.DataFrame(out, columns=NAMES)
-
-    return events.where("series IS NOT NULL").select("series", "t").groupBy("series").applyInPandas(run, ROWS)
+    def summed(names: list, times: list[np.ndarray]) -> pd.DataFrame:
+        times = [x[(x >= 0) & (x < how.width * how.intervals)] for x in times]
+        some = [i for i, x in enumerate(times) if len(x)]
+        # Series in order of the window that they begin with, so that those observed come first.
+        some.sort(key=lambda i: times[i][0] // how.width)
+        names, times, out = [names[i] for i in some], [times[i] for i in some], []
+        first = np.array([int(x[0] // how.width) for x in times], np.int64)
+        past, k, log_w = np.full((len(names), how.n, 0), np.inf), np.zeros((len(names), how.n), np.int64), np.zeros((len(names), how.n))
+        begin = first * how.width
+        model = SeenRows(times, how.alpha, how.beta, begin)
+        for i in range(how.intervals):
+            a, b = i * how.width, (i + 1) * how.width
+            for s in np.flatnonzero(first == i).tolist():
+                rng = generator(how.cfg.seed, names[s], "before")
+                own, k[s] = padded([draw_prior(0.0, float(begin[s]), how.cfg.nu, rng) for _ in range(how.n)])
+                past = np.pad(past, ((0, 0), (0, 0), (0, max(0, own.shape[1] - past.shape[2]))), constant_values=np.inf)
+                past[s, :, : own.shape[1]] = own
+            m = int((first <= i).sum())
+            if not m:
+                continue
+            new, k[:m], log_w[:m], again = smc_windows(model, np.arange(m), times, past[:m], k[:m], log_w[:m], a, b, begin[:m], how.cfg, lambda s: generator(how.cfg.seed, names[s], i), how.threshold, how.moves)  # noqa: B023
+            rest = np.pad(past[m:], ((0, 0), (0, 0), (0, max(0, new.shape[2] - past.shape[2]))), constant_values=np.inf)
+            past = np.concatenate([np.pad(new, ((0, 0), (0, 0), (0, rest.shape[2] - new.shape[2])), constant_values=np.inf), rest])
+            w = np.exp(log_w[:m] - log_w[:m].max(axis=1, keepdims=True))
+            w /= w.sum(axis=1, keepdims=True)
+            last = np.take_along_axis(past[:m], np.maximum(k[:m] - 1, 0)[:, :, None], 2)[:, :, 0] if past.shape[2] else np.zeros((m, how.n))
+            e_last = (w * np.where(k[:m] > 0, last, 0.0)).sum(axis=1)
+            seen = [np.searchsorted(x, b) - np.searchsorted(x, a) for x in times[:m]]
+            model.forget(past[:m], begin[:m] if how.cfg.spacing else np.maximum(begin[:m], b + how.width - 2 * how.width))
+            out.append(pd.DataFrame({"series": names[:m], "interval": i, "n": how.n, "events": seen, "ess": np.round(1 / (w * w).sum(axis=1), 9), "e_k": np.round((w * k[:m]).sum(axis=1), 9), "e_last_tau": np.round(e_last, 9), "resampled": again}))
+        return pd.concat(out) if out else pd.DataFrame(columns=NAMES)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(i, TOGETHER)
+                yield pa.RecordBatch.from_pandas(summed(part.column("series").to_pylist(), lists_of(part.column("data"))).astype(KINDS), ROW_TYPES, preserve_index=False)
+
+    known = events.where("series IS NOT NULL")
+    return gathered(known, series_of(known), "poisson", together=TOGETHER).mapInArrow(run, ROWS)
