@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.kernels import CountModel, GaussianModel, PoissonModel, SamplerConfig, chain_rates, draw_prior, monotone, rejection, run_chain, run_shot_noise, shot_noise_window, smc_window
-from tidemark.operators.lockstep import GaussianRows, PoissonRows, plain, ragged, run_chains, smc_windows
+from tidemark.operators.lockstep import GaussianRows, PoissonRows, padded, plain, ragged, run_chains, smc_windows
 from tidemark.operators.series import bucketed_sum
 from tidemark.sources.tables import durable
 
@@ -327,7 +327,7 @@ def water_level(scores: DataFrame, budget: int, bucket: Column | None = None) ->
 DRAWN = "series string, interval int, particle long, theta array<double>"
 
 
-def budgeted_windows(events: DataFrame, series: DataFrame, start: float, end: float, intervals: int, budget: int, least: int, cfg: SamplerConfig, bins: int = 50, rounds: int = 3, alpha: float = 0.1, beta: float = 0.1, together: int = 100) -> DataFrame:
+def budgeted_windows(events: DataFrame, series: DataFrame, start: float, end: float, intervals: int, budget: int, least: int, cfg: SamplerConfig, bins: int = 50, rounds: int = 3, alpha: float = 0.1, beta: float = 0.1, together: int = 1000) -> DataFrame:
     """(DRAWN): each window's sample for each series, when the window's ``budget`` of draws over all series goes where the
     extent score of the draws so far is largest.
 
@@ -338,23 +338,30 @@ def budgeted_windows(events: DataFrame, series: DataFrame, start: float, end: fl
     at = F.floor((F.col("t") - start) / width).cast("int")
     local = events.where((F.col("t") >= start) & (F.col("t") < end)).select("series", at.alias("interval"), "t")
     windows = series.select("series", F.explode(F.sequence(F.lit(0), F.lit(intervals - 1))).alias("interval"))
-    groups = max(1, -(-series.count() * intervals // together))
+    groups = tasks(series.count() * intervals, series.sparkSession.sparkContext.defaultParallelism, together)
 
     def draw(state: DataFrame, number: int) -> DataFrame:
         """state: (series, interval, theta, seen, more)."""
 
         def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            events, out = {k: g.tolist() for k, g in right.groupby(["series", "interval"])["t"]}, []
-            for name, i, theta, seen, more in zip(left["series"], left["interval"], left["theta"], left["seen"], left["more"], strict=True):
-                own = SamplerConfig(**{**cfg.__dict__, "iterations": int(more) * cfg.thinning, "burn_in": 0 if number else cfg.burn_in, "move_width": cfg.move_width or width / 3})
-                a = start + i * width
-                kept, _ = run_chain(PoissonModel(sorted(events.get((name, i), [])), alpha, beta), a, a + width, own, generator(cfg.seed, name, i, number), theta=list(theta))
-                out += [(name, i, int(seen) + j, x) for j, (_, x, _) in enumerate(kept)]
+            events = {k: np.sort(g.to_numpy()) for k, g in right.groupby(["series", "interval"])["t"]}
+            # Chains side by side, the longest first; those that have had their draws stop.
+            left = left.sort_values("more", ascending=False, kind="stable")
+            keys, n = list(zip(left["series"], left["interval"], strict=True)), len(left)
+            if not n:
+                return pd.DataFrame(columns=["series", "interval", "particle", "theta"])
+            model = PoissonRows([events.get(k, np.zeros(0)) for k in keys], alpha, beta)
+            own = SamplerConfig(**{**cfg.__dict__, "burn_in": 0 if number else cfg.burn_in, "move_width": cfg.move_width or width / 3})
+            a, more, seen, out = start + left["interval"].to_numpy() * width, left["more"].to_numpy(), left["seen"].to_numpy(), []
+            for it, active, now in run_chains(model, np.arange(n), a, a + width, own, [generator(cfg.seed, *k, number) for k in keys], more * cfg.thinning, padded(left["theta"].tolist())):
+                theta = np.split(now.theta(active), np.cumsum(now.k[:active])[:-1])
+                out += [(*k, int(s) + it // cfg.thinning - 1, x) for k, s, x in zip(keys[:active], seen[:active], theta, strict=True)]
             return pd.DataFrame(out, columns=["series", "interval", "particle", "theta"])
 
         # Many windows to a task's call.
         group = F.pmod(F.xxhash64("series", "interval"), F.lit(groups)).alias("_group")
-        both = state.select(*state.columns, group).groupBy("_group").cogroup(local.select("*", group).groupBy("_group"))
+        dealt = lambda df: df.select(*df.columns, group).repartition(groups, "_group").groupBy("_group")
+        both = dealt(state).cogroup(dealt(local))
         return durable(both.applyInPandas(run, DRAWN), f"round{number}")
 
     first = windows.select("series", "interval", F.array().cast("array<double>").alias("theta"), F.lit(0).cast("long").alias("seen"), F.lit(least).cast("long").alias("more"))
