@@ -1,5 +1,8 @@
 """Work and precision on large series."""
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -78,3 +81,13 @@ def test_windows_in_step_are_those_of_one_series(source):
             assert np.allclose(log_w[s], w)
             seen += resampled
     assert seen
+
+
+def test_resampling_is_exact_to_a_point_of_very_many(spark):
+    w = np.exp(-(np.arange(50) % 7) / 7.0)
+    w = (w / w.sum()).tolist()
+    df = spark.createDataFrame([("a", i, x) for i, x in enumerate(w)], "series string, particle long, w double")
+    n = 10**12
+    got = [r["offspring"] for r in particles.systematic(df, ["series"], ["particle"], F.lit(n), 0.37).orderBy("particle").collect()]
+    ends = [max(0, math.ceil(n * (sum(map(Fraction, w[:i])) / sum(map(Fraction, w))) - Fraction(37, 100))) for i in range(51)]
+    assert got == [b - a for a, b in zip(ends, ends[1:])]
