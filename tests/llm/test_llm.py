@@ -485,6 +485,24 @@ def test_quality(spark):
     assert quality.score_quality(frame(spark, []), labels).count() == 0
 
 
+def test_training_rows_come_to_the_driver_in_pieces(spark, monkeypatch):
+    """Whole, they and their copies stood in the driver's memory together."""
+
+    def whole(self):
+        raise AssertionError("the sample was collected whole")
+
+    texts = [f"w{i % 7} w{i % 5}, x{i}" * (1 + i % 3) for i in range(90)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, quality int")
+    learnt = [i for i in range(90) if zlib.crc32(str(i).encode()) % quality.FOLDS]
+    with monkeypatch.context() as m:
+        for name in ("toArrow", "collect", "toPandas"):
+            m.setattr(type(docs), name, whole)
+        got = quality._training_rows(docs, labels, "doc_id", "text", "quality", 1000)
+    want = sorted((len(a), a.tobytes(), i % 2, x.tobytes()) for i in learnt for a, x in [quality.Features().of(texts[i])])
+    assert [(len(a), a.tobytes(), y, x.tobytes()) for a, x, y in got] == want
+
+
 def test_lm(spark):
     rows = [(i, f"The cat {'sat' if i % 2 else 'ran'} on mat{i % 7} {'red' if i % 2 else 'blue'}\tx{i}", *[None] * 8) for i in range(300)] + [(900, None, *[None] * 8), (None, "the", *[None] * 8), (901, LONG, *[None] * 8)]
     got = maxent.score(frame(spark, rows)).collect()

@@ -7,7 +7,7 @@ sparse vector of log counts of unit length; its score is the logistic of the dot
 weights.
 
 Training takes a bounded sample of labelled rows that aren't held out: the MOST_TRAINING with the
-smallest hash of their id. Their sparse vectors come to the driver (some 50 MB at most for usual
+smallest hash of their id. Their sparse vectors come to the driver in pieces (some 50 MB at most for usual
 texts, since features are 32-bit), where the sequential updates run; the weights (1 MB) are
 broadcast. Scoring covers every whole text.
 
@@ -32,6 +32,8 @@ from tidemark.llm.common import map_texts
 
 BITS = 18
 MOST_TRAINING = 8000
+#: The sample comes to the driver in so many pieces.
+PIECES = 16
 EPOCHS = 6
 FOLDS = 5
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.2
@@ -131,9 +133,10 @@ def _training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
             got = [f.of(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([a.tobytes() for a, _ in got], pa.binary()), pa.array([x.tobytes() for _, x in got], pa.binary()), b.column(1)], names=["at", "x", "y"])
 
-    got = sample.limit(most).mapInArrow(vectors, "at binary, x binary, y int").toArrow()
-    rows = [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32), y) for a, x, y in zip(*(got.column(i).to_pylist() for i in range(3)), strict=True)]
-    return sorted(rows, key=lambda r: (len(r[0]), r[0].tobytes(), r[2]))
+    # Piece by piece: the driver's JVM holds one of them, its Python the vectors once.
+    got = sample.limit(most).repartition(PIECES).mapInArrow(vectors, "at binary, x binary, y int").toLocalIterator()
+    known = sorted((len(r["at"]), r["at"], r["y"], r["x"]) for r in got)
+    return [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32), y) for _, a, y, x in known]
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: list[str] | None = None, most: int = MOST_TRAINING) -> DataFrame:
