@@ -1,6 +1,7 @@
 """Sequential Monte Carlo: shot noise, streams, budgets; truncated Gamma jumps."""
 
 import math
+import pickle
 
 import numpy as np
 import pytest
@@ -132,6 +133,26 @@ def test_filter_forgets_without_changing(monkeypatch):
     assert short == whole and kept <= all_kept == 60
 
 
+@pytest.mark.parametrize("spacing", [0.0, 0.05])
+def test_series_of_a_group_are_sampled_side_by_side(spacing):
+    """A stream's timer samples all series of its group at once; rows are those of each series alone."""
+    how = smc.Windows(**{**HOW.__dict__, "cfg": kernels.SamplerConfig(burn_in=50, thinning=2, nu=0.5, spacing=spacing)})
+    rng = np.random.default_rng(8)
+    times = {f"s{i}": np.sort(rng.uniform(i % 4, 4, 1 + i * 7 % 40)) for i in range(20)}
+    cut = lambda t, i: t[(t >= i) & (t < i + 1)]
+    group, got = smc.filters(how), []
+    assert isinstance(group, smc.Apart if spacing else smc.Filters)
+    for i in range(4):
+        group = pickle.loads(pickle.dumps(group))
+        got += group.advance(i, {s: cut(t, i) for s, t in times.items() if len(cut(t, i))}).itertuples(index=False, name=None)
+    want = []
+    for s, t in times.items():
+        own = smc.Filter(s, how, int(t[0]))
+        want += [own.advance(cut(t, i).tolist()) for i in range(int(t[0]), 4)]
+        assert spacing or len(group.times[group.row[s]]) == len(own.t)
+    assert sorted(got) == sorted(want)
+
+
 def test_late_series_is_observed_from_its_first_event():
     f = smc.Filter("late", HOW, 2)
     assert f.begin == 2.0 and all(x < 2 for p in f.past for x in p)

@@ -25,13 +25,14 @@ def plain(cfg: SamplerConfig) -> bool:
 class PoissonRows:
     """PoissonModel for many series: events of row i are t[first[i] : first[i + 1]], ascending."""
 
-    def __init__(self, times: list[np.ndarray], alpha: float, beta: float):
+    def __init__(self, times: list[np.ndarray], alpha: float, beta: float, more: int = 0):
+        """more: how many events a segment may have beyond those of t."""
         sizes = np.array([len(x) for x in times])
         self.t = np.concatenate([*times, [np.inf]]) if len(times) else np.array([np.inf])
         self.first = np.concatenate([[0], np.cumsum(sizes)])
         self.halvings = int(sizes.max(initial=0)).bit_length()
         self.alpha, self.beta = alpha, beta
-        self.log_fact = np.array([math.lgamma(alpha + n) - math.lgamma(alpha) for n in range(int(sizes.max(initial=0)) + 1)]) + alpha * math.log(beta)
+        self.log_fact = np.array([math.lgamma(alpha + n) - math.lgamma(alpha) for n in range(int(sizes.max(initial=0)) + more + 1)]) + alpha * math.log(beta)
 
     def index(self, rows: np.ndarray, x: np.ndarray) -> np.ndarray:
         lo, hi = self.first[rows], self.first[rows + 1]
@@ -51,21 +52,20 @@ class PoissonRows:
 
 
 class SeenRows(PoissonRows):
-    """SeenModel for many series: the first ``gone`` events of each count as being before any position after ``begin``."""
+    """SeenModel for many series: events from some time on, and how many each had ``before``; positions up to ``begin`` stand before all."""
 
-    def __init__(self, times: list[np.ndarray], alpha: float, beta: float, begin: np.ndarray):
-        super().__init__(times, alpha, beta)
-        self.begin, self.gone = begin, np.zeros(len(times), np.int64)
+    def __init__(self, times: list[np.ndarray], alpha: float, beta: float, begin: np.ndarray, before: np.ndarray):
+        super().__init__(times, alpha, beta, int(before.max(initial=0)))
+        self.begin, self.before = begin, before
 
     def index(self, rows: np.ndarray, x: np.ndarray) -> np.ndarray:
-        return np.where(x > self.begin[rows], np.maximum(super().index(rows, x), self.gone[rows]), 0)
+        return np.where(x > self.begin[rows], super().index(rows, x) + self.before[rows], 0)
 
-    def forget(self, past: np.ndarray, lo: np.ndarray) -> None:
-        """Forgets what no later segment of the first rows' particles can begin before, if changepoints may move after lo."""
-        m = len(past)
+    def gone(self, past: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """How many of its events no later segment of a series' particles can begin before, if changepoints may move after lo."""
         last = np.where(past <= lo[:, None, None], past, -np.inf).max(axis=2, initial=-np.inf)
-        cut = np.where(last > self.begin[:m, None], last, np.inf).min(axis=1)
-        self.gone[:m] = np.maximum(self.gone[:m], super().index(np.arange(m), np.where(np.isinf(cut), lo, cut)))
+        cut = np.where(last > self.begin[:, None], last, np.inf).min(axis=1)
+        return super().index(np.arange(len(past)), np.where(np.isinf(cut), lo, cut))
 
 
 class GaussianRows:

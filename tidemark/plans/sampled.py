@@ -164,7 +164,9 @@ STREAMED = smc.Windows(width=5.0, intervals=6, n=60, cfg=SamplerConfig(burn_in=1
 def smc_stream(spark: SparkSession, d: str) -> DataFrame:
     """Of each user: particles after each window of a stream over the events table, collected into a table."""
     events = _stream(spark, d).selectExpr("CAST(user_id AS STRING) AS series", "CAST(ts AS TIMESTAMP) AS ts", f"{days('ts')} AS t")
-    return _collected(spark, events, lambda marked: smc.particles(marked, STREAMED, FIRST_DAY * 86_400_000), smc.ROWS)
+    # The table says how many series will come: about as many groups of them as a replay has batches.
+    groups = samplers.tasks(event_series(spark, d, "user_id").agg(F.count_distinct("series")).first()[0], spark.sparkContext.defaultParallelism, smc.TOGETHER)
+    return _collected(spark, events, lambda marked: smc.particles(marked, STREAMED, FIRST_DAY * 86_400_000, groups=groups), smc.ROWS)
 
 
 def smc_replay(spark: SparkSession, d: str) -> DataFrame:
