@@ -8,6 +8,8 @@ import pytest
 
 from tidemark.functions import special
 from tidemark.operators import kernels, samplers
+from tidemark.operators import shots as shots_in_step
+from tidemark.operators.lockstep import PoissonRows
 from tidemark.plans import sampled
 from tidemark.streaming import smc
 
@@ -75,6 +77,49 @@ def test_shot_noise_moves_keep_the_log_posterior():
         assert total == pytest.approx(post, abs=1e-6)
 
 
+@pytest.mark.parametrize(("a", "rate", "upper"), [*CASES, (60.0, 1.0, 59.0), (1.0, 2.0, math.inf)])
+def test_truncated_gammas_in_arrays(a, rate, upper):
+    x = np.linspace(0, min(upper, 20 * a / rate), 20_001)[1:]
+    logs = (a - 1) * np.log(x) - rate * x
+    density = np.exp(logs - logs.max())
+    n = 20_000
+    draws = shots_in_step.truncated_gammas(*(np.full(n, v) for v in (a, rate, upper)), np.arange(n), shots_in_step.Streams(np.arange(n, dtype=np.uint64) * np.uint64(2**40 + 1)))
+    assert (draws > 0).all() and (draws < upper).all()
+    assert draws.mean() == pytest.approx((x * density).sum() / density.sum(), abs=4 * draws.std() / math.sqrt(n))
+
+
+def test_log_gamma_ps():
+    g = np.random.default_rng(1)
+    a, x = g.uniform(1, 90, 400), g.uniform(0.01, 200, 400)
+    assert np.allclose(special.log_gamma_ps(a, x), [special.log_gamma_p(*v) for v in zip(a.tolist(), x.tolist(), strict=True)], rtol=1e-9, atol=1e-13)
+
+
+def test_shots_in_step_follow_the_law_of_one_series():
+    """Means over many series of equal events are those of shot_noise_window, and a series' rows are the same beside others as alone."""
+    t, cfg, n = np.array(shots()[:60]), kernels.SamplerConfig(burn_in=50, thinning=3, nu=0.3), 40
+    rng = lambda s, i: samplers.generator(1, s, i)
+    run = lambda m, of: list(shots_in_step.shot_windows(PoissonRows([t[: len(t) - s % 2 * 20] for s in of], 1.0, 1.0), 0.0, 3.0, 3, n, cfg, 0.3, 0.4, lambda s, i: rng(of[s], i), 0.5, 5))
+    many, alone = run(80, list(range(0, 160, 2)) + [1]), run(1, [1])
+    for (_, at, h, k, w, again), (_, own, own_h, own_k, own_w, own_again) in zip(many, alone, strict=True):
+        assert (k[-1] == own_k[0]).all() and again[-1] == own_again[0] and np.allclose(w[-1], own_w[0])
+        inside = np.arange(own.shape[2]) <= own_k[0][:, None]
+        assert np.allclose(at[-1, :, : own.shape[2]][inside], own[0][inside]) and np.allclose(h[-1, :, : own.shape[2]][inside], own_h[0][inside])
+    _, at, h, k, w, _ = many[-1]
+    w = np.exp(w - w.max(axis=1, keepdims=True))
+    share = lambda x: ((w * x).sum(axis=1) / w.sum(axis=1))[:80]
+    last = np.take_along_axis(h, k[:, :, None], 2)[:, :, 0] * np.exp(-0.4 * (9 - np.take_along_axis(at, k[:, :, None], 2)[:, :, 0]))
+    got, want = [share(k), share(last)], [[], []]
+    for s in range(80):
+        past, v = [], np.zeros(n)
+        for i in range(3):
+            past, v, _ = kernels.shot_noise_window(t.tolist(), past, v, i, i * 3.0, i * 3.0 + 3, n, cfg, 0.3, 0.4, rng(1000 + s, i), 0.5, 5)
+        v = np.exp(v - v.max())
+        want[0].append((v * [len(x) - 1 for x, _ in past]).sum() / v.sum())
+        want[1].append((v * [y[-1] * math.exp(-0.4 * (9 - x[-1])) for x, y in past]).sum() / v.sum())
+    for a, b in zip(got, want, strict=True):
+        assert np.mean(a) == pytest.approx(np.mean(b), abs=4 * math.hypot(np.std(a), np.std(b)) / math.sqrt(80))
+
+
 def test_shot_noise_smc_agrees_with_chain(spark):
     t = shots()
     ev = spark.createDataFrame([("a", x) for x in t], "series string, t double")

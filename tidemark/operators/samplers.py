@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.kernels import CountModel, GaussianModel, PoissonModel, SamplerConfig, chain_rates, draw_prior, monotone, rejection, run_chain, run_shot_noise, shot_noise_window, smc_window
 from tidemark.operators.lockstep import GaussianRows, PoissonRows, padded, plain, ragged, run_chains, smc_windows
 from tidemark.operators.series import bucketed_sum
+from tidemark.operators.shots import shot_windows
 from tidemark.sources.tables import durable
 
 #: What the models of each kind of series read.
@@ -290,6 +291,8 @@ def shot_noise_smc(events: DataFrame, series: DataFrame, start: float, end: floa
     """Weighted particles of a decaying rate with jumps after each of consecutive windows: sequential_monte_carlo for
     shot noise. heights has the rate at start and after each jump."""
     width = (end - start) / intervals
+    if cfg.jumps == "gamma":
+        return _shots_in_step(events, series, start, width, intervals, n, cfg, alpha, kappa, threshold, moves)
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         t, past, log_w, out = sorted(pdf["t"].dropna().tolist()), [], np.zeros(n), []
@@ -303,6 +306,29 @@ def shot_noise_smc(events: DataFrame, series: DataFrame, start: float, end: floa
     return _with_empty(events, series, ["t"]).groupBy("series").applyInPandas(run, SHOTS)
 
 
+def _shots_in_step(events: DataFrame, series: DataFrame, start: float, width: float, intervals: int, n: int, cfg: SamplerConfig, alpha: float, kappa: float, threshold: float, moves: int) -> DataFrame:
+    """shot_noise_smc of many series side by side."""
+
+    def sampled(batch: pa.RecordBatch):
+        names, model = batch.column("series").to_pylist(), PoissonRows(lists_of(batch.column("data")), 1.0, 1.0)
+        m, every = len(names), lambda x: pa.array(np.repeat(x, n))
+        offsets = lambda x: pa.array(np.concatenate([[0], np.cumsum(x)]), pa.int32())
+        for i, at, h, k, log_w, again in shot_windows(model, start, width, intervals, n, cfg, alpha, kappa, lambda s, i: generator(cfg.seed, names[s], i), threshold, moves):
+            w = np.exp(log_w - log_w.max(axis=1, keepdims=True))
+            w /= w.sum(axis=1, keepdims=True)
+            inside, k = np.arange(at.shape[2]) <= k[:, :, None], k.ravel()
+            theta = pa.ListArray.from_arrays(offsets(k), pa.array(at[:, :, 1:][inside[:, :, 1:]]))
+            columns = [pa.array(names, pa.string()).take(every(np.arange(m))), pa.array(np.full(m * n, i), pa.int32()), pa.array(np.tile(np.arange(n), m)), pa.array(k, pa.int32()), theta, pa.ListArray.from_arrays(offsets(k + 1), pa.array(h[inside])), pa.array(w.ravel()), every(1 / (w * w).sum(axis=1)), every(again)]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SHOTS.split(", ")])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, SMC_TOGETHER):
+                yield from sampled(batch.slice(i, SMC_TOGETHER))
+
+    return gathered(events, series, "poisson", together=SMC_TOGETHER).mapInArrow(run, SHOTS)
+
+
 def water_level(scores: DataFrame, budget: int, bucket: Column | None = None) -> DataFrame:
     """(series, interval, more): how many of each interval's ``budget`` draws go to each of its series, when
     one at a time goes to the largest of extent / seen, seen growing by one with it.
